@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, packing, simhash
+from . import chat, decontam, lines, lm, packing, quality, simhash, tiff, toxicity
 from .common import read
 
 
@@ -17,6 +17,10 @@ def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return decontam.digest(decontam.decontaminate(docs, read(spark, sf_dir, "benchmark", "item_id", "text")))
@@ -26,6 +30,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -34,14 +47,29 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer())
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_rows(chat.swapped_pairs(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
+    "op5_tiff": op5_tiff,
     "op6_line_dedup": op6_line_dedup,
     "op7_packing": op7_packing,
+    "op8_chat": op8_chat,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontam.ORACLE,
     "op6_line_dedup": lines.ORACLE,
+    "op8_chat": chat.ORACLE,
 }
