@@ -96,28 +96,39 @@ def original_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int
     return [(int(points[begin[a]]), int(points[end[b - 1]])) for a, b in ranges]
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Per row of ``documents(doc_id, text)``: doc_id, text, n_words, hit_words (merged word
-    ranges), hit_spans (the same as code points of the original text), item_ids."""
-    spark = documents.sparkSession
+def _machines(spark, benchmark: DataFrame, window: int, max_broadcast: int) -> list:
+    """For each block of items a function that gives its automaton, built once in a worker."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // max_broadcast))
-    pair = "array<struct<first:int,end:int>>"
-    schema = f"doc_id bigint, text string, n_words bigint, hit_words {pair}, hit_spans {pair}, item_ids array<string>"
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-    out = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = []
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
 
-        def rows(batch, sent=sent, memo={}):  # noqa: B006 one automaton for a worker's batches
+        def machine_of(sent=sent, memo={}):  # noqa: B006 kept for the worker's task
             if "machine" not in memo:
                 memo["machine"] = automaton(sent.value, window)
+            return memo["machine"]
+
+        out.append(machine_of)
+    return out
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """Per row of ``documents(doc_id, text)``: doc_id, text, n_words, hit_words (merged word
+    ranges), hit_spans (the same as code points of the original text), item_ids."""
+    pair = "array<struct<first:int,end:int>>"
+    schema = f"doc_id bigint, text string, n_words bigint, hit_words {pair}, hit_spans {pair}, item_ids array<string>"
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+    out = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    for machine_of in _machines(documents.sparkSession, benchmark, window, max_broadcast):
+
+        def rows(batch, machine_of=machine_of):
             texts, cols = as_bytes(batch.column("text")), {n: [] for n in ("n_words", "hit_words", "hit_spans", "item_ids")}
             old = [batch.column(n).to_pylist() for n in ("hit_words", "item_ids")] if "hit_words" in batch.schema.names else None
             for i, text in enumerate(texts):
-                n, ranges, found = scan(memo["machine"], text)
+                n, ranges, found = scan(machine_of(), text)
                 found.discard(None)
                 if old:
                     ranges = merged(ranges + [(x["first"], x["end"]) for x in old[0][i]])
@@ -143,6 +154,19 @@ def _mapped(df: DataFrame, schema: str, rows) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def uncontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``documents`` without the rows that hold a window of the benchmark; all columns are kept."""
+    kept = documents
+    for machine_of in _machines(documents.sparkSession, benchmark, window, MAX_BROADCAST):
+
+        def run(batches, machine_of=machine_of):
+            for batch in batches:
+                yield batch.filter(pa.array([not scan(machine_of(), t)[1] for t in as_bytes(batch.column("text"))], pa.bool_()))
+
+        kept = kept.mapInArrow(run, documents.schema)
+    return kept
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from what :func:`decontaminate` returns."""
     n_hit = F.aggregate("hit_words", F.lit(0).cast("bigint"), lambda n, x: n + (x["end"] - x["first"]).cast("bigint"))

@@ -23,7 +23,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel  # noqa: F401  (documented alternative to written tables)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,17 +47,20 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return [line[a:b] for a, b in zip(begins[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: bytes, words: int, seed: int = SEED) -> int:
-    """Bit b is 1 if it is set in over half of the shingles' XXH64; 0 for a text without words."""
+def fingerprint(text: bytes, words: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+    """For each seed: bit b is 1 if it is set in over half of the shingles' XXH64; 0 for a
+    text without words."""
     found = shingles(text, words)
     if not found:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, seed) for s in found), np.uint64, len(found))
-    ones = np.zeros(64, np.int64)
-    for part in np.array_split(h, max(1, len(h) // 4096)):
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+        return [0] * len(seeds)
+    digest, out = xxhash.xxh64_intdigest, []
+    for seed in seeds:
+        h = np.fromiter((digest(s, seed) for s in found), np.uint64, len(found))
+        ones = np.zeros(64, np.int64)
+        for part in np.array_split(h, max(1, len(h) // 4096)):
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]))
+    return out
 
 
 def fingerprints(documents: DataFrame, words: int, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
@@ -68,7 +70,7 @@ def fingerprints(documents: DataFrame, words: int, seeds: tuple[int, ...] = (SEE
     """
 
     def rows(batch):
-        out = [[fingerprint(t, words, s) for s in seeds] for t in as_bytes(batch.column("text"))]
+        out = [fingerprint(t, words, seeds) for t in as_bytes(batch.column("text"))]
         flat = np.array(out, np.uint64).astype(np.int64).ravel()
         return {"doc_id": batch.column("doc_id"), "fp": pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(seeds)).astype(np.int32), flat)}
 
@@ -100,23 +102,29 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links to (node, smallest node of its component) for all nodes but the roots."""
-    if not len(a):
-        return a, b
+    """A minimum spanning forest of links between fingerprints, by differing bits: rounds in
+    which every tree takes its closest link to another one."""
+    order = np.argsort(np.bitwise_count(a ^ b), kind="stable")
+    a, b = a[order], b[order]
     nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
     x, y = place[: len(a)], place[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all() and (root[x] == root[y]).all():
-            break
-        root = new
-    keep = root != np.arange(len(nodes))
-    return nodes[keep], nodes[root[keep]]
+    root, taken = np.arange(len(nodes)), np.zeros(len(a), bool)
+    while len(e := np.flatnonzero(root[x] != root[y])):
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, root[x[e]], e)
+        np.minimum.at(best, root[y[e]], e)
+        best = np.unique(best[best < len(a)])
+        taken[best] = True
+        u, v = x[best], y[best]
+        while (root[u] != root[v]).any():
+            low = np.minimum(root[u], root[v])
+            new = root.copy()
+            np.minimum.at(new, root[u], low)
+            np.minimum.at(new, root[v], low)
+            while (new[new] != new).any():
+                new = new[new]
+            root = new[root]
+    return a[taken], b[taken]
 
 
 def links_in(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +136,10 @@ def links_in(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray
         own = fp[at : at + n]
         for i in range(0, n, 512):
             x, y = np.nonzero(np.bitwise_count(own[i : i + 512, None] ^ own[None, i:]) <= max_bits)
-            for u, v in [forest(own[i + x], own[i + y])]:
-                a.append(u)
-                b.append(v)
+            u, v = own[i + x], own[i + y]
+            u, v = forest(u[u != v], v[u != v])
+            a.append(u)
+            b.append(v)
     keep = np.repeat(size <= 64, size)
     key, fp = key[keep], fp[keep]
     for shift in range(1, 64):
@@ -203,5 +212,58 @@ def near_duplicates(documents: DataFrame, words: int = 3, max_bits: int = MAX_BI
     return docs.join(rooted.join(low, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+#: The pipeline's near duplicates: words as they are, several seeds, and the verified similarity.
+STAGE_SEEDS, STAGE_WORDS, SIMILARITY = (42, 43, 44), 5, 0.8
+
+
+def jaccard(a: bytes, b: bytes, words: int) -> float:
+    x, y = set(shingles(a, words)), set(shingles(b, words))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def deduplicated(documents: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY, seeds: tuple[int, ...] = STAGE_SEEDS) -> DataFrame:
+    """``documents`` with one document, the smallest doc_id, of each near-duplicate group.
+
+    Equal texts are one group. Different texts are compared if one of several fingerprints of
+    their single words (one per seed; single words change less under edits than shingles do)
+    links them; a link counts if the sets of ``words``-word shingles have that Jaccard
+    similarity. Links within a group are compared along minimum spanning forests.
+
+    Rows with a null doc_id are kept; rows that share a doc_id are one document and are kept or
+    dropped alike; texts without words are one group. All columns are kept.
+    """
+    text = F.col("text").cast("string")
+    keyed = documents.where("doc_id IS NOT NULL").select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
+    prints = fingerprints(keyed, 1, seeds).select(F.col("doc_id").alias("_id"), "fp")
+    # a row's fingerprints and text key come from one pass each; both are functions of the row
+    texts = keyed.select(F.col("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    groups = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"))
+    member, _ = written(texts.join(groups, ["t1", "t2"]).select("doc_id", "node").distinct(), "members")
+    nodes, _ = written(prints.join(member.where("doc_id = node"), F.col("_id") == F.col("node"), "left_semi").groupBy(F.col("_id").alias("node")).agg(F.min("fp").alias("fp")), "nodes")
+    edges = None
+    for k in range(len(seeds)):
+        own = nodes.select("node", F.col("fp")[k].alias("fp"))
+        first, _ = written(own.groupBy("fp").agg(F.min("node").alias("first")), "first")
+        same = own.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        ends = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+        linked, _ = written(links(first.select("fp")).distinct(), "links")
+        linked = linked.join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges = same.union(linked) if edges is None else edges.union(same).union(linked)
+    edges, _ = written(edges.distinct(), "candidates")
+    ends = edges.select(F.col("a").alias("n")).union(edges.select("b")).distinct()
+    wanted = keyed.join(ends, keyed["doc_id"] == ends["n"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    wanted, _ = written(wanted, "wanted")
+    both = edges.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+
+    def rows(batch):
+        s, t = as_bytes(batch.column("s")), as_bytes(batch.column("t"))
+        like = np.array([jaccard(x, y, words) >= similarity for x, y in zip(s, t, strict=True)])
+        return {n: batch.column(n).filter(pa.array(like)) for n in ("a", "b")}
+
+    tree = components(mapped(both, "a bigint, b bigint", rows))
+    gone = member.join(tree, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keeper")).where("doc_id <> keeper")
+    return documents.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

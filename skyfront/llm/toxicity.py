@@ -154,3 +154,15 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     plain = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = mapped(plain, "doc_id bigint, score double, predicted int", rows)
     return out.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+def accepted(documents: DataFrame, model: Model) -> DataFrame:
+    """``documents`` without the rows whose score reaches the threshold; all columns are kept."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            keep = pa.array([sent.value.score(t) < THRESHOLD for t in as_bytes(batch.column("text"))], pa.bool_())
+            yield batch.filter(keep)
+
+    return documents.mapInArrow(run, documents.schema)
