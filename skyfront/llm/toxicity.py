@@ -15,12 +15,14 @@ Every text is then scored whole.
 
 Defined results: a null or empty text has no features and gets the score of the bias; rows
 with a null doc_id are scored but never learnt from; of repeated labels for a document any
-toxic one makes it toxic; without any toxic label the score is 0 for every text.
+toxic one makes it toxic; without any toxic label, or any term that tells toxic texts, the score
+is 0 for every text.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,22 +73,24 @@ class Model:
         return 1 / (1 + math.exp(-m)) if m > -700 else 0.0
 
 
-def telling_terms(positive: list[set], unlabelled: list[set], prior: float, most: int) -> list[bytes]:
+def telling_terms(positive: list[bytes], unlabelled: list[bytes], prior: float, most: int) -> list[bytes]:
     """Terms far more frequent among the positives than among the unlabelled. A term that only
-    toxic texts have is 1 / prior times as frequent; at least half of that is asked for."""
-    count: dict[bytes, list[int]] = {}
-    for k, texts in enumerate((positive, unlabelled)):
-        for t in texts:
-            for term in t:
-                if k == 0:
-                    count.setdefault(term, [0, 0])[0] += 1
-                elif term in count:
-                    count[term][1] += 1
+    toxic texts have is 1 / prior times as frequent; at least half of that is asked for.
+
+    Only counts are held, and of the unlabelled only those of terms that may still be chosen.
+    """
+    count: Counter = Counter()
+    for t in positive:
+        count.update(terms(t))
+    count = {term: a for term, a in count.items() if a >= 4}
+    other: Counter = Counter()
+    for t in unlabelled:
+        other.update(x for x in terms(t) if x in count)
     scored = []
-    for term, (a, b) in count.items():
-        p, u = a / len(positive), (b + 1) / (len(unlabelled) + 1)
+    for term, a in count.items():
+        p, u = a / len(positive), (other[term] + 1) / (len(unlabelled) + 1)
         z = (p - u) / math.sqrt(u * (1 - min(u, 0.999)) / len(positive) + 1e-12)
-        if a >= 4 and z > 6 and p > u * max(2.0, 0.5 / prior):
+        if z > 6 and p > u * max(2.0, 0.5 / prior):
             scored.append((-z, term))
     return [t for _, t in sorted(scored)[:most]]
 
@@ -96,17 +100,19 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, most: in
     if not positive or not unlabelled or prior <= 0:
         return Model({}, -1e9)
     # copies of a text say nothing new about its words
-    p, u = ([terms(t) for t in sorted(set(texts))] for texts in (positive, unlabelled))
-    names = telling_terms(p, u, prior, most)
+    positive, unlabelled = sorted(set(positive)), sorted(set(unlabelled))
+    names = telling_terms(positive, unlabelled, prior, most)
+    if not names:
+        return Model({}, -1e9)
     place = {t: i for i, t in enumerate(names)}
 
     def matrix(texts):
         out = np.zeros((len(texts), len(names)), np.float32)
         for r, t in enumerate(texts):
-            out[r, [place[x] for x in t if x in place]] = 1
+            out[r, [place[x] for x in terms(t) if x in place]] = 1
         return out
 
-    xp, xu = matrix(p), matrix(u)
+    xp, xu = matrix(positive), matrix(unlabelled)
     w, b = np.zeros(len(names), np.float32), np.float32(math.log(prior / (1 - prior)))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
