@@ -10,7 +10,8 @@ ever gathered but the removed places of one text.
 
 Defined results: a null text stays null and has no lines; a text of fewer than three lines
 is left alone; rows with equal doc_id and text are one document and are treated alike; rows
-with a null doc_id come first in the order; other columns are kept as they are.
+with a null doc_id come first in the order; other columns are kept as they are, but for any
+named n_lines or n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -47,17 +48,20 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     first = windows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("h1", "h2", "first")
     later = windows.join(first, ["h1", "h2"]).where(F.struct("_id", "_key", "place") != F.col("first"))
     gone = later.groupBy("_id", "_key").agg(F.collect_set("place").alias("_at")).select(F.col("_id").alias("_gone_id"), F.col("_key").alias("_gone_key"), "_at")
-    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text"))
-    both = keyed.join(gone, (keyed["_key"] == gone["_gone_key"]) & keyed["doc_id"].eqNullSafe(gone["_gone_id"]), "left").drop("_gone_id", "_gone_key", "_key")
-    split = F.split("text", "\n", -1)
+    # the row travels as one struct, so no column's name can clash with those made here
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    keyed = documents.select(row.alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_key"))
+    both = keyed.join(gone, (keyed["_key"] == gone["_gone_key"]) & keyed["_id"].eqNullSafe(gone["_gone_id"]), "left")
+    text = F.col("_row.text")
+    split = F.split(text, "\n", -1)
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
     kept = F.filter(split, lambda x, i: ~F.array_contains("_covered", i))
     both = both.withColumn("_covered", covered)
     whole = F.col("_covered").isNull()
     return both.select(
-        *(c for c in documents.columns if c not in ("text", "n_lines", "n_removed")),
-        F.when(whole, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("bigint").alias("n_lines"),
+        *(F.col(f"_row.`{c}`").alias(c) for c in documents.columns if c not in ("text", "n_lines", "n_removed")),
+        F.when(whole, text).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(text.isNull(), 0).otherwise(F.size(split)).cast("bigint").alias("n_lines"),
         F.when(whole, 0).otherwise(F.size("_covered")).cast("bigint").alias("n_removed"),
     )
 

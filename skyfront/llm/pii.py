@@ -334,6 +334,8 @@ def train(texts: list[str], windows: int = 6000, length: int = 80, batch: int =
 def windows_of(ids: np.ndarray) -> np.ndarray:
     """The windows of one text: row k has the characters from k * CORE - MARGIN on."""
     n = -(-len(ids) // CORE)
+    if not n:
+        return np.empty((0, CORE + 2 * MARGIN), np.int64)
     padded = np.full(n * CORE + 2 * MARGIN, PAD, np.int64)
     padded[MARGIN : MARGIN + len(ids)] = ids
     return np.lib.stride_tricks.sliding_window_view(padded, CORE + 2 * MARGIN)[::CORE]
