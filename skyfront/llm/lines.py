@@ -1,12 +1,16 @@
 """Line dedup over overlapping three-line windows. DataFrame functions only.
 
-Every three consecutive lines of a text (trimmed, hashed) are a window; windows of blank
-lines only do not count. A window's first occurrence, by doc_id, then text, then place, stays.
-Lines that any later occurrence covers are removed, the rest of the text keeps its order.
+A line is what a line end or a sentence end (a full stop, exclamation or question mark and a
+blank) closes, so a repeated passage is found also where it stands amid other text. Every
+three consecutive lines (trimmed, hashed) are a window; windows of fewer than ``MIN_CHARS``
+characters do not count, as a few common words may well follow each other by chance. A
+window's first occurrence, by doc_id, then text, then place, stays. Lines that any later
+occurrence covers are removed, the rest of the text stays as it is, byte for byte.
 
-Windows are hashed to 96 bits and pre-aggregated to one row each before the shuffle; only
-repeated ones are joined back, and only places that go are sent to the texts. No group is
-ever gathered but the removed places of one text.
+Windows are hashed to 96 bits. Counts, combined before the shuffle, tell the repeated ones;
+only these are joined back, written, and reduced to their first occurrence. Joins may be split
+where one window is very frequent, and no group is ever gathered but the removed places of
+one text.
 
 Defined results: a null text stays null and has no lines; a text of fewer than three lines
 is left alone; rows with equal doc_id and text are one document and are treated alike; rows
@@ -16,51 +20,61 @@ named n_lines or n_removed, which are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WINDOW = 3
+MIN_CHARS = 30
+#: A line keeps its end, so joined lines are the text again.
+_ENDS = r"(?<=\n)|(?<=[.!?] )"
+_BLANKS = " \t\r\n"
+
+
+def _lines_of(text) -> Column:
+    return F.split(text, _ENDS, -1)
 
 
 def _windows(lines: DataFrame) -> DataFrame:
     """doc key and one row per window: place, h1, h2."""
-    h = F.transform(F.col("_lines"), lambda x: F.xxhash64(F.trim(x)))
-    g = F.transform(F.col("_lines"), lambda x: F.hash(F.trim(x)))
-    blank = F.xxhash64(F.lit(""))
-    hashed = lines.where(F.size("_lines") >= WINDOW).select("_key", "_id", h.alias("h"), g.alias("g"))
+    bare = F.transform(F.col("_lines"), lambda x: F.trim(x, F.lit(_BLANKS)))
+    each_line = F.transform(F.col("_bare"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.length(x).alias("n")))
+    hashed = lines.where(F.size("_lines") >= WINDOW).withColumn("_bare", bare).select("_key", "_id", each_line.alias("v"))
     each = F.transform(
-        F.sequence(F.lit(0), F.size("h") - WINDOW),
+        F.sequence(F.lit(0), F.size("v") - WINDOW),
         lambda i: F.struct(
             i.alias("place"),
-            F.xxhash64(*(F.get("h", i + k) for k in range(WINDOW))).alias("h1"),
-            F.hash(*(F.get("g", i + k) for k in range(WINDOW))).alias("h2"),
-            F.least(*(F.get("h", i + k) == blank for k in range(WINDOW))).alias("blank"),
+            F.xxhash64(*(F.get("v", i + k)["h"] for k in range(WINDOW))).alias("h1"),
+            F.hash(*(F.get("v", i + k)["g"] for k in range(WINDOW))).alias("h2"),
+            sum((F.get("v", i + k)["n"] for k in range(1, WINDOW)), F.get("v", i)["n"]).alias("n"),
         ),
     )
-    return hashed.select("_key", "_id", F.explode(each).alias("w")).where("NOT w.blank").select("_key", "_id", "w.place", "w.h1", "w.h2")
+    return hashed.select("_key", "_id", F.explode(each).alias("w")).where(F.col("w.n") >= MIN_CHARS).select("_key", "_id", "w.place", "w.h1", "w.h2")
 
 
 def line_dedup(documents: DataFrame) -> DataFrame:
     """``documents`` with ``text`` without the removed lines, and n_lines, n_removed (long)."""
-    lines = documents.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_key"), F.split("text", "\n", -1).alias("_lines"))
+    lines = documents.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_key"), _lines_of(F.col("text")).alias("_lines"))
     windows = _windows(lines)
-    order = F.struct("_id", "_key", "place")
-    first = windows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("h1", "h2", "first")
-    later = windows.join(first, ["h1", "h2"]).where(F.struct("_id", "_key", "place") != F.col("first"))
+    repeated = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h1", "h2")
+    repeated, _ = written(windows.join(repeated, ["h1", "h2"]), "repeated-windows")
+    first = repeated.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_key", "place")).alias("first"))
+    later = repeated.join(first, ["h1", "h2"]).where(F.struct("_id", "_key", "place") != F.col("first"))
     gone = later.groupBy("_id", "_key").agg(F.collect_set("place").alias("_at")).select(F.col("_id").alias("_gone_id"), F.col("_key").alias("_gone_key"), "_at")
     # the row travels as one struct, so no column's name can clash with those made here
     row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
     keyed = documents.select(row.alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_key"))
     both = keyed.join(gone, (keyed["_key"] == gone["_gone_key"]) & keyed["_id"].eqNullSafe(gone["_gone_id"]), "left")
     text = F.col("_row.text")
-    split = F.split(text, "\n", -1)
+    split = _lines_of(text)
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
     kept = F.filter(split, lambda x, i: ~F.array_contains("_covered", i))
     both = both.withColumn("_covered", covered)
     whole = F.col("_covered").isNull()
     return both.select(
         *(F.col(f"_row.`{c}`").alias(c) for c in documents.columns if c not in ("text", "n_lines", "n_removed")),
-        F.when(whole, text).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(whole, text).otherwise(F.array_join(kept, "")).alias("text"),
         F.when(text.isNull(), 0).otherwise(F.size(split)).cast("bigint").alias("n_lines"),
         F.when(whole, 0).otherwise(F.size("_covered")).cast("bigint").alias("n_removed"),
     )
@@ -68,15 +82,14 @@ def line_dedup(documents: DataFrame) -> DataFrame:
 
 #: The query's rows over DuckDB's views (documents of one run have distinct doc_ids).
 ORACLE = r"""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS v FROM documents WHERE text IS NOT NULL),
-t AS (SELECT doc_id, len(v) AS n, list_transform(v, lambda x: trim(x, ' ')) AS v FROM l),
+WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(31), 'g'), chr(31)) AS v FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, len(v) AS n, list_transform(v, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))) AS v FROM l),
 w AS (SELECT doc_id, i, v[i + 1] AS a, v[i + 2] AS b, v[i + 3] AS c FROM (SELECT doc_id, v, unnest(range(n - 2)) AS i FROM t WHERE n >= 3)),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM w WHERE NOT (a = '' AND b = '' AND c = '')),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM w WHERE length(a) + length(b) + length(c) >= 30),
 gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r WHERE k > 1),
 p AS (SELECT doc_id, x AS line, p FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS p FROM l)),
-kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text, count(*) AS n FROM p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.p = p.p) GROUP BY doc_id)
+kept AS (SELECT doc_id, string_agg(line, '' ORDER BY p) AS text, count(*) AS n FROM p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.p = p.p) GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
-  CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
-  CAST(coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(kept.n, 0) AS BIGINT) AS n_removed
-FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+  CAST(coalesce(len(l.v), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l.v), 0) - coalesce(kept.n, 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
 """

@@ -13,7 +13,7 @@ LONG = "word " * 60_000
 
 @pytest.fixture(scope="module")
 def documents(spark):
-    rows = [(1, "one two\nthree\nfour\nfive"), (1, "one two\nthree\nfour\nfive"), (2, "one two\nthree\nfour\nfive"), (3, ""), (4, None), (None, "text without id"), (None, None), (5, LONG), (6, "\n\n\n\n"), (7, "é \x00 ퟿")]
+    rows = [(1, "one two three four\nfive six seven\neight nine ten\neleven twelve"), (1, "one two three four\nfive six seven\neight nine ten\neleven twelve"), (2, "one two three four\nfive six seven\neight nine ten\neleven twelve"), (3, ""), (4, None), (None, "text without id"), (None, None), (5, LONG), (6, "\n\n\n\n"), (7, "é \x00 ퟿")]
     extra = ", ".join(f"`{n}` string" for n in NAMES)
     return spark.createDataFrame([(*r, None, "src", None, *["x"] * len(NAMES)) for r in rows], f"doc_id bigint, text string, lang string, source string, n_chars bigint, {extra}")
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -122,22 +123,39 @@ def test_near_duplicate_stage_keeps_one_of_each_group_and_all_others(spark):
 # --- line dedup -----------------------------------------------------------------
 
 
+def units(text):
+    return re.split(r"(?<=\n)|(?<=[.!?] )", text)
+
+
 def brute_lines(rows):
     seen, gone = {}, defaultdict(set)
     for doc, text in sorted(rows):
-        v = [x.strip(" ") for x in text.split("\n")]
+        v = [x.strip(" \t\r\n") for x in units(text)]
         for i in range(len(v) - 2):
             w = tuple(v[i : i + 3])
-            if w != ("", "", "") and seen.setdefault(w, (doc, i)) != (doc, i):
+            if sum(map(len, w)) >= lines.MIN_CHARS and seen.setdefault(w, (doc, i)) != (doc, i):
                 gone[doc] |= {i, i + 1, i + 2}
-    return {doc: "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[doc]) for doc, text in rows}
+    return {doc: "".join(x for i, x in enumerate(units(text)) if i not in gone[doc]) for doc, text in rows}
 
 
 def test_lines_against_brute_force(spark):
     r = random.Random(5)
-    rows = [(i, "\n".join(r.choice(["a", "b", " b", "", "c d", "e"]) for _ in range(r.randrange(0, 12)))) for i in range(120)]
+    some = ["a line of words\n", "other words here. ", " padded words now\n", "\n", "short. ", "What is it? ", "yes! ", "words without an end"]
+    rows = [(i, "".join(r.choice(some) for _ in range(r.randrange(0, 12)))) for i in range(150)]
+    got = {x.doc_id: x.text for x in lines.line_dedup(docs_of(spark, rows)).collect()}
+    assert got == brute_lines(rows) and any(got[i] != t for i, t in rows)
+
+
+def test_a_passage_amid_other_text_goes_and_the_rest_stays(spark):
+    r = random.Random(6)
+    passage = ". ".join(prose(r, 14) for _ in range(6)) + ". "
+    own = [prose(r, 30) + ". " + prose(r, 9) + "\n" for _ in range(6)]
+    rows = [(i, own[i] + prose(r, 5) + " " + passage + own[i + 3]) for i in range(3)] + [(9, own[0][:60] + prose(r, 50))]
     got = {x.doc_id: x.text for x in lines.line_dedup(docs_of(spark, rows)).collect()}
-    assert got == brute_lines(rows)
+    assert got[0] == rows[0][1] and got[9] == rows[3][1]
+    for i in (1, 2):
+        assert got[i].startswith(own[i]) and got[i].endswith(own[i + 3])
+        assert len(got[i].split()) < len(rows[i][1].split()) - 60
 
 
 # --- decontamination --------------------------------------------------------------
