@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from skyfront.llm import chat, decontam, golay, lines, lm, packing, pii, quality, simhash, tiff, toxicity
 
@@ -468,6 +470,19 @@ def test_base_patterns():
     assert got == [("email", "a.b@x-y.co.uk"), ("ip", "10.0.0.255"), ("card", "4539 1488 0343 6467"), ("phone", "+1 (743) 555-3824")]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a-.@@12+ (", max_size=40))
+def test_quick_patterns_find_what_the_plain_ones_find(text):
+    assert pii.emails(text) == [m.span() for m in pii.EMAIL.finditer(text)]
+    plain = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
+def test_long_runs_take_no_square_time():
+    for run in ("a" * 200_000 + " x@y.z", "1" * 200_000 + " +1", "a@" * 50_000, "1." * 100_000):
+        pii.base_spans(run)
+
+
 def test_gradients_of_the_tagger():
     x, y = pii.training_windows(["some plain text " * 10], 3, 12)
     t = pii.Tagger.new()
