@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import ALPHABET, Settings
+from ..config import ALPHABET
 from ..functions import text as fx
 from ..functions.vectors import distance
 from ..operators import campaign, cards, ingest, pareto, select, stats, surrogate
@@ -157,11 +157,11 @@ def w5_fronts_by_round(spark, sf_dir):
     return pareto.front_values(c, "y1", "y2", ["team", "rnd"])
 
 
-@query("v2_front_plot", f"WITH {PARTS}, f AS ({front_sql('p', ('grp',))}) SELECT p.id, p.grp, p.y1, p.y2, CASE WHEN f.id IS NOT NULL THEN 'front' WHEN p.id % 40 = 0 THEN 'initial' ELSE 'dominated' END AS class FROM p LEFT JOIN f ON p.id = f.id")
+@query("v2_front_plot", f"WITH {PARTS}, f AS ({front_sql('p', ('grp',))}) SELECT p.id, p.grp, p.y1, p.y2, CASE WHEN f.id IS NOT NULL THEN 'front' WHEN p.y2 >= 25 THEN 'large' ELSE 'dominated' END AS class FROM p LEFT JOIN f ON p.id = f.id")
 def v2_front_plot(spark, sf_dir):
     p = b.parts(spark, sf_dir)
     marked = pareto.pareto_mask(p, "y1", "y2", "id", ["grp"], keep_duplicates=True)
-    kind = F.when(F.col("on_front"), "front").when(F.col("id") % 40 == 0, "initial").otherwise("dominated")
+    kind = F.when(F.col("on_front"), "front").when(F.col("y2") >= 25, "large").otherwise("dominated")
     return marked.select("id", "grp", "y1", "y2", kind.alias("class"))
 
 
@@ -203,10 +203,10 @@ def streaming_front(spark, sf_dir):
 # --- joins, sets -----------------------------------------------------------------------
 
 
-@query("j4_available_ids", "SELECT vec_id AS id FROM embeddings WHERE vec_id % 40 <> 0 AND label <> 3")
+@query("j4_available_ids", "SELECT vec_id AS id FROM embeddings WHERE label NOT IN (3, 7)")
 def j4_available_ids(spark, sf_dir):
     p = b.points(spark, sf_dir)
-    return select.available(p, p.where("id % 40 = 0 OR label = 3").select("id")).select("id")
+    return select.available(p, p.where("label IN (3, 7)").select("id")).select("id")
 
 
 @query("j2_lookup_observed", "SELECT o_orderkey AS pos, p_partkey AS id, p_retailprice AS y1, CAST(p_size AS DOUBLE) AS y2 FROM orders JOIN part ON o_custkey = p_partkey")
@@ -251,13 +251,11 @@ def j11_team_truth(spark, sf_dir):
 _DIST = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) ** 2)))"
 
 
-@query("g1_nearest_projection", f"SELECT c, id, d FROM (SELECT a.vec_id AS c, b.vec_id AS id, round({_DIST}, 6) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0) WHERE n = 1")
+@query("g1_nearest_projection", f"SELECT c, id, d FROM (SELECT a.vec_id AS c, b.vec_id AS id, round({_DIST}, 6) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE n = 1")
 def g1_nearest_projection(spark, sf_dir):
-    """Each candidate's nearest pool row. Candidates are a batch's few proposals: bounded, so broadcast."""
-    p = b.points(spark, sf_dir)
-    asked = F.broadcast(p.where("id % 50 = 0").select(F.col("id").alias("c"), F.col("x").alias("v")))
-    d = p.where("id % 50 <> 0").join(asked).select("c", "id", distance("x", "v").alias("d"))
-    return d.groupBy("c").agg(F.min(F.struct("d", "id")).alias("m")).select("c", "m.id", r("m.d").alias("d"))
+    """Each query row's nearest other row; every 20th row asks, against all rows."""
+    p = b.points(spark, sf_dir).select("id", "x")
+    return stats.nearest_rows(p.where("id % 20 = 0"), p, "id", "x").select(F.col("id").alias("c"), F.col("near").alias("id"), r("d").alias("d"))
 
 
 def _candidates(spark, sf_dir):
@@ -283,10 +281,11 @@ def a7_nn_distance(spark, sf_dir):
     return stats.nearest_distances(b.points(spark, sf_dir), "id", "x").select("id", r("d").alias("d"))
 
 
-@query("a6_closest_pair", f"SELECT round({_DIST}, 6) AS d, a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = 0 AND b.label = 0 ORDER BY {_DIST}, i, j LIMIT 1")
+@query("a6_closest_pair", f"SELECT round({_DIST}, 6) AS d, a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id ORDER BY {_DIST}, i, j LIMIT 1")
 def a6_closest_pair(spark, sf_dir):
-    d = stats.pair_distances(b.points(spark, sf_dir).where("label = 0"), "id", "x")
-    return d.agg(F.min(F.struct("d", "i", "j")).alias("m")).select(r("m.d").alias("d"), "m.i", "m.j")
+    p = b.points(spark, sf_dir)
+    pairs = stats.nearest_rows(p, p, "id", "x").select("d", F.least("id", "near").alias("i"), F.greatest("id", "near").alias("j"))
+    return pairs.agg(F.min(F.struct("d", "i", "j")).alias("m")).select(r("m.d").alias("d"), "m.i", "m.j")
 
 
 @query("a5_diversity", f"SELECT a.label, round(avg({_DIST}), 6) AS diversity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label GROUP BY a.label")
@@ -337,7 +336,7 @@ def g7_drop_small(spark, sf_dir):
 @query("g9_curate")
 def g9_curate(spark, sf_dir):
     docs = b.table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    seq = F.substring(F.regexp_replace(F.upper("text"), f"[^{ALPHABET}]", ""), 1, 120)
+    seq = F.regexp_replace(F.upper("text"), f"[^{ALPHABET}]", "")
     return select.curate(docs.select(F.col("doc_id").alias("pos"), seq.alias("sequence"), "source").where("sequence <> ''"), 256, 123, clusters=12)
 
 
@@ -589,9 +588,9 @@ def p12_derived(spark, sf_dir):
     return b.table(spark, sf_dir, "orders").select("o_orderkey", r(-F.log10(F.col("o_totalprice") * 1e-9)).alias("p"), (-F.col("o_totalprice")).alias("neg"))
 
 
-@query("p13_first_filled", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), nullif(source, ''), '') AS origin FROM documents")
+@query("p13_first_filled", "SELECT doc_id, coalesce(nullif(CASE WHEN lang = 'de' THEN '' ELSE lang END, ''), nullif(source, ''), '') AS origin FROM documents")
 def p13_first_filled(spark, sf_dir):
-    d = b.table(spark, sf_dir, "documents", "doc_id", "lang", "source").withColumn("run", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")))
+    d = b.table(spark, sf_dir, "documents", "doc_id", "lang", "source").withColumn("run", F.when(F.col("lang") == "de", "").otherwise(F.col("lang")))
     return d.select("doc_id", fx.first_filled("run", "source").alias("origin"))
 
 
@@ -645,7 +644,7 @@ def _setting(spark, sf_dir):
     """Pool, oracle and initial ids of a small campaign. A reused pool is written once by the caller's cache."""
     pool = b.latents(spark, sf_dir).cache()
     oracle = campaign.Oracle(campaign.true_objectives(pool, b.LANDSCAPE), (0.05, 0.05), 123)
-    return pool, oracle, [int(x.id) for x in pool.where("id % 40 = 0").select("id").orderBy("id").limit(12).collect()]
+    return pool, oracle, [int(x.id) for x in pool.select("id").orderBy("id").limit(12).collect()]
 
 
 @query("c3_random_card")
@@ -671,16 +670,15 @@ def m2_posterior(spark, sf_dir):
 @query("o4_campaign")
 def o4_campaign(spark, sf_dir):
     pool, oracle, start = _setting(spark, sf_dir)
-    plans = [{"nehvi": 2, "parego": 2}, {"scalarized_0.8_0.2": 2, "uncertainty": 2}, {"nehvi": 4}]
-    h = campaign.run_campaign("team", plans, pool, oracle, start, settings=Settings(n_rounds=3))
+    h = campaign.run_campaign("team", campaign.default_strategies()["mixed"], pool, oracle, start)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(h["hv_history"])], "round int, hv double")
 
 
 @query("o6_sweep")
 def o6_sweep(spark, sf_dir):
     pool, oracle, start = _setting(spark, sf_dir)
-    menu = {k: v[:2] for k, v in campaign.default_strategies(2).items() if k in ("all_nehvi", "random_baseline")}
-    return campaign.sweep_means(campaign.sweep_facts(menu, pool, oracle, start, [123], Settings(n_rounds=2)))
+    menu = {k: v for k, v in campaign.default_strategies().items() if k in ("all_nehvi", "all_parego", "random_baseline")}
+    return campaign.sweep_means(campaign.sweep_facts(menu, pool, oracle, start, [123]))
 
 
 def entry(spark: SparkSession) -> DataFrame:
