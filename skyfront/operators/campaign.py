@@ -252,6 +252,17 @@ def criteria(facts: DataFrame, deterministic: bool, margin: Mapping[str, float],
     return spark.createDataFrame([(a, b, bool(c), d) for a, b, c, d in rows], "criterion string, what string, passed boolean, info boolean")
 
 
+def compare_plans(plans: Mapping[str, Mapping[str, int]], pool: DataFrame, oracle: Oracle, initial: Sequence[int], seed: int = DEFAULTS.seed, settings: Settings = DEFAULTS) -> DataFrame:
+    """One round of each plan from the same start: plan, hv_gain and the spread of the values it measured."""
+    rows = []
+    for name, plan in plans.items():
+        c = Campaign(name, pool, oracle, initial, seed, settings)
+        before = c.current_hv
+        y = np.array(c.play_round(plan)["Y"])
+        rows.append((name, float(c.current_hv - before), diversity(y)))
+    return pool.sparkSession.createDataFrame(rows, "plan string, hv_gain double, spread double")
+
+
 def leaderboard(scores: DataFrame) -> DataFrame:
     """rank, team_name, auc_hv, final_hv, n_nondominated_selected, embedding_diversity; all four
     scores descending, equal ones by name."""

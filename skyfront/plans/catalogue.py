@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import ALPHABET
 from ..functions import text as fx
 from ..functions.vectors import distance
-from ..operators import campaign, cards, ingest, pareto, select, stats, surrogate
+from ..operators import campaign, cards, ingest, latents, pareto, select, stats, surrogate
 from ..streaming.front import RunningFront
 from . import bindings as b
 
@@ -607,6 +607,18 @@ def p21_card_grid(spark, sf_dir):
     return names.where(fx.is_known_card("name")).select("k", r(F.get(w, F.lit(0)), 2).alias("w1"), r(F.get(w, F.lit(1)), 2).alias("w2"))
 
 
+@query("g11_build_latents")
+def g11_build_latents(spark, sf_dir):
+    return latents.build_latents(_sequences(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("s").alias("sequence")))[0]
+
+
+@query("o10_compare_plans")
+def o10_compare_plans(spark, sf_dir):
+    pool, oracle, start = _setting(spark, sf_dir)
+    plans = {"nehvi": {"nehvi": 4}, "parego": {"parego": 4}, "leaning": {"scalarized_0.8_0.2": 4}, "random": {"random": 4}}
+    return campaign.compare_plans(plans, pool, oracle, start)
+
+
 # --- cards, campaigns, sweeps -----------------------------------------------------------------
 
 

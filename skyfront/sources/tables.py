@@ -188,6 +188,15 @@ def _plain(history: dict) -> dict:
     return {**history, "rounds": [{k: r[k] for k in ("round", "plan", "ids", "Y", "hv")} for r in history["rounds"]]}
 
 
+def write_initial(spark: SparkSession, ids, seed: int, path: str) -> None:
+    """An initial design as one JSON record."""
+    spark.createDataFrame([(seed, [int(i) for i in ids])], ddl(INITIAL)).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_params(spark: SparkSession, params: dict, path: str) -> None:
+    spark.createDataFrame([params], ddl(PARAMS)).coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
     w = df.write.mode("overwrite").option("header", True)
     (w.option("compression", "gzip") if gzip else w).csv(path)

@@ -7,7 +7,7 @@ import pytest
 
 from skyfront.config import Settings
 from skyfront.functions import text as fx
-from skyfront.operators import campaign, cards, ingest, pareto, select, stats, surrogate
+from skyfront.operators import campaign, cards, ingest, latents, pareto, select, stats, surrogate
 from skyfront.plans.bindings import LANDSCAPE
 from skyfront.sources import tables
 
@@ -331,3 +331,31 @@ def test_golden_check():
     campaign.verify_golden([1], [1], y, y, (0.1, 0.2), (0.1, 0.2))
     with pytest.raises(AssertionError):
         campaign.verify_golden([2], [1], y, y, (0.1, 0.2), (0.1, 0.2))
+
+
+def test_latents_span_the_unit_cube(spark):
+    seqs = ["ACDE", "FGHI", "KLMN", "PQRS", "TVWY", "AACC", "DDEE", "FFGGHH"]
+    df = spark.createDataFrame(list(enumerate(seqs)), "id bigint, sequence string")
+    x, shares = latents.build_latents(df, 5)
+    m = np.array([r.x for r in x.collect()])
+    assert m.shape == (8, 5) and np.allclose(m.min(0), 0) and np.allclose(m.max(0), 1) and shares == sorted(shares, reverse=True)
+    assert latents.check_latents(x, 5).count() == 8
+    with pytest.raises(KeyError):
+        latents.build_latents(df, 5, "other")
+    with pytest.raises(RuntimeError):
+        latents.build_latents(df, 5, "language_model")
+    with pytest.raises(ValueError, match="too close"):
+        latents.check_latents(pool_of(spark, [(0, 0), (0, 0), (1, 1)]), 2)
+
+
+def test_json_round_trips(spark, tmp_path):
+    tables.write_initial(spark, [5, 3], 123, f"{tmp_path}/i")
+    assert [r.id for r in tables.read_initial(spark, f"{tmp_path}/i").orderBy("pos").collect()] == [5, 3]
+    tables.write_params(spark, LANDSCAPE, f"{tmp_path}/p")
+    assert tables.read_params(spark, f"{tmp_path}/p") == LANDSCAPE
+
+
+def test_plans_are_compared_from_one_start(setting):
+    pool, _, oracle, initial = setting
+    got = {r.plan: r for r in campaign.compare_plans({"a": {"random": 4}, "b": {"uncertainty": 4}}, pool, oracle, initial, settings=SHORT).collect()}
+    assert set(got) == {"a", "b"} and all(r.hv_gain >= 0 for r in got.values())
