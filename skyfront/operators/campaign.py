@@ -51,7 +51,8 @@ class Oracle:
 
     def __init__(self, truth: DataFrame, sigma: Sequence[float] = DEFAULTS.noise_sigma, seed: int = DEFAULTS.seed, allow_true: bool = False):
         self._truth, self._allow = truth, allow_true
-        self._observed = with_noise(truth, sigma, seed)
+        # looked up every round: kept, so that the objectives are not computed again
+        self._observed = with_noise(truth, sigma, seed).persist()
 
     def _rows(self, table: DataFrame, ids: Sequence[int]) -> np.ndarray:
         ids = [int(i) for i in ids]

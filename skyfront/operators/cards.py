@@ -176,7 +176,7 @@ def pick_uncertain(pool: DataFrame, model: Surrogate, q: int, weights: Sequence[
 
 
 def score_pool(pool: DataFrame, acquisition: Acquisition, chosen: np.ndarray) -> DataFrame:
-    """(id, score) of a pool."""
+    """(id, x, score) of a pool."""
     sent = pool.sparkSession.sparkContext.broadcast((acquisition, chosen))
 
     def run(batches):
@@ -184,9 +184,9 @@ def score_pool(pool: DataFrame, acquisition: Acquisition, chosen: np.ndarray) ->
         score = acq.scorer(before)
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"id": pdf["id"], "score": score(np.stack(pdf["x"].to_numpy()))})
+                yield pdf.assign(score=score(np.stack(pdf["x"].to_numpy())))
 
-    return pool.select("id", "x").mapInPandas(run, "id bigint, score double")
+    return pool.select("id", "x").mapInPandas(run, "id bigint, x array<double>, score double")
 
 
 def pick_best(pool: DataFrame, acquisition: Acquisition, q: int) -> list[int]:
@@ -198,8 +198,7 @@ def pick_best(pool: DataFrame, acquisition: Acquisition, q: int) -> list[int]:
         if best is None:
             raise ValueError("no row is left to take")
         chosen_ids.append(best.id)
-        x = pool.where(F.col("id") == best.id).first().x
-        chosen = np.concatenate((chosen, np.asarray(x, float)[None]))
+        chosen = np.concatenate((chosen, np.asarray(best.x, float)[None]))
     return chosen_ids
 
 
