@@ -18,6 +18,7 @@ both kinds the score is the share of good ones for every text (1 without any).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -93,6 +94,19 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, first
 
 
+def in_parts(texts: list[bytes], size: int = 2 << 20) -> Iterator[list[bytes]]:
+    """The texts in order, in parts of about ``size`` bytes: bounds what :func:`passages` holds."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held > size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -104,15 +118,7 @@ class Model:
         """Scores of whole texts, a few megabytes at a time."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        out, part, size = [], [], 0
-        for t in texts:
-            part.append(t)
-            size += len(t)
-            if size > 2 << 20:
-                out.append(self._score(part))
-                part, size = [], 0
-        if part:
-            out.append(self._score(part))
+        out = [self._score(part) for part in in_parts(texts)]
         return np.concatenate(out) if out else np.empty(0)
 
     def _score(self, texts: list[bytes]) -> np.ndarray:
@@ -154,7 +160,9 @@ def gradients(p: dict, x: np.ndarray, first: np.ndarray, dy: np.ndarray, kept) -
 def train(texts: list[bytes], good: np.ndarray, steps: int = 250, rate: float = 0.02, seed: int = 4) -> Model:
     if not len(good) or good.min() == good.max():
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), constant=float(good.mean()) if len(good) else 1.0)
-    x, first = passages(texts)
+    parts = [passages(part) for part in in_parts(texts)]
+    sizes = np.cumsum([0, *(len(x) for x, _ in parts)])
+    x, first = np.concatenate([x for x, _ in parts]), np.concatenate([f + n for (_, f), n in zip(parts, sizes[:-1], strict=True)])
     mean, scale = x.mean(0), x.std(0) + 1e-2
     x = (x - mean) / scale
     r = np.random.default_rng(seed)
