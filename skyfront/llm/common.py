@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 ARROW_BATCH_BYTES = 24 << 20
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str, *columns: str, batch_bytes: int = ARROW_BATCH_BYTES) -> DataFrame:
     """The named columns of one table; reads through Spark only, so any file system works."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 

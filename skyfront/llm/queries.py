@@ -36,7 +36,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiff.digest(read(spark, sf_dir, "documents", "doc_id", "text"))
+    # three Python stages run at once in each task, so each gets smaller batches
+    return tiff.digest(read(spark, sf_dir, "documents", "doc_id", "text", batch_bytes=6 << 20))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
