@@ -47,10 +47,12 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return [line[a:b] for a, b in zip(begins[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: bytes, words: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+def fingerprint(text: bytes, words: int, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> list[int]:
     """For each seed: bit b is 1 if it is set in over half of the shingles' XXH64; 0 for a
-    text without words."""
+    text without words. ``distinct`` counts each shingle once."""
     found = shingles(text, words)
+    if distinct:
+        found = list(dict.fromkeys(found))
     if not found:
         return [0] * len(seeds)
     digest, out = xxhash.xxh64_intdigest, []
@@ -63,14 +65,14 @@ def fingerprint(text: bytes, words: int, seeds: tuple[int, ...] = (SEED,)) -> li
     return out
 
 
-def fingerprints(documents: DataFrame, words: int, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+def fingerprints(documents: DataFrame, words: int, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> DataFrame:
     """``documents(doc_id, text)`` to doc_id and fp (array of signed 64-bit, one per seed).
 
     Other columns are left out; a null text is an empty one.
     """
 
     def rows(batch):
-        out = [fingerprint(t, words, seeds) for t in as_bytes(batch.column("text"))]
+        out = [fingerprint(t, words, seeds, distinct) for t in as_bytes(batch.column("text"))]
         flat = np.array(out, np.uint64).astype(np.int64).ravel()
         return {"doc_id": batch.column("doc_id"), "fp": pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(seeds)).astype(np.int32), flat)}
 
@@ -213,7 +215,7 @@ def near_duplicates(documents: DataFrame, words: int = 3, max_bits: int = MAX_BI
 
 
 #: The pipeline's near duplicates: words as they are, several seeds, and the verified similarity.
-STAGE_SEEDS, STAGE_WORDS, SIMILARITY = (42, 43, 44), 5, 0.8
+STAGE_SEEDS, STAGE_WORDS, SIMILARITY = (42, 43, 44, 45), 5, 0.8
 
 
 def jaccard(a: bytes, b: bytes, words: int) -> float:
@@ -225,8 +227,8 @@ def deduplicated(documents: DataFrame, words: int = STAGE_WORDS, similarity: flo
     """``documents`` with one document, the smallest doc_id, of each near-duplicate group.
 
     Equal texts are one group. Different texts are compared if one of several fingerprints of
-    their single words (one per seed; single words change less under edits than shingles do)
-    links them; a link counts if the sets of ``words``-word shingles have that Jaccard
+    their distinct single words (one per seed) links them: single words change less under edits
+    than shingles do, and counting each once keeps frequent words from deciding the bits; a link counts if the sets of ``words``-word shingles have that Jaccard
     similarity. Links within a group are compared along minimum spanning forests.
 
     Rows with a null doc_id are kept; rows that share a doc_id are one document and are kept or
@@ -234,7 +236,7 @@ def deduplicated(documents: DataFrame, words: int = STAGE_WORDS, similarity: flo
     """
     text = F.col("text").cast("string")
     keyed = documents.where("doc_id IS NOT NULL").select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
-    prints = fingerprints(keyed, 1, seeds).select(F.col("doc_id").alias("_id"), "fp")
+    prints = fingerprints(keyed, 1, seeds, distinct=True).select(F.col("doc_id").alias("_id"), "fp")
     # a row's fingerprints and text key come from one pass each; both are functions of the row
     texts = keyed.select(F.col("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     groups = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"))
