@@ -214,8 +214,10 @@ def near_duplicates(documents: DataFrame, words: int = 3, max_bits: int = MAX_BI
     return docs.join(rooted.join(low, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: The pipeline's near duplicates: words as they are, several seeds, and the verified similarity.
-STAGE_SEEDS, STAGE_WORDS, SIMILARITY = (42, 43, 44, 45), 5, 0.8
+#: The pipeline's near duplicates: words of a shingle, and the similarity of two shingle sets.
+STAGE_WORDS, SIMILARITY = 5, 0.8
+#: Shingles that come last in the order of prefixes: at most so many, each in so many sampled texts.
+HOT, HOT_TEXTS = 200_000, 3
 
 
 def jaccard(a: bytes, b: bytes, words: int) -> float:
@@ -223,46 +225,160 @@ def jaccard(a: bytes, b: bytes, words: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def deduplicated(documents: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY, seeds: tuple[int, ...] = STAGE_SEEDS) -> DataFrame:
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """64-bit hashes of the distinct shingles, sorted."""
+    w = text.lower().split()
+    if len(w) < words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), words)] if w else [], np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    h = np.zeros(len(w) - words + 1, np.uint64)
+    for k in range(words):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + each[k : k + len(h)]
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(h ^ h >> np.uint64(32))
+
+
+def least_whole(x):
+    """The next whole number, whatever the last bits of a product."""
+    return np.ceil(x - 1e-9).astype(np.int64)
+
+
+def prefix(h: np.ndarray, hot: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a text's shingles, by rank (``hot`` is sorted; 0 for others), then hash: two
+    sets with that Jaccard similarity share one of these at least. A set without shingles has
+    the key 0."""
+    if not len(h):
+        return np.zeros(1, np.uint64)
+    at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
+    place = np.where(hot[at] == h, rank[at], 0) if len(hot) else np.zeros(len(h), np.int64)
+    return h[np.lexsort((h, place))][: len(h) - int(least_whole(similarity * len(h))) + 1]
+
+
+def alike(na, pa_, nb, pb, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes, whose first common shingle is at these places, can be similar."""
+    sizes = np.minimum(na, nb) >= least_whole(similarity * np.maximum(na, nb))
+    return sizes & (1 + np.minimum(na - pa_, nb - pb) - 1 >= least_whole(similarity / (1 + similarity) * (na + nb)))
+
+
+def pairs_in(key: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs among sorted rows that share a key and can be similar."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((start, [len(key)])))
+    for at, m in zip(start[size > 64].tolist(), size[size > 64].tolist(), strict=True):
+        own = slice(at, at + m)
+        for i in range(at, at + m, 512):
+            row = slice(i, min(i + 512, at + m))
+            x, y = np.nonzero(alike(n[row, None], pos[row, None], n[None, own], pos[None, own], similarity) & (node[row, None] < node[None, own]))
+            a.append(node[i + x])
+            b.append(node[at + y])
+    keep = np.repeat(size <= 64, size)
+    key, node, n, pos = key[keep], node[keep], n[keep], pos[keep]
+    for shift in range(1, 64):
+        same = np.flatnonzero(key[shift:] == key[:-shift])
+        if not len(same):
+            break
+        hit = same[alike(n[same], pos[same], n[same + shift], pos[same + shift], similarity)]
+        a.append(np.minimum(node[hit], node[hit + shift]))
+        b.append(np.maximum(node[hit], node[hit + shift]))
+    a, b = np.concatenate(a), np.concatenate(b)
+    if not len(a):
+        return a, b
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) & (a != b)
+    return a[new], b[new]
+
+
+def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of ``texts(doc_id, text)`` have, sorted, and each one's rank
+    from 1, the most frequent last. The order decides how many texts meet under a key, never
+    which pairs are found."""
+
+    def explode(batch):
+        return {"key": np.concatenate([np.empty(0, np.uint64)] + [shingle_hashes(t, words) for t in as_bytes(batch.column("text"))]).view(np.int64)}
+
+    counted = mapped(texts.where(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(SAMPLE)) == 0).select("text"), "key bigint", explode).groupBy("key").count()
+    rows = counted.where(F.col("count") >= HOT_TEXTS).orderBy(F.desc("count"), "key").limit(HOT).select("key").toArrow()
+    hot = rows.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(hot)
+    return hot[order], (len(hot) - np.arange(len(hot)))[order]
+
+
+def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``texts(doc_id, text)`` to doc_id, n (distinct shingles) and keys (the prefix in order)."""
+    sent = texts.sparkSession.sparkContext.broadcast(hot_shingles(texts, words))
+
+    def rows(batch):
+        hashes = [shingle_hashes(t, words) for t in as_bytes(batch.column("text"))]
+        keys = [prefix(h, *sent.value, similarity) for h in hashes]
+        offsets = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
+        return {"doc_id": batch.column("doc_id"), "n": np.array([len(h) for h in hashes], np.int32), "keys": pa.ListArray.from_arrays(offsets, np.concatenate(keys).view(np.int64))}
+
+    return mapped(texts.select("doc_id", "text"), "doc_id bigint, n int, keys array<bigint>", rows)
+
+
+def grouped(keyed: DataFrame, rows, schema: str) -> DataFrame:
+    """Sorted rows of whole keys, as arrays by column, through ``rows``."""
+    names = keyed.columns
+    made = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        tail = None
+        for batch in batches:
+            own = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+            own = own if tail is None else [np.concatenate(x) for x in zip(tail, own, strict=True)]
+            last = np.flatnonzero(own[0] != own[0][-1]) if len(own[0]) else []
+            cut = int(last[-1]) + 1 if len(last) else 0
+            tail = [x[cut:] for x in own]
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows(*(x[:cut] for x in own))], made)
+        if tail is not None and len(tail[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows(*tail)], made)
+
+    return keyed.repartition(names[0]).sortWithinPartitions(names[0]).mapInArrow(run, schema)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts have the similarity."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
+
+    def rows(batch):
+        s, t = as_bytes(batch.column("s")), as_bytes(batch.column("t"))
+        like = np.array([jaccard(x, y, words) >= similarity for x, y in zip(s, t, strict=True)])
+        return {n: batch.column(n).filter(pa.array(like)) for n in ("a", "b")}
+
+    return mapped(both.select("a", "b", "s", "t"), "a bigint, b bigint", rows)
+
+
+def deduplicated(documents: DataFrame, words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``documents`` with one document, the smallest doc_id, of each near-duplicate group.
 
-    Equal texts are one group. Different texts are compared if one of several fingerprints of
-    their distinct single words (one per seed) links them: single words change less under edits
-    than shingles do, and counting each once keeps frequent words from deciding the bits; a link counts if the sets of ``words``-word shingles have that Jaccard
-    similarity. Links within a group are compared along minimum spanning forests.
+    Equal texts are one group. Different texts link if the sets of their ``words``-word shingles
+    have that Jaccard similarity. All such pairs are found: under one order of all shingles, two
+    similar sets share one among the first few of each (a prefix), which are the keys under
+    which texts meet. Groups are the components of the links that hold.
 
     Rows with a null doc_id are kept; rows that share a doc_id are one document and are kept or
     dropped alike; texts without words are one group. All columns are kept.
     """
     text = F.col("text").cast("string")
-    keyed = documents.where("doc_id IS NOT NULL").select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
-    prints = fingerprints(keyed, 1, seeds, distinct=True).select(F.col("doc_id").alias("_id"), "fp")
-    # a row's fingerprints and text key come from one pass each; both are functions of the row
+    keyed = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    # a row's text key is a function of the row
     texts = keyed.select(F.col("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     groups = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"))
     member, _ = written(texts.join(groups, ["t1", "t2"]).select("doc_id", "node").distinct(), "members")
-    nodes, _ = written(prints.join(member.where("doc_id = node"), F.col("_id") == F.col("node"), "left_semi").groupBy(F.col("_id").alias("node")).agg(F.min("fp").alias("fp")), "nodes")
-    edges = None
-    for k in range(len(seeds)):
-        own = nodes.select("node", F.col("fp")[k].alias("fp"))
-        first, _ = written(own.groupBy("fp").agg(F.min("node").alias("first")), "first")
-        same = own.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        ends = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-        linked, _ = written(links(first.select("fp")).distinct(), "links")
-        linked = linked.join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = same.union(linked) if edges is None else edges.union(same).union(linked)
-    edges, _ = written(edges.distinct(), "candidates")
-    ends = edges.select(F.col("a").alias("n")).union(edges.select("b")).distinct()
-    wanted = keyed.join(ends, keyed["doc_id"] == ends["n"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    wanted, _ = written(wanted, "wanted")
-    both = edges.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+    own = member.where("doc_id = node").select("node")
+    nodes = prefixes(keyed, words, similarity).join(own, F.col("doc_id") == F.col("node"), "left_semi")
+    nodes = nodes.select(F.posexplode("keys").alias("pos", "key"), F.col("doc_id").alias("node"), "n").select("key", "node", "n", "pos")
 
-    def rows(batch):
-        s, t = as_bytes(batch.column("s")), as_bytes(batch.column("t"))
-        like = np.array([jaccard(x, y, words) >= similarity for x, y in zip(s, t, strict=True)])
-        return {n: batch.column(n).filter(pa.array(like)) for n in ("a", "b")}
+    def candidates(key, node, n, pos):
+        return pairs_in(key, node, n, pos, similarity)
 
-    tree = components(mapped(both, "a bigint, b bigint", rows))
+    pairs, _ = written(grouped(nodes, candidates, "a bigint, b bigint").distinct(), "candidates")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted, _ = written(keyed.withColumnRenamed("doc_id", "node").join(ends, "node", "left_semi").distinct(), "wanted")
+    tree = components(verified(pairs, wanted, words, similarity))
     gone = member.join(tree, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keeper")).where("doc_id <> keeper")
     return documents.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)
 

@@ -127,6 +127,40 @@ def test_near_duplicate_stage_keeps_one_of_each_group_and_all_others(spark):
     assert got == sorted(kept)
 
 
+def brute_near(rows, similarity=0.8):
+    """doc_ids that stay, by all pairs."""
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (i, s) in enumerate(rows):
+        for j, t in rows[:k]:
+            if simhash.jaccard(s.encode(), t.encode(), 5) >= similarity:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return sorted(i for i in root if find(i) == i)
+
+
+def test_near_duplicate_stage_finds_all_pairs_of_similarity_08_to_09(spark):
+    r = random.Random(7)
+    rows = [(i, t) for i, t in enumerate(["", " ", "one two", "One  two", "a b c d e", "a b c d e f"])]
+    near = 0
+    for k in range(40):
+        text = rich(r, r.randrange(40, 300)).split()
+        other = list(text)
+        for at in r.sample(range(len(text)), max(1, len(text) // 50)):
+            other[at] = "new%d" % r.randrange(9**9)
+        if r.random() < 0.5:
+            other += [f"more{k}x{i}" for i in range(len(text) // 40)]
+        rows += [(100 + 2 * k, " ".join(text)), (101 + 2 * k, " ".join(other))]
+        near += 0.8 <= simhash.jaccard(rows[-1][1].encode(), rows[-2][1].encode(), 5) < 0.9
+    got = sorted(x.doc_id for x in simhash.deduplicated(docs_of(spark, rows)).collect())
+    assert near >= 10 and got == brute_near(rows)
+
+
 # --- line dedup -----------------------------------------------------------------
 
 
