@@ -218,6 +218,8 @@ def near_duplicates(documents: DataFrame, words: int = 3, max_bits: int = MAX_BI
 STAGE_WORDS, SIMILARITY = 5, 0.8
 #: Shingles that come last in the order of prefixes: at most so many, each in so many sampled texts.
 HOT, HOT_TEXTS = 200_000, 3
+#: Texts under one key whose pairs are all compared at once; more are joined in two steps.
+AT_ONCE = 16
 
 
 def jaccard(a: bytes, b: bytes, words: int) -> float:
@@ -260,8 +262,8 @@ def alike(na, pa_, nb, pb, similarity: float) -> np.ndarray:
     return sizes & (1 + np.minimum(na - pa_, nb - pb) - 1 >= least_whole(similarity / (1 + similarity) * (na + nb)))
 
 
-def pairs_in(key: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs among sorted rows that share a key and can be similar."""
+def pairs_in(key: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs among sorted rows that share a key, have different roots and can be similar."""
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.concatenate((start, [len(key)])))
@@ -269,15 +271,16 @@ def pairs_in(key: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray,
         own = slice(at, at + m)
         for i in range(at, at + m, 512):
             row = slice(i, min(i + 512, at + m))
-            x, y = np.nonzero(alike(n[row, None], pos[row, None], n[None, own], pos[None, own], similarity) & (node[row, None] < node[None, own]))
+            x, y = np.nonzero(alike(n[row, None], pos[row, None], n[None, own], pos[None, own], similarity) & (node[row, None] < node[None, own]) & (root[row, None] != root[None, own]))
             a.append(node[i + x])
             b.append(node[at + y])
     keep = np.repeat(size <= 64, size)
-    key, node, n, pos = key[keep], node[keep], n[keep], pos[keep]
+    key, node, n, pos, root = key[keep], node[keep], n[keep], pos[keep], root[keep]
     for shift in range(1, 64):
         same = np.flatnonzero(key[shift:] == key[:-shift])
         if not len(same):
             break
+        same = same[root[same] != root[same + shift]]
         hit = same[alike(n[same], pos[same], n[same + shift], pos[same + shift], similarity)]
         a.append(np.minimum(node[hit], node[hit + shift]))
         b.append(np.maximum(node[hit], node[hit + shift]))
@@ -290,6 +293,27 @@ def pairs_in(key: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray,
     return a[new], b[new]
 
 
+def first_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """Of small groups all pairs; of each larger one a number in proportion to its size (by
+    size next to each other, and each with the smallest node), and its rows as they are,
+    held for :func:`pairs_in`. Columns a (or node), b, n, pos, key, held."""
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((start, [len(key)])))
+    many = np.repeat(size > AT_ONCE, size)
+    a, b = pairs_in(key[~many], node[~many], n[~many], pos[~many], node[~many], similarity)
+    key, node, n, pos = key[many], node[many], n[many], pos[many]
+    order = np.lexsort((node, n, key))
+    x, y = order[:-1], order[1:]
+    size = size[size > AT_ONCE]
+    lowest = np.lexsort((node, key))[np.cumsum(size) - size]
+    x, y = np.concatenate((x, np.repeat(lowest, size))), np.concatenate((y, np.arange(len(key))))
+    use = (key[x] == key[y]) & (node[x] != node[y]) & alike(n[x], pos[x], n[y], pos[y], similarity)
+    x, y = node[x[use]], node[y[use]]
+    both = np.unique(np.stack((np.concatenate((a, np.minimum(x, y))), np.concatenate((b, np.maximum(x, y))))), axis=1)
+    pad, k = np.zeros(both.shape[1], np.int32), len(key)
+    return np.concatenate((both[0], node)), np.concatenate((both[1], np.full(k, -1))), np.concatenate((pad, n)), np.concatenate((pad, pos)), np.concatenate((pad.astype(np.int64), key)), np.concatenate((pad != 0, np.ones(k, bool)))
+
+
 def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of a sample of ``texts(doc_id, text)`` have, sorted, and each one's rank
     from 1, the most frequent last. The order decides how many texts meet under a key, never
@@ -357,7 +381,9 @@ def deduplicated(documents: DataFrame, words: int = STAGE_WORDS, similarity: flo
     Equal texts are one group. Different texts link if the sets of their ``words``-word shingles
     have that Jaccard similarity. All such pairs are found: under one order of all shingles, two
     similar sets share one among the first few of each (a prefix), which are the keys under
-    which texts meet. Groups are the components of the links that hold.
+    which texts meet. Groups are the components of the links that hold. Under a key of many
+    texts a few pairs are checked first; then all pairs of texts that are not yet in one
+    component, so a failed check never stands for another pair.
 
     Rows with a null doc_id are kept; rows that share a doc_id are one document and are kept or
     dropped alike; texts without words are one group. All columns are kept.
@@ -372,13 +398,24 @@ def deduplicated(documents: DataFrame, words: int = STAGE_WORDS, similarity: flo
     nodes = prefixes(keyed, words, similarity).join(own, F.col("doc_id") == F.col("node"), "left_semi")
     nodes = nodes.select(F.posexplode("keys").alias("pos", "key"), F.col("doc_id").alias("node"), "n").select("key", "node", "n", "pos")
 
-    def candidates(key, node, n, pos):
-        return pairs_in(key, node, n, pos, similarity)
-
-    pairs, _ = written(grouped(nodes, candidates, "a bigint, b bigint").distinct(), "candidates")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted, _ = written(keyed.withColumnRenamed("doc_id", "node").join(ends, "node", "left_semi").distinct(), "wanted")
-    tree = components(verified(pairs, wanted, words, similarity))
+    def linked(pairs, label):
+        pairs, _ = written(pairs.distinct(), label)
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted, _ = written(keyed.withColumnRenamed("doc_id", "node").join(ends, "node", "left_semi").distinct(), "wanted")
+        return verified(pairs, wanted, words, similarity)
+
+    first, _ = written(grouped(nodes, lambda *x: first_pairs(*x, similarity), "a bigint, b bigint, n int, pos int, key bigint, held boolean"), "first-pairs")
+    tree = components(linked(first.where("NOT held").select("a", "b"), "candidates"))
+    held = first.where("held").select("key", F.col("a").alias("node"), "n", "pos").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    open_keys, _ = written(open_keys.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "open-keys")
+    if open_keys.count():
+        # pairs of blocks, so that no task holds more than two blocks of a key
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, block) * 65536 + F.greatest(j, block))
+        rest = held.join(open_keys, "key").withColumn("part", F.explode(parts)).select(F.xxhash64("key", "part").alias("key"), "node", "n", "pos", "root")
+        more = linked(grouped(rest, lambda *x: pairs_in(*x, similarity), "a bigint, b bigint"), "more-candidates")
+        tree = components(more.union(tree.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     gone = member.join(tree, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keeper")).where("doc_id <> keeper")
     return documents.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)
 

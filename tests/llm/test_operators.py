@@ -161,6 +161,26 @@ def test_near_duplicate_stage_finds_all_pairs_of_similarity_08_to_09(spark):
     assert near >= 10 and got == brute_near(rows)
 
 
+def test_near_copies_among_many_reordered_texts_are_found(spark, monkeypatch):
+    """All have the same distinct words, and many share keys with a text that is unlike them."""
+    r = random.Random(8)
+    words = sorted(set(rich(r, 150).split()))
+    shared = words[:45]
+    rows = [(0, " ".join(words))]
+    for k in range(1, 40):
+        rest = r.sample(words[45:], len(words) - 45)
+        rows.append((10 * k, " ".join(shared + rest)))
+        if k % 2:
+            at = r.randrange(10, len(rest) - 10)
+            rest[at], rest[at + 1] = rest[at + 1], rest[at]
+            rows.append((10 * k + 1, " ".join(shared + rest)))
+    for at in (simhash.AT_ONCE, 2):
+        monkeypatch.setattr(simhash, "AT_ONCE", at)
+        monkeypatch.setattr(simhash, "BLOCK", 16)
+        got = sorted(x.doc_id for x in simhash.deduplicated(docs_of(spark, rows)).collect())
+        assert got == brute_near(rows) and len(got) == 40
+
+
 # --- line dedup -----------------------------------------------------------------
 
 
