@@ -520,6 +520,19 @@ def test_counts_and_base_score_against_brute_force(spark):
         assert x.score < 0
 
 
+def test_language_model_learns_word_order_from_texts_outside_the_sample(spark):
+    r = random.Random(12)
+    names = ["w%d" % i for i in range(12)]
+    cycle = lambda k: " ".join(names[(k + i) % 12] for i in range(60))
+    mixed = lambda k: " ".join(r.sample(cycle(k).split(), 60))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    ids = list(range(3000))
+    rows = [(i, mixed(i) if held(i) and i % 2 else cycle(i)) for i in ids]
+    got = {x.doc_id: x.score for x in lm.lm_scores(docs_of(spark, rows), texts=0).collect()}
+    ordered, other = ([got[i] for i in ids if held(i) and i % 2 == odd] for odd in (0, 1))
+    assert np.mean(ordered) > np.mean(other) + 6 and min(ordered) > max(other)
+
+
 # --- personal data -----------------------------------------------------------------------
 
 
