@@ -43,6 +43,14 @@ def test_others_run(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_sweep_has_every_strategy_and_three_seeds(spark):
+    from skyfront.operators import campaign
+
+    rows = {r.strategy: r for r in catalogue.QUERIES["o6_sweep"](spark, DATA).collect()}
+    assert rows.keys() == campaign.default_strategies().keys()
+    assert all(len(r.auc_hv_by_seed) == 3 and abs(sum(r.auc_hv_by_seed) / 3 - r.auc_hv_mean) < 1e-9 for r in rows.values())
+
+
 def test_entry(spark):
     import __spark_entry__
 
