@@ -21,10 +21,12 @@ repeated rows are packed like any other; other columns are left out.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +39,44 @@ from .common import written
 SIZE = 2048
 END = 0
 MAX_PATTERNS = 3000
-#: Words that a worker's memo may hold before it starts anew.
-MEMO = 250_000
+#: Words in each of a memo's two generations, and the longest word that it holds: bounds its bytes.
+MEMO, MEMO_WORD = 200_000, 64
+
+#: Fixed value: the printable characters that stand for a byte-level vocabulary's bytes, in order of bytes.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_UNPRINTABLE = sorted(set(range(256)) - set(_PRINTABLE))
+_BYTE_CHARS = {**{b: chr(b) for b in _PRINTABLE}, **{b: chr(256 + i) for i, b in enumerate(_UNPRINTABLE)}}
+
+
+class Memo(dict):
+    """Token ids of words, packed. When a generation is full, it becomes the older one, and the
+    one before it goes; words that are still met move on to the new one."""
+
+    def __init__(self, model, room: int = MEMO):
+        self.model, self.room, self.older = model, room, {}
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.older.get(word)
+        if out is None:
+            seen = word.replace(" ", _BYTE_CHARS[0x20]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids = [t.id for t in self.model.tokenize(seen)]
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= MEMO_WORD:
+            if len(self) >= self.room:
+                self.older = dict(self)
+                self.clear()
+            self[word] = out
+        return out
 
 
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, word for word with a bounded memo.
 
-    Equal to ``Tokenizer.encode(text, add_special_tokens=False)``: the vocabulary file's
-    pre-tokeniser splits a text into pieces that are merged one by one, so a piece can be
-    looked up. Texts of plain Latin letters are split by :mod:`re`; any other text, and one
-    with a special token's string, goes through the tokenizer as a whole.
+    Equal to ``Tokenizer.encode(text, add_special_tokens=False)``: a byte-level vocabulary's
+    pre-tokeniser splits a text into words that its model merges one by one, so a word can be
+    looked up. Texts of plain Latin letters are split by :mod:`re`; any other text, one
+    with a special token's string, and every text of another kind of vocabulary goes through
+    the tokenizer as a whole.
     """
 
     #: Fixed value: the byte-level pattern, for letters A-Z, a-z and Latin-1 only.
@@ -59,25 +88,29 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        encode = self.tokenizer.encode
-
-        class Memo(dict):
-            def __missing__(self, word):
-                if len(self) >= MEMO:
-                    self.clear()
-                ids = encode(word, add_special_tokens=False).ids
-                out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
-                return out
-
-        self.memo = Memo()
+        made = json.loads(Path(path).read_text(encoding="utf-8"))
+        split = made["pre_tokenizer"] or {}
+        self.by_word = not made["normalizer"] and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
+        self.memo = Memo(self.tokenizer.model)
 
     def __call__(self, text: str) -> bytes:
-        if self._OTHER.search(text) or any(s in text for s in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        if not self.by_word or self._OTHER.search(text) or any(s in text for s in self.special):
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
             return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.memo.__getitem__, self._SPLIT.findall(text)))
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker process's one encoder: kept from task to task, with its memo."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pieces_of(ids: bytes, size: int) -> list[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of one text's ids and its end id."""
     ids += struct.pack("<I", END)
@@ -91,7 +124,7 @@ def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             out, ids = [], batch.column("doc_id").to_pylist()
             for doc_id, text in zip(ids, batch.column("text"), strict=True):
