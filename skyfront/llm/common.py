@@ -1,12 +1,13 @@
 """What the operators of this subpackage share: table access, scratch tables, Arrow helpers.
 
 Scratch tables go to the folder that the session names in ``spark.checkpoint.dir`` (all
-executors and the driver see it), never to a machine-local folder of a cluster. Only where
-that setting is absent (tests in local mode) a folder of our own is made and set.
+executors and the driver see it), never to a machine-local folder of a cluster. Only a local
+session without that setting gets a folder of our own; any other one is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,15 +18,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of one Arrow batch handed to a Python worker. Bounds the worker's memory
-#: whatever the length of the documents (one document longer than this makes a batch alone).
-ARROW_BATCH_BYTES = 24 << 20
+#: Bytes of one Arrow batch handed to a Python worker, the same for all operators. Bounds the
+#: worker's memory whatever the length of the documents (a longer document is a batch alone).
+ARROW_BATCH_BYTES = 4 << 20
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, *columns: str, batch_bytes: int = ARROW_BATCH_BYTES) -> DataFrame:
-    """The named columns of one table; reads through Spark only, so any file system works."""
+def prepare(spark: SparkSession) -> None:
+    """What every operator's Python stages need of a session: the package's source on the
+    executors, and Arrow batches of at most ``ARROW_BATCH_BYTES`` (a smaller bound stays)."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= ARROW_BATCH_BYTES:
+        spark.conf.set(name, str(ARROW_BATCH_BYTES))
+
+
+def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of one table; reads through Spark only, so any file system works."""
+    prepare(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -45,33 +54,43 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written tables; made and set only where none is set."""
+    """The shared folder for written tables. Only a local session may go without one: its driver
+    and executor are one process, so a folder of our own is made, once for the session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_scratch_root", None)
-        if root is None:
-            root = "file://" + tempfile.mkdtemp(prefix="scratch-")
-            spark._scratch_root = root
-    return root
+    if root:
+        return root
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if getattr(spark, "_scratch_root", None) is None:
+        spark._scratch_root = "file://" + tempfile.mkdtemp(prefix="scratch-")
+    return spark._scratch_root
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read again, and its path.
 
-    Cuts the lineage: a lost executor costs no more than the tasks it was running.
+    Cuts the lineage: a lost executor costs no more than the tasks it was running. What is not
+    :func:`dropped` before goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p, system = _at(spark, path)
+    system.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p, system = _at(spark, path)
+        system.delete(p, True)
+        system.cancelDeleteOnExit(p)
 
 
 def remainder(column: Column, modulus: int) -> Column:
@@ -97,6 +116,19 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def in_parts(texts: list[bytes], size: int = 2 << 20) -> Iterator[list[bytes]]:
+    """The texts in order, in parts of about ``size`` bytes: bounds what is held for a part."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held > size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     """At most ``rows`` rows, by the smallest seeded hash of ``key``: the same at every run.
 

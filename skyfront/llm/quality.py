@@ -18,7 +18,6 @@ both kinds the score is the share of good ones for every text (1 without any).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_sample, mapped, remainder
+from .common import as_bytes, bounded_sample, in_parts, mapped, remainder
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -94,19 +93,6 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, first
 
 
-def in_parts(texts: list[bytes], size: int = 2 << 20) -> Iterator[list[bytes]]:
-    """The texts in order, in parts of about ``size`` bytes: bounds what :func:`passages` holds."""
-    part, held = [], 0
-    for t in texts:
-        part.append(t)
-        held += len(t)
-        if held > size:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
-
-
 @dataclass
 class Model:
     mean: np.ndarray

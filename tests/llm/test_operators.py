@@ -520,6 +520,57 @@ def test_counts_and_base_score_against_brute_force(spark):
         assert x.score < 0
 
 
+def test_model_score_against_a_plain_network(spark):
+    """Softmax words, bands and words that only the join knows, token by token."""
+    r = random.Random(21)
+    words = ["w%d" % i for i in range(6000)]
+    weight = [1 / (i + 20) for i in range(6000)]
+    rows = [(i, " ".join(r.choices(words, weight, k=500)) + (" never%d" % i if i % 9 == 0 else "")) for i in range(160)]
+    docs = docs_of(spark, rows)
+    training = docs.where(lm.remainder(lm.F.col("doc_id"), lm.FOLDS) != lm.HELD_OUT)
+    counts = lm.token_counts(training).cache()
+    net = lm.fit(training, counts, texts=10, head=5500)
+    v, p, c = net.v, net.p, {bytes(x.word): x.c for x in counts.collect()}
+    once = sum(n == 1 for n in c.values())
+    kinds = set()
+
+    def log_p(text):
+        h, x, total = np.zeros(lm.HIDDEN), v.inputs[v.end], 0.0
+        soft = lambda z: z - z.max() - math.log(np.exp(z - z.max()).sum())
+        for word in lm.tokens(text.encode()):
+            gi, gh, k = p["E"][x] + p["b"], h @ p["R"], lm.HIDDEN
+            a = 1 / (1 + np.exp(-(gi[: 2 * k] + gh[: 2 * k])))
+            n = np.tanh(gi[2 * k :] + a[:k] * gh[2 * k :])
+            h = (1 - a[k:]) * n + a[k:] * h
+            i = v.ids.get(word, len(v.words))
+            total += soft(h @ p["C"] + p["c"])[v.cls[i]]
+            if i < v.neural:
+                total += soft(h @ p["W"][i // lm.PER_CLASS] + p["w"][i // lm.PER_CLASS])[i % lm.PER_CLASS]
+                kinds.add("softmax")
+            elif i < len(v.words):
+                band = [w for j, w in enumerate(v.words) if v.cls[j] == v.cls[i]]
+                total += math.log(c[word] / sum(c[w] for w in band))
+                kinds.add("band")
+            else:
+                kinds.add("open" if word in c else "unknown")
+                total += math.log(c.get(word, once) / (sum(n for w, n in c.items() if w not in v.ids) + once))
+            x = v.inputs[i]
+        return total / math.log(10)
+
+    got = {x.doc_id: x.score for x in lm.scored(docs, counts, net).collect()}
+    some = [x for x in rows if x[0] % 9 == 0 or x[0] < 12]
+    assert all(math.isclose(got[i], log_p(t), rel_tol=1e-4) for i, t in some)
+    assert kinds == {"softmax", "band", "open", "unknown"}
+
+
+def test_trained_segments_are_a_share_of_every_part():
+    texts = [(("w%d " % i) * 1280).encode() for i in range(400)]
+    some = [lm.segments_of(t, 8) for t in texts]
+    assert 0.1 < sum(map(len, some)) / (400 * 11) < 0.15
+    whole = [sum(lm.segments_of(t, 1), []) for t in texts]
+    assert whole == [lm.tokens(t) for t in texts]
+
+
 def test_language_model_learns_word_order_from_texts_outside_the_sample(spark):
     r = random.Random(12)
     names = ["w%d" % i for i in range(12)]
