@@ -24,12 +24,12 @@ ARROW_BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """What every operator's Python stages need of a session: the package's source on the
-    executors, and Arrow batches of at most ``ARROW_BATCH_BYTES`` (a smaller bound stays)."""
+    """What every operator's Python stages need, once for a session: the package's source on the
+    executors, and Arrow batches of ``ARROW_BATCH_BYTES``. A later setting of the user's stays."""
     ship(spark)
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(name, "0")) <= ARROW_BATCH_BYTES:
-        spark.conf.set(name, str(ARROW_BATCH_BYTES))
+    if not getattr(spark, "_skyfront_prepared", False):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+        spark._skyfront_prepared = True
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
