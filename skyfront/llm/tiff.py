@@ -7,9 +7,10 @@ chunky or planar, undoes the horizontal predictor and gives one row per page.
 The writer stores bytes as 8-bit RGB images 64 pixels (192 bytes) wide, deflate strips with
 the horizontal predictor, at most ``PAGE_ROWS`` rows to a page.
 
-Defined results: a null text is an empty one; a null medium has no page; a medium that can't
-be read has one row with page -1 and the reason in ``error``. Columns other than the medium
-are carried along.
+Defined results: a null text is an empty one; a null medium has no page; a medium of which any
+page can't be read has one row with page -1 and the reason in ``error``: that includes sizes
+of zero, and pages, strips or tiles of more than ``max_page_bytes`` bytes, which are refused
+before anything of that size is made. Columns other than the medium are carried along.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ from .common import as_bytes, mapped
 WIDTH, SAMPLES = 64, 3
 UNIT = WIDTH * SAMPLES
 PAGE_ROWS, STRIP_ROWS = 512, 64
+#: Bytes of one page's samples, or of one strip or tile, that the reader takes on.
+MAX_PAGE_BYTES = 256 << 20
+#: Bytes of samples after which a task passes its rows on.
+OUT_BYTES = 8 << 20
 
 # Tag numbers, compression schemes and field types of the format.
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -47,9 +52,10 @@ class Page(NamedTuple):
     pixels: bytes
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, size: int = MAX_PAGE_BYTES) -> bytes:
+    """Runs and literals, until at least ``size`` bytes are there."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < size:
         k = data[i]
         if k < 128:
             out += data[i + 1 : i + 2 + k]
@@ -61,10 +67,16 @@ def packbits_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant first; 256 clears the table, 257 ends."""
+def deflate_decode(data: bytes, size: int = MAX_PAGE_BYTES) -> bytes:
+    return zlib.decompressobj().decompress(data, size)
+
+
+def lzw_decode(data: bytes, size: int = MAX_PAGE_BYTES) -> bytes:
+    """Codes of 9 to 12 bits, most significant first; 256 clears the table, 257 ends. Stops when
+    at least ``size`` bytes are there."""
     table: list[bytes] = []
     out: list[bytes] = []
+    made = 0
     width, held, bits, last = 9, 0, 0, b""
     for byte in data:
         held, bits = held << 8 | byte, bits + 8
@@ -86,6 +98,9 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code beyond the table")
         out.append(word)
+        made += len(word)
+        if made >= size:
+            break
         if last:
             table.append(last + word[:1])
             if len(table) >= (1 << width) - 1 and width < 12:
@@ -94,7 +109,7 @@ def lzw_decode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-_DECODERS = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: packbits_decode}
+_DECODERS = {NONE: lambda data, size: data, LZW: lzw_decode, DEFLATE: deflate_decode, OLD_DEFLATE: deflate_decode, PACKBITS: packbits_decode}
 
 
 def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, list[int]], int]:
@@ -112,7 +127,7 @@ def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, list[int]],
     return tags, struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
 
 
-def pages_of(data: bytes) -> Iterator[Page]:
+def pages_of(data: bytes, max_page_bytes: int = MAX_PAGE_BYTES) -> Iterator[Page]:
     """The pages of one TIFF file, in the order of its directories."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
@@ -124,10 +139,10 @@ def pages_of(data: bytes) -> Iterator[Page]:
             raise ValueError("directories form a loop")
         seen.add(at)
         tags, at = _directory(data, order, at)
-        yield _page(data, order, tags)
+        yield _page(data, order, tags, max_page_bytes)
 
 
-def _page(data: bytes, order: str, tags: dict[int, list[int]]) -> Page:
+def _page(data: bytes, order: str, tags: dict[int, list[int]], max_page_bytes: int) -> Page:
     one = lambda tag, default: tags.get(tag, [default])[0]
     width, height = tags[IMAGE_WIDTH][0], tags[IMAGE_LENGTH][0]
     samples, bits, scheme = one(SAMPLES_PER_PIXEL, 1), one(BITS, 1), one(COMPRESSION, NONE)
@@ -137,7 +152,11 @@ def _page(data: bytes, order: str, tags: dict[int, list[int]]) -> Page:
         raise ValueError(f"compression {scheme}")
     planar = one(PLANAR, 1) == 2
     tiled = TILE_OFFSETS in tags
-    w, h = (tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)) or 1)
+    w, h = (tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
+    if min(width, height, samples, w, h) < 1:
+        raise ValueError("a size of zero")
+    if samples * bits // 8 * max(width * height, w * h) > max_page_bytes:
+        raise ValueError(f"a page, strip or tile of more than {max_page_bytes} bytes")
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
     kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
     depth = 1 if planar else samples
@@ -147,7 +166,7 @@ def _page(data: bytes, order: str, tags: dict[int, list[int]]) -> Page:
         plane, place = divmod(k, across * down)
         y, x = place // across * h, place % across * w
         rows = h if tiled else min(h, height - y)
-        raw = _DECODERS[scheme](data[offsets[k] : offsets[k] + counts[k]])
+        raw = _DECODERS[scheme](data[offsets[k] : offsets[k] + counts[k]], rows * w * depth * kind.itemsize)
         block = np.frombuffer(raw, kind, rows * w * depth).reshape(rows, w, depth)
         if one(PREDICTOR, 1) == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
@@ -209,7 +228,7 @@ def to_tiff(documents: DataFrame) -> DataFrame:
 _PAGE_FIELDS = [("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())]
 
 
-def tiff_pages(media: DataFrame, column: str = "media") -> DataFrame:
+def tiff_pages(media: DataFrame, column: str = "media", max_page_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
     """One row per page of the files in ``column``: the other columns (those named like a
     page's are left out), page, width, height, samples, bits, compression, pixels, error."""
     own = [n for n, _ in _PAGE_FIELDS]
@@ -217,25 +236,31 @@ def tiff_pages(media: DataFrame, column: str = "media") -> DataFrame:
     names = [f.name for f in others]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "page int, width int, height int, samples int, bits int, compression int, pixels binary, error string"])
 
+    def found(data):
+        try:
+            return [(k, *p, None) for k, p in enumerate(pages_of(data, max_page_bytes))]
+        except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as e:
+            return [(-1, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+
+    def made(batch, take, out):
+        columns = list(zip(*out, strict=True)) or [()] * len(own)
+        index = pa.array(take, pa.int32())
+        return pa.RecordBatch.from_arrays([*(batch.column(n).take(index) for n in names), *(pa.array(c, t) for c, (_, t) in zip(columns, _PAGE_FIELDS, strict=True))], names + own)
+
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                take, out = [], []
-                for i, data in enumerate(part.column(column)):
-                    if (data := data.as_py()) is None:
-                        continue
-                    found = []
-                    try:
-                        for k, p in enumerate(pages_of(data)):
-                            found.append((k, *p, None))
-                    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                        found = [(-1, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                    take += [i] * len(found)
-                    out += found
-                columns = list(zip(*out, strict=True)) or [()] * len(own)
-                index = pa.array(take, pa.int32())
-                yield pa.RecordBatch.from_arrays([*(part.column(n).take(index) for n in names), *(pa.array(c, t) for c, (_, t) in zip(columns, _PAGE_FIELDS, strict=True))], names + own)
+            take, out, size = [], [], 0
+            for i, data in enumerate(batch.column(column)):
+                if (data := data.as_py()) is None:
+                    continue
+                pages = found(data)
+                take += [i] * len(pages)
+                out += pages
+                size += sum(len(p[6] or b"") for p in pages)
+                if size > OUT_BYTES:
+                    yield made(batch, take, out)
+                    take, out, size = [], [], 0
+            yield made(batch, take, out)
 
     return media.select(*names, column).mapInArrow(run, ddl)
 
