@@ -1,21 +1,24 @@
 """Line dedup over overlapping three-line windows. DataFrame functions only.
 
 A line is what a line end or a sentence end (a full stop, exclamation or question mark and a
-blank) closes, so a repeated passage is found also where it stands amid other text. Every
-three consecutive lines (trimmed, hashed) are a window; windows of fewer than ``MIN_CHARS``
-characters do not count, as a few common words may well follow each other by chance. A
-window's first occurrence, by doc_id, then text, then place, stays. Lines that any later
-occurrence covers are removed, the rest of the text stays as it is, byte for byte.
-
-Windows are hashed to 96 bits and written once. Counts, combined before the shuffle, tell the repeated ones;
-only these are joined back, written, and reduced to their first occurrence. Joins may be split
-where one window is very frequent, and no group is ever gathered but the removed places of
-one text.
+blank) closes, so a repeated passage is found also where it stands amid other text. What is
+longer than ``LONG`` bytes is cut further, after words chosen by their first character and
+length alone, so that a passage without such ends is cut alike wherever it stands. Every three
+consecutive lines (trimmed, hashed) are a window; windows of blank lines, or of fewer than
+``min_chars`` characters (0: all count), do not count. A window's first occurrence, by doc_id,
+then a hash of doc_id and text, then place, stays. Lines that any other occurrence covers are
+removed, the rest of the text stays as it is, byte for byte. Occurrences in one text may overlap:
+of four equal lines the second window covers the last three, so only the first line stays.
+
+Windows are hashed to 96 bits and written once. Counts and first occurrences, combined before the
+shuffle, are written too: one row for each repeated window. Windows are then dealt out anew to
+meet them, so that a very frequent one can be split over tasks. No group is ever gathered but
+the removed places of one text.
 
 Defined results: a null text stays null and has no lines; a text of fewer than three lines
 is left alone; rows with equal doc_id and text are one document and are treated alike; rows
-with a null doc_id come first in the order; other columns are kept as they are, but for any
-named n_lines or n_removed, which are replaced.
+with a null doc_id come first in the order. Other columns, whatever their names, are kept
+as they are by :func:`without_repeats`.
 """
 
 from __future__ import annotations
@@ -26,80 +29,110 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 
 WINDOW = 3
-MIN_CHARS = 30
+MIN_CHARS = 0
+#: Bytes of a line beyond which it is cut at chosen words.
+LONG = 120
 #: A line keeps its end, so joined lines are the text again.
 _ENDS = r"(?<=\n)|(?<=[.!?] )"
 _BLANKS = " \t\r\n"
 
+#: Mark line ends, and words' ends, while a text is split; a text that has one of them is
+#: split by the pattern instead, and its long lines stay whole.
+_MARK, _END = "\x1f", "\x1e"
+
+
+def _chosen(word: Column) -> Column:
+    n = F.octet_length(word)
+    return (n >= 5) & ((F.ascii(word) + 3 * n) % 4 == 0)
+
 
-#: Marks line ends while a text is split; a text that has it is split by the pattern instead.
-_MARK = "\x1f"
+def _cut(line: Column) -> Column:
+    """A long line in parts that end after a chosen word and its blank."""
+    words = F.transform(F.split(line, " ", -1), lambda w: F.when(_chosen(w), F.concat(w, F.lit(_END))).otherwise(w))
+    marked = F.replace(F.array_join(words, " "), F.lit(_END + " "), F.lit(" " + _MARK))
+    return F.split(F.replace(marked, F.lit(_END), F.lit("")), _MARK, -1)
 
 
 def _lines_of(text: Column) -> Column:
-    """Literal replacements and a split at one character: the pattern gives the same, but slower."""
+    """Literal replacements and splits at one character: patterns give the same, but slower."""
     marked = text
     for end in ("\n", ". ", "! ", "? "):
         marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
-    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, _ENDS, -1)).otherwise(F.split(marked, _MARK, -1))
-
-
-def _windows(lines: DataFrame) -> DataFrame:
-    """doc key and one row per window: place, h1, h2."""
-    bare = F.transform(F.col("_lines"), lambda x: F.trim(x, F.lit(_BLANKS)))
-    each_line = F.transform(F.col("_bare"), lambda x: F.struct(F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.length(x).alias("n")))
-    hashed = lines.where(F.size("_lines") >= WINDOW).withColumn("_bare", bare).select("_key", "_id", each_line.alias("v"))
-    each = F.transform(
-        F.sequence(F.lit(0), F.size("v") - WINDOW),
-        lambda i: F.struct(
-            i.alias("place"),
-            F.xxhash64(*(F.get("v", i + k)["h"] for k in range(WINDOW))).alias("h1"),
-            F.hash(*(F.get("v", i + k)["g"] for k in range(WINDOW))).alias("h2"),
-            sum((F.get("v", i + k)["n"] for k in range(1, WINDOW)), F.get("v", i)["n"]).alias("n"),
-        ),
-    )
-    return hashed.select("_key", "_id", F.explode(each).alias("w")).where(F.col("w.n") >= MIN_CHARS).select("_key", "_id", "w.place", "w.h1", "w.h2")
-
-
-def line_dedup(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``text`` without the removed lines, and n_lines, n_removed (long)."""
-    lines = documents.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_key"), _lines_of(F.col("text")).alias("_lines"))
-    windows, path = written(_windows(lines), "windows")
-    counted = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h1", "h2")
-    repeated, _ = written(windows.join(counted.hint("shuffle_hash"), ["h1", "h2"]), "repeated-windows")
-    dropped(documents.sparkSession, path)
-    first = repeated.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_key", "place")).alias("first"))
-    later = repeated.join(first, ["h1", "h2"]).where(F.struct("_id", "_key", "place") != F.col("first"))
-    gone = later.groupBy("_id", "_key").agg(F.collect_set("place").alias("_at")).select(F.col("_id").alias("_gone_id"), F.col("_key").alias("_gone_key"), "_at")
-    # the row travels as one struct, so no column's name can clash with those made here
+    lines = F.split(marked, _MARK, -1)
+    long = lambda x: F.octet_length(x) > LONG
+    lines = F.when(F.exists(lines, long), F.flatten(F.transform(lines, lambda x: F.when(long(x), _cut(x)).otherwise(F.array(x))))).otherwise(lines)
+    return F.when(F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_END)), F.split(text, _ENDS, -1)).otherwise(lines)
+
+
+def _windows(documents: DataFrame, min_chars: int) -> DataFrame:
+    """_id, _key and one row per window: place, h1, h2."""
+    bare = lambda x: F.trim(x, F.lit(_BLANKS))
+    rows = documents.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_key"), _lines_of(F.col("text")).alias("_lines")).where(F.size("_lines") >= WINDOW)
+    sizes = [F.transform("_lines", lambda x: F.length(bare(x))).alias("n")] if min_chars else []
+    hashed = rows.select("_id", "_key", F.transform("_lines", lambda x: F.xxhash64(bare(x))).alias("v"), *sizes)
+    three = lambda name, i: [F.get(name, i + k) for k in range(WINDOW)]
+    each = F.transform(F.sequence(F.lit(0), F.size("v") - WINDOW), lambda i: F.struct(i.alias("place"), F.xxhash64(*three("v", i)).alias("h1"), F.hash(*three("v", i)).alias("h2"), *([sum(three("n", i)[1:], three("n", i)[0]).alias("n")] if min_chars else [])))
+    blank = F.xxhash64(*[F.xxhash64(F.lit(""))] * WINDOW)
+    windows = hashed.select("_id", "_key", F.explode(each).alias("w")).where(F.col("w.h1") != blank)
+    return (windows.where(F.col("w.n") >= min_chars) if min_chars else windows).select("_id", "_key", "w.place", "w.h1", "w.h2")
+
+
+def _removed(documents: DataFrame, min_chars: int) -> DataFrame:
+    """_gone_id, _gone_key and the places of the windows that are no first occurrence."""
+    windows, path = written(_windows(documents, min_chars), "windows")
+    at = F.struct("_id", "_key", "place")
+    repeated, repeated_path = written(windows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first"), "repeated-windows")
+    later = windows.join(repeated.hint("shuffle_hash"), ["h1", "h2"]).where(at != F.col("first")).select("_id", "_key", "place")
+    gone, _ = written(later.groupBy("_id", "_key").agg(F.collect_set("place").alias("_at")).select(F.col("_id").alias("_gone_id"), F.col("_key").alias("_gone_key"), "_at"), "removed-windows")
+    dropped(documents.sparkSession, path, repeated_path)
+    return gone
+
+
+def cut_rows(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Each row as ``row`` (a struct, so no column's name can clash), with ``text`` as it is without
+    the removed lines, and ``n_removed``, the number of these."""
+    gone = _removed(documents, min_chars)
     row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
-    keyed = documents.select(row.alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_key"))
+    keyed = documents.select(row.alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_key"))
     both = keyed.join(gone, (keyed["_key"] == gone["_gone_key"]) & keyed["_id"].eqNullSafe(gone["_gone_id"]), "left")
-    text = F.col("_row.text")
+    text, hit = F.col("row.text"), F.col("_at").isNotNull()
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    both = both.withColumn("_lines", _lines_of(text)).withColumn("_covered", covered)
+    both = both.select("row", F.when(hit, _lines_of(text)).alias("_lines"), covered.alias("_covered"))
     # set difference and lookups by place: time in proportion to the number of lines
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_covered")
-    kept = F.transform(places, lambda i: F.get("_lines", i))
+    kept = F.array_join(F.transform(places, lambda i: F.get("_lines", i)), "")
     whole = F.col("_covered").isNull()
-    return both.select(
-        *(F.col(f"_row.`{c}`").alias(c) for c in documents.columns if c not in ("text", "n_lines", "n_removed")),
-        F.when(whole, text).otherwise(F.array_join(kept, "")).alias("text"),
-        F.when(text.isNull(), 0).otherwise(F.size("_lines")).cast("bigint").alias("n_lines"),
-        F.when(whole, 0).otherwise(F.size("_covered")).cast("bigint").alias("n_removed"),
-    )
+    return both.select("row", F.when(whole, text).otherwise(kept).alias("text"), F.when(whole, 0).otherwise(F.size("_covered")).cast("bigint").alias("n_removed"))
+
+
+def without_repeats(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``documents``, all columns, with ``text`` as it is without the removed lines. A column n_chars,
+    where there is one, is the new text's length for rows that lost lines."""
+    cut = cut_rows(documents, min_chars)
+    made = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in documents.columns}
+    if "n_chars" in made:
+        made["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(made["n_chars"])
+    return cut.select(*(column.alias(c) for c, column in made.items()))
+
+
+def line_dedup(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, text without the removed lines, and n_removed, for every row of ``documents``."""
+    return cut_rows(documents, min_chars).select("row.doc_id", "text", "n_removed")
 
 
 #: The query's rows over DuckDB's views (documents of one run have distinct doc_ids).
 ORACLE = r"""
-WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(31), 'g'), chr(31)) AS v FROM documents WHERE text IS NOT NULL),
+WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(31), 'g'), chr(31)) AS v FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, flatten(list_transform(v, lambda x: CASE WHEN strlen(x) <= 120 THEN [x] ELSE
+    string_split(replace(replace(array_to_string(list_transform(string_split(x, ' '), lambda w: CASE WHEN strlen(w) >= 5 AND (ascii(w) + 3 * strlen(w)) % 4 = 0 THEN w || chr(30) ELSE w END), ' '),
+      chr(30) || ' ', ' ' || chr(31)), chr(30), ''), chr(31)) END)) AS v FROM s),
 t AS (SELECT doc_id, len(v) AS n, list_transform(v, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))) AS v FROM l),
 w AS (SELECT doc_id, i, v[i + 1] AS a, v[i + 2] AS b, v[i + 3] AS c FROM (SELECT doc_id, v, unnest(range(n - 2)) AS i FROM t WHERE n >= 3)),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM w WHERE length(a) + length(b) + length(c) >= 30),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM w WHERE a <> '' OR b <> '' OR c <> ''),
 gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r WHERE k > 1),
 p AS (SELECT doc_id, x AS line, p FROM (SELECT doc_id, unnest(v) AS x, unnest(range(len(v))) AS p FROM l)),
 kept AS (SELECT doc_id, string_agg(line, '' ORDER BY p) AS text, count(*) AS n FROM p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.p = p.p) GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
-  CAST(coalesce(len(l.v), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l.v), 0) - coalesce(kept.n, 0) AS BIGINT) AS n_removed
+  CAST(coalesce(len(l.v), 0) - coalesce(kept.n, 0) AS BIGINT) AS n_removed
 FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
 """

@@ -36,6 +36,7 @@ OPERATORS = {
     "quality": lambda s, d, lab: quality.scored(d, quality.fit(d, lab)),
     "tiff": lambda s, d, lab: tiff.digest(d),
     "lines": lambda s, d, lab: lines.line_dedup(d),
+    "lines_all_columns": lambda s, d, lab: lines.without_repeats(d),
     "toxicity": lambda s, d, lab: toxicity.scored(d, toxicity.fit(d, lab)),
     "pii": lambda s, d, lab: pii.personal_data(d, pii.Tagger.new()),
 }

@@ -32,9 +32,9 @@ def planted(spark, tmp_path_factory):
     for i in range(300, 306):
         docs[i], kind[i] = rich(r, 60) + ". " + passage + rich(r, 60) + ".", "passage"
     for i in range(310, 320, 2):
-        words = rich(r, 200).split()  # a single line, so that line dedup leaves it alone
+        words = [f"w{r.randrange(10**5)}" for _ in range(14)]  # a single line that is not cut, so that line dedup leaves it alone
         docs[i], kind[i] = " ".join(words), "first"
-        words[77] = "changed"
+        words[-1] = "changed"
         docs[i + 1], kind[i + 1] = " ".join(words), "near"
     item = rich(r, 40)
     for i in range(330, 334):
