@@ -34,11 +34,15 @@ def filtered(records: DataFrame, **options) -> DataFrame:
 
 
 def first_copies(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Of rows with equal keys the one with the lowest ``order``. A grouped minimum, combined on
-    the map side, finds it: a key that a third of all rows share costs one row per task."""
+    """Of rows with equal keys the one with the lowest ``order`` (nulls last), of those with equal
+    order the lowest in its other columns: always a whole row that is there. A grouped minimum,
+    combined on the map side, finds it: a key that a third of all rows share costs one row per
+    task. Columns must be of types that can be ordered."""
     values = [c for c in df.columns if c not in (*keys, order)]
-    low = df.groupBy(*keys).agg(F.min(order).alias(order), *(F.min_by(c, order).alias(c) for c in values))
-    return low.select(*df.columns)
+    row = F.struct(F.col(order).isNull().alias("_n"), F.col(order).alias("_o"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(values)))
+    low = df.groupBy(*keys).agg(F.min(row).alias("_row"))
+    found = {order: F.col("_row._o"), **{c: F.col(f"_row._{i}") for i, c in enumerate(values)}}
+    return low.select(*(found[c].alias(c) if c in found else F.col(c) for c in df.columns))
 
 
 def stop_early(df: DataFrame, order: str, keep: Column, key: str, target: int, most: int | None = None) -> DataFrame:
