@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
+import numpy as np
+
 #: Fixed value: the twenty standard residues, in the order of the composition features.
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -36,3 +39,11 @@ class Settings:
 
 
 DEFAULTS = Settings()
+
+
+def seed_everything(seed: int = DEFAULTS.seed) -> np.random.Generator:
+    """Seeds the driver's global generators and gives one of its own. Executors draw nothing:
+    what varies there is a hash of seed and id."""
+    random.seed(seed)
+    np.random.seed(seed % (1 << 32))
+    return np.random.default_rng(seed)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions.vectors import dot, literal, squared_distance
 from . import pareto, stats
-from .cards import check_plan, propose
+from .cards import SELECTORS, check_plan, propose
 from .surrogate import fit
 
 
@@ -131,8 +131,8 @@ class Campaign:
             raise RuntimeError("all rounds are played; finalize() scores them")
         check_plan(plan, self.settings.batch_size)
         x = self.rows(self.observed)
-        # a model is fitted unless every card is "random", those without slots included
-        model = fit(x, self.y) if any(name != "random" for name in plan) else None
+        # a model is fitted unless no card needs one, those without slots included
+        model = fit(x, self.y) if any(name not in SELECTORS or SELECTORS[name].needs_model for name in plan) else None
         ids = propose(plan, model, self.pool, self.observed, x, self.y, self.settings.ref_point, self.seed + self.round_index, self.optimize, self.settings.projection, self.settings.latent_dim)
         y = self.oracle.evaluate(ids)
         self.observed += ids
@@ -194,6 +194,32 @@ def default_strategies(rounds: int = DEFAULTS.n_rounds) -> dict[str, list[dict[s
     return {k: (v + [v[-1]] * rounds)[:rounds] for k, v in menu.items()}
 
 
+#: The six plans that are compared from one start.
+COMPARED = {
+    "nehvi": {"nehvi": 4},
+    "parego": {"parego": 4},
+    "scalarized_0.8_0.2": {"scalarized_0.8_0.2": 4},
+    "scalarized_0.2_0.8": {"scalarized_0.2_0.8": 4},
+    "nehvi+parego": {"nehvi": 2, "parego": 2},
+    "nehvi+random": {"nehvi": 3, "random": 1},
+}
+
+
+def team_metrics(points: DataFrame, team: str, rnd: str, y1: str, y2: str, ref: tuple[float, float]) -> DataFrame:
+    """By team, from its points by round: auc_hv, final_hv, mean_gain of a round, angular_spread and
+    region_coverage of the points after the first round, and n_nondominated of them."""
+    history = pareto.hv_history(points, team, rnd, y1, y2, ref)
+    gains = pareto.hv_gain(history, team, rnd).groupBy(team).agg(F.coalesce(F.avg("gain"), F.lit(0.0)).alias("mean_gain"), F.max("hv").alias("final_hv"))
+    first = points.groupBy(team).agg(F.min(rnd).alias("_r0"))
+    later = points.join(first, team).where(F.col(rnd) > F.col("_r0"))
+    front = pareto.skyline(points, y1, y2, [team]).join(first, team).groupBy(team).agg(F.count_if(F.col(rnd) > F.col("_r0")).alias("n_nondominated"))
+    out = pareto.auc(history, team, rnd).join(gains, team).join(front, team)
+    spread = stats.angular_spread(later, y1, y2, ref, [team]).withColumnRenamed("spread", "angular_spread")
+    regions = stats.region_coverage(later, y1, y2, ref, [team]).withColumnRenamed("regions", "region_coverage")
+    out = out.join(spread, team, "left").join(regions, team, "left")
+    return out.select(team, "auc_hv", "final_hv", "mean_gain", F.coalesce("angular_spread", F.lit(0.0)).alias("angular_spread"), F.coalesce("region_coverage", F.lit(0)).alias("region_coverage"), "n_nondominated")
+
+
 def sweep_facts(strategies: Mapping[str, Sequence[Mapping[str, int]]], pool: DataFrame, oracle: Oracle, initial: Sequence[int], seeds: Sequence[int], settings: Settings = DEFAULTS) -> DataFrame:
     """One row per strategy and seed with its run's scores."""
     spark = pool.sparkSession
@@ -205,8 +231,16 @@ def sweep_facts(strategies: Mapping[str, Sequence[Mapping[str, int]]], pool: Dat
             off = np.maximum(y - np.array(settings.ref_point), 1e-9)
             angle = np.arctan2(off[:, 1], off[:, 0])
             bins = np.floor(np.minimum(angle, np.pi / 2 - 1e-9) / (np.pi / 2) * 6)
-            rows.append((name, seed, float(h["auc_hv"]), float(h["final_hv"]), float(angle.std(ddof=1)) if len(angle) > 1 else 0.0, len(set(bins.tolist())), h["embedding_diversity"], h["n_nondominated_selected"]))
-    return spark.createDataFrame(rows, "strategy string, seed int, auc_hv double, final_hv double, angular_spread double, region_coverage int, diversity double, n_nondominated int")
+            rows.append((name, seed, float(h["auc_hv"]), float(h["final_hv"]), float(angle.std(ddof=1)) if len(angle) > 1 else 0.0, len(set(bins.tolist())), h["embedding_diversity"], h["n_nondominated_selected"], [float(v) for v in h["hv_history"]]))
+    return spark.createDataFrame(rows, "strategy string, seed int, auc_hv double, final_hv double, angular_spread double, region_coverage int, diversity double, n_nondominated int, hv_history array<double>")
+
+
+def sweep_curves(facts: DataFrame) -> DataFrame:
+    """What a sweep's plots show: by strategy and round the mean hypervolume over seeds, with its
+    region coverage and mean AUC beside it."""
+    curve = facts.select("strategy", F.posexplode("hv_history").alias("round", "hv")).groupBy("strategy", "round").agg(F.avg("hv").alias("hv_mean"))
+    scores = facts.groupBy("strategy").agg(F.avg("region_coverage").alias("region_coverage_mean"), F.avg("auc_hv").alias("auc_hv_mean"))
+    return curve.join(scores, "strategy")
 
 
 def sweep_means(facts: DataFrame) -> DataFrame:

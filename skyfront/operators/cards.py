@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ def scalarized_grid(step: float = 0.05) -> list[str]:
 
 
 def is_known(name: str) -> bool:
-    return name in MENU or scalarized_weights(name) is not None
+    return name in MENU or name in SELECTORS or scalarized_weights(name) is not None
 
 
 def check_plan(plan: Mapping[str, int], q: int) -> None:
@@ -58,10 +59,22 @@ def check_plan(plan: Mapping[str, int], q: int) -> None:
         raise ValueError(f"a plan fills {q} slots, this one {sum(plan.values())}")
 
 
+def _primes(n: int) -> list[int]:
+    out, k = [], 2
+    while len(out) < n:
+        if all(k % p for p in out if p * p <= k):
+            out.append(k)
+        k += 1
+    return out
+
+
 def base_samples(n: int, rows: int, m: int, seed: int) -> np.ndarray:
-    """Seeded standard normals, antithetic halves, [n, rows, m]."""
-    half = np.random.default_rng(seed).standard_normal((-(-n // 2), rows, m))
-    return np.concatenate((half, -half))[:n]
+    """Seeded quasi-random standard normals, [n, rows, m]: a sequence of multiples of square roots
+    of primes, shifted by the seed, through the normal quantile function."""
+    roots = np.sqrt(np.array(_primes(rows * m), float))
+    u = (np.arange(1, n + 1)[:, None] * roots + np.random.default_rng(seed).random(rows * m)) % 1
+    inverse = NormalDist().inv_cdf
+    return np.array([inverse(x) for x in np.clip(u, 1e-9, 1 - 1e-9).ravel()]).reshape(n, rows, m)
 
 
 @dataclass
@@ -146,11 +159,11 @@ def build(name: str, model: Surrogate | None, x: np.ndarray, y: np.ndarray, ref,
     """A card by name: an :class:`Acquisition`, or a selector's name for model-free ones."""
     if not is_known(name):
         raise KeyError(f"unknown card {name!r}")
-    if name == "random":
+    if name in SELECTORS and not SELECTORS[name].needs_model:
         return name
     if model is None:
         raise ValueError(f"card {name!r} needs a model")
-    if name == "uncertainty":
+    if name in SELECTORS:
         return name
     if name == "nehvi":
         return Acquisition("hvi", model, x, y, tuple(ref), None, samples, seed)
@@ -202,13 +215,38 @@ def pick_best(pool: DataFrame, acquisition: Acquisition, q: int) -> list[int]:
     return chosen_ids
 
 
+class PoolSelector:
+    """A card that picks rows itself instead of scoring them. Extend it and add an instance to
+    ``SELECTORS`` under the card's name."""
+
+    needs_model = False
+
+    def select(self, pool: DataFrame, model: Surrogate | None, q: int, seed: int) -> list[int]:
+        """q distinct ids of ``pool``, from which forbidden rows are gone."""
+        raise NotImplementedError
+
+
+class RandomSelector(PoolSelector):
+    def select(self, pool, model, q, seed):
+        return pick_random(pool, q, seed)
+
+
+class UncertaintySelector(PoolSelector):
+    needs_model = True
+
+    def __init__(self, weights: Sequence[float] | None = None):
+        self.weights = weights
+
+    def select(self, pool, model, q, seed):
+        return pick_uncertain(pool, model, q, self.weights)
+
+
+SELECTORS: dict[str, PoolSelector] = {"random": RandomSelector(), "uncertainty": UncertaintySelector()}
+
+
 def optimize_discrete(card, pool: DataFrame, model: Surrogate | None, q: int, forbidden: Iterable[int], seed: int) -> list[int]:
     left = without(pool, forbidden)
-    if card == "random":
-        return pick_random(left, q, seed)
-    if card == "uncertainty":
-        return pick_uncertain(left, model, q)
-    return pick_best(left, card, q)
+    return SELECTORS[card].select(left, model, q, seed) if isinstance(card, str) else pick_best(left, card, q)
 
 
 def optimize_continuous(acquisition: Acquisition, bounds: Sequence[tuple[float, float]], q: int, restarts: int = DEFAULTS.num_restarts, raw: int = DEFAULTS.raw_samples, seed: int = 0) -> np.ndarray:

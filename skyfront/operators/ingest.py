@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,6 +57,43 @@ def per_shard(df: DataFrame, shard: str, order: str, most: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(W.partitionBy(shard).orderBy(order))).where(F.col("_n") <= most).drop("_n")
 
 
+def record_stream(spark: SparkSession, path: str, columns: Sequence[str], seed: int | None = None, key: str = SEQUENCE) -> DataFrame:
+    """Raw records of a Parquet folder of any file system that Spark reads, projected to
+    ``columns`` at the scan; with a ``seed`` in a shuffled order that is the same at every run."""
+    records = spark.read.parquet(path).select(*columns)
+    return records if seed is None else records.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+
+
+def collect_shards(spark: SparkSession, shards: Sequence[str], target: int, passes: Column, cleaned: Column, kept: dict[str, Column], n_shards: int = 100, most: int = 50_000) -> tuple[DataFrame, dict, DataFrame]:
+    """A bounded sample of accepted records over evenly chosen shards: the records (``sequence`` and
+    ``kept`` columns), counters, and a manifest with a row per shard read.
+
+    Of every shard at most ``most`` rows are scanned, in the file's order, until it has given its
+    share of ``target``; a sequence counts once, at its first record that was kept. Reading ends
+    with the shard that reaches the target. One job per shard; what comes to the driver is the
+    sample, at most ``target`` rows and one shard's share.
+    """
+    chosen = choose_shards(sorted(shards), n_shards)
+    if not chosen:
+        raise FileNotFoundError("there are no shards")
+    share, records, manifest = max(1, target // len(chosen)), [], []
+    names = ["sequence", *kept]
+    kinds = ", ".join(f"`{n}` string" for n in names)
+    for shard in chosen:
+        rows = spark.read.parquet(shard).withColumn("_row", F.col("_metadata.row_index")).where(F.col("_row") < most)
+        fresh = rows.where(passes).select(cleaned.alias("sequence"), *(c.cast("string").alias(n) for n, c in kept.items()), "_row")
+        if records:
+            fresh = fresh.join(spark.createDataFrame([(r[0],) for r in records], "sequence string"), "sequence", "left_anti")
+        got = first_copies(fresh, ["sequence"], "_row").orderBy("_row").limit(share).collect()
+        scanned = got[-1]["_row"] + 1 if len(got) == share else rows.count()
+        records += [tuple(r[n] for n in names) for r in got]
+        manifest.append((shard.rsplit("/", 1)[-1], len(got), int(scanned)))
+        if len(records) >= target:
+            break
+    stats = {"scanned": sum(m[2] for m in manifest), "cheap_kept": len(records), "shards_used": len(manifest), "distinct_sources": len({r[names.index("source")] for r in records}) if "source" in names else 0}
+    return spark.createDataFrame(records, kinds), stats, spark.createDataFrame(manifest, "shard string, kept bigint, scanned bigint")
+
+
 def choose_shards(shards: Sequence[str], n: int) -> list[str]:
     """n shards at even strides; all for n < 1 or n beyond their number."""
     return list(shards) if n < 1 or n >= len(shards) else [shards[k * len(shards) // n] for k in range(n)]

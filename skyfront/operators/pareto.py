@@ -54,11 +54,12 @@ def pareto_mask(df: DataFrame, y1: str, y2: str, id_col: str, by: Sequence[str]
     return df.join(front, [*by, id_col], "left").withColumn("on_front", F.coalesce("_f", F.lit(False))).drop("_f")
 
 
-def skyline_nd(df: DataFrame, objectives: Sequence[str], id_col: str) -> DataFrame:
-    """Front of any number of objectives: a local skyline in each partition, then an anti-join
-    among the survivors."""
-    names = [id_col, *objectives]
-    points = df.select(*names).dropna()
+def skyline_nd(df: DataFrame, objectives: Sequence[str], id_col: str, block: int = 4096) -> DataFrame:
+    """Front of any number of objectives: a local skyline in each partition, then the survivors
+    meet in pairs of blocks, a group each, and those that a row of any block dominates go. No
+    side is broadcast, and no task holds more than two blocks."""
+    objectives = list(objectives)
+    points = df.select(id_col, *objectives).dropna()
 
     def local(batches):
         held = None
@@ -70,16 +71,23 @@ def skyline_nd(df: DataFrame, objectives: Sequence[str], id_col: str) -> DataFra
             yield held
 
     survivors = points.mapInArrow(local, points.schema)
-    a, b = survivors.alias("a"), survivors.alias("b")
-    at_least = [F.col(f"b.{n}") >= F.col(f"a.{n}") for n in objectives]
-    more = [F.col(f"b.{n}") > F.col(f"a.{n}") for n in objectives]
-    dominated = at_least[0]
-    for c in at_least[1:]:
-        dominated &= c
-    strictly = more[0]
-    for c in more[1:]:
-        strictly |= c
-    return a.join(b, dominated & strictly, "left_anti")
+    blocks = max(1, -(-survivors.count() // block))
+    own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    side = lambda mine, theirs, asks: survivors.select("*", own.alias(mine), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(theirs), F.lit(asks).alias("_asks"))
+    both = side("_l", "_r", True).unionByName(side("_r", "_l", False))
+
+    def beaten(pdf):
+        ask, other = pdf[pdf["_asks"]], pdf[~pdf["_asks"]]
+        y, by = ask[objectives].to_numpy(float), other[objectives].to_numpy(float)
+        by = by[_undominated(by)] if len(by) else by
+        lost = np.zeros(len(y), bool)
+        for i in range(0, len(y), 256):
+            part = y[i : i + 256, None]
+            lost[i : i + 256] = ((by[None] >= part).all(2) & (by[None] > part).any(2)).any(1)
+        return ask.loc[lost, [id_col]]
+
+    gone = both.groupBy("_l", "_r").applyInPandas(beaten, f"`{id_col}` {points.schema[id_col].dataType.simpleString()}")
+    return survivors.join(gone.distinct(), id_col, "left_anti")
 
 
 def _undominated(y: np.ndarray) -> np.ndarray:
@@ -106,8 +114,22 @@ def hypervolume(df: DataFrame, y1: str, y2: str, ref: tuple[float, float] | tupl
 
 
 def hypervolume_nd(df: DataFrame, objectives: Sequence[str], ref: Sequence[float], id_col: str) -> DataFrame:
-    """Hypervolume of any number of objectives: the distributed front, then one exact slicing of it."""
-    front = skyline_nd(df, objectives, id_col)
+    """Hypervolume of any number of objectives, from the distributed front. Three objectives are
+    sliced along the last one: every level is a group of its own, whose area is a window over
+    the front above it. More of them are sliced exactly in one task, which holds the front."""
+    above = df
+    for n, r in zip(objectives, ref, strict=True):
+        above = above.where(F.col(n) > F.lit(float(r)))
+    front = skyline_nd(above, objectives, id_col)
+    if len(objectives) == 3:
+        a, b, c = objectives
+        levels = front.select(F.col(c).alias("_level")).distinct()
+        # one row for each level of the front; a level's depth reaches down to the next one
+        low = F.coalesce(F.lag("_level").over(W.orderBy("_level")), F.lit(float(ref[2])))
+        depth = levels.withColumn("_depth", F.col("_level") - low)
+        parts = levels.join(front, F.col(c) >= F.col("_level")).select("_level", F.col(a).alias("_a1"), F.col(b).alias("_a2"))
+        area = hypervolume(parts, "_a1", "_a2", (ref[0], ref[1]), ["_level"])
+        return area.join(depth, "_level").agg(F.coalesce(F.sum(F.col("hv") * F.col("_depth")), F.lit(0.0)).alias("hv"))
 
     def volume(pdf):
         import pandas as pd

@@ -86,28 +86,94 @@ def spearman(df: DataFrame, a: str, b: str, id_col: str, ties: str = "average")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
-    """Spearman's rho (average ranks) for each pair of columns."""
+    """Spearman's rho (average ranks) for each pair of columns, over the rows where both are
+    there. Columns without nulls are ranked once, whatever the number of pairs."""
+    columns = list(columns)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    some = df.agg(*(F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns))).first()
+    full = [c for i, c in enumerate(columns) if not some[i]]
+    ranked = df.select(*full)
+    for i, c in enumerate(full):
+        ranked = average_rank(ranked, c, f"_r{i}")
     out = None
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            one = spearman(df, a, b, id_col).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho")
-            out = one if out is None else out.unionByName(one)
+    whole = [(a, b) for a, b in pairs if a in full and b in full]
+    if whole:
+        place = {c: i for i, c in enumerate(full)}
+        one = ranked.agg(*(F.coalesce(F.corr(f"_r{place[a]}", f"_r{place[b]}"), F.lit(0.0)).alias(f"_c{k}") for k, (a, b) in enumerate(whole)))
+        rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_c{k}").alias("rho")) for k, (a, b) in enumerate(whole)))
+        out = one.select(F.explode(rows).alias("x")).select("x.*")
+    for a, b in pairs:
+        if (a, b) not in whole:
+            part = spearman(df, a, b, id_col).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho")
+            out = part if out is None else out.unionByName(part)
     return out
 
 
+#: Distinct values of one range that are counted at once when an exact quantile is looked for.
+FEW = 50_000
+
+
+def _kth(df: DataFrame, ranks: Sequence[int]) -> dict[int, float]:
+    """The values at these places (from 0) of ``df(x double)``, sorted and without nulls. Each round
+    counts the rows in 128 ranges and goes on in those that hold a place, so that no task ever
+    gathers or sorts the whole column."""
+    out: dict[int, float] = {}
+    todo = [(None, None, 0, sorted(set(ranks)))]  # open range, rows before it, places in it
+    while todo:
+        low, high, before, places = todo.pop()
+        if not places:
+            continue
+        rows = df
+        if low is not None:
+            rows = rows.where(F.col("x") > low)
+        if high is not None:
+            rows = rows.where(F.col("x") < high)
+        r = rows.agg(F.approx_count_distinct("x").alias("n"), F.percentile_approx("x", [k / 128 for k in range(1, 128)], 1000).alias("q")).first()
+        if r.n <= FEW // 2:
+            at = before
+            for v in rows.groupBy("x").agg(F.count(F.lit(1)).alias("n")).orderBy("x").toLocalIterator():
+                while places and places[0] < at + v.n:
+                    out[places.pop(0)] = v.x
+                at += v.n
+            continue
+        cuts = sorted(set(r.q))
+        bin_ = sum((F.when(F.col("x") > c, 2).when(F.col("x") == c, 1).otherwise(0) for c in cuts), F.lit(0))
+        at = before
+        for v in rows.groupBy(bin_.alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy("k").collect():
+            own = [p for p in places if at <= p < at + v.n]
+            if v.k % 2:  # a cut itself
+                out |= {p: cuts[v.k // 2] for p in own}
+            else:
+                todo.append((cuts[v.k // 2 - 1] if v.k else low, cuts[v.k // 2] if v.k // 2 < len(cuts) else high, at, own))
+            at += v.n
+    return out
+
+
+def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation; None for a column without values."""
+    x = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    n = x.count()
+    if not n:
+        return [None] * len(qs)
+    at = [(n - 1) * q for q in qs]
+    found = _kth(x, [k for p in at for k in (math.floor(p), math.ceil(p))])
+    return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in at]
+
+
 def quantile(df: DataFrame, columns: Sequence[str], q: float) -> DataFrame:
-    """Exact quantiles with linear interpolation."""
-    return df.agg(*(F.percentile(c, F.lit(q)).alias(c) for c in columns))
+    """One row with the exact quantile (linear interpolation) of each column."""
+    values = [exact_quantiles(df, c, [q])[0] for c in columns]
+    return df.sparkSession.createDataFrame([tuple(values)], ", ".join(f"`{c}` double" for c in columns))
 
 
 def quantile_band(df: DataFrame, y1: str, y2: str, on_front: str, q: float, at_least: int) -> DataFrame:
     """Rows off the front with both objectives at or below their quantile; if these are fewer
     than ``at_least``, all rows off the front; if these are too, all rows."""
-    bounds = F.broadcast(df.agg(F.percentile(y1, F.lit(q)).alias("_q1"), F.percentile(y2, F.lit(q)).alias("_q2")))
-    marked = df.join(bounds).withColumn("_band", ~F.col(on_front) & (F.col(y1) <= F.col("_q1")) & (F.col(y2) <= F.col("_q2")))
-    n = F.broadcast(marked.agg(F.count_if("_band").alias("_n1"), F.count_if(~F.col(on_front)).alias("_n2")))
-    keep = F.when(F.col("_n1") >= at_least, F.col("_band")).when(F.col("_n2") >= at_least, ~F.col(on_front)).otherwise(True)
-    return marked.join(n).where(keep).select(*df.columns)
+    q1, q2 = (exact_quantiles(df, y, [q])[0] for y in (y1, y2))
+    off = ~F.col(on_front)
+    band = off & (F.col(y1) <= F.lit(q1)) & (F.col(y2) <= F.lit(q2))
+    n = df.agg(F.count_if(band).alias("band"), F.count_if(off).alias("off")).first()
+    return df.where(band) if n.band >= at_least else df.where(off) if n.off >= at_least else df
 
 
 def angle(y1: str, y2: str, ref: tuple[float, float]) -> Column:
@@ -141,19 +207,60 @@ def histogram_2d(df: DataFrame, x: str, y: str, bounds: tuple[float, float], bin
     return cells.where("bx IS NOT NULL AND by_ IS NOT NULL").groupBy("bx", "by_").agg(F.count(F.lit(1)).alias("n"))
 
 
+def histogram_pairs(df: DataFrame, columns: Sequence[str], bounds: tuple[float, float], bins: int) -> DataFrame:
+    """:func:`histogram_2d` of every pair of columns, in one pass: dx and dy (places of the columns),
+    bx, by_ and n."""
+    cells = [F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy"), bin_of(a, *bounds, bins).alias("bx"), bin_of(b, *bounds, bins).alias("by_")) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    each = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("bx IS NOT NULL AND by_ IS NOT NULL")
+    return each.groupBy("dx", "dy", "bx", "by_").agg(F.count(F.lit(1)).alias("n"))
+
+
+def group_sizes(df: DataFrame, label: str) -> DataFrame:
+    """label and n."""
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def lean(df: DataFrame, y1: str, y2: str, by: Sequence[str]) -> DataFrame:
+    """By group the mean of y1 less y2: towards which objective its rows lean."""
+    return df.groupBy(*by).agg(F.avg(F.col(y1) - F.col(y2)).alias("lean"))
+
+
+def group_means(df: DataFrame, label: str, vector: str) -> DataFrame:
+    """label, dim (from 0) and c: each label's mean vector, a row per dimension."""
+    v = df.select(label, F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "value"))
+    return v.groupBy(label, "dim").agg(F.avg("value").alias("c"))
+
+
+#: Labels whose mean vectors may be broadcast.
+LABELS = 4096
+
+
+def nearest_mean(df: DataFrame, id_col: str, label: str, vector: str, most: int = LABELS) -> DataFrame:
+    """id and centroid: the label whose mean vector is nearest, ties to the lowest. At most ``most``
+    means are broadcast; more meet the rows in blocks."""
+    means = group_means(df, label, vector).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "c"))), lambda s: s["c"]).alias("m"))
+    points = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    if df.select(label).distinct().limit(most + 1).count() > most:
+        return nearest_rows(points, means.select(F.col(label).alias("id"), F.col("m").alias("x")), "id", "x", itself=True).select("id", F.col("near").alias("centroid"))
+    d = points.join(F.broadcast(means)).select("id", F.col(label).alias("l"), distance("x", "m").alias("d"))
+    return d.groupBy("id").agg(F.min(F.struct("d", "l")).alias("m")).select("id", F.col("m.l").alias("centroid"))
+
+
 def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
     """The most frequent values; equal counts by value."""
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(n)
 
 
 def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per numeric column: n, n_distinct, min, median, max."""
+    """One row per numeric column: n, n_distinct, min, median, max. The exact medians come from
+    counts by range, not from one task's buffer."""
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.count_distinct(x).alias(f"d{i}"), F.min(x).alias(f"a{i}"), F.percentile(x, F.lit(0.5)).alias(f"m{i}"), F.max(x).alias(f"z{i}")]
-    rows = ", ".join(f"'{c}', n{i}, d{i}, a{i}, m{i}, z{i}" for i, c in enumerate(columns))
-    return df.agg(*aggs).selectExpr(f"stack({len(columns)}, {rows}) AS (column, n, n_distinct, min, median, max)")
+        aggs += [F.count(x).alias(f"n{i}"), F.count_distinct(x).alias(f"d{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"z{i}")]
+    medians = [exact_quantiles(df, c, [0.5])[0] for c in columns]
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"d{i}").alias("n_distinct"), F.col(f"a{i}").alias("min"), F.lit(medians[i]).cast("double").alias("median"), F.col(f"z{i}").alias("max")) for i, c in enumerate(columns)]
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def pair_distances(df: DataFrame, id_col: str, vector: str, ordered: bool = True) -> DataFrame:
@@ -165,9 +272,9 @@ def pair_distances(df: DataFrame, id_col: str, vector: str, ordered: bool = True
     return a.join(b, on).select("i", "j", distance("u", "v").alias("d"))
 
 
-def nearest_rows(queries: DataFrame, pool: DataFrame, id_col: str, vector: str, block: int = 2048) -> DataFrame:
-    """id, near and d: each query's nearest row of the pool other than itself, ties to the lowest
-    id; near is null where there is none.
+def nearest_rows(queries: DataFrame, pool: DataFrame, id_col: str, vector: str, block: int = 2048, itself: bool = False) -> DataFrame:
+    """id, near and d: each query's nearest row of the pool, other than the one with its id unless
+    ``itself``, ties to the lowest id; near is null where there is none.
 
     Blocks of rows meet pairwise in numpy: memory stays within two blocks, and every pair of
     blocks is a task's group of its own. All pairs are compared, which is the exact definition;
@@ -194,7 +301,8 @@ def nearest_rows(queries: DataFrame, pool: DataFrame, id_col: str, vector: str,
             b, names = np.stack(p["v"].to_numpy()), p["id"].to_numpy()
             for i in range(0, len(a), 64):
                 d = np.sqrt(((a[i : i + 64, None] - b[None]) ** 2).sum(2))
-                d[ids[i : i + 64, None] == names[None]] = np.inf
+                if not itself:
+                    d[ids[i : i + 64, None] == names[None]] = np.inf
                 k = d.argmin(1)
                 out[i : i + 64] = d[np.arange(len(k)), k]
                 near[i : i + 64] = names[k]

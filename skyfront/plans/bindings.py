@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import ALPHABET
 from ..operators import stats
 
 #: The default landscape of two objectives over five latent dimensions.
@@ -50,3 +51,22 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw records with flags from their labels (null where there is none)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
     return docs.join(table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), "doc_id", "left")
+
+
+def repertoire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as raw repertoire records: metadata in the spellings that real ones have, flags
+    from labels, and a gapped sequence of the text's standard letters."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").join(table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), "doc_id", "left")
+    letters = F.substring(F.regexp_replace("text", f"[^{ALPHABET}{ALPHABET.lower()}]", ""), 1, 120)
+    return d.select(
+        "doc_id",
+        F.when(F.col("lang") == "en", " Human ").when(F.col("lang") == "fr", "HUMAN").otherwise(F.col("lang")).alias("meta_Species"),
+        F.lit("Heavy").alias("meta_Chain"),
+        F.when(F.col("source").isin("src0", "src1", "src2", "src3"), "PBMC").otherwise("spleen").alias("meta_BSource"),
+        F.lit("Naive-B-Cells").alias("meta_BType"),
+        F.lit("IGHG").alias("meta_Isotype"),
+        F.col("quality").cast("string").alias("productive"),
+        F.lit("T").alias("vj_in_frame"),
+        F.col("toxic").cast("string").alias("stop_codon"),
+        F.concat(F.lit(".- "), F.lower(letters), F.when(F.col("doc_id") % 10 == 0, "X").otherwise("")).alias("sequence_alignment_aa"),
+    )

@@ -7,37 +7,21 @@ hold them against brute force or against their invariants.
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import ALPHABET
 from ..functions import text as fx
-from ..functions.vectors import distance
+from ..functions.vectors import distance  # noqa: F401
 from ..operators import campaign, cards, ingest, latents, pareto, select, stats, surrogate
+from ..sources import tables
+from ..sources.scratch import scratch_path
 from ..streaming.front import RunningFront
 from . import bindings as b
+from .registry import ORACLE_SQL, QUERIES, query, r
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def r(column, digits: int = 6):
-    return F.round(column, digits)
-
+__all__ = ["ORACLE_SQL", "QUERIES", "entry"]
 
 # Common table expressions of the SQL.
 PARTS = "p AS (SELECT p_partkey AS id, p_brand AS grp, p_retailprice AS y1, CAST(p_size AS DOUBLE) AS y2 FROM part)"
@@ -117,10 +101,13 @@ def a3_hypervolume_ref_sensitivity(spark, sf_dir):
     return out
 
 
-@query("a3_hypervolume_3d")
+_SLABS = "p AS (SELECT p_retailprice AS a, CAST(p_size AS DOUBLE) AS b, CAST(length(p_name) AS DOUBLE) AS c FROM part), k AS (SELECT c, c - lag(c, 1, 0) OVER (ORDER BY c) AS depth FROM (SELECT DISTINCT c FROM p WHERE c > 0)), x AS (SELECT k.c AS level, p.a AS y1, p.b AS y2 FROM k JOIN p ON p.c >= k.c)"
+
+
+@query("a3_hypervolume_3d", f"WITH {_SLABS}, h AS ({hv_sql('x', ('level',), (0.0, 0.0))}) SELECT round(sum(hv * depth), 2) AS hv FROM h JOIN k ON h.level = k.c")
 def a3_hypervolume_3d(spark, sf_dir):
     rows = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("a"), F.col("p_size").cast("double").alias("b"), F.length("p_name").cast("double").alias("c"))
-    return pareto.hypervolume_nd(rows, ["a", "b", "c"], (0.0, 0.0, 0.0), "id")
+    return pareto.hypervolume_nd(rows, ["a", "b", "c"], (0.0, 0.0, 0.0), "id").select(r("hv", 2).alias("hv"))
 
 
 _HISTORY = f"{TEAMS}, k AS (SELECT DISTINCT team, rnd FROM t), c AS (SELECT k.team, k.rnd, t.y1, t.y2 FROM k JOIN t ON k.team = t.team AND t.rnd <= k.rnd), h AS ({hv_sql('c', ('team', 'rnd'), (0.0, 0.0))}), hist AS (SELECT k.team, k.rnd, coalesce(hv, 0) AS hv FROM k LEFT JOIN h ON k.team = h.team AND k.rnd = h.rnd)"
@@ -188,10 +175,7 @@ def a19_n_nondominated(spark, sf_dir):
 @query("streaming_front", f"WITH {PARTS} SELECT DISTINCT grp, y1, y2 FROM ({front_sql('p', ('grp',))})")
 def streaming_front(spark, sf_dir):
     """The table as a stream of files, merged batch by batch into a running front."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    import uuid
-
-    folder = f"{root.rstrip('/')}/front-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "front")
     schema = spark.read.parquet(f"{sf_dir}/part.parquet").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/part.parquet*")
     rows = stream.select(F.col("p_brand").alias("grp"), F.col("p_retailprice").alias("y1"), F.col("p_size").cast("double").alias("y2"))
@@ -216,6 +200,26 @@ def j2_lookup_observed(spark, sf_dir):
     return select.lookup(ids, b.parts(spark, sf_dir).drop("grp"))
 
 
+_ASKED = (5, 3, 5, 9, 17)
+_ASKED_SQL = "SELECT CAST(pos AS BIGINT) AS pos, p_partkey AS id, p_retailprice AS y1, CAST(p_size AS DOUBLE) AS y2 FROM (VALUES " + ", ".join(f"({k}, {i})" for k, i in enumerate(_ASKED)) + ") v(pos, i) JOIN part ON p_partkey = i"
+
+
+def _answers(spark, y):
+    return spark.createDataFrame([(k, i, float(u), float(v)) for k, (i, (u, v)) in enumerate(zip(_ASKED, y, strict=True))], "pos bigint, id bigint, y1 double, y2 double")
+
+
+@query("j2_oracle_evaluate", _ASKED_SQL)
+def j2_oracle_evaluate(spark, sf_dir):
+    """Measured values of asked ids, in their order, repeats included; without noise here."""
+    return _answers(spark, campaign.Oracle(b.parts(spark, sf_dir).select("id", "y1", "y2"), (0.0, 0.0)).evaluate(_ASKED))
+
+
+@query("j3_true_objectives", _ASKED_SQL)
+def j3_true_objectives(spark, sf_dir):
+    """True values, from an oracle that may give them, whatever its noise."""
+    return _answers(spark, campaign.Oracle(b.parts(spark, sf_dir).select("id", "y1", "y2"), (0.05, 0.05), allow_true=True).evaluate_true(_ASKED))
+
+
 @query("j9_overlap_check", "SELECT count(*) AS overlap FROM (SELECT DISTINCT o_custkey AS k FROM orders) JOIN (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0) USING (k)")
 def j9_overlap_check(spark, sf_dir):
     a = b.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
@@ -234,10 +238,10 @@ def e2_forbidden_ids(spark, sf_dir):
     return a.union(b.table(spark, sf_dir, "part").where("p_size > 40").select("p_partkey")).distinct()
 
 
-@query("e3_pool_minus_forbidden", "SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("e3_pool_minus_forbidden", "SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 47")
 def e3_pool_minus_forbidden(spark, sf_dir):
     pool = b.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    return select.available(pool, b.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("id")))
+    return select.available(pool, b.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 47").select(F.col("l_partkey").alias("id")))
 
 
 @query("j11_team_truth", f"WITH {TEAMS}, s AS (SELECT t.team, p_retailprice AS y1, CAST(p_size AS DOUBLE) AS y2 FROM t JOIN part ON p_partkey = CAST(t.y2 AS BIGINT)) SELECT DISTINCT team, y1, y2 FROM ({front_sql('s', ('team',))})")
@@ -262,14 +266,46 @@ def _candidates(spark, sf_dir):
     return [list(x.x) for x in b.points(spark, sf_dir).where("id IN (0, 1, 2, 3)").orderBy("id").collect()]
 
 
-@query("g1_nearest_greedy")
+def _greedy_sql() -> str:
+    """Candidates 0 to 3 in turn: of each one's four closest rows the first that is not taken."""
+    steps = []
+    for k in range(4):
+        free = " AND ".join(["true", *(f"x <> s{j}.id" for j in range(k))])
+        steps.append(f"s{k} AS (SELECT list_filter(l.ids, lambda x: {free})[1] AS id FROM l{''.join(f', s{j}' for j in range(k))} WHERE c = {k})")
+    near = f"d AS (SELECT a.vec_id AS c, b.vec_id AS id, {_DIST} AS d FROM embeddings a JOIN embeddings b ON a.vec_id < 4 AND b.vec_id > 3), l AS (SELECT c, list(id ORDER BY d, id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY d, id) AS n FROM d) WHERE n <= 4 GROUP BY c)"
+    return f"WITH {near}, {', '.join(steps)} " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS pos, id FROM s{k}" for k in range(4))
+
+
+def _diverse_sql() -> str:
+    """Like that, each distance less the one to the closest row taken before."""
+    dist = lambda x, y: _DIST.replace("b.embedding", f"{y}.e").replace("a.embedding", f"{x}.e")
+    steps = []
+    for k in range(4):
+        near = ", ".join(dist("b", f"s{j}") for j in range(k))
+        score = dist("a", "b") + (f" - least({near})" if k > 1 else f" - {near}" if k else "")
+        free = "".join(f" AND b.vec_id <> s{j}.id" for j in range(k))
+        steps.append(f"s{k} AS (SELECT b.vec_id AS id, b.e FROM v b, (SELECT e FROM v WHERE vec_id = {k}) a{''.join(f', s{j}' for j in range(k))} WHERE b.vec_id > 3{free} ORDER BY {score}, b.vec_id LIMIT 1)")
+    return f"WITH v AS (SELECT vec_id, embedding AS e FROM embeddings), {', '.join(steps)} " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS pos, id FROM s{k}" for k in range(4))
+
+
+def _farthest_sql(k: int, start: int) -> str:
+    """From ``start`` on, the row farthest from all rows taken before."""
+    gap = lambda j: " + ".join(f"(b.x{i} - s{j}.x{i}) ** 2" for i in range(5))
+    steps = [f"s0 AS (SELECT * FROM x WHERE id = {start})"]
+    for n in range(1, k):
+        gaps = ", ".join(gap(j) for j in range(n))
+        steps.append(f"s{n} AS (SELECT b.* FROM x b{''.join(f', s{j}' for j in range(n))} WHERE {' AND '.join(f'b.id <> s{j}.id' for j in range(n))} ORDER BY {f'least({gaps})' if n > 1 else gaps} DESC, b.id LIMIT 1)")
+    return f"WITH {LATENTS}, {', '.join(steps)} " + " UNION ALL ".join(f"SELECT CAST({n} AS INTEGER) AS pos, id FROM s{n}" for n in range(k))
+
+
+@query("g1_nearest_greedy", _greedy_sql())
 def g1_nearest_greedy(spark, sf_dir):
     p = b.points(spark, sf_dir).select("id", "x")
     ids = select.nearest(_candidates(spark, sf_dir), p, [0, 1, 2, 3])
     return spark.createDataFrame(list(enumerate(ids)), "pos int, id bigint")
 
 
-@query("g2_diverse_nearest")
+@query("g2_diverse_nearest", _diverse_sql())
 def g2_diverse_nearest(spark, sf_dir):
     p = b.points(spark, sf_dir).select("id", "x")
     ids = select.diverse_nearest(_candidates(spark, sf_dir), p, [0, 1, 2, 3])
@@ -302,7 +338,7 @@ def a8_front_diameter(spark, sf_dir):
     return stats.pair_distances(front, "id", "x").agg(r(F.coalesce(F.max("d"), F.lit(0.0))).alias("diameter"))
 
 
-@query("g4_farthest_points")
+@query("g4_farthest_points", _farthest_sql(12, 0))
 def g4_farthest_points(spark, sf_dir):
     ids = select.farthest_points(b.latents(spark, sf_dir), 12, 0)
     return spark.createDataFrame(list(enumerate(ids)), "pos int, id bigint")
@@ -425,7 +461,7 @@ def a16_region_coverage(spark, sf_dir):
 
 @query("a20_lean", f"WITH {TEAMS} SELECT team, round(avg(y1 - y2), 6) AS lean FROM t GROUP BY team")
 def a20_lean(spark, sf_dir):
-    return b.teams(spark, sf_dir).groupBy("team").agg(r(F.avg(F.col("y1") - F.col("y2"))).alias("lean"))
+    return stats.lean(b.teams(spark, sf_dir), "y1", "y2", ["team"]).select("team", r("lean").alias("lean"))
 
 
 @query("a25_histogram", "SELECT CAST(least(floor((l_quantity - 1) / 49 * 25), 24) AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 GROUP BY 1")
@@ -445,6 +481,13 @@ def a26_histogram_2d(spark, sf_dir):
     return stats.histogram_2d(x, "x0", "x1", (0.0, 1.0), 30)
 
 
+@query("a26_all_pairs", f"WITH {LATENTS} " + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS dx, CAST({j} AS INTEGER) AS dy, CAST(least(floor(x{i} * 30), 29) AS INTEGER) AS bx, CAST(least(floor(x{j} * 30), 29) AS INTEGER) AS by_, count(*) AS n FROM x GROUP BY ALL" for i in range(5) for j in range(i + 1, 5)))
+def a26_all_pairs(spark, sf_dir):
+    """The histograms of all ten pairs of latent dimensions."""
+    x = b.latents(spark, sf_dir).select(*(F.get("x", F.lit(k)).alias(f"x{k}") for k in range(5)))
+    return stats.histogram_pairs(x, [f"x{k}" for k in range(5)], (0.0, 1.0), 30)
+
+
 @query("a23_top_values", "SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 12")
 def a23_top_values(spark, sf_dir):
     return stats.top_values(b.table(spark, sf_dir, "documents", "source"), "source", 12)
@@ -457,23 +500,17 @@ def a21_summary(spark, sf_dir):
 
 @query("a27_cluster_sizes", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def a27_cluster_sizes(spark, sf_dir):
-    return b.points(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return stats.group_sizes(b.points(spark, sf_dir), "label")
 
 
 @query("a31_centroids", "SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS c FROM embeddings, range(1, 65) t(i) GROUP BY label, i")
 def a31_centroids(spark, sf_dir):
-    v = b.points(spark, sf_dir).select("label", F.posexplode("x").alias("dim", "value"))
-    return v.groupBy("label", "dim").agg(r(F.avg("value")).alias("c"))
+    return stats.group_means(b.points(spark, sf_dir), "label", "x").select("label", "dim", r("c").alias("c"))
 
 
-@query("j10_nearest_centroid")
+@query("j10_nearest_centroid", "WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, range(1, 65) t(i) GROUP BY label, i), d AS (SELECT e.vec_id AS id, m.label, sum((CAST(e.embedding[m.i] AS DOUBLE) - m.v) ** 2) AS d FROM embeddings e, m GROUP BY e.vec_id, m.label) SELECT id, label AS centroid FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, label) AS n FROM d) WHERE n = 1")
 def j10_nearest_centroid(spark, sf_dir):
-    """Each row's nearest label mean; one row per label and dimension is broadcast."""
-    p = b.points(spark, sf_dir)
-    means = p.select("label", F.posexplode("x").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("v"))
-    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("m"))
-    d = p.select("id", "x").join(F.broadcast(means)).select("id", "label", distance("x", "m").alias("d"))
-    return d.groupBy("id").agg(F.min(F.struct("d", "label")).alias("m")).select("id", F.col("m.label").alias("centroid"))
+    return stats.nearest_mean(b.points(spark, sf_dir), "id", "label", "x")
 
 
 # --- expressions -----------------------------------------------------------------------------
@@ -522,9 +559,14 @@ def _accepted():
     return fx.first_rejection(_RULES).isNull() & fx.to_bool("quality") & ~fx.to_bool("toxic") & F.col("n_chars").between(90, 5000)
 
 
-@query("p6_ingest_filter", f"SELECT doc_id, lang, source FROM documents LEFT JOIN labels USING (doc_id) WHERE {_PASS}")
+_CLEAN = f"substr(upper(regexp_replace(text, '[^{ALPHABET}{ALPHABET.lower()}]', '', 'g')), 1, 120) || CASE WHEN doc_id % 10 = 0 THEN 'X' ELSE '' END"
+
+
+@query("p6_ingest_filter", f"WITH q AS (SELECT doc_id, lang, source, quality, toxic, {_CLEAN} AS s FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, s AS sequence, length(s) AS n FROM q WHERE lang IN ('en', 'fr') AND source IN ('src0', 'src1', 'src2', 'src3') AND coalesce(quality, 0) = 1 AND coalesce(toxic, 0) <> 1 AND length(s) BETWEEN 90 AND 150 AND doc_id % 10 <> 0")
 def p6_ingest_filter(spark, sf_dir):
-    return b.records(spark, sf_dir).where(_accepted()).select("doc_id", "lang", "source")
+    """Documents as raw repertoire records, through the intake's own rule."""
+    kept = ingest.filtered(b.repertoire(spark, sf_dir))
+    return kept.select("doc_id", "sequence", F.length("sequence").cast("bigint").alias("n"))
 
 
 @query("p2_rejection_reason", "SELECT doc_id, CASE WHEN lower(trim(lang)) NOT IN ('en', 'fr') THEN 'lang' WHEN lower(trim(source)) NOT IN ('src0', 'src1', 'src2', 'src3') THEN 'source' END AS reason FROM documents")
@@ -583,9 +625,10 @@ def p5_offending_residues(spark, sf_dir):
     return s.where(~fx.is_standard("s")).select("p_partkey", fx.offending_residues("s").alias("residues"))
 
 
-@query("p12_derived", "SELECT o_orderkey, round(-log10(o_totalprice * 1e-9), 6) AS p, -o_totalprice AS neg FROM orders")
+@query("p12_derived", "SELECT o_orderkey, round(-log10(o_totalprice * 1e-9), 6) AS pkd, -o_shippriority - 1.5 AS neg_bv FROM (SELECT *, o_custkey % 7 AS o_shippriority FROM orders)")
 def p12_derived(spark, sf_dir):
-    return b.table(spark, sf_dir, "orders").select("o_orderkey", r(-F.log10(F.col("o_totalprice") * 1e-9)).alias("p"), (-F.col("o_totalprice")).alias("neg"))
+    o = b.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("affinity_kd_nm"), (F.col("o_custkey") % 7 + 1.5).alias("bv_elisa_score"))
+    return tables.with_derived(o).select("o_orderkey", r("pkd").alias("pkd"), "neg_bv")
 
 
 @query("p13_first_filled", "SELECT doc_id, coalesce(nullif(CASE WHEN lang = 'de' THEN '' ELSE lang END, ''), nullif(source, ''), '') AS origin FROM documents")
@@ -615,8 +658,7 @@ def g11_build_latents(spark, sf_dir):
 @query("o10_compare_plans")
 def o10_compare_plans(spark, sf_dir):
     pool, oracle, start = _setting(spark, sf_dir)
-    plans = {"nehvi": {"nehvi": 4}, "parego": {"parego": 4}, "leaning": {"scalarized_0.8_0.2": 4}, "random": {"random": 4}}
-    return campaign.compare_plans(plans, pool, oracle, start)
+    return campaign.compare_plans(campaign.COMPARED, pool, oracle, start)
 
 
 # --- cards, campaigns, sweeps -----------------------------------------------------------------
@@ -628,12 +670,26 @@ def _facts(spark, sf_dir):
     return t.groupBy("strategy", "seed").agg(r(F.avg("value"), 9).alias("auc_hv"))
 
 
-_FACTS = "f AS (SELECT event_type AS strategy, CAST(day(ts) AS INTEGER) AS seed, round(avg(value), 9) AS auc_hv FROM events GROUP BY 1, 2)"
+_FACTS = "f AS (SELECT event_type AS strategy, CAST(day(ts) AS INTEGER) AS seed, round(avg(value), 9) AS auc_hv, max(value) AS final_hv, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2)"
 
 
-@query("a18_sweep_means", f"WITH {_FACTS} SELECT strategy, round(avg(auc_hv), 6) AS auc_hv_mean, count(*) AS seeds FROM f GROUP BY strategy")
+@query("a18_sweep_means", f"WITH {_FACTS} SELECT strategy, round(avg(auc_hv), 6) AS auc_hv_mean, round(avg(final_hv), 6) AS final_hv_mean, round(avg(n), 6) AS n_nondominated_mean, list(round(auc_hv, 6) ORDER BY seed) AS auc_hv_by_seed FROM f GROUP BY strategy")
 def a18_sweep_means(spark, sf_dir):
-    return _facts(spark, sf_dir).groupBy("strategy").agg(r(F.avg("auc_hv")).alias("auc_hv_mean"), F.count(F.lit(1)).alias("seeds"))
+    """Means over seeds by the sweep's own operator; measures that events lack are constants."""
+    t = b.table(spark, sf_dir, "events").select(F.col("event_type").alias("strategy"), F.dayofmonth("ts").alias("seed"), "value", "user_id")
+    facts = t.groupBy("strategy", "seed").agg(r(F.avg("value"), 9).alias("auc_hv"), F.max("value").alias("final_hv"), F.count_distinct("user_id").alias("n_nondominated"))
+    facts = facts.select("*", *(F.lit(0.0).alias(c) for c in ("angular_spread", "region_coverage", "diversity")))
+    m = campaign.sweep_means(facts)
+    return m.select("strategy", *(r(c).alias(c) for c in ("auc_hv_mean", "final_hv_mean", "n_nondominated_mean")), F.transform("auc_hv_by_seed", lambda v: F.round(v, 6)).alias("auc_hv_by_seed"))
+
+
+_ANGLE_T = "atan2(greatest(y2, 1e-9), greatest(y1, 1e-9))"
+
+
+@query("a17_campaign_metrics", f"WITH {_SCORES}, g AS (SELECT team, coalesce(avg(gain), 0) AS mean_gain FROM (SELECT team, hv - lag(hv) OVER (PARTITION BY team ORDER BY rnd) AS gain FROM hist) GROUP BY team), la AS (SELECT t.* FROM t JOIN lo ON t.team = lo.team WHERE t.rnd > lo.r0), an AS (SELECT team, coalesce(stddev_samp({_ANGLE_T}), 0) AS spread, count(DISTINCT floor(least({_ANGLE_T}, pi() / 2 - 1e-9) / (pi() / 2) * 6)) AS regions FROM la GROUP BY team) SELECT auc.team, round(auc, 4) AS auc_hv, round(fin.hv, 4) AS final_hv, round(mean_gain, 4) AS mean_gain, round(coalesce(spread, 0), 6) AS angular_spread, coalesce(regions, 0) AS region_coverage, n AS n_nondominated FROM auc JOIN fin ON auc.team = fin.team JOIN fr ON auc.team = fr.team JOIN g ON auc.team = g.team LEFT JOIN an ON auc.team = an.team")
+def a17_campaign_metrics(spark, sf_dir):
+    m = campaign.team_metrics(b.teams(spark, sf_dir), "team", "rnd", "y1", "y2", (0.0, 0.0))
+    return m.select("team", *(r(c, 4).alias(c) for c in ("auc_hv", "final_hv", "mean_gain")), r("angular_spread").alias("angular_spread"), "region_coverage", "n_nondominated")
 
 
 @query("a33_seed_winners", f"WITH {_FACTS} SELECT seed, strategy, round(auc_hv, 6) AS auc_hv FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY auc_hv DESC, strategy) AS n FROM f) WHERE n = 1")
@@ -696,5 +752,15 @@ def o6_sweep(spark, sf_dir):
     return campaign.sweep_means(campaign.sweep_facts(campaign.default_strategies(), pool, oracle, start, SWEEP_SEEDS))
 
 
+from . import files  # noqa: E402,F401 adds the queries of sources and sinks
+
+# read back from files, these are the rows of the queries that they were written from
+ORACLE_SQL["s3_load_latents"] = f"WITH {LATENTS} SELECT id, {', '.join(f'round(x{k}, 6) AS x{k}' for k in range(5))} FROM x"
+ORACLE_SQL["s5_load_true_objectives"] = ORACLE_SQL["f4_synthetic_objectives"]
+ORACLE_SQL["s13_pool_from_files"] = f"WITH {LATENTS} SELECT id, round(x0, 6) AS x0, round(x4, 6) AS x4, 'QVQL' || substr('{ALPHABET}', CAST(label + 1 AS INTEGER), 1) AS sequence FROM x JOIN embeddings ON id = vec_id"
+ORACLE_SQL["k2_leaderboard_csv"] = ORACLE_SQL["o9_leaderboard"]
+ORACLE_SQL["k7_intake_stats"] = ORACLE_SQL["a29_funnel"]
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return a3_hypervolume_by_group(spark, "/root/testdata/sf0.001")

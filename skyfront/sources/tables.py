@@ -95,9 +95,18 @@ def read_reservoir(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ddl(RESERVOIR)).option("header", True).csv(path)
 
 
-def read_measurements(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
-    """The measurement table; ``raw`` takes the sheet's own headers (as CSV) and cleans them."""
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, sequence) of a library, in the order of its ids."""
+    ids = F.regexp_extract("sequence_id", "([0-9]+)$", 1).cast("bigint")
+    return read_library(spark, path).select((ids - 1).alias("pos"), "sequence")
+
+
+def read_measurements(spark: SparkSession, path: str, raw: bool | None = None) -> DataFrame:
+    """The measurement table as CSV, parsed before or with the sheet's own headers; these are
+    told by the header row unless ``raw`` says so."""
     df = spark.read.option("header", True).csv(path)
+    if raw is None:
+        raw = "sample_id" not in df.columns
     if raw:
         df = parse_measurements(df)
     return check_sequences(typed(df, MEASUREMENTS), "sample_id")
@@ -145,6 +154,26 @@ def check_matrix(df: DataFrame, width: int, unit_range: bool = False) -> DataFra
     return df
 
 
+def write_matrix(df: DataFrame, path: str) -> None:
+    """(id, x) of latents or objectives, which :func:`read_matrix` reads again."""
+    df.select(F.col("id").cast("bigint").alias("id"), F.col("x").cast("array<double>").alias("x")).write.mode("overwrite").parquet(path)
+
+
+def pool_from_files(spark: SparkSession, library: str, latents: str, dim: int = 5) -> DataFrame:
+    """(id, x, sequence): a library's sequences with their latent coordinates, which must be as many."""
+    names, x = read_sequences(spark, library), read_matrix(spark, latents, dim, unit_range=True)
+    pool = x.join(names.select(F.col("pos").alias("id"), "sequence"), "id")
+    sizes = [df.count() for df in (names, x, pool)]
+    if len(set(sizes)) != 1:
+        raise ContractError(f"{sizes[0]} sequences and {sizes[1]} latent rows, of which {sizes[2]} meet")
+    return pool.select("id", "x", "sequence")
+
+
+def objectives_from_file(spark: SparkSession, path: str) -> DataFrame:
+    """(id, y1, y2) of a written objective matrix."""
+    return read_matrix(spark, path, 2).select("id", F.get("x", F.lit(0)).alias("y1"), F.get("x", F.lit(1)).alias("y2"))
+
+
 def read_initial(spark: SparkSession, path: str) -> DataFrame:
     """(pos, id) of an initial design."""
     return spark.read.schema(ddl(INITIAL)).option("multiLine", True).json(path).select(F.posexplode("initial_ids").alias("pos", "id")).select("pos", F.col("id").cast("bigint").alias("id"))
@@ -197,6 +226,13 @@ def write_params(spark: SparkSession, params: dict, path: str) -> None:
     spark.createDataFrame([params], ddl(PARAMS)).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_stats(spark: SparkSession, stats: dict, path: str) -> None:
+    """Counters of an intake as one JSON record."""
+    kinds = {int: "bigint", float: "double", bool: "boolean", str: "string"}
+    schema = ", ".join(f"`{k}` {kinds[type(v)]}" for k, v in stats.items())
+    spark.createDataFrame([tuple(stats.values())], schema).coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
     w = df.write.mode("overwrite").option("header", True)
     (w.option("compression", "gzip") if gzip else w).csv(path)

@@ -359,3 +359,106 @@ def test_plans_are_compared_from_one_start(setting):
     pool, _, oracle, initial = setting
     got = {r.plan: r for r in campaign.compare_plans({"a": {"random": 4}, "b": {"uncertainty": 4}}, pool, oracle, initial, settings=SHORT).collect()}
     assert set(got) == {"a", "b"} and all(r.hv_gain >= 0 for r in got.values())
+
+
+def test_first_copies_never_mix_rows(spark):
+    rows = [("k", 1, "a", 2.0), ("k", 1, "b", 1.0), ("k", 1, None, 9.0), ("n", None, "x", 1.0), ("n", None, "w", 5.0), ("n", 7, "z", 0.0)]
+    df = spark.createDataFrame(rows, "key string, pos int, s string, v double")
+    for parts in (1, 3, 6):
+        got = {r.key: tuple(r) for r in ingest.first_copies(df.repartition(parts), ["key"], "pos").collect()}
+        assert got == {"k": ("k", 1, None, 9.0), "n": ("n", 7, "z", 0.0)}
+
+
+def test_exact_quantiles_without_one_buffer(spark, monkeypatch):
+    r = random.Random(2)
+    values = [r.choice((3.5, 3.5, 7.0, float(r.randrange(400)), r.gauss(0, 50))) for _ in range(3000)] + [None] * 20
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    some = np.array([v for v in values if v is not None])
+    qs = [0.0, 0.25, 0.5, 0.6, 0.999, 1.0]
+    for few in (50_000, 60):
+        monkeypatch.setattr(stats, "FEW", few)
+        assert np.allclose(stats.exact_quantiles(df, "v", qs), np.quantile(some, qs))
+    assert stats.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+    assert stats.exact_quantiles(df.where("v = 3.5"), "v", [0.1, 0.5]) == [3.5, 3.5]
+
+
+def test_correlations_rank_full_columns_once_and_others_by_pair(spark):
+    import pandas as pd
+
+    r = np.random.default_rng(1)
+    x = r.integers(0, 9, (300, 3)).astype(float)
+    x[:, 2] += x[:, 0]
+    frame = pd.DataFrame(x, columns=["a", "b", "c"])
+    frame.loc[::7, "b"] = np.nan
+    rows = [(i, *(None if np.isnan(v) else float(v) for v in row)) for i, row in enumerate(frame.to_numpy())]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, c double")
+    wanted = frame.corr(method=lambda p, q: pd.Series(p).rank().corr(pd.Series(q).rank()))
+    got = {(x.a, x.b): x.rho for x in stats.correlation_matrix(df, ["a", "b", "c"], "id").collect()}
+    assert got.keys() == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert all(v == pytest.approx(wanted.loc[k]) for k, v in got.items())
+
+
+def test_nearest_mean_by_broadcast_and_by_blocks(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, i % 6, (r.random(3) + i % 6 * r.random()).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id bigint, label bigint, x array<double>")
+    means = np.array([np.mean([x for _, k, x in rows if k == g], axis=0) for g in range(6)])
+    wanted = {i: int(((means - x) ** 2).sum(1).argmin()) for i, _, x in rows}
+    for most in (4096, 2):
+        assert {x.id: x.centroid for x in stats.nearest_mean(df, "id", "label", "x", most).collect()} == wanted
+
+
+def test_shard_loop_keeps_its_share_and_counts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    texts = [["a", "b", "a", "c", "d"], ["b", "x", "e", "f"], ["g", "h", "i", "j"]]
+    shards = []
+    for k, t in enumerate(texts):
+        shards.append(f"{tmp_path}/s{k}")
+        spark.createDataFrame([(s, f"run{k}") for s in t], "s string, run string").coalesce(1).write.parquet(shards[-1])
+    records, counters, manifest = ingest.collect_shards(spark, shards, 6, F.col("s") != "x", F.upper("s"), {"source": F.col("run")}, most=4)
+    assert sorted(map(tuple, records.collect())) == [("A", "run0"), ("B", "run0"), ("E", "run1"), ("F", "run1"), ("G", "run2"), ("H", "run2")]
+    assert [(m.kept, m.scanned) for m in manifest.orderBy("shard").collect()] == [(2, 2), (2, 4), (2, 2)]
+    assert counters == {"scanned": 8, "cheap_kept": 6, "shards_used": 3, "distinct_sources": 3}
+    with pytest.raises(FileNotFoundError):
+        ingest.collect_shards(spark, [], 6, F.lit(True), F.col("s"), {})
+
+
+def test_own_selectors_and_quasi_random_samples(spark):
+    from skyfront.operators import cards
+
+    class Last(cards.PoolSelector):
+        def select(self, pool, model, q, seed):
+            return [r.id for r in pool.orderBy("id", ascending=False).limit(q).collect()]
+
+    pool = spark.createDataFrame([(i, [0.1 * i]) for i in range(6)], "id bigint, x array<double>")
+    cards.SELECTORS["last"] = Last()
+    try:
+        assert cards.propose({"last": 2, "random": 1}, None, pool, [5], np.zeros((1, 1)), np.zeros((1, 2)))[:2] == [4, 3]
+    finally:
+        del cards.SELECTORS["last"]
+    with pytest.raises(NotImplementedError):
+        cards.PoolSelector().select(pool, None, 1, 0)
+    z = cards.base_samples(256, 3, 2, 7)
+    assert z.shape == (256, 3, 2) and np.array_equal(z, cards.base_samples(256, 3, 2, 7)) and not np.array_equal(z, cards.base_samples(256, 3, 2, 8))
+    # closer to the normal's moments than independent draws would be
+    assert np.abs(z.mean(0)).max() < 0.03 and np.abs(z.std(0) - 1).max() < 0.05
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from skyfront.sources.scratch import scratch_root
+
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="local-cluster[3,2,1024]"))
+    with pytest.raises(ValueError):
+        scratch_root(named)
+    named.sparkContext.master = "local[2]"
+    assert scratch_root(named).startswith("file:") and scratch_root(named) == scratch_root(named)
+
+
+def test_seeding():
+    from skyfront.config import seed_everything
+
+    a = (seed_everything(5).random(), random.random(), np.random.random())
+    assert a == (seed_everything(5).random(), random.random(), np.random.random())

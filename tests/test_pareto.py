@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -139,3 +140,44 @@ def test_running_front_of_a_stream(spark, tmp_path):
     assert {tuple(x) for x in front.current().collect()} == {(g, *p) for g in "ab" for p in brute({(a, b) for h, a, b in rows if h == g})}
     front.merge(spark.createDataFrame([("a", 1e9, 1e9)], schema), 1)
     assert front.current().where("y1 > 1000").count() == 0
+
+
+def test_running_front_goes_on_after_a_restart(spark, tmp_path):
+    from skyfront.streaming.front import RunningFront
+
+    schema = "y1 double, y2 double"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for rows in ([(9.0, 9.0)], [(1.0, 1.0), (2.0, 10.0)], [(3.0, 3.0)]):
+        put(rows)
+        front = RunningFront(spark, f"{tmp_path}/state", "y1", "y2")  # a new process each time
+        front.start(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/progress").awaitTermination()
+    assert front.version == 2
+    assert {tuple(x) for x in front.current().collect()} == {(9.0, 9.0), (2.0, 10.0)}
+    # a version whose writing broke off is not gone on from; versions before the last two are deleted
+    import os
+    import shutil
+
+    assert sorted(os.listdir(f"{tmp_path}/state")) == ["front-1", "front-2"]
+    os.makedirs(f"{tmp_path}/state/front-3")
+    assert RunningFront(spark, f"{tmp_path}/state", "y1", "y2").version == 2
+    shutil.rmtree(f"{tmp_path}/state")
+    assert RunningFront(spark, f"{tmp_path}/state", "y1", "y2").version is None
+
+
+@pytest.mark.parametrize("m", [3, 4])
+def test_front_of_many_blocks_and_its_volume_against_brute_force(spark, m):
+    r = random.Random(m)
+    rows = [(i, *(float(r.randrange(12)) for _ in range(m))) for i in range(240)]
+    names = ["a", "b", "c", "d"][:m]
+    df = spark.createDataFrame(rows, "id bigint, " + ", ".join(f"{n} double" for n in names)).repartition(7)
+    beats = lambda p, q: all(x >= y for x, y in zip(p[1:], q[1:], strict=True)) and p[1:] != q[1:]
+    wanted = {q[0] for q in rows if not any(beats(p, q) for p in rows)}
+    for block in (4096, 16):
+        assert {x.id for x in pareto.skyline_nd(df, names, "id", block).collect()} == wanted
+    # unit cubes below some point: the volume is their number
+    cubes = set()
+    for p in rows:
+        if all(x > 1 for x in p[1:]):
+            cubes |= set(itertools.product(*(range(1, int(x)) for x in p[1:])))
+    assert pareto.hypervolume_nd(df, names, (1.0,) * m, "id").first().hv == pytest.approx(len(cubes))
+    assert pareto.hypervolume_nd(df.limit(0), names, (1.0,) * m, "id").first().hv == 0
