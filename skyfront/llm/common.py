@@ -1,15 +1,12 @@
-"""What the operators of this subpackage share: table access, scratch tables, Arrow helpers.
+"""What the operators of this subpackage share: table access, Arrow helpers, bounded samples.
 
-Scratch tables go to the folder that the session names in ``spark.checkpoint.dir`` (all
-executors and the driver see it), never to a machine-local folder of a cluster. Only a local
-session without that setting gets a folder of our own; any other one is an error.
+Scratch tables go to the folder that the session names in ``spark.checkpoint.dir``, see
+:mod:`skyfront.sources.scratch`.
 """
 
 from __future__ import annotations
 
-import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -18,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import dropped, scratch_root, written  # noqa: F401 used by the operators
+
 #: Bytes of one Arrow batch handed to a Python worker, the same for all operators. Bounds the
 #: worker's memory whatever the length of the documents (a longer document is a batch alone).
 ARROW_BATCH_BYTES = 4 << 20
@@ -53,46 +52,6 @@ def ship(spark: SparkSession) -> None:
     context._skyfront_shipped = True
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written tables. Only a local session may go without one: its driver
-    and executor are one process, so a folder of our own is made, once for the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if getattr(spark, "_scratch_root", None) is None:
-        spark._scratch_root = "file://" + tempfile.mkdtemp(prefix="scratch-")
-    return spark._scratch_root
-
-
-def _at(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet to the shared folder and read again, and its path.
-
-    Cuts the lineage: a lost executor costs no more than the tasks it was running. What is not
-    :func:`dropped` before goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    p, system = _at(spark, path)
-    system.deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def dropped(spark: SparkSession, *paths: str) -> None:
-    """Deletes scratch tables that nothing reads any more."""
-    for path in paths:
-        p, system = _at(spark, path)
-        system.delete(p, True)
-        system.cancelDeleteOnExit(p)
-
-
 def remainder(column: Column, modulus: int) -> Column:
     """crc32(column as text) mod ``modulus``; -1 for null, which is in no fold."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus, F.lit(-1))
