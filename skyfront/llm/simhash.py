@@ -6,7 +6,7 @@ them not at all), or each of the three differs in exactly one. So two fingerprin
 link share a key of one of these kinds:
 
 * one segment as it is, with a codeword near another segment (six ordered pairs);
-* a codeword near the first with a codeword near the second segment.
+* codewords near each of the three segments.
 
 Codewords come from :mod:`.golay`, which gives one or six to a segment. Keys are dealt out,
 sorted, and fingerprints that share one are compared in full. What leaves a partition is a
@@ -96,10 +96,10 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 keys.append((kind << 40 | seg[i][:, None] << 12 | k)[use])
                 rows.append(np.broadcast_to(row[:, None], use.shape)[use])
                 kind += 1
-    (a, use_a), (b, use_b) = near[0], near[1]
-    use = use_a[:, :, None] & use_b[:, None, :]
-    keys.append((kind << 40 | a[:, :, None] << 12 | b[:, None, :])[use])
-    rows.append(np.broadcast_to(row[:, None, None], use.shape)[use])
+    (a, use_a), (b, use_b), (c, use_c) = near
+    use = use_a[:, :, None, None] & use_b[:, None, :, None] & use_c[:, None, None, :]
+    keys.append((kind << 40 | a[:, :, None, None] << 24 | b[:, None, :, None] << 12 | c[:, None, None, :])[use])
+    rows.append(np.broadcast_to(row[:, None, None, None], use.shape)[use])
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -170,15 +170,15 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     keyed = mapped(distinct.select("fp").where("fp IS NOT NULL"), "key bigint, fp bigint", explode)
     hot = mapped(distinct.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0), "key bigint, fp bigint", explode)
-    hot = hot.groupBy("key").count().where(F.col("count") * SAMPLE > BLOCK).select("key", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("int").alias("blocks"))
+    hot = hot.groupBy("key").count().where(F.col("count") * SAMPLE > BLOCK).select("key", F.ceil(F.col("count") * SAMPLE / BLOCK).cast("bigint").alias("blocks"))
     hot, _ = written(hot, "hot-keys")
     if n_hot := hot.count():
         keyed = keyed.join(F.broadcast(hot) if n_hot <= 10_000 else hot, "key", "left")
-        block = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, block) * 65536 + F.greatest(j, block))
-        keyed = keyed.select("key", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"))
+        block = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: F.least(j, block) * (1 << 31) + F.greatest(j, block))
+        keyed = keyed.select("key", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(pairs)).alias("part"))
     else:
-        keyed = keyed.withColumn("part", F.lit(0))
+        keyed = keyed.withColumn("part", F.lit(0).cast("bigint"))
 
     def compare(batches):
         tail = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
@@ -408,11 +408,11 @@ def deduplicated(documents: DataFrame, words: int = STAGE_WORDS, similarity: flo
     tree = components(linked(first.where("NOT held").select("a", "b"), "candidates"))
     held = first.where("held").select("key", F.col("a").alias("node"), "n", "pos").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_keys, _ = written(open_keys.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "open-keys")
+    open_keys, _ = written(open_keys.select("key", F.ceil(F.col("count") / BLOCK).cast("bigint").alias("blocks")), "open-keys")
     if open_keys.count():
         # pairs of blocks, so that no task holds more than two blocks of a key
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, block) * 65536 + F.greatest(j, block))
+        block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        parts = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: F.least(j, block) * (1 << 31) + F.greatest(j, block))
         rest = held.join(open_keys, "key").withColumn("part", F.explode(parts)).select(F.xxhash64("key", "part").alias("key"), "node", "n", "pos", "root")
         more = linked(grouped(rest, lambda *x: pairs_in(*x, similarity), "a bigint, b bigint"), "more-candidates")
         tree = components(more.union(tree.select(F.col("node").alias("a"), F.col("root").alias("b"))))
