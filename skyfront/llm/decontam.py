@@ -3,11 +3,13 @@
 Normalisation keeps bytes in place (lower-case A-Z, every ASCII byte that is no letter or
 digit becomes a space), so offsets map back to the original text. Each item's words make
 windows of ``window`` consecutive words (an item of fewer words, but not none, is one
-window). All windows go into one automaton; each text runs through it once.
+window). All windows go into one automaton, whose symbols are words: numbers of the
+benchmark's words, and 0 for any other. Each text runs through it once.
 
-The automaton is built on every executor from the broadcast item texts. They are broadcast
-only up to ``max_broadcast`` bytes: a larger benchmark is split by item into blocks of that
-size, which pass over the texts one after the other, adding to the same result columns.
+A worker process builds the automaton once, from the broadcast item texts, and keeps it from task
+to task. Items are broadcast only up to ``max_broadcast`` bytes (about 100 bytes of automaton for
+each): a larger benchmark is split by item into blocks of that size, which pass over the texts
+one after the other, a written table between them, so that only one block is held at a time.
 
 Defined results: a null text has no words and no hits; items with null or word-less text
 never occur; repeated items and repeated rows count each; an item with a null id marks
@@ -18,6 +20,7 @@ are left out.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -25,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mapped
+from .common import as_bytes, dropped, written
 
 WINDOW = 10
-MAX_BROADCAST = 16 << 20
+MAX_BROADCAST = 4 << 20
 
 _UPPER = range(0x41, 0x5B)
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -40,39 +43,55 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def windows_of(words: list[bytes], window: int) -> list[bytes]:
+def windows_of(words: list, window: int) -> list[tuple]:
     if not words:
         return []
-    return [b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
-
-
-def automaton(items: list[tuple[object, str]], window: int):
-    """Windows, framed by spaces, to (number of words, the items that have it)."""
-    owners: dict[bytes, set] = {}
-    for item, text in items:
-        for w in windows_of(words_of((text or "").encode()), window):
-            owners.setdefault(w, set()).add(item)
-    out = ahocorasick.Automaton()
-    for w, of in owners.items():
-        out.add_word(" " + w.decode("latin-1") + " ", (w.count(b" ") + 1, tuple(of)))
-    out.make_automaton()
-    return out if len(out) else None
-
-
-def scan(machine, text: bytes) -> tuple[int, list[tuple[int, int]], set]:
-    """Number of words, hit word ranges (first, end) and the items that occur."""
-    words = words_of(text)
-    if machine is None or not words:
-        return len(words), [], set()
-    line = b" " + b" ".join(words) + b" "
-    found, items, gaps = [], set(), None
-    for end, (n, of) in machine.iter(line.decode("latin-1")):
-        if gaps is None:
-            gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        last = int(np.searchsorted(gaps, end))
-        found.append((last - n, last))
-        items.update(of)
-    return len(words), merged(found), items
+    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
+
+
+class Numbers(dict):
+    """Numbers of words from 1; 0 for a word that is not there."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
+class Machine:
+    """The automaton of ``items(id, text)``; each window has its items."""
+
+    def __init__(self, items: list[tuple[object, str]], window: int):
+        self.numbers, owners = Numbers(), {}
+        for item, text in items:
+            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of((text or "").encode())]
+            for w in windows_of(words, window):
+                owners.setdefault(w, set()).add(item)
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if owners else None
+        for w, of in owners.items():
+            self.found.add_word(w, (len(w), tuple(of)))
+        if owners:
+            self.found.make_automaton()
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set]:
+        """Number of words, hit word ranges (first, end) and the items that occur."""
+        words = words_of(text)
+        if self.found is None or not words:
+            return len(words), [], set()
+        found, items = [], set()
+        for last, (n, of) in self.found.iter(tuple(map(self.numbers.__getitem__, words))):
+            found.append((last + 1 - n, last + 1))
+            items.update(of)
+        return len(words), merged(found), items
+
+
+#: The worker process's one automaton, by the name of its block of items.
+_MACHINES: dict[str, Machine] = {}
+
+
+def machine_of(name: str, sent, window: int) -> Machine:
+    if name not in _MACHINES:
+        _MACHINES.clear()
+        _MACHINES[name] = Machine(sent.value, window)
+    return _MACHINES[name]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -96,23 +115,30 @@ def original_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int
     return [(int(points[begin[a]]), int(points[end[b - 1]])) for a, b in ranges]
 
 
-def _machines(spark, benchmark: DataFrame, window: int, max_broadcast: int) -> list:
-    """For each block of items a function that gives its automaton, built once in a worker."""
+def _blocks(benchmark: DataFrame, window: int, max_broadcast: int) -> list[tuple]:
+    """For each block of items what :func:`machine_of` takes."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // max_broadcast))
     out = []
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
+        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.toLocalIterator()]), window))
+    return out
 
-        def machine_of(sent=sent, memo={}):  # noqa: B006 kept for the worker's task
-            if "machine" not in memo:
-                memo["machine"] = automaton(sent.value, window)
-            return memo["machine"]
 
-        out.append(machine_of)
-    return out
+def _passed(df: DataFrame, blocks: list[tuple], step) -> DataFrame:
+    """``step(df, block)`` for every block, each but the last written."""
+    before = None
+    for i, block in enumerate(blocks):
+        df = step(df, block)
+        if i + 1 < len(blocks):
+            df, path = written(df, "decontamination-block")
+            if before:
+                dropped(df.sparkSession, before)
+            before = path
+    return df
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -121,50 +147,46 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     pair = "array<struct<first:int,end:int>>"
     schema = f"doc_id bigint, text string, n_words bigint, hit_words {pair}, hit_spans {pair}, item_ids array<string>"
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-    out = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for machine_of in _machines(documents.sparkSession, benchmark, window, max_broadcast):
-
-        def rows(batch, machine_of=machine_of):
-            texts, cols = as_bytes(batch.column("text")), {n: [] for n in ("n_words", "hit_words", "hit_spans", "item_ids")}
-            old = [batch.column(n).to_pylist() for n in ("hit_words", "item_ids")] if "hit_words" in batch.schema.names else None
-            for i, text in enumerate(texts):
-                n, ranges, found = scan(machine_of(), text)
-                found.discard(None)
-                if old:
-                    ranges = merged(ranges + [(x["first"], x["end"]) for x in old[0][i]])
-                    found |= {*old[1][i]}
-                cols["n_words"].append(n)
-                cols["hit_words"].append([{"first": a, "end": b} for a, b in ranges])
-                cols["hit_spans"].append([{"first": a, "end": b} for a, b in original_spans(text, ranges)])
-                cols["item_ids"].append(sorted(found))
-            return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_words": pa.array(cols["n_words"], pa.int64()), "hit_words": pa.array(cols["hit_words"], kind), "hit_spans": pa.array(cols["hit_spans"], kind), "item_ids": pa.array(cols["item_ids"], pa.list_(pa.string()))}
-
-        out = _mapped(out, schema, rows)
-    return out
-
-
-def _mapped(df: DataFrame, schema: str, rows) -> DataFrame:
-    names = ("doc_id", "text", "n_words", "hit_words", "hit_spans", "item_ids")
+    names = ["doc_id", "text", "n_words", "hit_words", "hit_spans", "item_ids"]
 
-    def run(batches):
-        for batch in batches:
-            out = rows(batch)
-            yield pa.RecordBatch.from_arrays([out[n] for n in names], list(names))
-
-    return df.mapInArrow(run, schema)
-
-
-def uncontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    def step(df, block):
+        def run(batches):
+            for batch in batches:
+                yield hits(batch, machine_of(*block))
+
+        return df.mapInArrow(run, schema)
+
+    def hits(batch, machine):
+        cols = {n: [] for n in names[2:]}
+        old = [batch.column(n).to_pylist() for n in ("hit_words", "item_ids")] if "hit_words" in batch.schema.names else None
+        for i, text in enumerate(as_bytes(batch.column("text"))):
+            n, ranges, found = machine.scan(text)
+            found.discard(None)
+            if old:
+                ranges = merged(ranges + [(x["first"], x["end"]) for x in old[0][i]])
+                found |= {*old[1][i]}
+            cols["n_words"].append(n)
+            cols["hit_words"].append([{"first": a, "end": b} for a, b in ranges])
+            cols["hit_spans"].append([{"first": a, "end": b} for a, b in original_spans(text, ranges)])
+            cols["item_ids"].append(sorted(found))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *(pa.array(cols[n], t) for n, t in zip(names[2:], (pa.int64(), kind, kind, pa.list_(pa.string())), strict=True))], names)
+
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _passed(docs, _blocks(benchmark, window, max_broadcast), step)
+
+
+def uncontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``documents`` without the rows that hold a window of the benchmark; all columns are kept."""
-    kept = documents
-    for machine_of in _machines(documents.sparkSession, benchmark, window, MAX_BROADCAST):
 
-        def run(batches, machine_of=machine_of):
+    def step(df, block):
+        def run(batches):
             for batch in batches:
-                yield batch.filter(pa.array([not scan(machine_of(), t)[1] for t in as_bytes(batch.column("text"))], pa.bool_()))
+                machine = machine_of(*block)
+                yield batch.filter(pa.array([not machine.scan(t)[1] for t in as_bytes(batch.column("text"))], pa.bool_()))
+
+        return df.mapInArrow(run, documents.schema)
 
-        kept = kept.mapInArrow(run, documents.schema)
-    return kept
+    return _passed(documents, _blocks(benchmark, window, max_broadcast), step)
 
 
 def digest(found: DataFrame) -> DataFrame:
