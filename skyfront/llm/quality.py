@@ -12,8 +12,8 @@ Trained in numpy on a bounded sample of labelled rows (``SAMPLE``, by a seeded h
 doc_id); every text is then scored whole, passage by passage.
 
 Defined results: a null or empty text is one empty passage; rows with a null doc_id are scored
-but never learnt from; of repeated labels for a document the lowest counts; without labels of
-both kinds the score is the share of good ones for every text (1 without any).
+but never learnt from; of repeated labels for a document the lowest counts, of different texts
+with one doc_id the smallest is learnt from; without labels of both kinds the score is the share of good ones for every text (1 without any).
 """
 
 from __future__ import annotations
@@ -143,12 +143,19 @@ def gradients(p: dict, x: np.ndarray, first: np.ndarray, dy: np.ndarray, kept) -
     return g
 
 
-def train(texts: list[bytes], good: np.ndarray, steps: int = 250, rate: float = 0.02, seed: int = 4) -> Model:
+def train(texts: list[bytes], good: np.ndarray, **options) -> Model:
+    """:func:`learn` from whole texts."""
+    parts = [passages(part) for part in in_parts(texts)]
+    bags = [x for part, first in parts for x in np.split(part, first[1:])]
+    return learn(bags, good, **options)
+
+
+def learn(bags: list[np.ndarray], good: np.ndarray, steps: int = 250, rate: float = 0.02, seed: int = 4) -> Model:
+    """A model from each text's passages (their features) and whether the text is good."""
     if not len(good) or good.min() == good.max():
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), constant=float(good.mean()) if len(good) else 1.0)
-    parts = [passages(part) for part in in_parts(texts)]
-    sizes = np.cumsum([0, *(len(x) for x, _ in parts)])
-    x, first = np.concatenate([x for x, _ in parts]), np.concatenate([f + n for (_, f), n in zip(parts, sizes[:-1], strict=True)])
+    x = np.concatenate(bags)
+    first = np.cumsum([0, *map(len, bags[:-1])])
     mean, scale = x.mean(0), x.std(0) + 1e-2
     x = (x - mean) / scale
     r = np.random.default_rng(seed)
@@ -170,11 +177,27 @@ def train(texts: list[bytes], good: np.ndarray, steps: int = 250, rate: float =
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trains on at most ``sample`` labelled rows outside the held-out fold."""
-    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    """Trains on at most ``sample`` labelled rows outside the held-out fold. Texts are described on
+    the executors; the driver gets 92 bytes for each passage, none of the texts."""
+    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = bounded_sample(labels.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT), "doc_id", sample, 4)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return train([(r.text or "").encode() for r in rows], np.array([r.quality for r in rows], np.float32))
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+    def described(batches):
+        for batch in batches:
+            for part in in_parts(as_bytes(batch.column("text"))):
+                x, first = passages(part)
+                yield pa.array([b.tobytes() for b in np.split(x, first[1:])], pa.binary())
+
+    def run(batches):
+        for batch in batches:
+            bags = pa.chunked_array([*described([batch])], pa.binary()).combine_chunks()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), bags], ["doc_id", "quality", "bag"])
+
+    kind = rows.schema["quality"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"doc_id bigint, quality {kind}, bag binary").orderBy("doc_id").collect()
+    return learn([np.frombuffer(r.bag, np.float32).reshape(-1, N_FEATURES) for r in found], np.array([r.quality for r in found], np.float32))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
