@@ -95,6 +95,51 @@ def test_links_span_the_brute_force_components(spark, monkeypatch, block):
     assert classes(got) == classes(brute)
 
 
+def test_three_segments_with_one_differing_bit_each_share_a_key():
+    r = random.Random(14)
+    for _ in range(300):
+        x = r.getrandbits(64)
+        y = x ^ 1 << r.randrange(22) ^ 1 << 22 + r.randrange(21) ^ 1 << 43 + r.randrange(21)
+        a, b = (set(simhash.keys_of(np.array([v], np.uint64))[0].tolist()) for v in (x, y))
+        assert a & b
+
+
+def test_fingerprints_and_components_of_texts_against_brute_force(spark):
+    import xxhash
+
+    def fingerprint(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        found = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in found]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    r = random.Random(13)
+    rows = [(0, ""), (1, None), (2, " \n"), (3, "one"), (4, "One"), (5, "é \x00 É")]
+    for k in range(90):
+        words = rich(r, r.randrange(60, 240)).split()
+        for i in range(4):  # copies with a few changed words, most of which link, some over several steps
+            rows.append((10 + 4 * k + i, " ".join(words)))
+            words[r.randrange(len(words))] = r.choice(WORDS)
+    of = {i: fingerprint(t) for i, t in rows}
+    root = {i: i for i in of}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids, near = sorted(of), 0
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if 0 < (of[i] ^ of[j]).bit_count() <= 3:
+                near += 1
+            if (of[i] ^ of[j]).bit_count() <= 3:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.digest(simhash.near_duplicates(docs_of(spark, rows))).collect()}
+    assert near > 50 and got == {i: (f"{of[i]:016x}", find(i)) for i in of}
+
+
 def test_components_of_a_long_chain(spark):
     from skyfront.llm.components import components
 
@@ -161,6 +206,25 @@ def test_near_duplicate_stage_finds_all_pairs_of_similarity_08_to_09(spark):
     assert near >= 10 and got == brute_near(rows)
 
 
+def test_near_duplicate_stage_over_thousands_of_near_pairs(spark):
+    """Pairs from just below 0.8 to 0.97, each judged by its own similarity: nothing is lost."""
+    r = random.Random(17)
+    rows, wanted, near = [], [], 0
+    for k in range(2500):
+        text = [f"u{k}w{i}" for i in range(r.randrange(30, 120))]
+        other = list(text)
+        for at in r.sample(range(len(text)), r.randrange(1, 1 + max(1, len(text) // 30))):
+            other[at] = "new"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+        wanted.append(2 * k)
+        if simhash.jaccard(rows[-1][1].encode(), rows[-2][1].encode(), 5) >= 0.8:
+            near += 1
+        else:
+            wanted.append(2 * k + 1)
+    got = sorted(x.doc_id for x in simhash.deduplicated(docs_of(spark, rows)).collect())
+    assert near > 1400 and len(wanted) > 2600 and got == sorted(wanted)
+
+
 def test_near_copies_among_many_reordered_texts_are_found(spark, monkeypatch):
     """All have the same distinct words, and many share keys with a text that is unlike them."""
     r = random.Random(8)
@@ -569,6 +633,41 @@ def test_term_counts_and_prior_bound_against_plain_ones(spark):
     assert 0.1 <= toxicity.bound(first_p, first_u, 4) < 0.12
 
 
+def test_passages_against_plain_features():
+    r = random.Random(31)
+    texts = ["", " ", "a", "Aa Aa 12,", prose(r, 48), prose(r, 49) + "! \n", "é|#$%&*., x" * 30, "word\n" * 100, "  lead " + "B" * 20]
+    x, first = quality.passages([t.encode() for t in texts])
+    assert len(first) == len(texts)
+    ends = [*first[1:].tolist(), len(x)]
+    for t, a, b in zip(texts, first.tolist(), ends, strict=True):
+        words = re.split(rb"[ \t-\r]+", t.encode().strip(b" \t\n\x0b\x0c\r")) if t.strip() else []
+        assert b - a == max(1, -(-len(words) // quality.PASSAGE))
+        for k in range(a, b):
+            own = words[(k - a) * quality.PASSAGE : (k - a + 1) * quality.PASSAGE]
+            n = max(1, len(own))
+            again = sum(p == q for p, q in zip(words, words[1:], strict=False) if q is not None) if b - a == 1 else None
+            plain = [sum(map(len, own)) / n / 10, sum(len(w) == 1 for w in own) / n, sum(w[-1:] in b"!|#$%&*"[:7] and len(w) > 2 for w in own) / n, sum(w[:1].isupper() for w in own) / n, sum(len(w) > 14 for w in own) / n]
+            assert np.allclose(x[k, 17:22], plain, atol=1e-5), (t[:20], k)
+            assert np.isclose(x[k, 22], (len(own) if words else 1) / quality.PASSAGE)
+            if again is not None:
+                assert np.isclose(x[k, 16], again / n)
+            if b - a == 1:
+                data = t.encode() + b"\n"
+                share = lambda of: sum(c in of for c in data) / len(data)
+                assert np.allclose(x[k, [0, 1, 2, 3, 4]], [share(b"abcdefghijklmnopqrstuvwxyz"), share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b" \t\x0b\x0c\r"), share(b"\n")], atol=1e-5)
+                assert np.isclose(x[k, 5], sum(c >= 128 for c in data) / len(data), atol=1e-5)
+
+
+def test_repeated_ids_give_one_fit(spark):
+    """Which of a repeated doc_id's texts is learnt from does not depend on the order of rows."""
+    r = random.Random(2)
+    rows = [(i % 40, prose(r, 60) + ("!! ##" * 9 if i % 2 else "")) for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    probe = [prose(r, 30).encode(), b"!! ## !!"]
+    fits = [[quality.fit(df, labels).score(probe).tolist(), [toxicity.fit(df, labels).score(t) for t in probe]] for df in (docs_of(spark, rows), docs_of(spark, rows[::-1]).repartition(3))]
+    assert np.allclose(fits[0][0], fits[1][0], atol=1e-6) and np.allclose(fits[0][1], fits[1][1], atol=1e-6)
+
+
 def test_gradients_of_multiple_instance_learning():
     texts = [b"some words here " * 20, b"AN OTHER TEXT!! " * 9, b""]
     x, first = quality.passages(texts)
