@@ -53,28 +53,34 @@ def _cut(line: Column) -> Column:
     return F.split(F.replace(marked, F.lit(_END), F.lit("")), _MARK, -1)
 
 
-def _lines_of(text: Column) -> Column:
-    """Literal replacements and splits at one character: patterns give the same, but slower."""
+def _with_lines(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with ``_lines``. Literal replacements and splits at one character: patterns give the
+    same, but slower. ``_split`` is a column of its own so that it is made once."""
     marked = text
     for end in ("\n", ". ", "! ", "? "):
         marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
-    lines = F.split(marked, _MARK, -1)
     long = lambda x: F.octet_length(x) > LONG
-    lines = F.when(F.exists(lines, long), F.flatten(F.transform(lines, lambda x: F.when(long(x), _cut(x)).otherwise(F.array(x))))).otherwise(lines)
-    return F.when(F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_END)), F.split(text, _ENDS, -1)).otherwise(lines)
+    parts = F.flatten(F.transform("_split", lambda x: F.when(long(x), _cut(x)).otherwise(F.array(x))))
+    own_marks = F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_END))
+    lines = F.when(own_marks, F.split(text, _ENDS, -1)).when(F.exists("_split", long), parts).otherwise(F.col("_split"))
+    return df.withColumn("_split", F.split(marked, _MARK, -1)).withColumn("_lines", lines).drop("_split")
 
 
 def _windows(documents: DataFrame, min_chars: int) -> DataFrame:
     """_id, _key and one row per window: place, h1, h2."""
     bare = lambda x: F.trim(x, F.lit(_BLANKS))
-    rows = documents.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_key"), _lines_of(F.col("text")).alias("_lines")).where(F.size("_lines") >= WINDOW)
-    sizes = [F.transform("_lines", lambda x: F.length(bare(x))).alias("n")] if min_chars else []
-    hashed = rows.select("_id", "_key", F.transform("_lines", lambda x: F.xxhash64(bare(x))).alias("v"), *sizes)
-    three = lambda name, i: [F.get(name, i + k) for k in range(WINDOW)]
-    each = F.transform(F.sequence(F.lit(0), F.size("v") - WINDOW), lambda i: F.struct(i.alias("place"), F.xxhash64(*three("v", i)).alias("h1"), F.hash(*three("v", i)).alias("h2"), *([sum(three("n", i)[1:], three("n", i)[0]).alias("n")] if min_chars else [])))
+    rows = _with_lines(documents.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_key"), F.col("text").alias("_text")), F.col("_text"))
+    made = {"v": F.transform("_lines", lambda x: F.xxhash64(bare(x)))} | ({"n": F.transform("_lines", lambda x: F.length(bare(x)))} if min_chars else {})
+    hashed = rows.select("_id", "_key", *(c.alias(n) for n, c in made.items()))
+    n = F.size("v") - (WINDOW - 1)
+    zipped = F.arrays_zip(*(F.slice(c, F.lit(k + 1), n).alias(f"{c}{k}") for c in made for k in range(WINDOW)))
+    # an outer explode: from a plain one a filter is made that would split every text once more
+    each = hashed.select("_id", "_key", F.posexplode_outer(F.when(F.size("v") >= WINDOW, zipped)).alias("place", "w")).where("place IS NOT NULL")
+    if min_chars:
+        each = each.where(sum((F.col(f"w.n{k}") for k in range(1, WINDOW)), F.col("w.n0")) >= min_chars)
+    three = [F.col(f"w.v{k}") for k in range(WINDOW)]
     blank = F.xxhash64(*[F.xxhash64(F.lit(""))] * WINDOW)
-    windows = hashed.select("_id", "_key", F.explode(each).alias("w")).where(F.col("w.h1") != blank)
-    return (windows.where(F.col("w.n") >= min_chars) if min_chars else windows).select("_id", "_key", "w.place", "w.h1", "w.h2")
+    return each.select("_id", "_key", "place", F.xxhash64(*three).alias("h1"), F.hash(*three).alias("h2")).where(F.col("h1") != blank)
 
 
 def _removed(documents: DataFrame, min_chars: int) -> DataFrame:
@@ -97,12 +103,12 @@ def cut_rows(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     both = keyed.join(gone, (keyed["_key"] == gone["_gone_key"]) & keyed["_id"].eqNullSafe(gone["_gone_id"]), "left")
     text, hit = F.col("row.text"), F.col("_at").isNotNull()
     covered = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    both = both.select("row", F.when(hit, _lines_of(text)).alias("_lines"), covered.alias("_covered"))
+    both = _with_lines(both.select("row", covered.alias("_covered"), F.when(hit, text).alias("_text")), F.col("_text"))
     # set difference and lookups by place: time in proportion to the number of lines
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_covered")
     kept = F.array_join(F.transform(places, lambda i: F.get("_lines", i)), "")
     whole = F.col("_covered").isNull()
-    return both.select("row", F.when(whole, text).otherwise(kept).alias("text"), F.when(whole, 0).otherwise(F.size("_covered")).cast("bigint").alias("n_removed"))
+    return both.select("row", F.when(whole, F.col("row.text")).otherwise(kept).alias("text"), F.when(whole, 0).otherwise(F.size("_covered")).cast("bigint").alias("n_removed"))
 
 
 def without_repeats(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
