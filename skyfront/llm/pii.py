@@ -11,7 +11,7 @@ runs of one tag over the whole text are the spans, so a span may cross windows.
 if it passes its kind's check (digits, Luhn, parts, a domain) and overlaps no base span.
 
 Training is numpy only, on labelled spans: passages of a bounded sample of texts
-(``TRAIN_TEXTS``, by a seeded hash of doc_id) with the base's spans, and generated numbers and addresses
+(``TRAIN_TEXTS``, by a seeded hash of doc_id, ``TEXT_CHARS`` of each) with the base's spans, and generated numbers and addresses
 set into them at known places, among look-alikes that are none (dates, amounts, hex strings).
 
 A window whose scores prefer "none" everywhere by more than any transition can make up for is
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_TEXTS = 160
+TRAIN_TEXTS, TEXT_CHARS = 160, 20_000
 CORE, MARGIN = 224, 32
 HIDDEN, ALPHABET = 8, 130
 BATCH = 1024
@@ -280,7 +280,8 @@ class Tagger:
 
 def _examples(r: np.random.Generator) -> tuple[int, str]:
     """A generated entity (kind 0 to 3) or look-alike (-1)."""
-    n = lambda k: "".join(map(str, r.integers(0, 10, k)))
+    # numbers in texts are often round or repeat a digit
+    n = lambda k: str(int(r.integers(0, 10))) * k if r.random() < 0.15 else "".join(map(str, r.integers(0, 10, k)))
     pick = lambda *x: x[int(r.integers(len(x)))]
     letters = lambda a, b: "".join(chr(97 + int(c)) for c in r.integers(0, 26, int(r.integers(a, b))))
     kind = int(r.integers(-2, 4))
@@ -288,7 +289,8 @@ def _examples(r: np.random.Generator) -> tuple[int, str]:
         name = letters(3, 9) + pick("", ".", "_", "-") + pick("", letters(2, 7), n(2))
         at, dot = pick(("@", "."), (" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" @ ", " . "), (" (at) ", " (dot) "))
         name = name.rstrip("._-")
-        return 0, name + at + letters(3, 9) + dot + pick("com", "org", "net", "de", "io", "example" + dot + "com")
+        domain = letters(3, 9) + pick("", "", "-" + letters(2, 8), dot + letters(3, 8))
+        return 0, name + at + domain + dot + pick("com", "org", "net", "de", "io", "example" + dot + "com")
     if kind == 1:
         sep = pick(".", "[.]", " . ", " dot ", "(.)")
         return 1, sep.join(str(int(x)) for x in r.integers(0, 256, 4))
@@ -332,7 +334,7 @@ def training_windows(texts: list[str], count: int, length: int, seed: int = 10)
     return x, y
 
 
-def train(texts: list[str], windows: int = 6000, length: int = 80, batch: int = 100, epochs: int = 6, rate: float = 0.02) -> Tagger:
+def train(texts: list[str], windows: int = 10_000, length: int = 80, batch: int = 100, epochs: int = 7, rate: float = 0.02) -> Tagger:
     x, y = training_windows(texts, windows, length)
     tagger = Tagger.new()
     p = tagger.p
@@ -405,9 +407,14 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit(documents: DataFrame, texts: int = TRAIN_TEXTS) -> Tagger:
-    docs = documents.where("doc_id IS NOT NULL")
-    chosen = bounded_sample(docs.select("doc_id"), "doc_id", texts, 10).distinct()
-    return train([r.text or "" for r in docs.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").collect()])
+    """The tagger. ``texts`` bounds the labelled sample: passages of so many texts, of each the first
+    ``TEXT_CHARS`` characters after a place chosen by its hash, which come to the driver."""
+    docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    chosen = bounded_sample(docs.select("doc_id").distinct(), "doc_id", texts, 10)
+    # of a repeated doc_id the smallest text; a passage anywhere in a text, so that bytes are bounded too
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - TEXT_CHARS, F.lit(0)) + 1) + 1
+    return train([r.text for r in rows.select("doc_id", F.substring("text", at.cast("int"), F.lit(TEXT_CHARS)).alias("text")).orderBy("doc_id").collect()])
 
 
 def personal_data(documents: DataFrame, tagger: Tagger) -> DataFrame:
