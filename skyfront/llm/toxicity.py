@@ -189,7 +189,8 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unl
                 at.append(sorted(sent.value[2][t] for t in found if t in sent.value[2]))
             yield pa.RecordBatch.from_arrays([batch.column("positive"), batch.column("half"), pa.array(first, pa.int32()), pa.array(at, pa.list_(pa.int32()))], ["positive", "half", "first", "at"])
 
-    seen = rows.mapInArrow(places, "positive boolean, half int, first int, at array<int>").orderBy("positive", "half", "first", "at").collect()
+    # a bounded sample, in an order of its own whatever the order of tasks
+    seen = sorted(rows.mapInArrow(places, "positive boolean, half int, first int, at array<int>").collect(), key=lambda r: (r.positive, r.half, r.first, r.at))
     dropped(spark, path, counts_path)
     if not every:
         return none
