@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mapped, written
+from .common import as_bytes, dropped, mapped, written
 from .components import components
 from .golay import fuzzy_keys
 
@@ -392,23 +392,31 @@ def deduplicated(documents: DataFrame, words: int = STAGE_WORDS, similarity: flo
     keyed = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     # a row's text key is a function of the row
     texts = keyed.select(F.col("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    groups = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"))
-    member, _ = written(texts.join(groups, ["t1", "t2"]).select("doc_id", "node").distinct(), "members")
+    paths: list[str] = []
+
+    def kept(df, label):
+        df, path = written(df, label)
+        paths.append(path)
+        return df
+
+    # written, so that texts are dealt out anew to meet their group and a large one can be split
+    groups = kept(texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("node")), "text-groups")
+    member = kept(texts.join(groups, ["t1", "t2"]).select("doc_id", "node").distinct(), "members")
     own = member.where("doc_id = node").select("node")
     nodes = prefixes(keyed, words, similarity).join(own, F.col("doc_id") == F.col("node"), "left_semi")
     nodes = nodes.select(F.posexplode("keys").alias("pos", "key"), F.col("doc_id").alias("node"), "n").select("key", "node", "n", "pos")
 
     def linked(pairs, label):
-        pairs, _ = written(pairs.distinct(), label)
+        pairs = kept(pairs.distinct(), label)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted, _ = written(keyed.withColumnRenamed("doc_id", "node").join(ends, "node", "left_semi").distinct(), "wanted")
+        wanted = kept(keyed.withColumnRenamed("doc_id", "node").join(ends, "node", "left_semi").distinct(), "wanted")
         return verified(pairs, wanted, words, similarity)
 
-    first, _ = written(grouped(nodes, lambda *x: first_pairs(*x, similarity), "a bigint, b bigint, n int, pos int, key bigint, held boolean"), "first-pairs")
+    first = kept(grouped(nodes, lambda *x: first_pairs(*x, similarity), "a bigint, b bigint, n int, pos int, key bigint, held boolean"), "first-pairs")
     tree = components(linked(first.where("NOT held").select("a", "b"), "candidates"))
     held = first.where("held").select("key", F.col("a").alias("node"), "n", "pos").join(tree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = held.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_keys, _ = written(open_keys.select("key", F.ceil(F.col("count") / BLOCK).cast("bigint").alias("blocks")), "open-keys")
+    open_keys = kept(open_keys.select("key", F.ceil(F.col("count") / BLOCK).cast("bigint").alias("blocks")), "open-keys")
     if open_keys.count():
         # pairs of blocks, so that no task holds more than two blocks of a key
         block = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -417,7 +425,9 @@ def deduplicated(documents: DataFrame, words: int = STAGE_WORDS, similarity: flo
         more = linked(grouped(rest, lambda *x: pairs_in(*x, similarity), "a bigint, b bigint"), "more-candidates")
         tree = components(more.union(tree.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     gone = member.join(tree, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keeper")).where("doc_id <> keeper")
-    return documents.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*documents.columns)
+    gone, _ = written(gone.select("doc_id").distinct(), "dropped-ids")
+    dropped(documents.sparkSession, *paths)
+    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
