@@ -36,14 +36,14 @@ def planted(spark, tmp_path_factory):
         docs[i], kind[i] = " ".join(words), "first"
         words[-1] = "changed"
         docs[i + 1], kind[i + 1] = " ".join(words), "near"
-    item = rich(r, 40)
+    items = [rich(r, 40) for _ in range(4)]  # one each: line dedup would cut a passage that several share
     for i in range(330, 334):
-        docs[i], kind[i] = rich(r, 50) + " " + item.upper() + " " + rich(r, 50), "benchmark"
+        docs[i], kind[i] = rich(r, 50) + " " + items[i - 330].upper() + " " + rich(r, 50), "benchmark"
     path = tmp_path_factory.mktemp("planted")
     rows = [(i, t, "en", "src0", len(t)) for i, t in docs.items()]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
-    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path), docs, kind
 
 
