@@ -1,8 +1,10 @@
 """Skylines, hypervolume and what is built on them. All objectives are maximised.
 
-The two-objective skyline is a running maximum over a descending sort. Before the sort, a
-salted local pass leaves only rows that are undominated among their salt, so the final
-window, even over one group that holds all rows, sees the salts' fronts and no more.
+The two-objective skyline is a running maximum over a descending sort. By group, a salted local
+pass before the sort leaves only rows that are undominated among their salt, so the final
+window sees the salts' fronts and no more. Without groups, ranges of the first objective take
+the place of salts: a row is on the front if it is on its range's front and above the best of
+all higher ranges, so no task ever holds the whole front.
 Rows with a null objective belong to no front and dominate nothing.
 """
 
@@ -16,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stats import _bucket
+
 SALTS = 64
 
 
@@ -29,13 +33,28 @@ def front_values(df: DataFrame, y1: str, y2: str, by: Sequence[str] = (), salts:
     points = df.where(F.col(y1).isNotNull() & F.col(y2).isNotNull()).select(*by, F.col(y1).alias("_a"), F.col(y2).alias("_b"))
     # best y2 of each y1 first: combined on the map side, it removes most rows before any sort
     best = points.groupBy(*by, "_a").agg(F.max("_b").alias("_b"))
+    if not by:
+        best = best.withColumn("_k", _bucket(best, "_a"))
+        top = best.groupBy("_k").agg(F.max("_b").alias("_t"))
+        # one row for each range
+        higher = F.max("_t").over(W.orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, -1))
+        top = F.broadcast(top.select("_k", higher.alias("_h")))
+        best = best.withColumn("_m", _best_before(["_k"])).where("_m IS NULL OR _b > _m").join(top, "_k").where("_h IS NULL OR _b > _h")
+        return best.select(F.col("_a").alias(y1), F.col("_b").alias(y2))
     best = best.withColumn("_s", F.pmod(F.xxhash64("_a"), F.lit(salts)))
     for keys in ([*by, "_s"], list(by)):
-        top = _best_before(keys) if keys else _best_before([F.lit(0)])
-        best = best.withColumn("_m", top).where("_m IS NULL OR _b > _m").drop("_m")
+        best = best.withColumn("_m", _best_before(keys)).where("_m IS NULL OR _b > _m").drop("_m")
     return best.select(*by, F.col("_a").alias(y1), F.col("_b").alias(y2))
 
 
+def front_diameter(df: DataFrame, y1: str, y2: str) -> DataFrame:
+    """The greatest distance between two points of the front, as ``diameter``. Along a front one
+    objective rises as the other falls, so its two ends are farthest apart; 0 without points."""
+    front = front_values(df, y1, y2)
+    spans = [F.max(y) - F.min(y) for y in (y1, y2)]
+    return front.agg(F.coalesce(F.sqrt(spans[0] * spans[0] + spans[1] * spans[1]), F.lit(0.0)).alias("diameter"))
+
+
 def skyline(df: DataFrame, y1: str, y2: str, by: Sequence[str] = (), keep_duplicates: bool = True, id_col: str | None = None) -> DataFrame:
     """The rows on each group's front. Copies of a front point are all kept, or with
     ``keep_duplicates=False`` the one with the lowest ``id_col``."""

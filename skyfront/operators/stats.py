@@ -272,6 +272,30 @@ def pair_distances(df: DataFrame, id_col: str, vector: str, ordered: bool = True
     return a.join(b, on).select("i", "j", distance("u", "v").alias("d"))
 
 
+def diversity_by(df: DataFrame, label: str, id_col: str, vector: str, block: int = 1024) -> DataFrame:
+    """label and diversity: the mean distance of all pairs of a label's rows, 0 for a single row. A
+    large label is split into blocks that meet in pairs, a group each; one sum leaves a group."""
+    sizes = df.groupBy(label).agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+    own = F.pmod(F.xxhash64(id_col), F.col("_n"))
+    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1), lambda j: F.struct(F.least(j, F.col("_own")).alias("l"), F.greatest(j, F.col("_own")).alias("r")))
+    rows = df.join(sizes, label).withColumn("_own", own).select(F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"), "_own", F.explode(meets).alias("m")).select("label", "v", "_own", "m.l", "m.r")
+
+    def summed(key, pdf):
+        import pandas as pd
+
+        left = np.stack(pdf["v"].to_numpy())
+        within = key[1] == key[2]
+        mine = pdf["_own"].to_numpy() == key[1]
+        a, b = (left, left) if within else (left[mine], left[~mine])
+        total = sum(float(np.sqrt(((x - b) ** 2).sum(1)).sum()) for x in a)
+        n = len(a) * (len(a) - 1) // 2 if within else len(a) * len(b)
+        return pd.DataFrame({"label": [key[0]], "s": [total / 2 if within else total], "n": [n]})
+
+    kind = df.schema[label].dataType.simpleString()
+    parts = rows.groupBy("label", "l", "r").applyInPandas(summed, f"label {kind}, s double, n bigint")
+    return parts.groupBy(F.col("label").alias(label)).agg(F.coalesce(F.sum("s") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("diversity"))
+
+
 def nearest_rows(queries: DataFrame, pool: DataFrame, id_col: str, vector: str, block: int = 2048, itself: bool = False) -> DataFrame:
     """id, near and d: each query's nearest row of the pool, other than the one with its id unless
     ``itself``, ties to the lowest id; near is null where there is none.

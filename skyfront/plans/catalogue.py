@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..config import ALPHABET
 from ..functions import text as fx
-from ..functions.vectors import distance  # noqa: F401
 from ..operators import campaign, cards, ingest, latents, pareto, select, stats, surrogate
 from ..sources import tables
 from ..sources.scratch import scratch_path
@@ -326,16 +325,12 @@ def a6_closest_pair(spark, sf_dir):
 
 @query("a5_diversity", f"SELECT a.label, round(avg({_DIST}), 6) AS diversity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label GROUP BY a.label")
 def a5_diversity(spark, sf_dir):
-    p = b.points(spark, sf_dir)
-    other = p.select(F.col("id").alias("j"), F.col("x").alias("v"), "label")
-    d = p.join(other, "label").where("id < j").select("label", distance("x", "v").alias("d"))
-    return d.groupBy("label").agg(r(F.avg("d")).alias("diversity"))
+    return stats.diversity_by(b.points(spark, sf_dir), "label", "id", "x").select("label", r("diversity").alias("diversity"))
 
 
 @query("a8_front_diameter", f"WITH {PARTS}, f AS ({front_sql('p')}) SELECT round(max(sqrt((a.y1 - b.y1) ** 2 + (a.y2 - b.y2) ** 2)), 6) AS diameter FROM f a, f b")
 def a8_front_diameter(spark, sf_dir):
-    front = pareto.skyline(b.parts(spark, sf_dir), "y1", "y2").select("id", F.array("y1", "y2").alias("x"))
-    return stats.pair_distances(front, "id", "x").agg(r(F.coalesce(F.max("d"), F.lit(0.0))).alias("diameter"))
+    return pareto.front_diameter(b.parts(spark, sf_dir), "y1", "y2").select(r("diameter").alias("diameter"))
 
 
 @query("g4_farthest_points", _farthest_sql(12, 0))

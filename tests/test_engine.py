@@ -462,3 +462,19 @@ def test_seeding():
 
     a = (seed_everything(5).random(), random.random(), np.random.random())
     assert a == (seed_everything(5).random(), random.random(), np.random.random())
+
+
+def test_diversity_in_blocks_and_the_front_s_diameter(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, "a" if i < 50 else "b" if i < 59 else "c", r.random(3).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, label string, x array<double>")
+    pairs = lambda v: [np.linalg.norm(p - q) for k, p in enumerate(v) for q in v[:k]] or [0.0]
+    wanted = {k: np.mean(pairs([np.array(x) for _, g, x in rows if g == k])) for k in "abc"}
+    for block in (1024, 7):
+        got = {x.label: x.diversity for x in stats.diversity_by(df, "label", "id", "x", block).collect()}
+        assert got == pytest.approx(wanted)
+    points = [(i, float(x), float(20 - x * x / 20 - (i % 3 == 0))) for i, x in enumerate(r.integers(0, 20, 200))]
+    table = spark.createDataFrame(points, "id bigint, y1 double, y2 double")
+    front = [tuple(x) for x in pareto.skyline(table, "y1", "y2").select("y1", "y2").distinct().collect()]
+    assert len(front) > 8 and pareto.front_diameter(table, "y1", "y2").first().diameter == pytest.approx(max(pairs(np.array(front))))
+    assert pareto.front_diameter(table.limit(0), "y1", "y2").first().diameter == 0
