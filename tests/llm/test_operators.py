@@ -598,7 +598,7 @@ def test_toxicity_on_held_out_labels(spark, size, recall, wrong, positives_only)
 
 def test_non_negative_risk_and_its_gradient_against_plain_ones():
     r = np.random.default_rng(3)
-    xp, xu, w, b = (r.random((40, 5)) < 0.5).astype(float), (r.random((90, 5)) < 0.3).astype(float), r.standard_normal(5), -0.4
+    xp, xu, w, b = (r.random((40, 5)) < 0.5).astype(float), (r.random((90, 5)) < 0.3).astype(float), 3 * np.abs(r.standard_normal(5)), -0.4
     kinds = set()
     for prior in (0.05, 0.9):
         plus = lambda z: sum(math.log(1 + math.exp(-t)) for t in z) / len(z)
