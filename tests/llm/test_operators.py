@@ -906,12 +906,15 @@ FORMS = [
 ]
 
 
-def test_added_spans_on_written_out_forms_and_plain_texts(tagger):
-    """Recall on forms written by hand, and false spans on texts with dates, sums and codes."""
+def test_added_spans_on_written_out_forms_and_plain_texts(spark, tagger):
+    """Recall on forms written by hand, and false spans on texts with dates, sums and codes, as the
+    query trains its tagger. One trained on other texts may find fewer forms (README), but no
+    more false spans."""
+    plainly, tagger = tagger, pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     luhn_ok = [(k, t) for k, t in FORMS if "3400_0000" not in t]
     found = [any(pii.KINDS[kind] == k for _, kind, _ in every) for (k, t), (_, every) in zip(luhn_ok, pii.detect([t for _, t in luhn_ok], tagger), strict=True)]
     assert np.mean(found) >= 0.6
     r = random.Random(41)
     plain = [prose(r, 40) + f" in {r.randrange(1900, 2030)} on {r.randrange(1, 29)}/{r.randrange(1, 13)}/{r.randrange(1990, 2030)} for ${r.randrange(1000)}.{r.randrange(10, 99)} (v{r.randrange(9)}.{r.randrange(99)}) " + prose(r, 20) for _ in range(60)]
-    false = sum(len(every) for _, every in pii.detect(plain, tagger))
-    assert false <= 2
+    for t in (tagger, plainly):
+        assert sum(len(every) for _, every in pii.detect(plain, t)) <= 2
