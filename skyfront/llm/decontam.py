@@ -7,7 +7,7 @@ window). All windows go into one automaton, whose symbols are words: numbers of
 benchmark's words, and 0 for any other. Each text runs through it once.
 
 A worker process builds the automaton once, from the broadcast item texts, and keeps it from task
-to task. Items are broadcast only up to ``max_broadcast`` bytes (about 100 bytes of automaton for
+to task. Items are broadcast only up to ``max_broadcast`` bytes (about 150 bytes of automaton for
 each): a larger benchmark is split by item into blocks of that size, which pass over the texts
 one after the other, a written table between them, so that only one block is held at a time.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, dropped, written
 
 WINDOW = 10
-MAX_BROADCAST = 4 << 20
+MAX_BROADCAST = 2 << 20
 
 _UPPER = range(0x41, 0x5B)
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
