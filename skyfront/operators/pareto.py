@@ -34,7 +34,7 @@ def front_values(df: DataFrame, y1: str, y2: str, by: Sequence[str] = (), salts:
     # best y2 of each y1 first: combined on the map side, it removes most rows before any sort
     best = points.groupBy(*by, "_a").agg(F.max("_b").alias("_b"))
     if not by:
-        best = best.withColumn("_k", _bucket(best, "_a"))
+        best = best.withColumn("_k", _bucket(points, "_a"))
         top = best.groupBy("_k").agg(F.max("_b").alias("_t"))
         # one row for each range
         higher = F.max("_t").over(W.orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, -1))

@@ -42,14 +42,26 @@ def dimensions(df: DataFrame, id_col: str, vector: str, first: int | None = None
     return df.select(id_col, F.posexplode(v.cast("array<double>")).alias("dim", "value"))
 
 
+def _at_most(cuts: Sequence[float], x: Column) -> Column:
+    """How many of the sorted ``cuts`` are at most ``x``, by halving: seven comparisons for 128 ranges."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(x < F.lit(cuts[middle]), between(low, middle)).otherwise(between(middle + 1, high))
+
+    return F.when(x.isNull(), 0).otherwise(between(0, len(cuts)))
+
+
 def _bucket(df: DataFrame, column: str, buckets: int = 128) -> Column:
     """A range of ``column`` for each row, by approximate quantiles: ranges are ordered like the
     values, equal values share one, and each but for heavy values holds a like number of rows."""
-    cuts = df.agg(F.percentile_approx(F.col(column).cast("double"), [k / buckets for k in range(1, buckets)], 10_000).alias("q")).first().q or []
+    cuts = df.agg(F.percentile_approx(F.col(column).cast("double"), [k / buckets for k in range(1, buckets)], 2000).alias("q")).first().q or []
     cuts = sorted(set(cuts))
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda x: x <= F.col(column)))
+    return _at_most(cuts, F.col(column).cast("double"))
 
 
 def _offsets(df: DataFrame, n: Column) -> DataFrame:
@@ -137,7 +149,7 @@ def _kth(df: DataFrame, ranks: Sequence[int]) -> dict[int, float]:
                 at += v.n
             continue
         cuts = sorted(set(r.q))
-        bin_ = sum((F.when(F.col("x") > c, 2).when(F.col("x") == c, 1).otherwise(0) for c in cuts), F.lit(0))
+        bin_ = 2 * _at_most(cuts, F.col("x")) - F.col("x").isin(*cuts).cast("int")
         at = before
         for v in rows.groupBy(bin_.alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy("k").collect():
             own = [p for p in places if at <= p < at + v.n]
