@@ -14,8 +14,8 @@ Training is numpy only, on labelled spans: passages of a bounded sample of texts
 (``TRAIN_TEXTS``, by a seeded hash of doc_id, ``TEXT_CHARS`` of each) with the base's spans, and generated numbers and addresses
 set into them at known places, among look-alikes that are none (dates, amounts, hex strings).
 
-A window whose scores prefer "none" everywhere by more than any transition can make up for is
-not decoded further: the path without a span is then the best one (see ``Tagger.tags``).
+A window is decoded only where a span can be, which is exact (see :func:`detect`). One whose scores prefer "none" everywhere by more than any transition can make up for is
+not decoded further either: the path without a span is then the best one (see ``Tagger.tags``).
 
 Defined results: a null text is empty and has no spans; offsets are code points, the end
 exclusive; rows with a null doc_id and repeated rows are scanned like any other.
@@ -39,6 +39,8 @@ TRAIN_TEXTS, TEXT_CHARS = 160, 20_000
 CORE, MARGIN = 224, 32
 HIDDEN, ALPHABET = 8, 130
 BATCH = 1024
+#: Characters of texts that are searched at a time.
+PART_CHARS = 2_000_000
 
 # The base's patterns. An email is found from its @, see emails(). An address is
 # looked for at the first digit of a run only: a later start would fail where the first one
@@ -384,20 +386,48 @@ def found_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -
     return out
 
 
+#: Every span that passes its kind's check holds a digit, an @ or a spelled "at".
+_SPELLED = re.compile(r"(?<![A-Za-z0-9])at(?![A-Za-z0-9])", re.I)
+
+
+def _to_read(text: str, ids: np.ndarray) -> np.ndarray:
+    """The windows of a text whose core holds a character that every found span needs."""
+    marks = np.flatnonzero((ids >= 0x30) & (ids <= 0x39) | (ids == 0x40))
+    spelled = [p for m in _SPELLED.finditer(text) for p in (m.start(), m.end() - 1)]
+    return np.unique(np.concatenate((marks, np.array(spelled, np.int64))) // CORE)
+
+
 def detect(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text; spans are (start, kind, end)."""
+    """(base spans, all spans) of each text; spans are (start, kind, end).
+
+    Only windows that can be part of a span are decoded, which changes no result: a span is a run
+    of one tag, and one that passes holds a digit, an @ or a spelled "at" (see :func:`passes`). So
+    windows with one of these are decoded first, then, as long as a run reaches a decoded window's
+    edge, the window beyond it. Every run with such a character is decoded whole; a run without one
+    would not pass.
+    """
     ids = [symbols(t) for t in texts]
     views = [windows_of(i) for i in ids]
-    counts = [len(v) for v in views]
-    rows = np.concatenate(views) if views and sum(counts) else np.empty((0, CORE + 2 * MARGIN), np.int64)
-    tags = np.zeros((len(rows), CORE), np.int8)
-    for at in range(0, len(rows), BATCH):
-        tags[at : at + BATCH] = tagger.tags(rows[at : at + BATCH])[:, MARGIN : MARGIN + CORE]
-    out, at = [], 0
-    for text, n in zip(texts, counts, strict=True):
+    counts = np.array([len(v) for v in views], np.int64)
+    first = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(texts)), counts)
+    tags, done = np.zeros((len(owner), CORE), np.int8), np.zeros(len(owner), bool)
+    todo = np.concatenate([np.empty(0, np.int64), *(first[k] + _to_read(t, i) for k, (t, i) in enumerate(zip(texts, ids, strict=True)))])
+    while len(todo):
+        for at in range(0, len(todo), BATCH):
+            some = todo[at : at + BATCH]
+            rows = np.stack([views[k][w] for k, w in zip(owner[some].tolist(), (some - first[owner[some]]).tolist(), strict=True)])
+            tags[some] = tagger.tags(rows)[:, MARGIN : MARGIN + CORE]
+        done[todo] = True
+        after, before = todo[tags[todo, -1] != 0], todo[tags[todo, 0] != 0]
+        after = after[after + 1 < first[owner[after]] + counts[owner[after]]] + 1
+        before = before[before > first[owner[before]]] - 1
+        todo = np.union1d(after, before)
+        todo = todo[~done[todo]]
+    out = []
+    for text, at, n in zip(texts, first.tolist(), counts.tolist(), strict=True):
         base = base_spans(text)
         whole = tags[at : at + n].ravel()[: len(text)]
-        at += n
         out.append((base, sorted(base + found_spans(text, whole, base))))
     return out
 
@@ -428,7 +458,7 @@ def personal_data(documents: DataFrame, tagger: Tagger) -> DataFrame:
             first, size, cut = 0, 0, []
             for i, t in enumerate(texts):
                 size += len(t.as_py() or "")
-                if size > 400_000:
+                if size > PART_CHARS:
                     cut.append((first, i + 1))
                     first, size = i + 1, 0
             for a, b in [*cut, (first, len(texts))]:

@@ -888,6 +888,28 @@ def test_windows_are_reconciled(tagger):
     assert found >= 2
 
 
+def test_windows_that_are_not_read_change_no_result(tagger):
+    """Against decoding every window, over texts with spans, runs over edges, and a tagger that sees spans everywhere."""
+    g, r = np.random.default_rng(5), random.Random(5)
+
+    def every_window(text, t):
+        rows = pii.windows_of(pii.symbols(text))
+        tags = np.concatenate([t.tags(rows)[:, pii.MARGIN : pii.MARGIN + pii.CORE].ravel()[: len(text)] if len(rows) else np.empty(0, np.int8)])
+        base = pii.base_spans(text)
+        return base, sorted(base + pii.found_spans(text, tags, base))
+
+    texts = ["", "a", "at", "x" * 500 + "@" + "y" * 500 + ".com", "+1" + " " * 600 + "234567890 1", "é @ ü . de", "name at host dot com"]
+    for _ in range(40):
+        words = prose(r, r.randrange(5, 300)).split()
+        for _ in range(r.randrange(4)):
+            words.insert(r.randrange(len(words)), pii._examples(g)[1])
+        texts.append(" ".join(words))
+    eager = pii.Tagger({**tagger.p, "o": tagger.p["o"] - np.array([6, 0, 0, 0, 0], np.float32)})
+    for t in (tagger, eager):
+        assert pii.detect(texts, t) == [every_window(x, t) for x in texts]
+    assert any(len(every) > len(base) for base, every in pii.detect(texts, eager))
+
+
 FORMS = [
     # forms of personal data that the training generator does not make, and a span's kind
     ("email", "write to maria.lopez @ uni-hamburg . de today"),
