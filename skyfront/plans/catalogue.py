@@ -687,7 +687,7 @@ def a17_campaign_metrics(spark, sf_dir):
     return m.select("team", *(r(c, 4).alias(c) for c in ("auc_hv", "final_hv", "mean_gain")), r("angular_spread").alias("angular_spread"), "region_coverage", "n_nondominated")
 
 
-@query("a33_seed_winners", f"WITH {_FACTS} SELECT seed, strategy, round(auc_hv, 6) AS auc_hv FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY auc_hv DESC, strategy) AS n FROM f) WHERE n = 1")
+@query("a33_seed_winners", f"WITH {_FACTS} SELECT seed, strategy, round(auc_hv, 6) AS auc_hv FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY auc_hv DESC, strategy) AS k FROM f) WHERE k = 1")
 def a33_seed_winners(spark, sf_dir):
     return campaign.seed_winners(_facts(spark, sf_dir)).withColumn("auc_hv", r("auc_hv"))
 
