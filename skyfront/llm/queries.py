@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lines, lm, packing, pii, quality, simhash, tiff, toxicity
+from . import audit, chat, decontam, lines, lm, packing, pii, quality, simhash, tiff, toxicity
 from .common import read
 
 
@@ -61,6 +61,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(docs, pii.fit(docs))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return audit.audit(docs, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_decontamination": op2_decontamination,
@@ -72,10 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontam.ORACLE,
     "op6_line_dedup": lines.ORACLE,
     "op8_chat": chat.ORACLE,
+    "op11_filter_audit": audit.ORACLE,
 }
