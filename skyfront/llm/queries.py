@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, chat, decontam, lines, lm, packing, pii, quality, simhash, tiff, toxicity
+from . import align, audit, bpe, chat, decontam, lines, lm, packing, pii, quality, simhash, tiff, toxicity
 from .common import read
 
 
@@ -66,6 +66,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(docs, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encoded(read(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("word_bpe_49k.json")))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(read(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer(), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_decontamination": op2_decontamination,
@@ -78,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
     "op11_filter_audit": op11_filter_audit,
+    "op12_bpe": op12_bpe,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
