@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance
+from ..sources.scratch import written
 
 
 def zscore(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -54,37 +55,40 @@ def _at_most(cuts: Sequence[float], x: Column) -> Column:
     return F.when(x.isNull(), 0).otherwise(between(0, len(cuts)))
 
 
-def _bucket(df: DataFrame, column: str, buckets: int = 128) -> Column:
-    """A range of ``column`` for each row, by approximate quantiles: ranges are ordered like the
-    values, equal values share one, and each but for heavy values holds a like number of rows."""
-    cuts = df.agg(F.percentile_approx(F.col(column).cast("double"), [k / buckets for k in range(1, buckets)], 2000).alias("q")).first().q or []
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    return _at_most(cuts, F.col(column).cast("double"))
+def ranged(df: DataFrame, *columns: str, ranges: int | None = None, also: Mapping[str, Column] | None = None) -> DataFrame:
+    """``df`` dealt to ranges of ``columns`` that are ordered like their values, as _k, with the columns
+    ``also`` made there. Spark samples where ranges end: as many as shuffles have partitions, fewer
+    for few rows, or ``ranges``. Written, so that every reading finds a row in the same range."""
+    dealt = df.repartitionByRange(ranges, *columns) if ranges else df.repartitionByRange(*columns)
+    return written(dealt.withColumns({"_k": F.spark_partition_id(), **(also or {})}), "ranges")[0]
 
 
 def _offsets(df: DataFrame, n: Column) -> DataFrame:
-    """For each _k the sum of n in the ranges before it; a bounded number of rows."""
+    """For each _k the sum of n in the ranges before it; a row for each range."""
     sums = df.groupBy("_k").agg(F.sum(n).alias("_t"))
     return F.broadcast(sums.select("_k", (F.sum("_t").over(W.orderBy("_k")) - F.col("_t")).alias("_o")))
 
 
 def ordinal_rank(df: DataFrame, column: str, tie: str, name: str) -> DataFrame:
-    """``df`` with the 1-based rank by (column, tie), without a single-partition sort."""
-    keyed = df.withColumn("_k", _bucket(df, column))
-    local = F.row_number().over(W.partitionBy("_k").orderBy(column, tie))
-    return keyed.withColumn("_r", local).join(_offsets(keyed, F.lit(1)), "_k").withColumn(name, F.col("_r") + F.col("_o")).drop("_k", "_r", "_o")
+    """``df`` with the 1-based rank by (column, tie). Rows are dealt to ranges and sorted there once; a
+    row's place in its range is in the number that Spark gives it, so no window shuffles them again."""
+    dealt = df.repartitionByRange(column, tie).sortWithinPartitions(column, tie).withColumn("_at", F.monotonically_increasing_id())
+    rows = written(dealt, "ranks")[0].withColumns({"_k": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    return rows.join(_offsets(rows, F.lit(1)), "_k").withColumn(name, F.col("_at") + F.col("_o") + 1).drop("_k", "_at", "_o")
+
+
+#: Distinct values whose ranks may be broadcast.
+FEW_RANKS = 100_000
 
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` with the average rank of its ties. Distinct values are ranked, not rows, so a
-    value that many rows share costs one row."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    keyed = counts.withColumn("_k", _bucket(df, column))
+    """``df`` with the average rank of its ties. Distinct values are ranked, not rows, so a value
+    that many rows share costs one row; the ranks of few values are broadcast."""
+    keyed = ranged(df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")), column)
     below = F.sum("_n").over(W.partitionBy("_k").orderBy(column)) - F.col("_n")
     ranked = keyed.withColumn("_b", below).join(_offsets(keyed, F.col("_n")), "_k")
-    return df.join(ranked.select(column, (F.col("_o") + F.col("_b") + (F.col("_n") + 1) / 2).alias(name)), column)
+    ranks = ranked.select(column, (F.col("_o") + F.col("_b") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(F.broadcast(ranks) if keyed.count() <= FEW_RANKS else ranks, column)
 
 
 def spearman(df: DataFrame, a: str, b: str, id_col: str, ties: str = "average") -> DataFrame:

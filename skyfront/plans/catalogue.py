@@ -109,6 +109,29 @@ def a3_hypervolume_3d(spark, sf_dir):
     return pareto.hypervolume_nd(rows, ["a", "b", "c"], (0.0, 0.0, 0.0), "id").select(r("hv", 2).alias("hv"))
 
 
+_SLABS_4D = (
+    "p AS (SELECT l_extendedprice AS y1, l_quantity AS y2, l_discount AS c, l_tax AS d FROM lineitem), "
+    "kc AS (SELECT c, c - lag(c, 1, 0) OVER (ORDER BY c) AS dc FROM (SELECT DISTINCT c FROM p WHERE c > 0)), kd AS (SELECT d, d - lag(d, 1, 0) OVER (ORDER BY d) AS dd FROM (SELECT DISTINCT d FROM p WHERE d > 0)), "
+    "x AS (SELECT kc.c AS level, kd.d AS below, dc * dd AS depth, y1, y2 FROM p JOIN kc ON p.c >= kc.c JOIN kd ON p.d >= kd.d)"
+)
+
+
+@query("a3_hypervolume_4d", f"WITH {_SLABS_4D}, h AS ({hv_sql('x', ('level', 'below', 'depth'), (0.0, 0.0))}) SELECT round(sum(hv * depth), 2) AS hv FROM h")
+def a3_hypervolume_4d(spark, sf_dir):
+    rows = _line_values(spark, sf_dir)
+    return pareto.hypervolume_nd(rows, ["a", "b", "c", "d"], (0.0, 0.0, 0.0, 0.0), "id").select(r("hv", 2).alias("hv"))
+
+
+def _line_values(spark, sf_dir):
+    """Four objectives of order lines, with a number for each line."""
+    return b.table(spark, sf_dir, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_extendedprice").alias("a"), F.col("l_quantity").alias("b"), F.col("l_discount").alias("c"), F.col("l_tax").alias("d"))
+
+
+@query("a1_pareto_front_4d", "WITH p AS (SELECT DISTINCT l_extendedprice AS a, l_quantity AS b, l_discount AS c, l_tax AS d FROM lineitem) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.a >= p.a AND q.b >= p.b AND q.c >= p.c AND q.d >= p.d AND (q.a > p.a OR q.b > p.b OR q.c > p.c OR q.d > p.d))")
+def a1_pareto_front_4d(spark, sf_dir):
+    return pareto.skyline_nd(_line_values(spark, sf_dir), ["a", "b", "c", "d"], "id").select("a", "b", "c", "d").distinct()
+
+
 _HISTORY = f"{TEAMS}, k AS (SELECT DISTINCT team, rnd FROM t), c AS (SELECT k.team, k.rnd, t.y1, t.y2 FROM k JOIN t ON k.team = t.team AND t.rnd <= k.rnd), h AS ({hv_sql('c', ('team', 'rnd'), (0.0, 0.0))}), hist AS (SELECT k.team, k.rnd, coalesce(hv, 0) AS hv FROM k LEFT JOIN h ON k.team = h.team AND k.rnd = h.rnd)"
 
 
@@ -139,8 +162,7 @@ def w2_staircase(spark, sf_dir):
 
 @query("w5_fronts_by_round", f"WITH {TEAMS}, k AS (SELECT DISTINCT team, rnd FROM t), c AS (SELECT DISTINCT k.team, k.rnd, t.y1, t.y2 FROM k JOIN t ON k.team = t.team AND t.rnd <= k.rnd) {front_sql('c', ('team', 'rnd'))}")
 def w5_fronts_by_round(spark, sf_dir):
-    c = pareto.cumulative_rounds(b.teams(spark, sf_dir), "team", "rnd", "y1", "y2")
-    return pareto.front_values(c, "y1", "y2", ["team", "rnd"])
+    return pareto.front_history(b.teams(spark, sf_dir), "team", "rnd", "y1", "y2")
 
 
 @query("v2_front_plot", f"WITH {PARTS}, f AS ({front_sql('p', ('grp',))}) SELECT p.id, p.grp, p.y1, p.y2, CASE WHEN f.id IS NOT NULL THEN 'front' WHEN p.y2 >= 25 THEN 'large' ELSE 'dominated' END AS class FROM p LEFT JOIN f ON p.id = f.id")
