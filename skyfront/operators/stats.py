@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import distance
 from ..sources.scratch import written
+from .near import nearest_rows
 
 
 def zscore(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -312,48 +313,6 @@ def diversity_by(df: DataFrame, label: str, id_col: str, vector: str, block: int
     return parts.groupBy(F.col("label").alias(label)).agg(F.coalesce(F.sum("s") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("diversity"))
 
 
-def nearest_rows(queries: DataFrame, pool: DataFrame, id_col: str, vector: str, block: int = 2048, itself: bool = False) -> DataFrame:
-    """id, near and d: each query's nearest row of the pool, other than the one with its id unless
-    ``itself``, ties to the lowest id; near is null where there is none.
-
-    Blocks of rows meet pairwise in numpy: memory stays within two blocks, and every pair of
-    blocks is a task's group of its own. All pairs are compared, which is the exact definition;
-    what leaves a pair of blocks is one row per query.
-    """
-
-    def side(df: DataFrame, blocks: int, other: int, own: str, theirs: str, asks: bool) -> DataFrame:
-        rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-        return rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs), F.lit(asks).alias("_q"))
-
-    n = [max(1, -(-df.count() // block)) for df in (queries, pool)]
-    left = side(queries, n[0], n[1], "_l", "_r", True).select("id", "v", "_l", "_r", "_q")
-    right = side(pool, n[1], n[0], "_r", "_l", False).select("id", "v", "_l", "_r", "_q")
-
-    def nearest(pdf):
-        import pandas as pd
-
-        q, p = pdf[pdf["_q"]], pdf[~pdf["_q"]].sort_values("id")
-        if not len(q):
-            return pd.DataFrame({"id": [], "near": [], "d": []}).astype({"id": "int64", "near": "float64", "d": "float64"})
-        a, ids = np.stack(q["v"].to_numpy()), q["id"].to_numpy()
-        near, out = np.full(len(a), np.nan), np.full(len(a), np.inf)
-        if len(p):
-            b, names = np.stack(p["v"].to_numpy()), p["id"].to_numpy()
-            for i in range(0, len(a), 64):
-                d = np.sqrt(((a[i : i + 64, None] - b[None]) ** 2).sum(2))
-                if not itself:
-                    d[ids[i : i + 64, None] == names[None]] = np.inf
-                k = d.argmin(1)
-                out[i : i + 64] = d[np.arange(len(k)), k]
-                near[i : i + 64] = names[k]
-        near[np.isinf(out)] = np.nan
-        return pd.DataFrame({"id": ids, "near": pd.array(near, "Float64").astype("Int64") if len(near) else near, "d": out})
-
-    met = left.unionByName(right).groupBy("_l", "_r").applyInPandas(nearest, "id bigint, near bigint, d double")
-    best = met.groupBy("id").agg(F.min(F.struct(F.col("d"), F.col("near"))).alias("m"))
-    return best.select("id", "m.near", "m.d")
-
-
 def nearest_distances(df: DataFrame, id_col: str, vector: str, block: int = 2048) -> DataFrame:
     """Each row's distance to its nearest other row; 0 for a row alone."""
     return nearest_rows(df, df, id_col, vector, block).select("id", F.when(F.col("near").isNull(), 0.0).otherwise(F.col("d")).alias("d"))
