@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.vectors import dot, literal, squared_distance
+from ..sources.scratch import written
 from . import pareto, stats
-from .cards import SELECTORS, check_plan, propose
+from .cards import SELECTORS, answered, check_plan, propose, proposing
 from .surrogate import fit
 
 
@@ -51,8 +52,8 @@ class Oracle:
 
     def __init__(self, truth: DataFrame, sigma: Sequence[float] = DEFAULTS.noise_sigma, seed: int = DEFAULTS.seed, allow_true: bool = False):
         self._truth, self._allow = truth, allow_true
-        # looked up every round: kept, so that the objectives are not computed again
-        self._observed = with_noise(truth, sigma, seed).persist()
+        # looked up every round: written once, so that the objectives are not computed again
+        self._observed, _ = written(with_noise(truth, sigma, seed), "observed")
 
     def _rows(self, table: DataFrame, ids: Sequence[int]) -> np.ndarray:
         ids = [int(i) for i in ids]
@@ -102,10 +103,11 @@ def diversity(x: np.ndarray) -> float:
 class Campaign:
     """One round at a time: validate, fit, propose, measure, record."""
 
-    def __init__(self, team: str, pool: DataFrame, oracle: Oracle, initial: Sequence[int], seed: int = DEFAULTS.seed, settings: Settings = DEFAULTS, optimize: str = "discrete"):
+    def __init__(self, team: str, pool: DataFrame, oracle: Oracle, initial: Sequence[int], seed: int = DEFAULTS.seed, settings: Settings = DEFAULTS, optimize: str = "discrete", start: np.ndarray | None = None):
         self.team, self.pool, self.oracle, self.seed, self.settings, self.optimize = team, pool, oracle, seed, settings, optimize
         self.initial = [int(i) for i in initial]
-        self.observed, self.y = list(self.initial), oracle.evaluate(initial)
+        # start: the initial rows' values, where they are known already
+        self.observed, self.y = list(self.initial), oracle.evaluate(initial) if start is None else np.array(start, float)
         self.hv_history, self.rounds, self.selected = [front_area(self.y, settings.ref_point)], [], []
         self._x: dict[int, list[float]] = {}
 
@@ -126,15 +128,26 @@ class Campaign:
             self._x |= {r.id: list(r.x) for r in self.pool.where(F.col("id").isin(new)).select("id", "x").collect()}
         return np.array([self._x[i] for i in ids], float)
 
-    def play_round(self, plan: Mapping[str, int]) -> dict:
+    def _fitted(self, plan: Mapping[str, int]):
+        """The measured rows, and a model of them unless no card of the plan needs one, those without
+        slots included."""
         if self.rounds_left <= 0:
             raise RuntimeError("all rounds are played; finalize() scores them")
         check_plan(plan, self.settings.batch_size)
         x = self.rows(self.observed)
-        # a model is fitted unless no card needs one, those without slots included
-        model = fit(x, self.y) if any(name not in SELECTORS or SELECTORS[name].needs_model for name in plan) else None
+        return x, fit(x, self.y) if any(name not in SELECTORS or SELECTORS[name].needs_model for name in plan) else None
+
+    def play_round(self, plan: Mapping[str, int]) -> dict:
+        x, model = self._fitted(plan)
         ids = propose(plan, model, self.pool, self.observed, x, self.y, self.settings.ref_point, self.seed + self.round_index, self.optimize, self.settings.projection, self.settings.latent_dim)
-        y = self.oracle.evaluate(ids)
+        return self.record(plan, ids, self.oracle.evaluate(ids))
+
+    def proposing(self, plan: Mapping[str, int]):
+        """The round's proposal as a conversation (see :func:`cards.proposing`)."""
+        x, model = self._fitted(plan)
+        return proposing(plan, model, self.observed, x, self.y, self.settings.ref_point, self.seed + self.round_index)
+
+    def record(self, plan: Mapping[str, int], ids: Sequence[int], y: np.ndarray) -> dict:
         self.observed += ids
         self.selected += ids
         self.y = np.concatenate((self.y, y))
@@ -167,18 +180,62 @@ class Campaign:
         return pareto.skyline(pareto.cumulative_rounds(p, "team", "round", "y1", "y2"), "y1", "y2", ["team", "round"]).drop("team")
 
 
-def run_campaign(team: str, strategy: Sequence[Mapping[str, int]], pool: DataFrame, oracle: Oracle, initial: Sequence[int], seed: int = DEFAULTS.seed, settings: Settings = DEFAULTS) -> dict:
-    """All plans are checked before the first round."""
+def _check_strategy(strategy: Sequence[Mapping[str, int]], settings: Settings) -> None:
     if len(strategy) != settings.n_rounds:
         raise ValueError(f"a strategy has {settings.n_rounds} plans, this one {len(strategy)}")
     for plan in strategy:
         check_plan(plan, settings.batch_size)
+
+
+def run_campaign(team: str, strategy: Sequence[Mapping[str, int]], pool: DataFrame, oracle: Oracle, initial: Sequence[int], seed: int = DEFAULTS.seed, settings: Settings = DEFAULTS) -> dict:
+    """All plans are checked before the first round."""
+    _check_strategy(strategy, settings)
     c = Campaign(team, pool, oracle, initial, seed, settings)
     for plan in strategy:
         c.play_round(plan)
     return c.finalize()
 
 
+def run_together(runs: Sequence[tuple[str, Sequence[Mapping[str, int]], int]], pool: DataFrame, oracle: Oracle, initial: Sequence[int], settings: Settings = DEFAULTS) -> list[dict]:
+    """Campaigns (team, strategy, seed) from one start, in lock-step, each as :func:`run_campaign` has it.
+
+    In a round all of them propose at once: what their cards ask for next is answered by one pass over
+    the pool, which scores every campaign's model, until none asks any more; one lookup then measures
+    all picks. So the number of jobs hangs on rounds and slots, not on the number of campaigns.
+    """
+    for _, strategy, _ in runs:
+        _check_strategy(strategy, settings)
+    if not runs:
+        return []
+    first = Campaign(runs[0][0], pool, oracle, initial, runs[0][2], settings)
+    known = dict(zip(first.observed, first.rows(first.observed).tolist(), strict=True))
+    every = [Campaign(team, pool, oracle, initial, seed, settings, start=first.y) for team, _, seed in runs]
+    for k in range(settings.n_rounds):
+        plans = [strategy[k] for _, strategy, _ in runs]
+        for c in every:
+            c._x |= known
+        talks = [c.proposing(plan) for c, plan in zip(every, plans, strict=True)]
+        picks: dict[int, list[int]] = {}
+        replies: dict[int, list | None] = dict.fromkeys(range(len(talks)))
+        while replies:
+            asks = {}
+            for i, reply in replies.items():
+                try:
+                    asks[i] = talks[i].send(reply)
+                except StopIteration as end:
+                    picks[i] = end.value
+            found = answered(pool, list(asks.values())) if asks else []
+            replies = dict(zip(asks, found, strict=True))
+            known |= {i: x for rows in found for i, x in rows if x is not None}
+        wanted = [i for own in picks.values() for i in own]
+        measured = dict(zip(wanted, oracle.evaluate(wanted), strict=True))
+        for i, c in enumerate(every):
+            c.record(plans[i], picks[i], np.array([measured[j] for j in picks[i]], float).reshape(-1, c.y.shape[1]))
+    for c in every:
+        c._x |= known
+    return [c.finalize() for c in every]
+
+
 def default_strategies(rounds: int = DEFAULTS.n_rounds) -> dict[str, list[dict[str, int]]]:
     """The seven strategies of a sweep, the last plan repeated to fill the rounds."""
     two = {"scalarized_0.8_0.2": 2, "scalarized_0.2_0.8": 2}
@@ -221,17 +278,16 @@ def team_metrics(points: DataFrame, team: str, rnd: str, y1: str, y2: str, ref:
 
 
 def sweep_facts(strategies: Mapping[str, Sequence[Mapping[str, int]]], pool: DataFrame, oracle: Oracle, initial: Sequence[int], seeds: Sequence[int], settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per strategy and seed with its run's scores."""
+    """One row per strategy and seed with its run's scores; all runs go in lock-step."""
     spark = pool.sparkSession
     rows = []
-    for name, plans in strategies.items():
-        for seed in seeds:
-            h = run_campaign(name, plans, pool, oracle, initial, seed, settings)
-            y = np.array(h["final_Y"])[h["n_initial"] :]
-            off = np.maximum(y - np.array(settings.ref_point), 1e-9)
-            angle = np.arctan2(off[:, 1], off[:, 0])
-            bins = np.floor(np.minimum(angle, np.pi / 2 - 1e-9) / (np.pi / 2) * 6)
-            rows.append((name, seed, float(h["auc_hv"]), float(h["final_hv"]), float(angle.std(ddof=1)) if len(angle) > 1 else 0.0, len(set(bins.tolist())), h["embedding_diversity"], h["n_nondominated_selected"], [float(v) for v in h["hv_history"]]))
+    runs = [(name, plans, seed) for name, plans in strategies.items() for seed in seeds]
+    for (name, _, seed), h in zip(runs, run_together(runs, pool, oracle, initial, settings), strict=True):
+        y = np.array(h["final_Y"])[h["n_initial"] :]
+        off = np.maximum(y - np.array(settings.ref_point), 1e-9)
+        angle = np.arctan2(off[:, 1], off[:, 0])
+        bins = np.floor(np.minimum(angle, np.pi / 2 - 1e-9) / (np.pi / 2) * 6)
+        rows.append((name, seed, float(h["auc_hv"]), float(h["final_hv"]), float(angle.std(ddof=1)) if len(angle) > 1 else 0.0, len(set(bins.tolist())), h["embedding_diversity"], h["n_nondominated_selected"], [float(v) for v in h["hv_history"]]))
     return spark.createDataFrame(rows, "strategy string, seed int, auc_hv double, final_hv double, angular_spread double, region_coverage int, diversity double, n_nondominated int, hv_history array<double>")
 
 

@@ -7,16 +7,20 @@ the ones before.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+import copy
+from collections.abc import Callable, Generator, Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from . import sobol
+from .boxes import Boxes
+from .climb import climb
 from .pareto import _undominated
 from .select import project, without
 from .surrogate import Surrogate, posterior
@@ -59,30 +63,18 @@ def check_plan(plan: Mapping[str, int], q: int) -> None:
         raise ValueError(f"a plan fills {q} slots, this one {sum(plan.values())}")
 
 
-def _primes(n: int) -> list[int]:
-    out, k = [], 2
-    while len(out) < n:
-        if all(k % p for p in out if p * p <= k):
-            out.append(k)
-        k += 1
-    return out
-
-
 def base_samples(n: int, rows: int, m: int, seed: int) -> np.ndarray:
-    """Seeded quasi-random standard normals, [n, rows, m]: a sequence of multiples of square roots
-    of primes, shifted by the seed, through the normal quantile function."""
-    roots = np.sqrt(np.array(_primes(rows * m), float))
-    u = (np.arange(1, n + 1)[:, None] * roots + np.random.default_rng(seed).random(rows * m)) % 1
-    inverse = NormalDist().inv_cdf
-    return np.array([inverse(x) for x in np.clip(u, 1e-9, 1 - 1e-9).ravel()]).reshape(n, rows, m)
+    """Seeded quasi-random standard normals, [n, rows, m], from scrambled Sobol points. The samples of
+    the first rows do not change when more rows are asked for."""
+    return sobol.normals(n, rows * m, seed).reshape(n, rows, m)
 
 
 @dataclass
 class Acquisition:
     """Monte Carlo scores of pool rows given a model and the rows measured so far.
 
-    kind "hvi": mean gain in hypervolume over the sampled front of the measured rows.
-    kind "chebyshev": mean gain of the augmented Chebyshev utility under ``weights``.
+    kind "hvi": mean gain in hypervolume over the sampled front of the measured rows, for any number
+    of objectives. kind "chebyshev": mean gain of the augmented Chebyshev utility under ``weights``.
     """
 
     kind: str
@@ -98,61 +90,102 @@ class Acquisition:
         if self.kind == "hvi" and len(self.base_x) > 2:
             keep = _undominated(self.base_y)
             self.base_x, self.base_y = self.base_x[keep], self.base_y[keep]
-
-    def scorer(self, chosen: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-        """A function of rows x to scores, after ``chosen`` rows were picked."""
-        base = np.concatenate((self.base_x, chosen)) if len(chosen) else self.base_x
-        n, m = len(base), len(self.model.parts)
-        z = base_samples(self.samples, n + 1, m, self.seed)
-        joint = self.model.conditional(base)
-        sampled = np.stack([mean[None] + z[:, :n, k] @ chol.T for k, (mean, chol) in enumerate(joint)], 2)
-        scale = np.array([p.scale for p in self.model.parts])
-        mid = np.array([p.mean for p in self.model.parts])
-        at_base = mid + scale * sampled
-        u_base = self.model.unit(base)
-        inverse = [np.linalg.inv(chol) for _, chol in joint]
-
-        def score(x: np.ndarray) -> np.ndarray:
-            u, values = self.model.unit(x), np.empty((self.samples, len(x), m))
-            for k, p in enumerate(self.model.parts):
-                kx, kb = p.kernel(u, p.x), p.kernel(u_base, p.x)
-                vx, vb = np.linalg.solve(p.chol, kx.T), np.linalg.solve(p.chol, kb.T)
-                cross = p.kernel(u, u_base) - vx.T @ vb
-                a = cross @ inverse[k].T
-                left = np.maximum(1 - (vx * vx).sum(0) - (a * a).sum(1), 1e-12)
-                values[:, :, k] = p.mean + p.scale * ((kx @ p.alpha)[None] + z[:, :n, k] @ a.T + np.sqrt(left)[None] * z[:, n : n + 1, k])
-            return self._gain(values, at_base)
-
-        return score
-
-    def _gain(self, values: np.ndarray, base: np.ndarray) -> np.ndarray:
+        self._last: Scorer | None = None
+
+    def scorer(self, chosen: np.ndarray) -> Scorer:
+        """Scores of rows after ``chosen`` rows were picked. Where these go on from the last call's, its
+        boxes are carried on: every sample's new points are added to them."""
+        before = self._last
+        if before is not None and not (len(before.chosen) <= len(chosen) and np.array_equal(before.chosen, chosen[: len(before.chosen)])):
+            before = None
+        self._last = Scorer(self, np.asarray(chosen, float).reshape(-1, self.base_x.shape[1]), before)
+        return self._last
+
+
+class Scorer:
+    """A function of rows x to scores, with all that it needs of the model: it is sent to the executors."""
+
+    def __init__(self, acquisition: Acquisition, chosen: np.ndarray, before: Scorer | None = None):
+        a = acquisition
+        self.kind, self.model, self.weights, self.chosen = a.kind, a.model, a.weights, chosen
+        base = np.concatenate((a.base_x, chosen)) if len(chosen) else a.base_x
+        n, parts = len(base), a.model.parts
+        self.z = base_samples(a.samples, n + 1, len(parts), a.seed)
+        joint = a.model.conditional(base)
+        sampled = np.stack([mean[None] + self.z[:, :n, k] @ chol.T for k, (mean, chol) in enumerate(joint)], 2)
+        at_base = np.array([p.mean for p in parts]) + np.array([p.scale for p in parts]) * sampled
+        u = a.model.unit(base)
+        self.u_base, self.inverse = u, [np.linalg.inv(chol) for _, chol in joint]
+        self.v_base = [np.linalg.solve(p.chol, p.kernel(u, p.x).T) for p in parts]
+        self.boxes: list[Boxes] = []
+        if a.kind == "hvi":
+            old = before.n_base if before else 0
+            self.boxes = copy.deepcopy(before.boxes) if before else [Boxes(a.ref) for _ in range(a.samples)]
+            for boxes, y in zip(self.boxes, at_base, strict=True):
+                boxes.take(y[old:])
+        else:
+            self.low, self.high = a.base_y.min(0), a.base_y.max(0)
+            self.best = self._utility(at_base).max(1)[:, None]
+        self.n_base = n
+
+    def _costs(self, y: np.ndarray) -> np.ndarray:
+        return self.weights * (self.high - y) / np.where(self.high > self.low, self.high - self.low, 1.0)
+
+    def _utility(self, y: np.ndarray) -> np.ndarray:
+        cost = self._costs(y)
+        return -(cost.max(-1) + 0.05 * cost.sum(-1))
+
+    def _values(self, x: np.ndarray):
+        """Samples of the objectives, [samples, rows, objectives], and what their derivatives need."""
+        u, n, made = self.model.unit(x), self.n_base, []
+        values = np.empty((len(self.z), len(x), len(self.model.parts)))
+        for k, p in enumerate(self.model.parts):
+            kx = p.kernel(u, p.x)
+            vx = np.linalg.solve(p.chol, kx.T)
+            kb = p.kernel(u, self.u_base)
+            a = (kb - vx.T @ self.v_base[k]) @ self.inverse[k].T
+            left = 1 - (vx * vx).sum(0) - (a * a).sum(1)
+            root = np.sqrt(np.maximum(left, 1e-12))
+            values[:, :, k] = p.mean + p.scale * ((kx @ p.alpha)[None] + self.z[:, :n, k] @ a.T + root[None] * self.z[:, n : n + 1, k])
+            made.append((u, kx, vx, kb, a, left, root))
+        return values, made
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        values, _ = self._values(x)
         if self.kind == "hvi":
-            out = np.zeros(values.shape[1])
-            for s in range(len(values)):
-                out += _area_gain(values[s], base[s], self.ref)
-            return out / len(values)
-        low, high = self.base_y.min(0), self.base_y.max(0)
-        span = np.where(high > low, high - low, 1.0)
+            return sum(b.gain(v) for b, v in zip(self.boxes, values, strict=True)) / len(values)
+        return np.maximum(self._utility(values) - self.best, 0).mean(0)
 
-        def utility(y):
-            cost = self.weights * (high - y) / span
-            return -(cost.max(-1) + 0.05 * cost.sum(-1))
-
-        return np.maximum(utility(values) - utility(base).max(1)[:, None], 0).mean(0)
+    def slopes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and their derivatives by x, [rows, dimensions], carried through the samples."""
+        values, made = self._values(x)
+        if self.kind == "hvi":
+            score = sum(b.gain(v) for b, v in zip(self.boxes, values, strict=True)) / len(values)
+            by_value = np.stack([b.slope(v) for b, v in zip(self.boxes, values, strict=True)])
+        else:
+            gain, cost = self._utility(values) - self.best, self._costs(values)
+            score = np.maximum(gain, 0).mean(0)
+            share = self.weights / np.where(self.high > self.low, self.high - self.low, 1.0)
+            largest = np.arange(cost.shape[2]) == cost.argmax(2)[:, :, None]
+            by_value = (gain > 0)[:, :, None] * share * (largest + 0.05)
+        out = np.zeros(x.shape)
+        for k, (p, (u, kx, vx, kb, a, left, root)) in enumerate(zip(self.model.parts, made, strict=True)):
+            dkx = -kx[:, :, None] * (u[:, None] - p.x[None]) / p.length**2
+            dkb = -kb[:, :, None] * (u[:, None] - self.u_base[None]) / p.length**2
+            dvx = np.einsum("ij,rjd->rid", np.linalg.inv(p.chol), dkx)
+            da = np.einsum("ij,rjd->rid", self.inverse[k], dkb - np.einsum("rid,in->rnd", dvx, self.v_base[k]))
+            dleft = -2 * (np.einsum("ir,rid->rd", vx, dvx) + np.einsum("ri,rid->rd", a, da))
+            droot = np.where(left[:, None] > 1e-12, dleft / (2 * root[:, None]), 0.0)
+            weight = by_value[:, :, k] * p.scale / len(values)
+            out += weight.sum(0)[:, None] * np.einsum("rjd,j->rd", dkx, p.alpha)
+            out += np.einsum("sr,si,rid->rd", weight, self.z[:, : self.n_base, k], da, optimize=True)
+            out += (weight * self.z[:, self.n_base, k][:, None]).sum(0)[:, None] * droot
+        return score, out / self.model.span
 
 
 def _area_gain(y: np.ndarray, front: np.ndarray, ref: tuple[float, ...]) -> np.ndarray:
-    """Area that each point adds to two-objective ``front``: strips between the front's steps."""
-    f = front[(front > np.asarray(ref)).all(1)]
-    if len(f):
-        f = f[np.argsort(-f[:, 0], kind="stable")]
-        top = np.maximum.accumulate(f[:, 1])
-        f = f[np.concatenate(([True], f[1:, 1] > top[:-1]))]
-    right = np.concatenate(([np.inf], f[:, 0]))
-    left = np.concatenate((f[:, 0], [ref[0]]))
-    floor = np.concatenate(([ref[1]], f[:, 1]))
-    width = np.maximum(np.minimum(y[:, :1], right[None]) - left[None], 0)
-    return (width * np.maximum(y[:, 1:] - floor[None], 0)).sum(1)
+    """Volume that each point adds to ``front``."""
+    return Boxes(ref).take(front).gain(np.asarray(y, float))
 
 
 def build(name: str, model: Surrogate | None, x: np.ndarray, y: np.ndarray, ref, seed: int, samples: int = DEFAULTS.mc_samples):
@@ -190,14 +223,12 @@ def pick_uncertain(pool: DataFrame, model: Surrogate, q: int, weights: Sequence[
 
 def score_pool(pool: DataFrame, acquisition: Acquisition, chosen: np.ndarray) -> DataFrame:
     """(id, x, score) of a pool."""
-    sent = pool.sparkSession.sparkContext.broadcast((acquisition, chosen))
+    sent = pool.sparkSession.sparkContext.broadcast(acquisition.scorer(chosen))
 
     def run(batches):
-        acq, before = sent.value
-        score = acq.scorer(before)
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(score=score(np.stack(pdf["x"].to_numpy())))
+                yield pdf.assign(score=sent.value(np.stack(pdf["x"].to_numpy())))
 
     return pool.select("id", "x").mapInPandas(run, "id bigint, x array<double>, score double")
 
@@ -244,13 +275,132 @@ class UncertaintySelector(PoolSelector):
 SELECTORS: dict[str, PoolSelector] = {"random": RandomSelector(), "uncertainty": UncertaintySelector()}
 
 
+@dataclass
+class Ask:
+    """What a card wants of a pool: its ``n`` best rows outside ``taken``. ``by`` says best by what: a
+    seed (hash order), a model with weights (standard deviations), a :class:`Scorer`, or a selector."""
+
+    by: int | tuple[Surrogate, tuple[float, ...]] | Scorer | PoolSelector
+    n: int
+    taken: frozenset[int]
+    model: Surrogate | None = None
+    seed: int = 0
+
+
+def asking(card: Acquisition | str, model: Surrogate | None, slots: int, taken: frozenset[int], seed: int) -> Generator[Ask, list, list[int]]:
+    """A card's picks, as a conversation: it asks, is sent rows (id, x), and returns its ids at last."""
+    if isinstance(card, Acquisition):
+        out: list[int] = []
+        chosen = np.empty((0, card.base_x.shape[1]))
+        for _ in range(slots):
+            found = yield Ask(card.scorer(chosen), 1, taken | {*out})
+            if not found:
+                raise ValueError("no row is left to take")
+            out.append(found[0][0])
+            chosen = np.concatenate((chosen, np.asarray(found[0][1], float)[None]))
+        return out
+    selector = SELECTORS[card]
+    if type(selector) is RandomSelector:
+        found = yield Ask(seed, slots, taken)
+        if len(found) < slots:
+            raise ValueError(f"{slots} rows are asked for, {len(found)} are left")
+    elif type(selector) is UncertaintySelector:
+        m = len(model.parts)
+        found = yield Ask((model, tuple(selector.weights or [1 / m] * m)), slots, taken)
+    else:
+        found = yield Ask(selector, slots, taken, model, seed)
+    return [i for i, _ in found]
+
+
+def answered(pool: DataFrame, asks: Sequence[Ask]) -> list[list[tuple[int, list[float]]]]:
+    """The rows that each of these asks for, best first, in one pass over the pool: every task leaves
+    its own best rows of each, and the best of these come back."""
+    out: list = [None] * len(asks)
+    for k, a in enumerate(asks):
+        if isinstance(a.by, PoolSelector):  # picks rows itself
+            out[k] = [(i, None) for i in a.by.select(without(pool, a.taken), a.model, a.n, a.seed)]
+    todo = [(k, a) for k, a in enumerate(asks) if out[k] is None]
+    if not todo:
+        return out
+    seeds = sorted({a.by for _, a in todo if isinstance(a.by, int)})
+    sent = pool.sparkSession.sparkContext.broadcast([(k, a.by, a.n, np.array(sorted(a.taken), np.int64)) for k, a in todo])
+
+    def run(batches):
+        tops: dict[int, pd.DataFrame] = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_numpy())
+            for k, by, n, taken in sent.value:
+                score, place = np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
+                if isinstance(by, int):
+                    place = pdf[f"_h{seeds.index(by)}"].to_numpy()
+                elif isinstance(by, tuple):
+                    variance = by[0].posterior(x)[1]
+                    score = sum((w * np.sqrt(np.maximum(variance[:, j], 0.0)) for j, w in enumerate(by[1])), np.zeros(len(x)))
+                else:
+                    score = by(x)
+                own = pd.DataFrame({"ask": k, "score": score, "place": place, "id": pdf["id"], "x": pdf["x"]})[~np.isin(pdf["id"].to_numpy(), taken)]
+                tops[k] = pd.concat([*([tops[k]] if k in tops else []), own]).sort_values(["score", "place", "id"], ascending=[False, True, True]).head(n)
+        if tops:
+            yield pd.concat(tops.values())
+
+    hashed = pool.select("id", "x", *(F.xxhash64(F.lit(s), F.col("id")).alias(f"_h{j}") for j, s in enumerate(seeds)))
+    best = hashed.mapInPandas(run, "ask int, score double, place bigint, id bigint, x array<double>")
+    order = F.row_number().over(W.partitionBy("ask").orderBy(F.desc("score"), "place", "id"))
+    most = max(a.n for _, a in todo)
+    rows = best.withColumn("n", order).where(F.col("n") <= most).collect()  # a batch's worth for each ask
+    for k, a in todo:
+        out[k] = [(r.id, list(r.x)) for r in sorted((r for r in rows if r.ask == k), key=lambda r: r.n)[: a.n]]
+    return out
+
+
+def talk(picks: Generator[Ask, list, list[int]], pool: DataFrame) -> list[int]:
+    """One card's conversation with a pool."""
+    try:
+        ask = next(picks)
+        while True:
+            ask = picks.send(answered(pool, [ask])[0])
+    except StopIteration as end:
+        return end.value
+
+
 def optimize_discrete(card, pool: DataFrame, model: Surrogate | None, q: int, forbidden: Iterable[int], seed: int) -> list[int]:
-    left = without(pool, forbidden)
-    return SELECTORS[card].select(left, model, q, seed) if isinstance(card, str) else pick_best(left, card, q)
+    return talk(asking(card, model, q, frozenset(forbidden), seed), pool)
+
 
+def _along_axes(score: Callable[[np.ndarray], np.ndarray], x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Steps along the axes, halved from a quarter of the box down: they leave flat ground, where no
+    gradient leads on."""
+    best, step = score(x), 0.25
+    while step > 0.005:
+        for k in range(len(low)):
+            for s in (step, -step):
+                trial = x.copy()
+                trial[:, k] = np.clip(trial[:, k] + s * (high[k] - low[k]), low[k], high[k])
+                v = score(trial)
+                better = v > best
+                x[better], best[better] = trial[better], v[better]
+        step /= 2
+    return x
 
-def optimize_continuous(acquisition: Acquisition, bounds: Sequence[tuple[float, float]], q: int, restarts: int = DEFAULTS.num_restarts, raw: int = DEFAULTS.raw_samples, seed: int = 0) -> np.ndarray:
-    """Points of a box: seeded raw points, the best refined by shrinking coordinate steps."""
+
+def refined(score: Scorer, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts [n, dimensions] climbed to the top of their hills, by gradient: as they are, and from
+    where steps along the axes lead. The better of both for each, and its score."""
+
+    def value(point):
+        v, slope = score.slopes(point[None])
+        return float(v[0]), slope[0]
+
+    both = [[climb(value, p, low, high) for p in start] for start in (x, _along_axes(score, x.copy(), low, high))]
+    best = [max(pair, key=lambda t: t[1]) for pair in zip(*both, strict=True)]
+    return np.array([p for p, _ in best]), np.array([v for _, v in best])
+
+
+def optimize_continuous(acquisition: Acquisition, bounds: Sequence[tuple[float, float]], q: int, restarts: int = DEFAULTS.num_restarts, raw: int = DEFAULTS.raw_samples, seed: int = 0, spark: SparkSession | None = None) -> np.ndarray:
+    """Points of a box: the best of seeded raw points are refined by gradient, one after another
+    conditioned on those before. With ``spark`` every start is a task of its own."""
     if not isinstance(acquisition, Acquisition):
         raise TypeError("selectors have no continuous form")
     r = np.random.default_rng(seed)
@@ -260,20 +410,28 @@ def optimize_continuous(acquisition: Acquisition, bounds: Sequence[tuple[float,
         score = acquisition.scorer(chosen)
         x = low + r.random((raw, len(low))) * (high - low)
         x = x[np.argsort(-score(x), kind="stable")[:restarts]]
-        best, step = score(x), 0.25
-        while step > 0.005:
-            for k in range(len(low)):
-                for s in (step, -step):
-                    trial = x.copy()
-                    trial[:, k] = np.clip(trial[:, k] + s * (high[k] - low[k]), low[k], high[k])
-                    v = score(trial)
-                    better = v > best
-                    x[better], best[better] = trial[better], v[better]
-            step /= 2
-        chosen = np.concatenate((chosen, x[[int(best.argmax())]]))
+        if spark is None:
+            x, value = refined(score, x, low, high)
+        else:
+            x, value = _refined_by_tasks(spark, score, x, low, high)
+        chosen = np.concatenate((chosen, x[[int(value.argmax())]]))
     return chosen
 
 
+def _refined_by_tasks(spark: SparkSession, score: Scorer, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sent = spark.sparkContext.broadcast((score, low, high))
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                points, values = refined(sent.value[0], np.stack(pdf["x"].to_numpy()), *sent.value[1:])
+                yield pd.DataFrame({"start": pdf["start"], "x": list(points), "value": values})
+
+    starts = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(x)], "start int, x array<double>")
+    rows = starts.repartitionByRange(len(x), "start").mapInPandas(run, "start int, x array<double>, value double").orderBy("start").collect()
+    return np.array([r.x for r in rows]), np.array([r.value for r in rows])
+
+
 def propose(plan: Mapping[str, int], model: Surrogate | None, pool: DataFrame, observed: Sequence[int], x: np.ndarray, y: np.ndarray, ref=DEFAULTS.ref_point, seed: int = DEFAULTS.seed, optimize: str = "discrete", projection: str = "nearest", dim: int = DEFAULTS.latent_dim) -> list[int]:
     """The ids that a plan picks, cards in the plan's order; none observed, none twice."""
     if optimize not in ("discrete", "continuous"):
@@ -285,15 +443,29 @@ def propose(plan: Mapping[str, int], model: Surrogate | None, pool: DataFrame, o
         card = build(name, model, x, y, ref, seed)
         taken = {*observed, *out}
         if optimize == "continuous" and isinstance(card, Acquisition):
-            points = optimize_continuous(card, [(0.0, 1.0)] * dim, slots, seed=seed)
+            points = optimize_continuous(card, [(0.0, 1.0)] * dim, slots, seed=seed, spark=pool.sparkSession)
             out += project(points, pool, observed, out, projection)
         else:
             out += optimize_discrete(card, pool, model, slots, taken, seed)
+    return _checked(out, plan, observed)
+
+
+def _checked(out: list[int], plan: Mapping[str, int], observed: Sequence[int]) -> list[int]:
     if len(out) != sum(plan.values()) or len(set(out)) != len(out) or {*out} & {*observed}:
         raise AssertionError("a batch has distinct, unobserved ids, one for each slot")
     return out
 
 
+def proposing(plan: Mapping[str, int], model: Surrogate | None, observed: Sequence[int], x: np.ndarray, y: np.ndarray, ref=DEFAULTS.ref_point, seed: int = DEFAULTS.seed) -> Generator[Ask, list, list[int]]:
+    """The same over a pool, as a conversation, so that many plans can ask in one pass."""
+    out: list[int] = []
+    for name, slots in plan.items():
+        if slots:
+            card = build(name, model, x, y, ref, seed)
+            out += yield from asking(card, model, slots, frozenset({*observed, *out}), seed)
+    return _checked(out, plan, observed)
+
+
 def margin(scores: DataFrame, q: int, score: str = "score") -> DataFrame:
     """qth_value, next_value, abs_margin and rel_margin (by the scores' spread; 1 without one)."""
     bounds = scores.agg((F.max(score) - F.min(score)).alias("_s"))

@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .climb import climb
+
 
 @dataclass
 class Process:
@@ -75,8 +77,37 @@ def _prior(log_length, log_noise, d):
     return -0.5 * (((log_length - centre) / np.sqrt(3)) ** 2).sum() - 0.5 * (log_noise + 4.0) ** 2
 
 
-def fit(x: np.ndarray, y: np.ndarray, y_var: np.ndarray | None = None, tries: int = 160, seed: int = 0) -> Surrogate:
-    """Posterior-mode hyper-parameters from a seeded search, then coordinate refinement."""
+def posterior_mode(u: np.ndarray, z: np.ndarray, fixed: np.ndarray | None):
+    """A function of the logarithms of the lengths and the noise, to log evidence and log prior
+    together, and to their gradient. ``fixed`` noise leaves only the prior's share in the last one."""
+    d = u.shape[1]
+    square = (u[:, None] - u[None]) ** 2
+
+    def value(h: np.ndarray) -> tuple[float, np.ndarray]:
+        length = np.exp(h[:-1])
+        noise = np.full(len(u), np.exp(h[-1])) if fixed is None else fixed
+        try:
+            score, chol, alpha = _evidence(u, z, length, noise)
+        except np.linalg.LinAlgError:
+            return -np.inf, np.zeros(d + 1)
+        inverse = np.linalg.inv(chol)
+        # half the trace of (alpha alpha' - K^-1) dK, of a symmetric dK the sum over its elements
+        weight = 0.5 * (np.outer(alpha, alpha) - inverse.T @ inverse)
+        kernel = np.exp(-0.5 * (square / length**2).sum(2))
+        slope = np.empty(d + 1)
+        slope[:-1] = np.einsum("ij,ij,ijk->k", weight, kernel, square) / length**2 - (h[:-1] - np.sqrt(2) - 0.5 * np.log(d)) / 3
+        slope[-1] = (np.exp(h[-1]) * np.trace(weight) if fixed is None else 0.0) - (h[-1] + 4.0)
+        return score + _prior(h[:-1], h[-1], d), slope
+
+    return value
+
+
+#: The box that the logarithms of lengths and noise are looked for in.
+LENGTHS, NOISES = (-6.0, 8.0), (-14.0, 4.0)
+
+
+def fit(x: np.ndarray, y: np.ndarray, y_var: np.ndarray | None = None, tries: int = 160, starts: int = 4, seed: int = 0) -> Surrogate:
+    """Posterior-mode hyper-parameters: the best of seeded tries are climbed from, by the gradient."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     if x.ndim != 2 or y.ndim != 2 or len(x) != len(y) or not len(x):
         raise ValueError(f"X and Y must be two-dimensional with as many rows, got {x.shape} and {y.shape}")
@@ -92,27 +123,14 @@ def fit(x: np.ndarray, y: np.ndarray, y_var: np.ndarray | None = None, tries: in
         z = (y[:, j] - mean) / scale
         fixed = None if y_var is None else np.asarray(y_var, float)[:, j] / scale**2
 
-        def value(h, z=z, fixed=fixed):
-            noise = np.full(len(u), np.exp(h[-1])) if fixed is None else fixed
-            try:
-                return _evidence(u, z, np.exp(h[:-1]), noise)[0] + _prior(h[:-1], h[-1], d)
-            except np.linalg.LinAlgError:
-                return -np.inf
-
+        value = posterior_mode(u, z, fixed)
         r = np.random.default_rng(seed + j)
         trial = np.concatenate((r.uniform(-2, 2.5, (tries, 1)) + r.normal(0, 0.6, (tries, d)), r.uniform(-8, -0.5, (tries, 1))), 1)
-        scores = [value(h) for h in trial]
-        h, best = trial[int(np.argmax(scores))].copy(), max(scores)
-        step = 0.5
-        while step > 0.03:
-            moved = False
-            for k in range(d + 1):
-                for s in (step, -step):
-                    g = h.copy()
-                    g[k] += s
-                    if (v := value(g)) > best + 1e-9:
-                        h, best, moved = g, v, True
-            step = step if moved else step / 2
+        scores = np.array([value(h)[0] for h in trial])
+        bounds = (np.array([*[LENGTHS[k]] * d, NOISES[k]]) for k in (0, 1))
+        low_h, high_h = bounds
+        tops = [climb(value, trial[i], low_h, high_h) for i in np.argsort(-scores, kind="stable")[:starts]]
+        h = max(tops, key=lambda t: t[1])[0]
         noise = np.full(len(u), np.exp(h[-1])) if fixed is None else fixed
         _, chol, alpha = _evidence(u, z, np.exp(h[:-1]), noise)
         parts.append(Process(u, np.exp(h[:-1]), noise, float(mean), float(scale), chol, alpha))
