@@ -29,6 +29,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import sys
 import unicodedata
 import zlib
@@ -44,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .packing import _BYTE_CHARS
 
 #: Code points of a part at most; a text of no more is encoded where it is.
 LEAF = 1 << 14
@@ -53,9 +55,17 @@ WINDOW = 256
 #: or a contraction has.
 MARGIN = 32
 #: Words in each of a memo's two generations, and the longest that it holds: bounds its bytes.
-MEMO, MEMO_WORD = 150_000, 48
+MEMO, MEMO_WORD = 200_000, 48
 #: White space that no token holds and at which all scans start anew.
 _BLANK = re.compile("[ \t\n\r]+")
+_UNBROKEN = re.compile("[^ \t\n\r]+")
+#: Characters that have no normal form but themselves and one lower-case letter at most. In texts of
+#: these alone, words are found in Python (the pattern is the vocabulary's own, a fixed value).
+_OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\\|")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+
+#: Fixed value: the split of a vocabulary to which _PIECES belongs.
+_SPLIT = '{"Regex": "\'s|\'t|\'re|\'ve|\'m|\'ll|\'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"}'
 
 
 class Memo(dict):
@@ -112,28 +122,56 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo = Memo(self._word)
+        self.model = self.tokenizer.model
+        self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        split = json.dumps(made["pre_tokenizer"]["pretokenizers"][0]["pattern"], ensure_ascii=False) if made["pre_tokenizer"]["type"] == "Sequence" else ""
+        self.by_pieces = split == _SPLIT and [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.pieces, self.words = Memo(self._piece), Memo(self._word)
+        self.piece_spans, self.word_spans = Memo(self._spans, MEMO // 2), Memo(self._spans, MEMO // 2)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def decoded(self, ids) -> str:
-        return self.tokenizer.decode(list(ids), skip_special_tokens=False)
+        return " ".join(map(self.names.__getitem__, ids))
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
+        return struct.pack(f"<{len(ids)}i", *ids), self.decoded(ids)
+
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        """One piece of _PIECES, which the vocabulary's model merges on its own."""
+        return self._packed([t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS))])
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        ids = self.ids(word) if word else []
-        return np.array(ids, "<i4").tobytes(), self.decoded(ids)
+        return self._packed(self.ids(word) if word else [])
+
+    def _spans(self, word: str) -> tuple[bytes, bytes]:
+        made = self.tokenizer.encode(word, add_special_tokens=False)
+        return np.array(made.ids, "<i4").tobytes(), np.array(made.offsets, "<i4").tobytes()
+
+    def _is_plain(self, text: str) -> bool:
+        return self.by_pieces and not _OTHER.search(text)
 
     def plain(self, text: str) -> tuple[bytes, str]:
         """Ids (four bytes each) and decoded text of a text that is encoded in one go, word by word."""
-        found = [x for x in map(self.memo.__getitem__, _BLANK.split(text)) if x[0]]
+        if self._is_plain(text):
+            found = list(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
+        else:
+            found = [x for x in map(self.words.__getitem__, _BLANK.split(text)) if x[0]]
         return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
 
     def spans(self, text: str, start: int = 0) -> Tokens:
         """The tokens of a stretch that stands at ``start``, as if it were a text of its own."""
-        made = self.tokenizer.encode(text, add_special_tokens=False)
-        at = np.array(made.offsets, np.int64).reshape(-1, 2) + start
-        return Tokens(start, start + len(text), np.array(made.ids, np.int64), at[:, 0], at[:, 1])
+        # a lower-case letter of these texts is one character, as the letter was
+        words = _PIECES.finditer(text.lower()) if self._is_plain(text) else _UNBROKEN.finditer(text)
+        memo = self.piece_spans if self._is_plain(text) else self.word_spans
+        at, found = [], []
+        for w in words:
+            at.append(w.start())
+            found.append(memo[w[0]])
+        ids = np.frombuffer(b"".join([x[0] for x in found]), "<i4").astype(np.int64)
+        ends = np.frombuffer(b"".join([x[1] for x in found]), "<i4").reshape(-1, 2) + np.repeat(np.array(at, np.int64) + start, [len(x[0]) // 4 for x in found])[:, None]
+        return Tokens(start, start + len(text), ids, ends[:, 0], ends[:, 1])
 
 
 @cache
