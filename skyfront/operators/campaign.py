@@ -357,9 +357,31 @@ def compare_plans(plans: Mapping[str, Mapping[str, int]], pool: DataFrame, oracl
 def leaderboard(scores: DataFrame) -> DataFrame:
     """rank, team_name, auc_hv, final_hv, n_nondominated_selected, embedding_diversity; all four
     scores descending, equal ones by name."""
-    order = [F.desc(c) for c in ("auc_hv", "final_hv", "n_nondominated_selected", "embedding_diversity")]
-    rank = F.row_number().over(W.orderBy(*order, "team_name"))
-    return scores.select(rank.alias("rank"), "team_name", "auc_hv", "final_hv", "n_nondominated_selected", "embedding_diversity").orderBy("rank")
+    names = ["auc_hv", "final_hv", "n_nondominated_selected", "embedding_diversity"]
+    ranked = stats.numbered(scores.select("team_name", *names), [*(F.desc(c) for c in names), "team_name"], "rank")
+    return ranked.select(F.col("rank").cast("int").alias("rank"), "team_name", *names).orderBy("rank")
+
+
+def objective_space(truth: DataFrame, initial: Sequence[int], ref: Sequence[float], bins: int = 40) -> DataFrame:
+    """What the joint plot of ``truth(id, y1, y2)`` shows: rows (layer, step, x, y, n). Layers cell, top and
+    right are counts by bin (x and y are its numbers); front is the true front's staircase, initial the
+    design's rows, reference the point that areas start from, and rho the rank correlation (as x)."""
+    spark = truth.sparkSession
+    empty = {"step": F.lit(None).cast("int"), "x": F.lit(None).cast("double"), "y": F.lit(None).cast("double"), "n": F.lit(None).cast("bigint")}
+    rows = lambda df, layer, **c: df.select(F.lit(layer).alias("layer") if isinstance(layer, str) else layer, *((c.get(k, v)).alias(k) for k, v in empty.items()))
+    double = lambda c: F.col(c).cast("double")
+    out = rows(stats.joint_plot(truth, "y1", "y2", bins), F.col("layer"), x=double("bx"), y=double("by_"), n=F.col("n"))
+    steps = pareto.staircase(pareto.front_values(truth, "y1", "y2"), "y1", "y2")
+    design = spark.createDataFrame([(k, int(i)) for k, i in enumerate(initial)], "step int, id bigint")
+    shown = [
+        rows(steps, "front", step=F.col("step"), x=double("x"), y=double("y")),
+        rows(truth.join(F.broadcast(design), "id"), "initial", step=F.col("step"), x=double("y1"), y=double("y2")),
+        rows(spark.createDataFrame([tuple(map(float, ref))], "x double, y double"), "reference", x=F.col("x"), y=F.col("y")),
+        rows(stats.spearman(truth, "y1", "y2", "id"), "rho", x=F.col("rho")),
+    ]
+    for one in shown:
+        out = out.unionByName(one)
+    return out
 
 
 def reveal(runs: DataFrame, truth: DataFrame, initial: Sequence[int] = ()) -> DataFrame:

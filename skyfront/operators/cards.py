@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..functions.text import is_known_card
 from . import sobol
 from .boxes import Boxes
 from .climb import climb
@@ -69,6 +70,15 @@ def base_samples(n: int, rows: int, m: int, seed: int) -> np.ndarray:
     return sobol.normals(n, rows * m, seed).reshape(n, rows, m)
 
 
+def valid_plan(plan: Column, q: int) -> Column:
+    """Whether a plan (a map of names to slots) is one that :func:`check_plan` lets pass, as an expression:
+    for tables of plans. Own selectors count by their names at the time of the call."""
+    names, slots = F.map_keys(plan), F.map_values(plan)
+    known = F.forall(names, lambda n: is_known_card(n) | n.isin(*SELECTORS))
+    whole = F.forall(slots, lambda s: F.coalesce(s >= 0, F.lit(False)))
+    return F.coalesce((F.size(names) > 0) & known & whole & (F.aggregate(slots, F.lit(0), lambda a, s: a + s) == q), F.lit(False))
+
+
 @dataclass
 class Acquisition:
     """Monte Carlo scores of pool rows given a model and the rows measured so far.

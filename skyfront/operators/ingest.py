@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_sequence, first_rejection, is_standard, to_bool
+from ..sources.scratch import written
 
 #: The metadata that a raw repertoire record must have.
 ACCEPTED = {
@@ -70,28 +71,35 @@ def collect_shards(spark: SparkSession, shards: Sequence[str], target: int, pass
 
     Of every shard at most ``most`` rows are scanned, in the file's order, until it has given its
     share of ``target``; a sequence counts once, at its first record that was kept. Reading ends
-    with the shard that reaches the target. One job per shard; what comes to the driver is the
-    sample, at most ``target`` rows and one shard's share.
+    with the shard that reaches the target. What a shard gives is written and joined with what the
+    others gave before it; the driver sees counts only.
     """
     chosen = choose_shards(sorted(shards), n_shards)
     if not chosen:
         raise FileNotFoundError("there are no shards")
-    share, records, manifest = max(1, target // len(chosen)), [], []
+    share, records, n, manifest = max(1, target // len(chosen)), None, 0, []
     names = ["sequence", *kept]
-    kinds = ", ".join(f"`{n}` string" for n in names)
     for shard in chosen:
         rows = spark.read.parquet(shard).withColumn("_row", F.col("_metadata.row_index")).where(F.col("_row") < most)
         fresh = rows.where(passes).select(cleaned.alias("sequence"), *(c.cast("string").alias(n) for n, c in kept.items()), "_row")
-        if records:
-            fresh = fresh.join(spark.createDataFrame([(r[0],) for r in records], "sequence string"), "sequence", "left_anti")
-        got = first_copies(fresh, ["sequence"], "_row").orderBy("_row").limit(share).collect()
-        scanned = got[-1]["_row"] + 1 if len(got) == share else rows.count()
-        records += [tuple(r[n] for n in names) for r in got]
-        manifest.append((shard.rsplit("/", 1)[-1], len(got), int(scanned)))
-        if len(records) >= target:
+        if records is not None:
+            fresh = fresh.join(records.select("sequence"), "sequence", "left_anti")
+        got, _ = written(first_copies(fresh, ["sequence"], "_row").orderBy("_row").limit(share), "shard")
+        one = got.agg(F.count(F.lit(1)).alias("n"), F.max("_row").alias("last")).first()
+        manifest.append((shard.rsplit("/", 1)[-1], one.n, one.last + 1 if one.n == share else rows.count()))
+        records, n = got.select(names) if records is None else records.unionByName(got.select(names)), n + one.n
+        if n >= target:
             break
-    stats = {"scanned": sum(m[2] for m in manifest), "cheap_kept": len(records), "shards_used": len(manifest), "distinct_sources": len({r[names.index("source")] for r in records}) if "source" in names else 0}
-    return spark.createDataFrame(records, kinds), stats, spark.createDataFrame(manifest, "shard string, kept bigint, scanned bigint")
+    sources = records.agg(F.count_distinct("source")).first()[0] if "source" in names else 0
+    stats = {"scanned": sum(m[2] for m in manifest), "cheap_kept": n, "shards_used": len(manifest), "distinct_sources": sources}
+    return records, stats, spark.createDataFrame(manifest, "shard string, kept bigint, scanned bigint")
+
+
+def shards_of(spark: SparkSession, folder: str) -> list[str]:
+    """The paths of a folder's files and subfolders, by name; hidden ones are left out."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(str(f.getPath()) for f in found if not str(f.getPath().getName()).startswith(("_", ".")))
 
 
 def choose_shards(shards: Sequence[str], n: int) -> list[str]:
@@ -106,6 +114,18 @@ def funnel(records: DataFrame, keep: Column, source: str) -> DataFrame:
     return marked.agg(scanned.alias("scanned"), kept.alias("kept"), F.when(scanned > 0, kept.cast("double") / scanned.cast("double")).otherwise(0.0).alias("pass_rate"), F.count_distinct(F.when(F.col("_k"), F.col("_s"))).alias("distinct_sources"))
 
 
+def intake(records: DataFrame, keep: Column, source: str, path: str) -> tuple[DataFrame, dict]:
+    """Writes the records that pass as Parquet to ``path``, and the counters of :func:`funnel`. Rows are
+    counted as they pass by, in the job that writes them, so the input is read once; sources are then
+    counted among what was kept."""
+    seen = Observation("intake")
+    marked = records.withColumn("_k", F.coalesce(keep, F.lit(False)))
+    marked.observe(seen, F.count(F.lit(1)).alias("scanned"), F.count_if("_k").alias("kept")).where("_k").drop("_k").write.mode("overwrite").parquet(path)
+    kept = records.sparkSession.read.schema(records.schema).parquet(path)
+    counts = seen.get
+    return kept, {**counts, "pass_rate": counts["kept"] / counts["scanned"] if counts["scanned"] else 0.0, "distinct_sources": kept.agg(F.count_distinct(source)).first()[0]}
+
+
 def validated(df: DataFrame, column: str, accept: Callable[[list[str]], list[bool]], batch: int = 64) -> DataFrame:
     """Rows whose text an external model accepts; the model sees at most ``batch`` texts at once."""
 

@@ -70,14 +70,20 @@ def _offsets(df: DataFrame, n: Column) -> DataFrame:
     return F.broadcast(sums.select("_k", (F.sum("_t").over(W.orderBy("_k")) - F.col("_t")).alias("_o")))
 
 
-def ordinal_rank(df: DataFrame, column: str, tie: str, name: str) -> DataFrame:
-    """``df`` with the 1-based rank by (column, tie). Rows are dealt to ranges and sorted there once; a
-    row's place in its range is in the number that Spark gives it, so no window shuffles them again."""
-    dealt = df.repartitionByRange(column, tie).sortWithinPartitions(column, tie).withColumn("_at", F.monotonically_increasing_id())
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """``df`` with the 1-based place by ``order``, which must leave no ties. Rows are dealt to ranges and
+    sorted there once; a row's place in its range is in the number that Spark gives it, so no
+    window shuffles them again, and no task sorts all."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     rows = written(dealt, "ranks")[0].withColumns({"_k": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     return rows.join(_offsets(rows, F.lit(1)), "_k").withColumn(name, F.col("_at") + F.col("_o") + 1).drop("_k", "_at", "_o")
 
 
+def ordinal_rank(df: DataFrame, column: str, tie: str, name: str) -> DataFrame:
+    """``df`` with the 1-based rank by (column, tie)."""
+    return numbered(df, [column, tie], name)
+
+
 #: Distinct values whose ranks may be broadcast.
 FEW_RANKS = 100_000
 
@@ -232,6 +238,16 @@ def histogram_pairs(df: DataFrame, columns: Sequence[str], bounds: tuple[float,
     return each.groupBy("dx", "dy", "bx", "by_").agg(F.count(F.lit(1)).alias("n"))
 
 
+def joint_plot(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
+    """What a joint plot shows, in one pass: layer (cell, top or right), bx, by_ and n; bins go from each
+    column's least to its greatest value."""
+    unit = minmax(df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(), ["_x", "_y"])
+    cells = unit.select(bin_of("_x", 0.0, 1.0, bins).alias("bx"), bin_of("_y", 0.0, 1.0, bins).alias("by_"))
+    sums = cells.groupingSets([["bx", "by_"], ["bx"], ["by_"]], "bx", "by_").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_g"))
+    layer = F.when(F.col("_g") == 0, "cell").when(F.col("_g") == 1, "top").otherwise("right")
+    return sums.select(layer.alias("layer"), "bx", "by_", "n")
+
+
 def group_sizes(df: DataFrame, label: str) -> DataFrame:
     """label and n."""
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

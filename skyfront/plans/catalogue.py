@@ -83,7 +83,7 @@ def w1_pareto_large(spark, sf_dir):
 @query("a30_true_front", f"WITH {PARTS} SELECT row_number() OVER (ORDER BY y1, y2 DESC, id) AS pos, id, y1, y2 FROM ({front_sql('p')})")
 def a30_true_front(spark, sf_dir):
     front = pareto.skyline(b.parts(spark, sf_dir), "y1", "y2")
-    return front.select(F.row_number().over(W.orderBy("y1", F.desc("y2"), "id")).cast("bigint").alias("pos"), "id", "y1", "y2")
+    return stats.numbered(front.select("id", "y1", "y2"), ["y1", F.desc("y2"), "id"], "pos").select("pos", "id", "y1", "y2")
 
 
 @query("a3_hypervolume_by_group", f"WITH {PARTS} SELECT grp, round(hv, 4) AS hv FROM ({hv_sql('p', ('grp',), (0.0, 0.0))})")
@@ -451,6 +451,18 @@ def a12_spearman_ordinal(spark, sf_dir):
 _MEASURES = ("l_quantity", "l_extendedprice", "l_discount")
 
 
+_BINNED = "b AS (SELECT CAST(least(floor((y1 - min(y1) OVER ()) / (max(y1) OVER () - min(y1) OVER ()) * 40), 39) AS INTEGER) AS bx, CAST(least(floor((y2 - min(y2) OVER ()) / (max(y2) OVER () - min(y2) OVER ()) * 40), 39) AS INTEGER) AS by_ FROM p)"
+_RHO = "SELECT 'rho', NULL, round(corr(x, y), 6), NULL, NULL FROM (SELECT rank() OVER (ORDER BY y1) + (count(*) OVER (PARTITION BY y1) - 1) / 2.0 AS x, rank() OVER (ORDER BY y2) + (count(*) OVER (PARTITION BY y2) - 1) / 2.0 AS y FROM p)"
+
+
+@query("v8_objective_space", f"WITH {PARTS}, {_BINNED}, f AS (SELECT DISTINCT y1, y2 FROM ({front_sql('p')})), s AS (SELECT *, row_number() OVER w AS n, lag(y1) OVER w AS q FROM f WINDOW w AS (ORDER BY y1)) SELECT 'cell' AS layer, CAST(NULL AS INTEGER) AS step, CAST(bx AS DOUBLE) AS x, CAST(by_ AS DOUBLE) AS y, count(*) AS n FROM b GROUP BY bx, by_ UNION ALL SELECT 'top', NULL, bx, NULL, count(*) FROM b GROUP BY bx UNION ALL SELECT 'right', NULL, NULL, by_, count(*) FROM b GROUP BY by_ UNION ALL SELECT 'front', CAST(2 * n - 1 AS INTEGER), y1, y2, NULL FROM s UNION ALL SELECT 'front', CAST(2 * n - 2 AS INTEGER), q, y2, NULL FROM s WHERE q IS NOT NULL UNION ALL SELECT 'initial', CAST(id - 1 AS INTEGER), y1, y2, NULL FROM p WHERE id BETWEEN 1 AND 12 UNION ALL SELECT 'reference', NULL, 900.0, 0.0, NULL UNION ALL {_RHO}")
+def v8_objective_space(spark, sf_dir):
+    """The joint plot of the objective space, as data."""
+    truth = b.parts(spark, sf_dir).select("id", "y1", "y2")
+    out = campaign.objective_space(truth, range(1, 13), (900.0, 0.0))
+    return out.withColumn("x", F.when(F.col("layer") == "rho", r("x")).otherwise(F.col("x")))
+
+
 @query("v7_correlations", " UNION ALL ".join(f"SELECT '{p}' AS a, '{q}' AS b, round(corr(x, y), 6) AS rho FROM (SELECT rank() OVER (ORDER BY {p}) + (count(*) OVER (PARTITION BY {p}) - 1) / 2.0 AS x, rank() OVER (ORDER BY {q}) + (count(*) OVER (PARTITION BY {q}) - 1) / 2.0 AS y FROM lineitem)" for i, p in enumerate(_MEASURES) for q in _MEASURES[i + 1 :]))
 def v7_correlations(spark, sf_dir):
     rows = b.table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey"))
@@ -660,11 +672,17 @@ def p14_sequential_ids(spark, sf_dir):
     return s.select(F.format_string("VH-%05d", "n").alias("sequence_id"), "s_suppkey")
 
 
-@query("p21_card_grid", "SELECT CAST(k AS INTEGER) AS k, CAST(round(k * 0.05, 2) AS DOUBLE) AS w1, CAST(round(1 - k * 0.05, 2) AS DOUBLE) AS w2 FROM range(1, 20) t(k)")
+_CARD = "'scalarized_' || printf('%.2f', l_discount) || '_' || printf('%.2f', l_tax)"
+
+
+@query("p21_card_grid", f"SELECT DISTINCT {_CARD} AS name, round(l_discount, 2) AS w1, round(l_tax, 2) AS w2, true AS known FROM lineitem UNION ALL SELECT DISTINCT lower(o_orderpriority), NULL, NULL, false FROM orders")
 def p21_card_grid(spark, sf_dir):
-    names = spark.createDataFrame(list(enumerate(cards.scalarized_grid(), 1)), "k int, name string")
+    """Names of cards as two tables have them: weights that lines' rates make, and names that are none."""
+    two = lambda c: F.format_string("%.2f", F.col(c).cast("double"))
+    lines = b.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("scalarized_"), two("l_discount"), F.lit("_"), two("l_tax")).alias("name"))
+    names = lines.union(b.table(spark, sf_dir, "orders").select(F.lower("o_orderpriority"))).distinct()
     w = fx.scalarized_weights("name")
-    return names.where(fx.is_known_card("name")).select("k", r(F.get(w, F.lit(0)), 2).alias("w1"), r(F.get(w, F.lit(1)), 2).alias("w2"))
+    return names.select("name", r(F.get(w, F.lit(0)), 2).alias("w1"), r(F.get(w, F.lit(1)), 2).alias("w2"), fx.is_known_card("name").alias("known"))
 
 
 @query("g11_build_latents")

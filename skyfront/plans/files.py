@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..config import ALPHABET
 from ..operators import campaign, cards, ingest, pareto
-from ..sources import tables
+from ..sources import arrays, tables
 from ..sources.scratch import scratch_path
+from ..sources.workbook import write_workbook
 from . import bindings as b
+from .catalogue import _accepted as accepted
 from .registry import QUERIES, query, r
 
 _SEQ = f"'QVQL' || regexp_replace(upper(p_name), '[^{ALPHABET}]', '', 'g')"
@@ -54,6 +56,15 @@ def s3_load_latents(spark, sf_dir):
     return x.select("id", *(r(F.get("x", F.lit(k))).alias(f"x{k}") for k in range(5)))
 
 
+@query("s3_embeddings_npy", "SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[64] AS DOUBLE), 6) AS last, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings")
+def s3_embeddings_npy(spark, sf_dir):
+    """Whole embeddings as array files, a range of rows to a file, and back in ranges of rows."""
+    path = f"{scratch_path(spark, 'embeddings')}/embeddings.npy"
+    arrays.write_array(b.points(spark, sf_dir), path)
+    x = tables.read_matrix(spark, path, 64)
+    return x.select("id", r(F.get("x", F.lit(0))).alias("first"), r(F.get("x", F.lit(63))).alias("last"), r(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+
+
 @query("s5_load_true_objectives", None)
 def s5_load_true_objectives(spark, sf_dir):
     path = scratch_path(spark, "objectives")
@@ -80,12 +91,16 @@ def s4_initial_ids(spark, sf_dir):
     return tables.read_initial(spark, path)
 
 
-@query("s14_params", " UNION ALL ".join(f"SELECT {i} AS bump, CAST({k['width']} AS DOUBLE) AS width, CAST({k['height']} AS DOUBLE) AS height, CAST({k['center'][0]} AS DOUBLE) AS c0, CAST({k['obj'][1]} AS DOUBLE) AS o1" for i, k in enumerate(b.LANDSCAPE["bumps"])))
+@query("s14_params", "SELECT n_nationkey AS bump, round(0.2::DOUBLE + 0.01::DOUBLE * n_regionkey, 6) AS width, round(n_nationkey / 50.0::DOUBLE - 0.25::DOUBLE, 6) AS height, round(n_nationkey / 25.0::DOUBLE, 6) AS c0, CAST(n_regionkey AS DOUBLE) AS o1 FROM nation")
 def s14_params(spark, sf_dir):
+    """A landscape with a bump for each nation, written and read back."""
+    at = F.col("n_nationkey") / 25.0
+    rows = b.table(spark, sf_dir, "nation").select("n_nationkey", F.array(*[at] * 5).alias("center"), (0.2 + 0.01 * F.col("n_regionkey")).alias("width"), (F.col("n_nationkey") / 50.0 - 0.25).alias("height"), F.array(F.lit(1.0), F.col("n_regionkey").cast("double")).alias("obj"))
+    bumps = [x.asDict() for x in rows.orderBy("n_nationkey").drop("n_nationkey").collect()]  # a landscape's few bumps
     path = scratch_path(spark, "params")
-    tables.write_params(spark, b.LANDSCAPE, path)
+    tables.write_params(spark, {"a1": b.LANDSCAPE["a1"], "a2": b.LANDSCAPE["a2"], "bumps": bumps}, path)
     got = tables.read_params(spark, path)["bumps"]
-    return spark.createDataFrame([(i, k["width"], k["height"], k["center"][0], k["obj"][1]) for i, k in enumerate(got)], "bump int, width double, height double, c0 double, o1 double")
+    return spark.createDataFrame([(i, *(round(v, 6) for v in (k["width"], k["height"], k["center"][0])), k["obj"][1]) for i, k in enumerate(got)], "bump bigint, width double, height double, c0 double, o1 double")
 
 
 _SHEET = f"SELECT 'S' || s_suppkey AS sample_id, 'QVQL' || substr('{ALPHABET}', CAST(s_suppkey % 20 + 1 AS INTEGER), 1) AS sequence, 5 AS length, 'IGHV' || s_nationkey AS germline, CAST(70 + s_suppkey % 30 AS DOUBLE) + 0.5 AS germline_identity_pct, s_acctbal AS tm_celsius, CAST(s_suppkey AS DOUBLE) AS bv_elisa_score, CAST(s_nationkey + 1 AS DOUBLE) AS affinity_kd_nm, CAST(2 AS DOUBLE) AS yield_mg_per_10ml FROM supplier"
@@ -115,6 +130,15 @@ def s6_parse_measurements(spark, sf_dir):
     return tables.read_measurements(spark, _sheet_file(spark, sf_dir), raw=True)
 
 
+@query("s6_workbook", _SHEET)
+def s6_workbook(spark, sf_dir):
+    """The same sheet as a workbook."""
+    raw = spark.read.option("header", True).csv(_sheet_file(spark, sf_dir))
+    path = f"{scratch_path(spark, 'workbook')}/sheet.xlsx"
+    write_workbook(raw.withColumn("Tm (oC)", F.col("`Tm (oC)`").cast("double")), path)
+    return tables.read_measurements(spark, path)
+
+
 @query("s7_load_table", _SHEET)
 def s7_load_table(spark, sf_dir):
     """A parsed table and a raw sheet give the same rows; the header tells which it is."""
@@ -146,23 +170,27 @@ def s9_collect_shards(spark, sf_dir):
     return ingest.collect_shards(spark, shards, 40, F.col("doc_id") % 3 != 0, F.concat(F.upper("source"), "lang"), {"source": F.col("source")}, most=150)[0]
 
 
-@query("s10_choose_shards", "SELECT 's' || (k * 100 // 7) AS shard FROM range(7) t(k)")
+@query("s10_choose_shards", f"SELECT doc_id, source FROM documents WHERE doc_id % 20 IN ({', '.join(str(k * 20 // 7) for k in range(7))})")
 def s10_choose_shards(spark, sf_dir):
-    return spark.createDataFrame([(s,) for s in ingest.choose_shards([f"s{k}" for k in range(100)], 7)], "shard string")
+    """A table's shards as files; 7 of the 20 are chosen at even strides and read."""
+    root = scratch_path(spark, "shards")
+    docs = b.table(spark, sf_dir, "documents", "doc_id", "source")
+    docs.withColumn("shard", F.format_string("%02d", F.col("doc_id") % 20)).write.mode("overwrite").partitionBy("shard").parquet(root)
+    return spark.read.parquet(*ingest.choose_shards(ingest.shards_of(spark, root), 7))
 
 
-_RUN = {
-    "team_name": "Team One!", "seed": 123, "batch_size": 2, "n_rounds": 2, "projection_method": "nearest", "strategy": [{"nehvi": 2}, {"random": 2}],
-    "rounds": [{"round": 1, "plan": {"nehvi": 2}, "ids": [4, 9], "Y": [[0.3, 0.2], [0.1, 0.9]], "hv": 0.2}, {"round": 2, "plan": {"random": 2}, "ids": [7, 8], "Y": [[0.5, 0.5], [0.6, 0.1]], "hv": 0.4}],
-    "hv_history": [0.1, 0.2, 0.4], "selected_ids": [4, 9, 7, 8], "final_Y": [[0.2, 0.2], [0.3, 0.2], [0.1, 0.9], [0.5, 0.5], [0.6, 0.1]], "n_initial": 1, "auc_hv": 0.225, "final_hv": 0.4, "n_nondominated_selected": 3, "embedding_diversity": 0.7,
-}
+_TEAM_RUNS = "t AS (SELECT user_id, event_id, value AS y1, coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS y2, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events)"
 
 
-@query("k1_team_runs", " UNION ALL ".join(f"SELECT 'Team One!' AS team_name, {i} AS pos, {0 if i < 1 else (i - 1) // 2 + 1} AS round, CAST({y[0]} AS DOUBLE) AS y1, CAST({y[1]} AS DOUBLE) AS y2" for i, y in enumerate(_RUN["final_Y"])))
+@query("k1_team_runs", f"WITH {_TEAM_RUNS} SELECT 'Team ' || user_id AS team_name, CAST(pos AS INTEGER) AS pos, CAST(CASE WHEN pos < 2 THEN 0 ELSE floor((pos - 2) / 4) + 1 END AS INTEGER) AS round, y1, y2 FROM t")
 def k1_team_runs(spark, sf_dir):
-    """A run is written under its team's slug and found again by its folder."""
-    folder = scratch_path(spark, "runs")
-    tables.write_run(_RUN, spark, folder)
+    """Every user's events as a run: two initial rows, then four to a round. Runs are written under their
+    teams' slugs and found again by their folder."""
+    t, folder = b.teams(spark, sf_dir), scratch_path(spark, "runs")
+    rows = F.array_sort(F.collect_list(F.struct("id", F.array("y1", F.coalesce("y2", F.lit(0.0))).alias("y"))))
+    own = t.groupBy("team").agg(rows.alias("rows")).select(F.concat(F.lit("Team "), "team").alias("team_name"), F.transform("rows", lambda x: x["y"]).alias("final_Y"))
+    known = {"seed": F.lit(123), "batch_size": F.lit(4), "n_initial": F.lit(2), "projection_method": F.lit("nearest")}
+    tables.write_runs(own.select("team_name", "final_Y", *(c.alias(n) for n, c in known.items()), *(F.lit(None).cast(k).alias(n) for n, k in tables.RUN if n not in ("team_name", "final_Y", *known))), folder)
     return tables.run_points(tables.read_runs(spark, folder))
 
 
@@ -175,9 +203,11 @@ def k2_leaderboard_csv(spark, sf_dir):
 
 @query("k7_intake_stats", None)
 def k7_intake_stats(spark, sf_dir):
-    counted, path = QUERIES["a29_funnel"](spark, sf_dir), scratch_path(spark, "stats")
-    tables.write_stats(spark, counted.first().asDict(), path)
-    return spark.read.schema(counted.schema).json(path)
+    """The reservoir and its counters are written by one reading of the records."""
+    _, counters = ingest.intake(b.records(spark, sf_dir), accepted(), "source", scratch_path(spark, "reservoir"))
+    path = scratch_path(spark, "stats")
+    tables.write_stats(spark, {**counters, "pass_rate": round(counters["pass_rate"], 6)}, path)
+    return spark.read.schema("scanned bigint, kept bigint, pass_rate double, distinct_sources bigint").json(path)
 
 
 @query("p7_valid_heavy", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <> 1 AND CASE WHEN l_linenumber = 2 THEN 0 ELSE l_quantity END >= 10")
@@ -194,16 +224,12 @@ def p8_validated(spark, sf_dir):
     return ingest.validated(b.table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", accept)
 
 
-@query("p22_check_plan", "SELECT CAST(a AS INTEGER) AS a, CAST(c AS INTEGER) AS c, a + c = 4 AND a >= 0 AS ok FROM range(-1, 6) t(a), range(0, 6) u(c)")
+@query("p22_check_plan", "SELECT l_orderkey, l_linenumber, l_linenumber - 1 + CAST(l_quantity AS INTEGER) % 6 - 1 = 4 AND CAST(l_quantity AS INTEGER) % 6 >= 1 AND l_returnflag <> 'R' AS ok FROM lineitem")
 def p22_check_plan(spark, sf_dir):
-    def ok(a: int, c: int) -> bool:
-        try:
-            cards.check_plan({"nehvi": a, "random": c}, 4)
-        except ValueError:
-            return False
-        return True
-
-    return spark.createDataFrame([(a, c, ok(a, c)) for a in range(-1, 6) for c in range(6)], "a int, c int, ok boolean")
+    """Plans as order lines make them: slots below zero, too many or too few, and names of no card."""
+    other = F.when(F.col("l_returnflag") == "R", F.lower("l_returnflag")).otherwise(F.lit("scalarized_0.5_0.5"))
+    plan = F.create_map(F.lit("nehvi"), F.col("l_linenumber").cast("int") - 1, other, F.col("l_quantity").cast("int") % 6 - 1)
+    return b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cards.valid_plan(plan, 4).alias("ok"))
 
 
 _LAYERS = "y AS (SELECT 'true front' AS layer, p_retailprice AS y1, CAST(p_size AS DOUBLE) AS y2 FROM part UNION SELECT 'T' || (p_partkey % 3), p_retailprice, CAST(p_size AS DOUBLE) FROM part WHERE p_partkey % 5 = 0 UNION SELECT 'T' || k, p_retailprice, CAST(p_size AS DOUBLE) FROM part, range(3) t(k) WHERE p_partkey IN (1, 2))"

@@ -9,10 +9,13 @@ import io
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_sequence, is_standard, offending_residues, percent
+from . import arrays
+from .workbook import read_workbook
 
 # Schemas as (name, type) pairs; :func:`ddl` is what Spark's readers take.
 LIBRARY = (("sequence_id", "string"), ("sequence", "string"), ("length", "int"), ("source", "string"), ("cluster_id", "int"))
@@ -102,9 +105,9 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_measurements(spark: SparkSession, path: str, raw: bool | None = None) -> DataFrame:
-    """The measurement table as CSV, parsed before or with the sheet's own headers; these are
-    told by the header row unless ``raw`` says so."""
-    df = spark.read.option("header", True).csv(path)
+    """The measurement table as a workbook's first sheet or as CSV, parsed before or with the sheet's
+    own headers; these are told by the header row unless ``raw`` says so."""
+    df = read_workbook(spark, path) if path.endswith(".xlsx") else spark.read.option("header", True).csv(path)
     if raw is None:
         raw = "sample_id" not in df.columns
     if raw:
@@ -126,24 +129,31 @@ def with_derived(df: DataFrame) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str, width: int, unit_range: bool = False) -> DataFrame:
-    """A matrix as (id, x): Parquet, or .npy files, each read by one task through Spark's file reader."""
-    if path.endswith(".npy"):
-        content = spark.read.format("binaryFile").load(path).select("content")
+    """A matrix as (id, x): Parquet, or .npy (a file, or a folder of that name with parts). Array files
+    are read in ranges of rows; where only Spark reaches them, each whole by one task."""
+    if not path.rstrip("/").endswith(".npy"):
+        return check_matrix(spark.read.parquet(path), width, unit_range)
+    try:
+        arrays.opened(path)
+    except pa.ArrowInvalid:
+        return check_matrix(_whole_arrays(spark, path, width), width, unit_range)
+    return check_matrix(arrays.read_array(spark, path), width, unit_range)
 
-        def rows(batches):
-            import pandas as pd
 
-            for pdf in batches:
-                for raw in pdf["content"]:
-                    m = np.load(io.BytesIO(raw), allow_pickle=False).astype(float)
-                    if m.ndim != 2 or m.shape[1] != width:
-                        raise ValueError(f"expected [N, {width}], got {m.shape}")
-                    yield pd.DataFrame({"id": np.arange(len(m)), "x": list(m)})
+def _whole_arrays(spark: SparkSession, path: str, width: int) -> DataFrame:
+    content = spark.read.format("binaryFile").load(path).select("content")
 
-        df = content.mapInPandas(rows, "id bigint, x array<double>")
-    else:
-        df = spark.read.parquet(path)
-    return check_matrix(df, width, unit_range)
+    def rows(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for raw in pdf["content"]:
+                m = np.load(io.BytesIO(raw), allow_pickle=False).astype(float)
+                if m.ndim != 2 or m.shape[1] != width:
+                    raise ValueError(f"expected [N, {width}], got {m.shape}")
+                yield pd.DataFrame({"id": np.arange(len(m)), "x": list(m)})
+
+    return content.mapInPandas(rows, "id bigint, x array<double>")
 
 
 def check_matrix(df: DataFrame, width: int, unit_range: bool = False) -> DataFrame:
@@ -217,6 +227,13 @@ def _plain(history: dict) -> dict:
     return {**history, "rounds": [{k: r[k] for k in ("round", "plan", "ids", "Y", "hv")} for r in history["rounds"]]}
 
 
+def write_runs(runs: DataFrame, folder: str) -> None:
+    """Runs (the columns of RUN) as JSON under their teams' slugs, all by one job, for :func:`read_runs`."""
+    from ..functions.text import slug
+
+    typed(runs, RUN).withColumn("slug", F.concat(slug("team_name"), F.lit("_run.json"))).write.mode("overwrite").partitionBy("slug").json(folder)
+
+
 def write_initial(spark: SparkSession, ids, seed: int, path: str) -> None:
     """An initial design as one JSON record."""
     spark.createDataFrame([(seed, [int(i) for i in ids])], ddl(INITIAL)).coalesce(1).write.mode("overwrite").json(path)
