@@ -7,15 +7,15 @@ hold them against brute force or against their invariants.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import ALPHABET
 from ..functions import text as fx
 from ..operators import campaign, cards, ingest, latents, pareto, select, stats, surrogate
 from ..sources import tables
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, written
 from ..streaming.front import RunningFront
 from . import bindings as b
 from .registry import ORACLE_SQL, QUERIES, query, r
@@ -744,8 +744,8 @@ def a32_acq_margin(spark, sf_dir):
 
 
 def _setting(spark, sf_dir):
-    """Pool, oracle and initial ids of a small campaign. A reused pool is written once by the caller's cache."""
-    pool = b.latents(spark, sf_dir).cache()
+    """Pool, oracle and initial ids of a small campaign. The pool is read many times, so it is written once."""
+    pool, _ = written(b.latents(spark, sf_dir), "pool")
     oracle = campaign.Oracle(campaign.true_objectives(pool, b.LANDSCAPE), (0.05, 0.05), 123)
     return pool, oracle, [int(x.id) for x in pool.select("id").orderBy("id").limit(12).collect()]
 
@@ -777,6 +777,63 @@ def o4_campaign(spark, sf_dir):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(h["hv_history"])], "round int, hv double")
 
 
+@query("c5_nehvi_scores")
+def c5_nehvi_scores(spark, sf_dir):
+    """Every embedding's expected improvement on the first twelve, in three objectives: the two of the
+    landscape, and how even the latent coordinates are."""
+    pool, oracle, start = _setting(spark, sf_dir)
+    c = campaign.Campaign("team", pool, oracle, start)
+    x = c.rows(start)
+    y = np.column_stack((c.y, 1 - x.std(1)))
+    card = cards.build("nehvi", surrogate.fit(x, y), x, y, (-0.05, -0.05, 0.0), campaign.DEFAULTS.seed)
+    return cards.score_pool(pool, card, np.empty((0, 5))).select("id", "score")
+
+
+@query("o2_continuous_batch")
+def o2_continuous_batch(spark, sf_dir):
+    """A batch found in the box by gradient, a start to a task, and projected onto the pool."""
+    pool, oracle, start = _setting(spark, sf_dir)
+    c = campaign.Campaign("team", pool, oracle, start)
+    x = c.rows(start)
+    ids = cards.propose({"nehvi": 2, "parego": 2}, surrogate.fit(x, c.y), pool, start, x, c.y, optimize="continuous")
+    return spark.createDataFrame(list(enumerate(ids)), "pos int, id bigint")
+
+
+_BY_HOUR = "h AS (SELECT event_type AS strategy, CAST(day(ts) AS INTEGER) AS seed, hour(ts) AS k, max(value) AS hv, count(*) AS n FROM events GROUP BY ALL), f AS (SELECT strategy, seed, hv, row_number() OVER (PARTITION BY strategy, seed ORDER BY k) - 1 AS round FROM h), g AS (SELECT strategy, seed, count(*) AS regions, avg(hv) AS auc FROM h GROUP BY ALL), c AS (SELECT strategy, avg(regions) AS regions, avg(auc) AS auc FROM g GROUP BY strategy)"
+
+
+@query("v9_sweep_curves", f"WITH {_BY_HOUR} SELECT f.strategy, CAST(round AS INTEGER) AS round, round(avg(hv), 6) AS hv_mean, round(any_value(c.regions), 6) AS region_coverage_mean, round(any_value(c.auc), 6) AS auc_hv_mean FROM f JOIN c ON f.strategy = c.strategy GROUP BY ALL")
+def v9_sweep_curves(spark, sf_dir):
+    """Curves of a sweep's plot: an event type is a strategy, a day a seed, an hour a round."""
+    t = b.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("strategy"), F.dayofmonth("ts").alias("seed"), F.hour("ts").alias("k")).agg(F.max("value").alias("hv"))
+    rows = F.array_sort(F.collect_list(F.struct("k", "hv")))  # at most 24
+    facts = t.groupBy("strategy", "seed").agg(F.transform(rows, lambda x: x["hv"]).alias("hv_history"), F.count(F.lit(1)).alias("region_coverage"), F.avg("hv").alias("auc_hv"))
+    curves = campaign.sweep_curves(facts)
+    return curves.select("strategy", "round", *(r(c).alias(c) for c in ("hv_mean", "region_coverage_mean", "auc_hv_mean")))
+
+
+_NAMES = list(campaign.default_strategies())
+_RIVALS = "('mixed', 'scalarization_sweep', 'explore_then_exploit', 'all_parego')"
+_CRITERIA = (
+    f"f AS (SELECT list_value({', '.join(repr(n) for n in _NAMES)})[CAST(user_id % 7 AS INTEGER) + 1] AS strategy, user_id // 7 % 3 AS seed, round(avg(value), 9) AS auc, count(DISTINCT user_id) AS regions FROM events GROUP BY ALL), "
+    "m AS (SELECT strategy, avg(auc) AS auc, avg(regions) AS regions FROM f GROUP BY strategy), "
+    "o AS (SELECT max(auc) FILTER (strategy = 'all_nehvi') AS nehvi, max(auc) FILTER (strategy = 'random_baseline') AS random, max(regions) FILTER (strategy = 'all_nehvi') AS rn, max(regions) FILTER (strategy = 'all_parego') AS rp, max(regions) FILTER (strategy = 'all_scalarized_0.8_0.2') AS rs FROM m), "
+    f"w AS (SELECT count(*) AS n FROM f a JOIN f c ON a.seed = c.seed AND c.strategy = 'all_nehvi' AND a.strategy IN {_RIVALS} AND a.auc > c.auc), "
+    "s AS (SELECT count(DISTINCT strategy) AS n FROM (SELECT strategy, row_number() OVER (PARTITION BY seed ORDER BY auc DESC, strategy) AS k FROM f) WHERE k = 1), "
+    "t AS (SELECT max(auc) AS a, max(auc) FILTER (k = 2) AS b FROM (SELECT auc, row_number() OVER (ORDER BY auc DESC) AS k FROM m))"
+)
+
+
+@query("o7_acceptance", f"WITH {_CRITERIA}, l(criterion, passed) AS (SELECT '1', true UNION ALL SELECT '2', nehvi > random FROM o UNION ALL SELECT '3', n > 0 FROM w UNION ALL SELECT '4', rs < rn FROM o UNION ALL SELECT '5', rp > rs FROM o UNION ALL SELECT '6', s.n >= 2 OR (a - b) / abs(a) < 0.15 FROM s, t UNION ALL SELECT '7', true UNION ALL SELECT '8', true UNION ALL SELECT 'margin', true UNION ALL SELECT '9', true) SELECT criterion, passed, criterion = '9' AS info FROM l")
+def o7_acceptance(spark, sf_dir):
+    """The acceptance list over facts that events make: users are dealt to the seven strategies and three seeds."""
+    t = b.table(spark, sf_dir, "events")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("user_id") % 7).cast("int") + 1)
+    facts = t.groupBy(name.alias("strategy"), (F.floor(F.col("user_id") / 7) % 3).alias("seed")).agg(r(F.avg("value"), 9).alias("auc_hv"), F.count_distinct("user_id").alias("region_coverage"))
+    facts = facts.select("*", *(F.lit(0.0).alias(c) for c in ("final_hv", "angular_spread", "diversity", "n_nondominated")))
+    return campaign.criteria(facts, True, {"abs_margin": 0.5}, 10.0, 3, 0.9, 1.0).select("criterion", "passed", "info")
+
+
 #: Three seeds from the default one on, as the reference's sweep has.
 SWEEP_SEEDS = [123, 124, 125]
 
