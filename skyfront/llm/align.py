@@ -30,7 +30,9 @@ import hashlib
 import io
 import re
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 from .bpe import Memo
 from .common import written
 from .packing import _BYTE_CHARS, Encoder
+from .packing import Memo as WordIds
 
 STRIPES = 128
 #: Bytes of text and rows of a part. Its documents are numbered with 16 bits.
@@ -50,8 +53,13 @@ PART_BYTES, PART_ROWS = 8 << 20, 60_000
 SLICE_BYTES = 128 << 20
 #: Links of a group from which its distinct ids are multiplied instead.
 HEAVY = 4096
-#: A word starts at a space that doesn't follow white space.
+#: Words of any text: one starts at a space that doesn't follow white space.
 _WORD = re.compile(r" (?:[^ ]+|(?<=\s) )*")
+#: Words of texts without _OTHER characters: white space and then letters, digits or marks; short
+#: forms take the letters after them along. The classes are a fixed value, the byte-level pattern's.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_UNIT = re.compile(rf"\s*(?:'(?:s|t|re|ve|m|ll|d)[{_LETTERS}]*|[{_LETTERS}]+|[0-9]+|[^\s{_LETTERS}0-9]+)|\s+")
+_OTHER = re.compile(rf"[^\t\n\x20-\x7e{_LETTERS}]")
 
 _LINKS = "batch bigint, stripe int, ids_a binary, ids_b binary, n binary, docs binary, times binary, facts binary"
 
@@ -67,9 +75,12 @@ def _unpacked(x: bytes, kind: str) -> np.ndarray:
 class Aligner:
     """Aligns words. Both encode " " + text: the first as it is, the second puts the space there itself.
 
-    A word starts at a space after something else than white space. There neither vocabulary has a
-    token that reaches over: byte-level words begin with their space or are white space alone, and
-    no piece holds its sign for a space after another character. So words are encoded one by one.
+    A text is cut where neither vocabulary has a token that reaches over. The first one's words
+    begin with a space, are white space alone, or change with the kind of character; the second one can
+    only merge across two characters that stand next to each other in one of its pieces, and no piece
+    holds its sign for a space after another character, nor two kinds of characters (of those that
+    _UNIT tells apart; where a vocabulary has such pieces, _WORD alone is used). So words are encoded
+    one by one, and remembered.
     """
 
     def __init__(self, path_a: str, path_b: str, stripes: int = STRIPES):
@@ -77,62 +88,66 @@ class Aligner:
 
         self.a = Encoder(path_a)
         self.a.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
+        self.a.memo = WordIds(self.a.tokenizer.model, 1000)  # the aligned words are remembered here
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if not self.a.by_word or any(re.search("[^▁]▁", p) for p in pieces):
+        # a line feed is no piece: after it a word is encoded as it is within a text
+        self.line = self.b.encode("\n")
+        lone = [self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")]
+        if not self.a.by_word or self.line != lone or any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a byte-level vocabulary and one of pieces that start with their spaces are needed")
+        plain = [p for i, p in enumerate(pieces) if not self.b.is_byte(i) and not self.b.is_control(i) and not self.b.is_unknown(i)]
+        kind = {c: "white" if c.isspace() else "letter" if c.isalpha() else "digit" if c.isdigit() else "mark" for c in map(chr, range(9, 256)) if not _OTHER.match(c)}
+        # white space goes with what follows it, so it may merge with that
+        self.by_units = not any(x in kind and y in kind and kind[x] not in ("white", kind[y]) for p in plain for x, y in zip(p[:-1], p[1:], strict=True))
         of_char = {ord(c): b for b, c in _BYTE_CHARS.items()}
         names = self.a.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
             self.bytes_a[i] = bytes(of_char[ord(c)] for c in name) if all(ord(c) in of_char for c in name) else name.encode()
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.space = self.b.piece_to_id("▁")
         self.stripes, self.width = stripes, len(pieces)
         self.height = -(-len(self.bytes_a) // stripes)
         if stripes * self.height * self.width >= 1 << 32:
             raise ValueError("pairs of ids need to fit into 32 bits")
+        # where an id of the first side has its row of counts: stripe by stripe
+        self.rows = [(i % stripes * self.height + i // stripes) * self.width for i in range(len(self.bytes_a))]
+        self.size_a, self.size_b = (list(map(len, x)) for x in (self.bytes_a, self.bytes_b))
         self.memo = Memo(self._word)
 
-    def _row(self, a: int) -> int:
-        """Where an id of the first side has its row of counts: stripe by stripe."""
-        return (a % self.stripes * self.height + a // self.stripes) * self.width
-
     def _word(self, word: str):
         """Numbers of tokens of both sides, groups and links; links as codes; groups as text; groups of
         many links as (codes, times). None if either side's bytes aren't the word's."""
         raw = self.a(word)
-        a = struct.unpack(f"<{len(raw) // 4}I", raw)
-        b = self.b.encode(word[1:]) if len(word) > 1 else [self.space]
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+        a, b = struct.unpack(f"<{len(raw) // 4}I", raw), self.b.encode("\n" + word)[2:]
         whole = word.encode()
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
+        if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
             return None
-        groups, codes, heavy, links = [], [], [], 0
-        i = j = at_a = at_b = first_a = first_b = 0
-        while i < len(a):
-            if at_a <= at_b:
-                at_a += len(parts_a[i])
-                i += 1
-            while at_b < at_a:
-                at_b += len(parts_b[j])
-                j += 1
-            if at_a == at_b:
-                own_a, own_b = a[first_a:i], b[first_b:j]
-                groups.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
-                links += len(own_a) * len(own_b)
-                if len(own_a) * len(own_b) < HEAVY:
-                    codes += [row + y for row in map(self._row, own_a) for y in own_b]
-                else:
-                    (ua, ca), (ub, cb) = (np.unique(x, return_counts=True) for x in (own_a, own_b))
-                    rows = np.array([self._row(x) for x in ua.tolist()], np.uint64)
-                    heavy.append(((rows[:, None] + ub.astype(np.uint64)).ravel(), (ca[:, None] * cb).ravel()))
-                first_a, first_b = i, j
-        return struct.pack("<4q", len(a), len(b), len(groups), links), np.array(codes, "<u4").tobytes(), ";".join(groups), heavy
+        ends_a, ends_b = (list(accumulate([size[i] for i in x])) for size, x in ((self.size_a, a), (self.size_b, b)))
+        rows, codes, heavy, links, groups = self.rows, [], [], 0, []
+        low_a = low_b = 0
+        for cut in sorted({*ends_a}.intersection(ends_b)):
+            high_a, high_b = bisect_left(ends_a, cut, low_a) + 1, bisect_left(ends_b, cut, low_b) + 1
+            own_a, own_b = a[low_a:high_a], b[low_b:high_b]
+            low_a, low_b = high_a, high_b
+            groups.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
+            n = len(own_a) * len(own_b)
+            links += n
+            if n < HEAVY:
+                codes += [rows[x] + y for x in own_a for y in own_b]
+            else:
+                (ua, ca), (ub, cb) = (np.unique(x, return_counts=True) for x in (own_a, own_b))
+                first = np.array([rows[x] for x in ua.tolist()], np.uint64)
+                heavy.append(((first[:, None] + ub.astype(np.uint64)).ravel(), (ca[:, None] * cb).ravel()))
+        return struct.pack("<4q", len(a), len(b), len(groups), links), struct.pack(f"<{len(codes)}I", *codes), ";".join(groups), heavy or ()
+
+    def words(self, text: str) -> list[str]:
+        """The words of " " + text."""
+        return (_UNIT if self.by_units and not _OTHER.search(text) else _WORD).findall(" " + text)
 
     def groups(self, text: str | None) -> list | None:
-        """What :meth:`_word` gives for the words of " " + text; None for a text without tokens."""
-        found = [self.memo[w] for w in _WORD.findall(" " + text)] if text else [None]
+        """What :meth:`_word` gives for a text's words; None for a text without tokens."""
+        found = list(map(self.memo.__getitem__, self.words(text))) if text else [None]
         return None if None in found else found
 
     def part(self, batch: int, doc_ids: list, texts: list) -> Iterator[dict]:
@@ -228,8 +243,6 @@ def _dealt(df: DataFrame, size, slice_bytes: int) -> list[int]:
 
 def _by_stripe(batches, *keys: str) -> Iterator[tuple[tuple, Iterator[dict]]]:
     """Runs of rows with the same keys, as they stand; a row at a time is held."""
-    from itertools import groupby
-
     rows = ({n: batch.column(n)[i].as_py() for n in batch.schema.names} for batch in batches for i in range(batch.num_rows))
     return groupby(rows, key=lambda r: tuple(r[k] for k in keys))
 

@@ -117,8 +117,21 @@ def test_groups_of_very_many_links(plain, monkeypatch):
 
 
 def test_words_cover_a_text():
+    aligner = align.Aligner(A, B)
+    assert aligner.by_units
     for _, t in documents():
-        assert "".join(align._WORD.findall(" " + (t or ""))) == " " + (t or "")
+        assert "".join(aligner.words(t or "")) == " " + (t or "")
+
+
+def test_words_of_plain_texts(plain):
+    """Short forms, marks, digits and white space next to each other, in every order."""
+    rng, aligner = random.Random(5), align.Aligner(A, B)
+    bits = ["'", "'s", "'ll", "'re", "st", "don", "É", "ß", "?", "%%%", "###", ".", "12", "7", " ", "  ", "\n", "\t", "\r\n", "_", "-", "s", "d", "'d", "l"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
+        wanted = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in plain.groups(text))
+        found = aligner.groups(text)
+        assert (";".join(x[2] for x in found) if found else "") == wanted, text
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
