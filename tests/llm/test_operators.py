@@ -633,29 +633,48 @@ def test_term_counts_and_prior_bound_against_plain_ones(spark):
     assert 0.1 <= toxicity.bound(first_p, first_u, 4) < 0.12
 
 
-def test_passages_against_plain_features():
+def plain_bags(text):
+    """A text's passages: their words' and pairs' places, by the words of the module's text."""
+    words = re.findall(rb"[^ \t-\r]+", text)
+    code = lambda w: sum(int(quality._TABLE[i % 64, b]) for i, b in enumerate(w)) % 2**64
+    place = lambda c: int(quality._place(np.array([c % 2**64], np.uint64))[0])
+    out = []
+    for k in range(0, max(1, len(words)), quality.PASSAGE):
+        own = []
+        for j in range(k, min(k + quality.PASSAGE, len(words))):
+            own.append(place(code(words[j])))
+            if j:
+                own.append(quality.TWICE if words[j] == words[j - 1] else place(code(words[j - 1]) * 0xD6E8FEB86659FD93 + code(words[j])))
+        out.append(own)
+    return out
+
+
+def test_passages_against_plain_words():
     r = random.Random(31)
-    texts = ["", " ", "a", "Aa Aa 12,", prose(r, 48), prose(r, 49) + "! \n", "é|#$%&*., x" * 30, "word\n" * 100, "  lead " + "B" * 20]
-    x, first = quality.passages([t.encode() for t in texts])
-    assert len(first) == len(texts)
-    ends = [*first[1:].tolist(), len(x)]
-    for t, a, b in zip(texts, first.tolist(), ends, strict=True):
-        words = re.split(rb"[ \t-\r]+", t.encode().strip(b" \t\n\x0b\x0c\r")) if t.strip() else []
-        assert b - a == max(1, -(-len(words) // quality.PASSAGE))
-        for k in range(a, b):
-            own = words[(k - a) * quality.PASSAGE : (k - a + 1) * quality.PASSAGE]
-            n = max(1, len(own))
-            again = sum(p == q for p, q in zip(words, words[1:], strict=False) if q is not None) if b - a == 1 else None
-            plain = [sum(map(len, own)) / n / 10, sum(len(w) == 1 for w in own) / n, sum(w[-1:] in b"!|#$%&*"[:7] and len(w) > 2 for w in own) / n, sum(w[:1].isupper() for w in own) / n, sum(len(w) > 14 for w in own) / n]
-            assert np.allclose(x[k, 17:22], plain, atol=1e-5), (t[:20], k)
-            assert np.isclose(x[k, 22], (len(own) if words else 1) / quality.PASSAGE)
-            if again is not None:
-                assert np.isclose(x[k, 16], again / n)
-            if b - a == 1:
-                data = t.encode() + b"\n"
-                share = lambda of: sum(c in of for c in data) / len(data)
-                assert np.allclose(x[k, [0, 1, 2, 3, 4]], [share(b"abcdefghijklmnopqrstuvwxyz"), share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b" \t\x0b\x0c\r"), share(b"\n")], atol=1e-5)
-                assert np.isclose(x[k, 5], sum(c >= 128 for c in data) / len(data), atol=1e-5)
+    texts = ["", " ", "a", "Aa Aa 12,", prose(r, 48), prose(r, 49) + "! \n", "é|#$%&*., x" * 30, "word\n" * 100, "  lead " + "B" * 200, "ab ba ab ba"]
+    bags = quality.passages([t.encode() for t in texts])
+    wanted = [plain_bags(t.encode()) for t in texts]
+    assert np.diff(bags.first, append=len(bags.starts)).tolist() == [len(w) for w in wanted]
+    assert bags.sizes().tolist() == [len(k) for w in wanted for k in w]
+    assert bags.places.tolist() == [x for w in wanted for k in w for x in k]
+    again = quality.Bags.of(bags.texts())
+    assert all(np.array_equal(getattr(again, n), getattr(bags, n)) for n in ("places", "starts", "first"))
+
+
+def test_scores_against_plain_attention():
+    r = random.Random(6)
+    y = np.array([i % 2 for i in range(60)], np.float32)
+    model = quality.train([(prose(r, 120) + (" low low" if v else " high")).encode() for v in y], y, steps=20)
+    p = {k: np.asarray(v, float) for k, v in model.p.items()}
+    for text in (prose(r, 150).encode(), b"", b"one", b"same " * 100):
+        h = []
+        for own in plain_bags(text):
+            mean = np.mean([p["E"][model.seen[x]] for x in own], 0) if own else np.zeros(quality.HIDDEN)
+            h.append(np.tanh(mean + p["b"]))
+        e = [float(p["q"] @ (np.tanh(x @ p["V"]) / (1 + np.exp(-(x @ p["U"]))))) for x in h]
+        a = np.exp(e) / np.exp(e).sum()
+        z = sum(w * x for w, x in zip(a, h))
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-(z @ p["c"] + p["d"]))), abs=1e-4)
 
 
 def test_repeated_ids_give_one_fit(spark):
@@ -669,20 +688,45 @@ def test_repeated_ids_give_one_fit(spark):
 
 
 def test_gradients_of_multiple_instance_learning():
-    texts = [b"some words here " * 20, b"AN OTHER TEXT!! " * 9, b""]
-    x, first = quality.passages(texts)
+    bags = quality.passages([b"some words here " * 20, b"AN OTHER TEXT!! " * 9, b"", b"some other words"])
     r = np.random.default_rng(0)
-    shapes = {"W": (quality.N_FEATURES, quality.HIDDEN), "b": (quality.HIDDEN,), "V": (quality.HIDDEN, quality.ATTENTION), "U": (quality.HIDDEN, quality.ATTENTION), "q": (quality.ATTENTION,), "c": (quality.HIDDEN,)}
+    shapes = {"E": (quality.PLACES, quality.HIDDEN), "b": (quality.HIDDEN,), "V": (quality.HIDDEN, quality.ATTENTION), "U": (quality.HIDDEN, quality.ATTENTION), "q": (quality.ATTENTION,), "c": (quality.HIDDEN,)}
     p = {k: r.standard_normal(s) * 0.3 for k, s in shapes.items()} | {"d": np.float64(0.1)}
-    x = x.astype(np.float64)
-    y, kept = quality.forward(p, x, first)
-    g = quality.gradients(p, x, first, y.copy(), kept)
+    y, kept = quality.forward(p, bags)
+    g = quality.gradients(p, bags, y.copy(), kept)
     for k in shapes:
-        at = tuple(int(i) for i in np.unravel_index(3, shapes[k]))
+        at = (int(g["E"][0][2]), 1) if k == "E" else tuple(int(i) for i in np.unravel_index(3, shapes[k]))
         q = {n: np.array(v) for n, v in p.items()}
         q[k][at] += 1e-6
-        up = (quality.forward(q, x, first)[0] ** 2).sum() / 2
-        assert abs((up - (y**2).sum() / 2) / 1e-6 - g[k][at]) < 1e-3
+        up = (quality.forward(q, bags)[0] ** 2).sum() / 2
+        assert abs((up - (y**2).sum() / 2) / 1e-6 - (g["E"][1][2, 1] if k == "E" else g[k][at])) < 1e-3
+
+
+def test_only_words_or_their_order_tell():
+    """The same letters, word lengths and marks in both kinds: words tell; then the order of the same words."""
+    r = random.Random(3)
+    words = ["".join(r.sample("abcdefghij", 5)) for _ in range(80)]
+
+    def of_words(good):
+        return " ".join(r.choice(words[:60] if good else words[20:]) for _ in range(150)).encode()
+
+    def of_order(good):
+        out = []
+        for _ in range(60):
+            a, b = sorted(r.sample(range(20), 2), reverse=not good)
+            out += [words[a], words[b], words[20 + r.randrange(60)]]
+        return " ".join(out).encode()
+
+    for make in (of_words, of_order):
+        y = np.array([i % 2 for i in range(240)], np.float32)
+        model = quality.train([make(v) for v in y], y)
+        good, bad = model.score([make(1) for _ in range(60)]), model.score([make(0) for _ in range(60)])
+        assert np.mean(good[:, None] > bad[None]) > 0.95, make.__name__
+        assert np.mean(good >= 0.3) > 0.9 and np.mean(bad < 0.3) > 0.7, make.__name__
+        # with every letter the same nothing is left that tells
+        flat = [model.score([re.sub(rb"[a-z]", b"a", make(v)) for _ in range(60)]) for v in (1, 0)]
+        wins = np.mean((flat[0][:, None] > flat[1][None]) + 0.5 * (flat[0][:, None] == flat[1][None]))
+        assert abs(wins - 0.5) < 0.15
 
 
 def test_quality_on_held_out_texts():
