@@ -30,9 +30,8 @@ import hashlib
 import io
 import re
 import struct
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +50,10 @@ STRIPES = 128
 PART_BYTES, PART_ROWS = 8 << 20, 60_000
 #: Packed bytes of a stripe that one task gets.
 SLICE_BYTES = 128 << 20
-#: Links of a group from which its distinct ids are multiplied instead.
-HEAVY = 4096
+#: Words in each of a memo's two generations, and characters of the longest that it holds.
+MEMO, LONGEST = 300_000, 48
+#: Links of a group from which its distinct ids are multiplied instead: more than a remembered word has.
+HEAVY = (4 * LONGEST) ** 2 + 1
 #: Words of any text: one starts at a space that doesn't follow white space.
 _WORD = re.compile(r" (?:[^ ]+|(?<=\s) )*")
 #: Words of texts without _OTHER characters: white space and then letters, digits or marks; short
@@ -110,62 +111,90 @@ class Aligner:
         self.height = -(-len(self.bytes_a) // stripes)
         if stripes * self.height * self.width >= 1 << 32:
             raise ValueError("pairs of ids need to fit into 32 bits")
+        if {bytes([b]) for b in range(256)} - set(self.bytes_a):
+            raise ValueError("the first vocabulary needs a token for every byte")
         # where an id of the first side has its row of counts: stripe by stripe
         self.rows = [(i % stripes * self.height + i // stripes) * self.width for i in range(len(self.bytes_a))]
         self.size_a, self.size_b = (list(map(len, x)) for x in (self.bytes_a, self.bytes_b))
-        self.memo = Memo(self._word)
-
-    def _word(self, word: str):
-        """Numbers of tokens of both sides, groups and links; links as codes; groups as text; groups of
-        many links as (codes, times). None if either side's bytes aren't the word's."""
+        self.model, self.memo = self.a.tokenizer.model, Memo(self._word, MEMO, LONGEST)
+        #: Links of words with very large groups, as (codes, times) of each such group.
+        self.heavy: dict[str, list] = {}
+
+    def _ids_a(self, word: str) -> list[int]:
+        if (word[1:] if word[0] == " " else word).isalpha():  # one word of the vocabulary's split
+            seen = word.replace(" ", _BYTE_CHARS[0x20]) if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return [t.id for t in self.model.tokenize(seen)]
         raw = self.a(word)
-        a, b = struct.unpack(f"<{len(raw) // 4}I", raw), self.b.encode("\n" + word)[2:]
-        whole = word.encode()
-        if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
+        return list(struct.unpack(f"<{len(raw) // 4}I", raw))
+
+    def _word(self, word: str) -> tuple[bytes, bytes, str] | None:
+        """Numbers of tokens of both sides; links as codes; groups as text. None if the second side's
+        bytes aren't the word's (the first side's always are)."""
+        a, b = self._ids_a(word), self.b.encode("\n" + word)[2:]
+        if b"".join([self.bytes_b[i] for i in b]) != word.encode():
             return None
-        ends_a, ends_b = (list(accumulate([size[i] for i in x])) for size, x in ((self.size_a, a), (self.size_b, b)))
-        rows, codes, heavy, links, groups = self.rows, [], [], 0, []
-        low_a = low_b = 0
-        for cut in sorted({*ends_a}.intersection(ends_b)):
-            high_a, high_b = bisect_left(ends_a, cut, low_a) + 1, bisect_left(ends_b, cut, low_b) + 1
-            own_a, own_b = a[low_a:high_a], b[low_b:high_b]
-            low_a, low_b = high_a, high_b
-            groups.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
-            n = len(own_a) * len(own_b)
-            links += n
-            if n < HEAVY:
-                codes += [rows[x] + y for x in own_a for y in own_b]
+        rows, size_a, size_b = self.rows, self.size_a, self.size_b
+        groups, codes, heavy = [], [], []
+        i = j = first_a = first_b = at_a = at_b = 0
+        while i < len(a):
+            at_a += size_a[a[i]]
+            i += 1
+            while at_b < at_a:
+                at_b += size_b[b[j]]
+                j += 1
+            if at_a != at_b:
+                continue
+            if i - first_a == 1 == j - first_b:
+                groups.append(f"{a[first_a]}|{b[first_b]}")
+                codes.append(rows[a[first_a]] + b[first_b])
             else:
-                (ua, ca), (ub, cb) = (np.unique(x, return_counts=True) for x in (own_a, own_b))
-                first = np.array([rows[x] for x in ua.tolist()], np.uint64)
-                heavy.append(((first[:, None] + ub.astype(np.uint64)).ravel(), (ca[:, None] * cb).ravel()))
-        return struct.pack("<4q", len(a), len(b), len(groups), links), struct.pack(f"<{len(codes)}I", *codes), ";".join(groups), heavy or ()
+                own_a, own_b = a[first_a:i], b[first_b:j]
+                groups.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
+                if len(own_a) * len(own_b) < HEAVY:
+                    codes += [rows[x] + y for x in own_a for y in own_b]
+                else:
+                    heavy.append(self._multiplied(own_a, own_b))
+            first_a, first_b = i, j
+        if heavy:
+            self.heavy[word] = heavy
+        return struct.pack("<2I", len(a), len(b)), struct.pack(f"<{len(codes)}I", *codes), ";".join(groups)
+
+    def _multiplied(self, own_a: list[int], own_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """A group of very many links by its distinct ids."""
+        (ua, ca), (ub, cb) = (np.unique(x, return_counts=True) for x in (own_a, own_b))
+        first = np.array([self.rows[x] for x in ua.tolist()], np.uint64)
+        return (first[:, None] + ub.astype(np.uint64)).ravel(), (ca[:, None] * cb).ravel()
 
     def words(self, text: str) -> list[str]:
         """The words of " " + text."""
         return (_UNIT if self.by_units and not _OTHER.search(text) else _WORD).findall(" " + text)
 
-    def groups(self, text: str | None) -> list | None:
+    def groups(self, words: list[str]) -> list | None:
         """What :meth:`_word` gives for a text's words; None for a text without tokens."""
-        found = list(map(self.memo.__getitem__, self.words(text))) if text else [None]
-        return None if None in found else found
+        found = list(map(self.memo.__getitem__, words))
+        return None if None in found or not found else found
 
     def part(self, batch: int, doc_ids: list, texts: list) -> Iterator[dict]:
         """A part's rows: one for each stripe, and one with the documents' own figures."""
         numbers, shas, codes, keys, times = [], [], [], [], []
         for k, text in enumerate(texts):
-            found = self.groups(text)
+            words = self.words(text) if text else []
+            self.heavy.clear()
+            found = self.groups(words)
             if found is None:
                 numbers.append((0, 0, 0, 0))
                 shas.append("")
                 codes.append(b"")
                 continue
-            numbers.append(np.frombuffer(b"".join([x[0] for x in found]), "<i8").reshape(-1, 4).sum(0))
-            shas.append(hashlib.sha256(";".join([x[2] for x in found]).encode()).hexdigest())
+            text = ";".join([x[2] for x in found])
             codes.append(b"".join([x[1] for x in found]))
-            for c, t in (h for x in found for h in x[3]):
+            links = len(codes[-1]) // 4
+            for c, t in (h for w in (words if self.heavy else ()) for h in self.heavy.get(w, ())):
+                links += int(t.sum())
                 keys.append(c << np.uint64(16) | np.uint64(k))
                 times.append(t)
+            numbers.append((*np.frombuffer(b"".join([x[0] for x in found]), "<u4").reshape(-1, 2).sum(0, dtype=np.int64), text.count(";") + 1, links))
+            shas.append(hashlib.sha256(text.encode()).hexdigest())
         docs = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(c) // 4 for c in codes])
         plain = np.frombuffer(b"".join(codes), "<u4").astype(np.uint64) << np.uint64(16) | docs
         if keys:
