@@ -1,5 +1,6 @@
 """Results against brute force, round trips and held-out accuracy."""
 
+import copy
 import math
 import random
 import re
@@ -759,6 +760,37 @@ def test_language_model_probabilities_add_up_to_one():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_segments_follow_their_own_words():
+    text = " ".join(f"w{i}" for i in range(700)).encode()
+    words = lm.tokens(text)
+    pieces = lm.segments_of(text, 1)
+    assert [len(w) for _, w in pieces] == [128] * 5 + [61] and sum((w for _, w in pieces), []) == words
+    for k, (lead, _) in enumerate(pieces):
+        assert lead == (words[128 * k - lm.WARM - 1 : 128 * k] if k else [lm.END])
+
+
+def first_gradient(net, ids, before):
+    """The gradient of the mean loss over one window, from the optimiser's first average."""
+    own, state = copy.copy(net), {}
+    own.p = {k: a.copy() for k, a in net.p.items()}
+    loss = own.train(ids, 1, rate=0.0, parallel=1, state=state, before=before)
+    n = sum(map(len, ids))
+    return loss[0] * n, {k: a.astype(float) * 10 * n for k, a in state["m"].items()}
+
+
+def test_a_segments_gradient_does_not_depend_on_its_neighbours():
+    net, ids = small_lm(2)
+    pieces = [(ids[0][3:6], ids[0][6:12]), (ids[1][8:9], ids[1][9:14]), (np.array([net.v.end], np.int32), ids[2][:7])]
+    alone = [first_gradient(net, [w], [lead]) for lead, w in pieces]
+    loss, together = first_gradient(net, [w for _, w in pieces], [lead for lead, _ in pieces])
+    assert loss == pytest.approx(sum(a[0] for a in alone), rel=1e-5)
+    for k in together:
+        assert np.allclose(together[k], sum(a[1][k] for a in alone), atol=1e-4), k
+    # the words before a segment do matter, and are no targets
+    other = first_gradient(net, [pieces[0][1]], [ids[5][:3]])
+    assert other[0] != pytest.approx(alone[0][0], rel=1e-4)
+
+
 def test_training_lowers_the_loss_and_windows_do_not_matter():
     net, ids = small_lm(1)
     losses = net.train(ids, epochs=4)
@@ -828,9 +860,9 @@ def test_model_score_against_a_plain_network(spark):
 
 def test_trained_segments_are_a_share_of_every_part():
     texts = [(("w%d " % i) * 1280).encode() for i in range(400)]
-    some = [lm.segments_of(t, 8) for t in texts]
+    some = [[w for _, w in lm.segments_of(t, 8)] for t in texts]
     assert 0.1 < sum(map(len, some)) / (400 * 11) < 0.15
-    whole = [sum(lm.segments_of(t, 1), []) for t in texts]
+    whole = [sum((w for _, w in lm.segments_of(t, 1)), []) for t in texts]
     assert whole == [lm.tokens(t) for t in texts]
 
 
