@@ -8,8 +8,9 @@ benchmark's words, and 0 for any other. Each text runs through it once.
 
 A worker process builds the automaton once, from the broadcast item texts, and keeps it from task
 to task. Items are broadcast only up to ``max_broadcast`` bytes (about 150 bytes of automaton for
-each): a larger benchmark is split by item into blocks of that size, which pass over the texts
-one after the other, a written table between them, so that only one block is held at a time.
+each): a larger benchmark is split by item into blocks of that size. Texts are then numbered and
+written once; one block after another is collected, broadcast and let go, and passes over them; it
+leaves the numbers of the texts that it hits, with places and items, which meet the texts at last.
 
 Defined results: a null text has no words and no hits; items with null or word-less text
 never occur; repeated items and repeated rows count each; an item with a null id marks
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, dropped, written
+from .common import as_bytes, written
 
 WINDOW = 10
 MAX_BROADCAST = 2 << 20
@@ -115,78 +116,101 @@ def original_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int
     return [(int(points[begin[a]]), int(points[end[b - 1]])) for a, b in ranges]
 
 
-def _blocks(benchmark: DataFrame, window: int, max_broadcast: int) -> list[tuple]:
-    """For each block of items what :func:`machine_of` takes."""
-    spark = benchmark.sparkSession
+_PAIR = "array<struct<first:int,end:int>>"
+_PAIRS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+
+
+def _items(benchmark: DataFrame, max_broadcast: int) -> tuple[DataFrame, int]:
+    """Items as text, and the number of blocks that they make."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // max_broadcast))
-    out = []
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.toLocalIterator()]), window))
+    return items, max(1, -(-int(total) // max_broadcast))
+
+
+def _sent(items: DataFrame, window: int) -> tuple:
+    """What :func:`machine_of` takes."""
+    return uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.toLocalIterator()]), window
+
+
+def _numbered(documents: DataFrame, number: str) -> DataFrame:
+    return written(documents.withColumn(number, F.monotonically_increasing_id()), "numbered")[0]
+
+
+def _block_hits(rows: DataFrame, number: str, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """(row, words, items): each block's hits in each row, of rows with some; only one block is out at a time."""
+    names, out = ["row", "words", "items"], None
+
+    def pairs(ranges):
+        return [{"first": a, "end": b} for a, b in ranges]
+
+    for k in range(blocks):
+        sent = _sent(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), window)
+
+        def run(batches, sent=sent):
+            for batch in batches:
+                found = [(row, *machine_of(*sent).scan(t)[1:]) for row, t in zip(batch.column("row").to_pylist(), as_bytes(batch.column("text")), strict=True)]
+                found = [x for x in found if x[1]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([pairs(x[1]) for x in found], _PAIRS), pa.array([sorted(x[2] - {None}) for x in found], pa.list_(pa.string()))], names)
+
+        hit, _ = written(rows.select(F.col(number).alias("row"), "text").mapInArrow(run, f"row bigint, words {_PAIR}, items array<string>"), "block-hits")
+        sent[1].destroy()
+        out = hit if out is None else out.unionByName(hit)
     return out
 
 
-def _passed(df: DataFrame, blocks: list[tuple], step) -> DataFrame:
-    """``step(df, block)`` for every block, each but the last written."""
-    before = None
-    for i, block in enumerate(blocks):
-        df = step(df, block)
-        if i + 1 < len(blocks):
-            df, path = written(df, "decontamination-block")
-            if before:
-                dropped(df.sparkSession, before)
-            before = path
-    return df
-
-
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Per row of ``documents(doc_id, text)``: doc_id, text, n_words, hit_words (merged word
-    ranges), hit_spans (the same as code points of the original text), item_ids."""
-    pair = "array<struct<first:int,end:int>>"
-    schema = f"doc_id bigint, text string, n_words bigint, hit_words {pair}, hit_spans {pair}, item_ids array<string>"
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-    names = ["doc_id", "text", "n_words", "hit_words", "hit_spans", "item_ids"]
-
-    def step(df, block):
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, texts: bool = True) -> DataFrame:
+    """Per row of ``documents(doc_id, text)``: doc_id, text (unless ``texts`` is false), n_words,
+    hit_words (merged word ranges), hit_spans (the same as code points of the original text), item_ids."""
+    kept = ["doc_id", *(["text"] if texts else [])]
+    names = [*kept, "n_words", "hit_words", "hit_spans", "item_ids"]
+    schema = f"doc_id bigint, {'text string, ' if texts else ''}n_words bigint, hit_words {_PAIR}, hit_spans {_PAIR}, item_ids array<string>"
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def result(batch, found):
+        """``found``: for each row the number of words, hit ranges and items."""
+        pairs = lambda ranges: [{"first": a, "end": b} for a, b in ranges]
+        spans = [original_spans(t, x[1]) for t, x in zip(as_bytes(batch.column("text")), found, strict=True)]
+        columns = (pa.array([x[0] for x in found], pa.int64()), pa.array([pairs(x[1]) for x in found], _PAIRS), pa.array([pairs(x) for x in spans], _PAIRS), pa.array([sorted(x[2]) for x in found], pa.list_(pa.string())))
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *columns], names)
+
+    items, blocks = _items(benchmark, max_broadcast)
+    if blocks == 1:
+        sent = _sent(items, window)
+
         def run(batches):
             for batch in batches:
-                yield hits(batch, machine_of(*block))
-
-        return df.mapInArrow(run, schema)
-
-    def hits(batch, machine):
-        cols = {n: [] for n in names[2:]}
-        old = [batch.column(n).to_pylist() for n in ("hit_words", "item_ids")] if "hit_words" in batch.schema.names else None
-        for i, text in enumerate(as_bytes(batch.column("text"))):
-            n, ranges, found = machine.scan(text)
-            found.discard(None)
-            if old:
-                ranges = merged(ranges + [(x["first"], x["end"]) for x in old[0][i]])
-                found |= {*old[1][i]}
-            cols["n_words"].append(n)
-            cols["hit_words"].append([{"first": a, "end": b} for a, b in ranges])
-            cols["hit_spans"].append([{"first": a, "end": b} for a, b in original_spans(text, ranges)])
-            cols["item_ids"].append(sorted(found))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *(pa.array(cols[n], t) for n, t in zip(names[2:], (pa.int64(), kind, kind, pa.list_(pa.string())), strict=True))], names)
+                machine = machine_of(*sent)
+                found = [machine.scan(t) for t in as_bytes(batch.column("text"))]
+                yield result(batch, [(n, ranges, of - {None}) for n, ranges, of in found])
 
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _passed(docs, _blocks(benchmark, window, max_broadcast), step)
+        return docs.mapInArrow(run, schema)
+
+    def meet(batches):
+        for batch in batches:
+            hit = zip(as_bytes(batch.column("text")), batch.column("words").to_pylist(), batch.column("items").to_pylist(), strict=True)
+            yield result(batch, [(len(words_of(t)), merged([(x["first"], x["end"]) for x in words or []]), {*(of or [])}) for t, words, of in hit])
+
+    rows = _numbered(docs, "row")
+    each = _block_hits(rows, "row", items, blocks, window).groupBy("row").agg(F.flatten(F.collect_list("words")).alias("words"), F.flatten(F.collect_list("items")).alias("items"))
+    return rows.join(each, "row", "left").select("doc_id", "text", "words", "items").mapInArrow(meet, schema)
 
 
 def uncontaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``documents`` without the rows that hold a window of the benchmark; all columns are kept."""
+    items, blocks = _items(benchmark, max_broadcast)
+    if blocks == 1:
+        sent = _sent(items, window)
 
-    def step(df, block):
         def run(batches):
             for batch in batches:
-                machine = machine_of(*block)
+                machine = machine_of(*sent)
                 yield batch.filter(pa.array([not machine.scan(t)[1] for t in as_bytes(batch.column("text"))], pa.bool_()))
 
-        return df.mapInArrow(run, documents.schema)
-
-    return _passed(documents, _blocks(benchmark, window, max_broadcast), step)
+        return documents.mapInArrow(run, documents.schema)
+    number = f"_row_{uuid.uuid4().hex}"
+    rows = _numbered(documents, number)
+    hit = _block_hits(rows.withColumn("text", F.col("text").cast("string")), number, items, blocks, window).select(F.col("row").alias(number)).distinct()
+    return rows.join(hit, number, "left_anti").drop(number)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return decontam.digest(decontam.decontaminate(docs, read(spark, sf_dir, "benchmark", "item_id", "text")))
+    return decontam.digest(decontam.decontaminate(docs, read(spark, sf_dir, "benchmark", "item_id", "text"), texts=False))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

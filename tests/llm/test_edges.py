@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from skyfront.llm import chat, decontam, lines, lm, packing, pii, quality, simhash, tiff, toxicity
+from skyfront.llm import align, audit, bpe, chat, decontam, lines, lm, packing, pii, quality, simhash, tiff, toxicity
 from skyfront.llm.queries import _tokenizer
 
 NAMES = ["_id", "_key", "_row", "_h", "_at", "fp", "node", "key", "part", "row", "word", "n_words", "score", "page", "pixels", "n_lines", "c", "a"]
@@ -39,6 +39,10 @@ OPERATORS = {
     "lines_all_columns": lambda s, d, lab: lines.without_repeats(d),
     "toxicity": lambda s, d, lab: toxicity.scored(d, toxicity.fit(d, lab)),
     "pii": lambda s, d, lab: pii.personal_data(d, pii.Tagger.new()),
+    "bpe": lambda s, d, lab: bpe.digest(bpe.encoded(d, _tokenizer("word_bpe_49k.json"))),
+    "bpe_in_parts": lambda s, d, lab: bpe.encoded(d, _tokenizer("word_bpe_49k.json"), leaf=20),
+    "align": lambda s, d, lab: align.aligned(d, _tokenizer(), _tokenizer("piece_bpe_32k.model"), stripes=4),
+    "audit": lambda s, d, lab: audit.marked(d),
 }
 
 
@@ -92,5 +96,5 @@ def test_stages_on_edges(spark, documents, labels, tmp_path):
 
 def test_registered_queries():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names and [s for s, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]

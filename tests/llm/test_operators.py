@@ -1,6 +1,7 @@
 """Results against brute force, round trips and held-out accuracy."""
 
 import copy
+import itertools
 import math
 import random
 import re
@@ -331,6 +332,22 @@ def test_decontamination_and_offsets(spark):
     assert kept == {2, 3, 4}
 
 
+def test_many_blocks_give_what_one_gives(spark):
+    """Repeated rows and ids, nulls, items that share windows, in one block and in some dozens."""
+    r = random.Random(16)
+    passages = [prose(r, r.choice((3, 10, 14, 40))) for _ in range(40)]
+    items = spark.createDataFrame([(i % 30 if i % 7 else None, p) for i, p in enumerate(passages)] + [(31, passages[0]), (32, None), (33, "")], "item_id bigint, text string")
+    texts = [" ".join([prose(r, 20), *r.sample(passages, r.choice((0, 0, 1, 3))), prose(r, 5)]) for _ in range(60)] + ["", None]
+    rows = [(i % 50, t) for i, t in enumerate(texts)] + [(None, passages[3]), (None, None), (3, texts[3]), (3, texts[3])]
+    docs = spark.createDataFrame([(*x, "x", "x") for x in rows], "doc_id bigint, text string, row string, words string").repartition(4)
+    sort = lambda df: sorted((tuple(map(str, x)) for x in df.collect()), key=repr)
+    one, many = (sort(decontam.decontaminate(docs, items, max_broadcast=n)) for n in (1 << 20, 200))
+    assert one == many and len(one) == len(rows)
+    assert sort(decontam.decontaminate(docs, items, texts=False)) == sort(decontam.decontaminate(docs, items, max_broadcast=200).drop("text"))
+    clean, cleaned = (decontam.uncontaminated(docs, items, max_broadcast=n) for n in (1 << 20, 200))
+    assert clean.columns == cleaned.columns == docs.columns and sort(clean) == sort(cleaned) and 0 < clean.count() < len(rows)
+
+
 # --- packing ----------------------------------------------------------------------
 
 
@@ -752,6 +769,66 @@ def small_lm(seed=0):
     return lm.Network(v), [v.encode(t) for t in texts]
 
 
+def small_tagger(seed):
+    r = np.random.default_rng(seed)
+    tagger = pii.Tagger.new(seed)
+    tagger.p |= {k: r.standard_normal(tagger.p[k].shape).astype(np.float32) for k in ("T", "S", "o")}
+    return tagger, r.integers(0, pii.ALPHABET, (6, 5))
+
+
+def every_path(tagger, x):
+    """All tag paths of windows x and their scores, from the network's emissions."""
+    e, t, s = tagger.emissions(x).astype(float), tagger.p["T"].astype(float), tagger.p["S"].astype(float)
+    paths = np.array(list(itertools.product(range(5), repeat=x.shape[1])))
+    scores = s[paths[:, 0]][:, None] + sum(e[k][paths[:, k]] for k in range(x.shape[1]))
+    return paths, scores + sum(t[paths[:, k - 1], paths[:, k]] for k in range(1, x.shape[1]))[:, None]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_best_paths_against_all_paths(seed):
+    tagger, x = small_tagger(seed)
+    paths, scores = every_path(tagger, x)
+    assert np.array_equal(tagger.tags(x), paths[scores.argmax(0)])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_path_sums_against_all_paths(seed):
+    """The likelihood's normaliser, and the gradient by transitions, starts and tag scores."""
+    tagger, x = small_tagger(seed)
+    paths, scores = every_path(tagger, x)
+    y = np.random.default_rng(seed + 50).integers(0, 5, x.shape)
+    share = np.exp(scores - scores.max(0))
+    share /= share.sum(0)
+    own = np.array([(paths == row).all(1).argmax() for row in y])
+    loss, g = tagger.gradients(x, y)
+    assert loss == pytest.approx(-np.log(share[own, np.arange(len(y))]).mean(), abs=1e-4)
+    dt, ds, do = np.zeros((5, 5)), np.zeros(5), np.zeros(5)
+    for p, w in zip(paths, share.sum(1)):
+        ds[p[0]] += w
+        np.add.at(do, p, w)
+        np.add.at(dt, (p[:-1], p[1:]), w)
+    for row in y:
+        ds[row[0]] -= 1
+        np.add.at(do, row, -1)
+        np.add.at(dt, (row[:-1], row[1:]), -1)
+    for k, want in (("T", dt), ("S", ds), ("o", do)):
+        assert np.allclose(g[k], want / len(y), atol=1e-4), k
+
+
+def test_toxicity_scores_against_a_plain_sum():
+    """A text's score is that of its distinct words and beginnings, whatever their order."""
+    r = random.Random(9)
+    words = WORDS[:30]
+    weights = {w.encode(): r.uniform(-1, 1) for w in words} | {b" " + w.encode()[:4]: r.uniform(-1, 1) for w in words}
+    model = toxicity.Model(weights, -0.3)
+    for _ in range(40):
+        text = " ".join(r.choice(words + ["other", "THen"]) + r.choice(["", ",", "!"]) for _ in range(r.randrange(0, 30)))
+        seen = set(re.findall("[a-z]+", text.lower()))
+        own = {w for w in seen} | {" " + w[:n] for w in seen for n in toxicity.BEGINNINGS if len(w) >= n}
+        total = -0.3 + sum(v for k, v in weights.items() if k.decode() in own)
+        assert model.score(text.encode()) == pytest.approx(1 / (1 + math.exp(-total)))
+
+
 def test_language_model_probabilities_add_up_to_one():
     net, _ = small_lm()
     v = net.v
