@@ -57,7 +57,7 @@ def repertoire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw repertoire records: metadata in the spellings that real ones have, flags
     from labels, and a gapped sequence of the text's standard letters."""
     d = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").join(table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), "doc_id", "left")
-    letters = F.substring(F.regexp_replace("text", f"[^{ALPHABET}{ALPHABET.lower()}]", ""), 1, 120)
+    letters = F.regexp_replace("text", f"[^{ALPHABET}{ALPHABET.lower()}]", "")
     return d.select(
         "doc_id",
         F.when(F.col("lang") == "en", " Human ").when(F.col("lang") == "fr", "HUMAN").otherwise(F.col("lang")).alias("meta_Species"),

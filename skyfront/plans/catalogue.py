@@ -588,13 +588,13 @@ def _accepted():
     return fx.first_rejection(_RULES).isNull() & fx.to_bool("quality") & ~fx.to_bool("toxic") & F.col("n_chars").between(90, 5000)
 
 
-_CLEAN = f"substr(upper(regexp_replace(text, '[^{ALPHABET}{ALPHABET.lower()}]', '', 'g')), 1, 120) || CASE WHEN doc_id % 10 = 0 THEN 'X' ELSE '' END"
+_CLEAN = f"upper(regexp_replace(text, '[^{ALPHABET}{ALPHABET.lower()}]', '', 'g')) || CASE WHEN doc_id % 10 = 0 THEN 'X' ELSE '' END"
 
 
-@query("p6_ingest_filter", f"WITH q AS (SELECT doc_id, lang, source, quality, toxic, {_CLEAN} AS s FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, s AS sequence, length(s) AS n FROM q WHERE lang IN ('en', 'fr') AND source IN ('src0', 'src1', 'src2', 'src3') AND coalesce(quality, 0) = 1 AND coalesce(toxic, 0) <> 1 AND length(s) BETWEEN 90 AND 150 AND doc_id % 10 <> 0")
+@query("p6_ingest_filter", f"WITH q AS (SELECT doc_id, lang, source, quality, toxic, {_CLEAN} AS s FROM documents LEFT JOIN labels USING (doc_id)) SELECT doc_id, s AS sequence, length(s) AS n FROM q WHERE lang IN ('en', 'fr') AND source IN ('src0', 'src1', 'src2', 'src3') AND coalesce(quality, 0) = 1 AND coalesce(toxic, 0) <> 1 AND length(s) BETWEEN 90 AND 2000 AND doc_id % 10 <> 0")
 def p6_ingest_filter(spark, sf_dir):
-    """Documents as raw repertoire records, through the intake's own rule."""
-    kept = ingest.filtered(b.repertoire(spark, sf_dir))
+    """Documents as raw repertoire records, through the intake's own rule, at a length that texts have."""
+    kept = ingest.filtered(b.repertoire(spark, sf_dir), low=90, high=2000)
     return kept.select("doc_id", "sequence", F.length("sequence").cast("bigint").alias("n"))
 
 
