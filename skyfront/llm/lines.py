@@ -23,6 +23,8 @@ as they are by :func:`without_repeats`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +34,24 @@ WINDOW = 3
 MIN_CHARS = 0
 #: Bytes of a line beyond which it is cut at chosen words.
 LONG = 120
-#: A line keeps its end, so joined lines are the text again.
-_ENDS = r"(?<=\n)|(?<=[.!?] )"
 _BLANKS = " \t\r\n"
 
-#: Mark line ends, and words' ends, while a text is split; a text that has one of them is
-#: split by the pattern instead, and its long lines stay whole.
-_MARK, _END = "\x1f", "\x1e"
+#: Mark line ends, and words' ends, while a text is split. In a text that has one of them, or rather
+#: a sign for it, they are written as _SIGN and a letter meanwhile.
+_MARK, _END, _SIGN = "\x1f", "\x1e", "\x1d"
+_SIGNED = ((_SIGN, _SIGN + "c"), (_END, _SIGN + "a"), (_MARK, _SIGN + "b"))
+
+
+def _signed(text: Column) -> Column:
+    for mark, sign in _SIGNED:
+        text = F.replace(text, F.lit(mark), F.lit(sign))
+    return text
+
+
+def _unsigned(text: Column) -> Column:
+    for mark, sign in reversed(_SIGNED):
+        text = F.replace(text, F.lit(sign), F.lit(mark))
+    return text
 
 
 def _chosen(word: Column) -> Column:
@@ -46,24 +59,29 @@ def _chosen(word: Column) -> Column:
     return (n >= 5) & ((F.ascii(word) + 3 * n) % 4 == 0)
 
 
-def _cut(line: Column) -> Column:
+def _cut(line: Column, plain: Callable[[Column], Column]) -> Column:
     """A long line in parts that end after a chosen word and its blank."""
-    words = F.transform(F.split(line, " ", -1), lambda w: F.when(_chosen(w), F.concat(w, F.lit(_END))).otherwise(w))
+    words = F.transform(F.split(line, " ", -1), lambda w: F.when(_chosen(plain(w)), F.concat(w, F.lit(_END))).otherwise(w))
     marked = F.replace(F.array_join(words, " "), F.lit(_END + " "), F.lit(" " + _MARK))
     return F.split(F.replace(marked, F.lit(_END), F.lit("")), _MARK, -1)
 
 
+def _split(text: Column) -> Column:
+    for end in ("\n", ". ", "! ", "? "):
+        text = F.replace(text, F.lit(end), F.lit(end + _MARK))
+    return F.split(text, _MARK, -1)
+
+
 def _with_lines(df: DataFrame, text: Column) -> DataFrame:
     """``df`` with ``_lines``. Literal replacements and splits at one character: patterns give the
     same, but slower. ``_split`` is a column of its own so that it is made once."""
-    marked = text
-    for end in ("\n", ". ", "! ", "? "):
-        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
-    long = lambda x: F.octet_length(x) > LONG
-    parts = F.flatten(F.transform("_split", lambda x: F.when(long(x), _cut(x)).otherwise(F.array(x))))
+    as_it_is = lambda x: x
+    long = lambda plain: lambda x: F.octet_length(plain(x)) > LONG
+    parts = lambda lines, plain: F.flatten(F.transform(lines, lambda x: F.when(long(plain)(x), _cut(x, plain)).otherwise(F.array(x))))
     own_marks = F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit(_END))
-    lines = F.when(own_marks, F.split(text, _ENDS, -1)).when(F.exists("_split", long), parts).otherwise(F.col("_split"))
-    return df.withColumn("_split", F.split(marked, _MARK, -1)).withColumn("_lines", lines).drop("_split")
+    signed = F.transform(parts(_split(_signed(text)), _unsigned), _unsigned)
+    lines = F.when(own_marks, signed).when(F.exists("_split", long(as_it_is)), parts(F.col("_split"), as_it_is)).otherwise(F.col("_split"))
+    return df.withColumn("_split", _split(text)).withColumn("_lines", lines).drop("_split")
 
 
 def _windows(documents: DataFrame, min_chars: int) -> DataFrame:
@@ -128,10 +146,12 @@ def line_dedup(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 #: The query's rows over DuckDB's views (documents of one run have distinct doc_ids).
 ORACLE = r"""
-WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(31), 'g'), chr(31)) AS v FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, flatten(list_transform(v, lambda x: CASE WHEN strlen(x) <= 120 THEN [x] ELSE
-    string_split(replace(replace(array_to_string(list_transform(string_split(x, ' '), lambda w: CASE WHEN strlen(w) >= 5 AND (ascii(w) + 3 * strlen(w)) % 4 = 0 THEN w || chr(30) ELSE w END), ' '),
-      chr(30) || ' ', ' ' || chr(31)), chr(30), ''), chr(31)) END)) AS v FROM s),
+WITH e AS (SELECT doc_id, replace(replace(replace(text, chr(29), chr(29) || 'c'), chr(30), chr(29) || 'a'), chr(31), chr(29) || 'b') AS text FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(31), 'g'), chr(31)) AS v FROM e),
+l AS (SELECT doc_id, list_transform(flatten(list_transform(v, lambda x: CASE WHEN strlen(replace(x, chr(29), '')) <= 120 THEN [x] ELSE
+    string_split(replace(replace(array_to_string(list_transform(string_split(x, ' '), lambda w:
+      CASE WHEN strlen(replace(w, chr(29), '')) >= 5 AND ((CASE substr(w, 1, 2) WHEN chr(29) || 'a' THEN 30 WHEN chr(29) || 'b' THEN 31 ELSE ascii(w) END) + 3 * strlen(replace(w, chr(29), ''))) % 4 = 0 THEN w || chr(30) ELSE w END), ' '),
+      chr(30) || ' ', ' ' || chr(31)), chr(30), ''), chr(31)) END)), lambda x: replace(replace(replace(x, chr(29) || 'b', chr(31)), chr(29) || 'a', chr(30)), chr(29) || 'c', chr(29))) AS v FROM s),
 t AS (SELECT doc_id, len(v) AS n, list_transform(v, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))) AS v FROM l),
 w AS (SELECT doc_id, i, v[i + 1] AS a, v[i + 2] AS b, v[i + 3] AS c FROM (SELECT doc_id, v, unnest(range(n - 2)) AS i FROM t WHERE n >= 3)),
 r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM w WHERE a <> '' OR b <> '' OR c <> ''),

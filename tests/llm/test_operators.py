@@ -299,6 +299,31 @@ def test_short_lines_and_passages_without_ends(spark):
     assert all(len(passage) / 3 < len(rows[i - 6][1]) - len(got[i][0]) for i in (11, 12)) and got[10][1] == 0
 
 
+def test_texts_with_control_marks_are_cut_like_others(spark):
+    """Also those that the operator splits with, their signs, and the sign itself; the SQL too."""
+    import duckdb
+
+    r = random.Random(15)
+    long = rich(r, 200).split()
+    marks = ["\x1f", "\x1e", "\x1d", "\x1da", "\x1db", "\x1dc", "\x1d\x1f", "\x1e\x1f", "x\x1ey"]
+    rows = []
+    for i in range(120):
+        at = r.randrange(0, 140)
+        words = r.sample(long, 12) + long[at : at + 60] + r.sample(long, 9)
+        for _ in range(r.randrange(0, 6)):
+            k = r.randrange(len(words))
+            words[k] = r.choice((r.choice(marks), r.choice(marks) + words[k], words[k] + r.choice(marks)))
+        rows.append((i, " ".join(words) + r.choice(("", "\n", ". \x1f", "\x1e "))))
+    rows += [(200, "\x1f"), (201, "\x1e" * 200), (202, "\x1f\n\x1f\n\x1f\n\x1f\n"), (203, ""), (204, "a\x1d")]
+    got = {x.doc_id: (x.text, x.n_removed) for x in lines.line_dedup(docs_of(spark, rows)).collect()}
+    assert {k: v[0] for k, v in got.items()} == brute_lines(rows)
+    assert sum(got[i][1] > 0 and "\x1f" in t or "\x1e" in t for i, t in rows) > 20
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {i: (t, n) for i, t, n in con.execute(f"SELECT doc_id, text, n_removed FROM ({lines.ORACLE})").fetchall()} == got
+
+
 def test_a_passage_amid_other_text_goes_and_the_rest_stays(spark):
     r = random.Random(6)
     passage = ". ".join(prose(r, 14) for _ in range(6)) + ". "
