@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import composition
 from ..functions.vectors import distance, literal, squared_distance
+from ..sources.scratch import dropped, written
 
 
 def available(pool: DataFrame, forbidden: DataFrame) -> DataFrame:
@@ -149,18 +150,25 @@ def kmeans_labels(df: DataFrame, columns: Sequence[str], k: int, seed: int) -> D
 
 def curate(records: DataFrame, size: int, seed: int, clusters: int | None = None, least: int = 3) -> DataFrame:
     """A library from ``records(pos, sequence, source)``: first copies, clusters of standardised
-    composition, rare clusters dropped (unless all are rare), a balanced sample, and ids."""
+    composition, rare clusters dropped (unless all are rare), a balanced sample, and ids.
+
+    Sequences are read and described once and written beside their numbers; first copies, by a digest,
+    clusters and the sample go over the numbers only, and the chosen rows meet their sequences at last."""
     from .ingest import first_copies
     from .stats import zscore
 
-    distinct = first_copies(records, ["sequence"], "pos")
-    n = distinct.count()
+    spark = records.sparkSession
     features = [f"_f{i}" for i in range(21)]
-    shaped = distinct.select("*", *(c.alias(f) for c, f in zip(composition("sequence"), features, strict=True)))
-    labelled = kmeans_labels(zscore(shaped, features), features, clusters or max(2, round(n**0.5)), seed).drop(*features)
+    shares = (c.alias(f) for c, f in zip(composition("sequence"), features, strict=True))
+    whole, _ = written(records.select("pos", "sequence", "source", F.sha2("sequence", 256).alias("_digest"), F.monotonically_increasing_id().alias("_row"), *shares), "described")
+    distinct, path = written(first_copies(whole.select("pos", "source", "_row", "_digest", *features), ["_digest"], "pos").drop("_digest"), "first-copies")
+    k = clusters or max(2, round(distinct.count() ** 0.5))
+    labelled, labels = written(kmeans_labels(zscore(distinct, features), features, k, seed).select("pos", "_row", "cluster_id"), "labelled")
     kept = drop_small(labelled, "cluster_id", least)
     if kept.isEmpty():
         kept = labelled
-    chosen = balanced(kept, "cluster_id", "pos", size, seed)
     number = F.row_number().over(W.orderBy("turn", "cluster_id"))
-    return chosen.select(F.format_string("VH-%05d", number).alias("sequence_id"), "sequence", F.length("sequence").alias("length"), F.coalesce("source", F.lit("unknown")).alias("source"), "cluster_id")
+    chosen, _ = written(balanced(kept, "cluster_id", "pos", size, seed).select("_row", "cluster_id", F.format_string("VH-%05d", number).alias("sequence_id")), "chosen")
+    dropped(spark, path, labels)
+    found = whole.select("_row", "sequence", "source").join(F.broadcast(chosen), "_row")
+    return found.select("sequence_id", "sequence", F.length("sequence").alias("length"), F.coalesce("source", F.lit("unknown")).alias("source"), "cluster_id").orderBy("sequence_id")

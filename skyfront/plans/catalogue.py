@@ -389,8 +389,9 @@ def g7_drop_small(spark, sf_dir):
 @query("g9_curate")
 def g9_curate(spark, sf_dir):
     docs = b.table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    seq = F.regexp_replace(F.upper("text"), f"[^{ALPHABET}]", "")
-    return select.curate(docs.select(F.col("doc_id").alias("pos"), seq.alias("sequence"), "source").where("sequence <> ''"), 256, 123, clusters=12)
+    docs = docs.where(F.upper("text").rlike(f"[{ALPHABET}]"))  # others have an empty sequence
+    seq = F.regexp_replace(F.upper("text"), f"[^{ALPHABET}]+", "")
+    return select.curate(docs.select(F.col("doc_id").alias("pos"), seq.alias("sequence"), "source"), 256, 123, clusters=12)
 
 
 # --- scaling, statistics -------------------------------------------------------------------

@@ -71,6 +71,21 @@ def test_curation_drops_a_rare_kind(spark):
     assert sorted(r.sequence_id for r in got) == [f"VH-{i:05d}" for i in range(1, 13)]
 
 
+def test_curation_reads_its_records_once(spark):
+    seqs = ["A" * 30 + "C" * (i % 20) for i in range(60)] + ["K" * 30 + "R" * i for i in range(20)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i, s, None) for i, s in enumerate(seqs)], "pos bigint, sequence string, source string")
+    got = select.curate(rows.mapInArrow(counted, rows.schema), 50, 1, clusters=2).collect()
+    assert seen.value == 80
+    assert sorted(r.sequence for r in got) == sorted(set(seqs)) and {r.source for r in got} == {"unknown"} and all(r.length == len(r.sequence) for r in got)
+
+
 # --- statistics ----------------------------------------------------------------------
 
 
