@@ -60,6 +60,33 @@ def test_clusters_are_met_in_part(spark):
     assert all(abs(got[i][1] - d[i].min()) < 1e-6 for i in range(3000))
 
 
+def test_rows_are_not_copied_for_each_cell(spark, monkeypatch):
+    """On rows without clusters nearly every cell is reached; what is written stays in proportion to the rows."""
+    made, plainly = {}, near.written
+
+    def counted(df, label):
+        df, path = plainly(df, label)
+        made[label] = max(made.get(label, 0), df.count())
+        return df, path
+
+    monkeypatch.setattr(near, "written", counted)
+    v, ids = some("any", 600, 16), np.arange(600)
+    df, report = frame(spark, ids, v), {}
+    got = found(stats.nearest_rows(df, df, "id", "x", block=20, report=report))
+    assert got == {i: (n, pytest.approx(d, rel=1e-12)) for i, (n, d) in plain(v, ids, v, ids, False).items()}
+    assert report["meetings"] > 0.5 * 600 * report["cells"] and max(made.values()) <= 600, (report, made)
+
+
+@pytest.mark.parametrize("itself", [False, True])
+@pytest.mark.parametrize("kind", ["any", "clustered", "copies", "far"])
+def test_many_small_packs(spark, kind, itself):
+    v, ids = some(kind, 300, 5), np.arange(300)
+    df = frame(spark, ids, v)
+    got = found(stats.nearest_rows(df.where("id % 4 = 0"), df, "id", "x", block=60, itself=itself, pack=24))
+    want = plain(v[::4], ids[::4], v, ids, itself)
+    assert got == {i: (n, pytest.approx(d, rel=1e-12, abs=1e-12)) for i, (n, d) in want.items()}
+
+
 def test_edges(spark):
     one = frame(spark, [1], [[0.0, 0.0]])
     none = one.limit(0)
