@@ -17,9 +17,8 @@ A gated recurrent unit is trained in numpy by truncated backpropagation: windows
 another text or segment starts. It starts from the corpus frequencies and a few texts (``texts``, a
 parameter; by a seeded hash of doc_id), fitted on the driver, and then learns from the whole
 training corpus on the executors. Every training text is read whole and cut into segments of
-``SEGMENT`` tokens; one in ``share`` of them, by a hash of text and place, gets gradients, so
-what is learnt from grows in proportion to the corpus and every part of every text has the same
-chance (``share=1``: all segments). A segment is read after the ``WARM`` words that stand before it in
+``SEGMENT`` tokens, and every token of them gets gradients. A user who wants a cheaper model may set
+``share``, which takes one segment in so many, by a hash of text and place; the query does not. A segment is read after the ``WARM`` words that stand before it in
 its text, which set the state and are no targets; nothing of another text or segment reaches it.
 Each of ``ROUNDS`` takes its own texts; every task trains on its segments, and the tasks' weights are
 averaged by their tokens. So weights hang a little on how rows are dealt to tasks.
@@ -56,9 +55,9 @@ FOLDS, HELD_OUT = 7, 2
 HEAD, NEURAL, PER_CLASS, BANDS = 120_000, 4096, 64, 4
 HIDDEN, WINDOW, STREAMS, EPOCHS, TRAIN_TEXTS = 32, 32, 48, 3, 700
 #: Rounds in which the executors go over all training texts, each text in one of them; tokens of
-#: a segment, and one in how many is trained on; streams and tokens that a task trains on at a
+#: a segment, and one in how many is trained on (all); streams and tokens that a task trains on at a
 #: time; pieces in which weights are averaged.
-ROUNDS, SEGMENT, SHARE, TASK_STREAMS, TASK_TOKENS, PIECES = 2, 128, 8, 128, 1 << 17, 16
+ROUNDS, SEGMENT, SHARE, TASK_STREAMS, TASK_TOKENS, PIECES = 2, 128, 1, 128, 1 << 17, 16
 #: Words before a segment that set the state it starts from.
 WARM = 4
 #: Steps that a task takes over what it holds, or as many as eight streams give.

@@ -1,6 +1,7 @@
 """Results against brute force, round trips and held-out accuracy."""
 
 import copy
+import inspect
 import itertools
 import math
 import random
@@ -968,6 +969,14 @@ def test_trained_segments_are_a_share_of_every_part():
     assert whole == [lm.tokens(t) for t in texts]
 
 
+def test_every_training_token_is_learnt_from_by_default():
+    """The network is fitted on all segments of all training texts, not on a share of them."""
+    for f in (lm.lm_scores, lm.fit, lm.train_on_all):
+        share = inspect.signature(f).parameters["share"].default
+        for text in (b"", b"one", " ".join(f"w{i}" for i in range(1500)).encode()):
+            assert sum((w for _, w in lm.segments_of(text, share)), []) == lm.tokens(text), f.__name__
+
+
 def test_language_model_learns_word_order_from_texts_outside_the_sample(spark):
     r = random.Random(12)
     names = ["w%d" % i for i in range(12)]
