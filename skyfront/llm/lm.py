@@ -40,16 +40,16 @@ from __future__ import annotations
 import copy
 import math
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_sample, in_parts, remainder, written
+from .common import as_bytes, bounded_sample, remainder, written
 
 FOLDS, HELD_OUT = 7, 2
 HEAD, NEURAL, PER_CLASS, BANDS = 120_000, 4096, 64, 4
@@ -60,11 +60,13 @@ HIDDEN, WINDOW, STREAMS, EPOCHS, TRAIN_TEXTS = 32, 32, 48, 3, 700
 ROUNDS, SEGMENT, SHARE, TASK_STREAMS, TASK_TOKENS, PIECES = 2, 128, 1, 128, 1 << 17, 16
 #: Words before a segment that set the state it starts from.
 WARM = 4
+#: Texts that are scored side by side, states that wait for their softmax, and states whose logits are held at
+#: a time; weights that the optimiser goes over at a time; how far down exp in single precision is used.
+SIDE_BY_SIDE, DRAIN, ROWS, BLOCK, LOW = 512, 8192, 4096, 1 << 16, 80
 #: Steps that a task takes over what it holds, or as many as eight streams give.
 STEPS = 32
-#: Distinct words, and bytes of the texts they come from, that a counting task holds before it
-#: passes them on; bytes of text scored at a time.
-COUNTER, COUNTER_BYTES, PART_BYTES = 200_000, 32 << 20, 16 << 20
+#: Bytes of texts whose words a counting task holds before it counts them; bytes of text scored at a time.
+COUNTER_BYTES, PART_BYTES = 32 << 20, 16 << 20
 END = b""
 LN10 = math.log(10)
 
@@ -76,26 +78,40 @@ def tokens(text: bytes) -> list[bytes]:
     return out
 
 
+def all_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """:func:`tokens` of all texts of a string column, one text after another (binary), and the places where
+    each text's begin, with that after the last one. A null text is empty."""
+    lower = pc.binary_join_element_wise(pc.ascii_lower(texts), *map(pa.scalar, ("", " "), (texts.type,) * 2), null_handling="replace", null_replacement="")
+    # the blank that now ends each text leaves an empty word behind it, which is the end
+    split = pc.ascii_split_whitespace(lower)
+    words, begin = split.values, split.offsets.to_numpy().astype(np.int64)
+    lead = begin[:-1][pc.binary_length(words).to_numpy()[begin[:-1]] == 0]
+    if len(lead):  # texts that begin with a blank have an empty word before it too
+        keep = np.ones(len(words), bool)
+        keep[lead] = False
+        words, begin = words.filter(pa.array(keep)), begin - np.searchsorted(lead, begin)
+    return words.view(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()), begin
+
+
 def token_counts(training: DataFrame) -> DataFrame:
     """``training(text)`` to word (binary; the end is the empty one) and c, over all rows."""
 
     def run(batches):
-        held: Counter = Counter()
-        size = 0
+        held, size = [], 0
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "c"])
+            counted = pa.chunked_array(held, pa.binary()).value_counts()
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["word", "c"])
 
         for batch in batches:
-            for text in as_bytes(batch.column("text")):
-                held.update(tokens(text))
-                size += len(text)
-                if len(held) > COUNTER or size > COUNTER_BYTES:
-                    yield flush()
-                    size = 0
-        yield flush()
+            held.append(all_tokens(batch.column("text"))[0].cast(pa.binary()))
+            size += batch.column("text").nbytes
+            if size > COUNTER_BYTES:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
 
     return training.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -126,6 +142,7 @@ class Vocabulary:
 
     def __post_init__(self):
         self.ids = Places(self.words)
+        self.column = None
         n = len(self.words)
         self.neural = min(n, NEURAL)
         self.classes = -(-self.neural // PER_CLASS)
@@ -153,22 +170,29 @@ class Vocabulary:
     def encode(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
 
-
-def _sigmoid(x):
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+    def encode_all(self, words: pa.Array) -> np.ndarray:
+        """:meth:`encode` of a binary column."""
+        if not self.words:
+            return np.zeros(len(words), np.int32)
+        if self.column is None or self.column.type != words.type:
+            self.column = pa.array(self.words, words.type)
+        return pc.index_in(words, value_set=self.column).fill_null(len(self.words)).to_numpy()
 
 
-def _log_softmax(x):
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _gates(of: np.ndarray) -> np.ndarray:
+    """A table or matrix whose last axis holds three gates, as one contiguous stretch for each of them."""
+    return np.ascontiguousarray(of.reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
 
 
-def _log_share(x, rows, at):
-    """The log-softmax of each row at one place; ``x`` is used up."""
-    x -= x.max(1, keepdims=True)
-    own = x[rows, at]
-    np.exp(x, out=x)
-    return own - np.log(x.sum(1))
+def _shares(logits: np.ndarray, at: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The log-softmax of each row at one place, and the rows' sums; ``logits`` become the exponentials
+    that were summed. Bounded logits are not too low for that as they are."""
+    if not bounded:
+        logits -= logits.max(1, keepdims=True)
+    own = logits.ravel().take(np.arange(len(at)) * logits.shape[1] + at)
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    return own - np.log(total), total
 
 
 class Network:
@@ -189,83 +213,73 @@ class Network:
             "w": word_bias.astype(np.float32),
         }
 
-    def step(self, h, x):
+    def _softmaxes(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights of both softmaxes with their biases as a last row, less what no logit can pass: states
+        lie within -1 and 1. And whether the best logit of any state stays above what exp can tell from 0."""
         p = self.p
-        gi, gh = p["E"][x] + p["b"], h @ p["R"]
-        a = _sigmoid(gi[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])
-        r, z = a[:, :HIDDEN], a[:, HIDDEN:]
-        n = np.tanh(gi[:, 2 * HIDDEN :] + r * gh[:, 2 * HIDDEN :])
-        return n + z * (h - n), (h, x, r, z, n, gh[:, 2 * HIDDEN :])
+        of_class = np.concatenate((p["C"], p["c"][None]))
+        of_word = np.concatenate((p["W"], p["w"][:, None]), axis=1)
+        reach_c, reach_w = np.abs(p["C"]).sum(0).max(), np.abs(p["W"]).sum(1).max(1)
+        of_class[-1] -= reach_c + p["c"].max()
+        of_word[:, -1] -= (reach_w + p["w"].max(1))[:, None]
+        return of_class, of_word, max(reach_c, reach_w.max(initial=0)) < LOW / 2
 
     def log_p(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None):
         """Natural log of each target's probability (an open word's: of its class), and with
-        ``grad`` the gradient of the mean negative one by h."""
+        ``grad``, which has an array for each weight, the gradient of the mean negative one by h."""
         p, v = self.p, self.v
+        order = np.argsort(v.cls[target].astype(np.uint16), kind="stable")
+        target = target[order]
         cls = v.cls[target]
-        rows = np.arange(len(h))
-        logits = h @ p["C"]
-        logits += p["c"]
-        dh = None
+        n, bounds = len(order), np.searchsorted(cls, np.arange(v.classes + 1)).tolist()
+        states = np.ones((n, HIDDEN + 1), np.float32)
+        states[:, :HIDDEN] = h.take(order, axis=0)
+        of_class, of_word, bounded = self._softmaxes()
+        lp, dh, share = v.inside[target], np.empty((n, HIDDEN), np.float32), np.float32(1 / max(n, 1))
+
+        def shares(logits, at, a, b):
+            """Adds what a softmax gives to the rows' logs; the logits become gradients."""
+            own, total = _shares(logits, at, bounded)
+            lp[a:b] += own
+            if grad is not None:
+                logits *= (share / total)[:, None]
+                logits.reshape(-1)[np.arange(b - a) * logits.shape[1] + at] -= share
+
+        # some rows at a time, so that their logits stay in the cache
+        of_grad = np.zeros_like(of_class)
+        for a in range(0, n, ROWS):
+            b = min(a + ROWS, n)
+            d = states[a:b] @ of_class
+            shares(d, cls[a:b], a, b)
+            if grad is not None:
+                of_grad += states[a:b].T @ d
+                np.matmul(d, p["C"].T, out=dh[a:b])
+        if grad is not None:
+            grad["C"][:], grad["c"][:] = of_grad[:-1], of_grad[-1]
+            grad["W"].fill(0)
+            grad["w"].fill(0)
+        k, place = 0, target % PER_CLASS
+        while k < v.classes:
+            first, a = k, bounds[k]
+            while k < v.classes and (bounds[k + 1] - a <= ROWS or k == first):
+                k += 1
+            logits = np.empty((bounds[k] - a, PER_CLASS), np.float32)
+            runs = [(c, i, j, logits[i - a : j - a]) for c, i, j in zip(range(first, k), bounds[first:k], bounds[first + 1 : k + 1], strict=True) if i < j]
+            for c, i, j, of_run in runs:
+                np.matmul(states[i:j], of_word[c], out=of_run)
+            shares(logits, place[a : bounds[k]], a, bounds[k])
+            if grad is not None:
+                for c, i, j, of_run in runs:
+                    both = states[i:j].T @ of_run
+                    grad["W"][c], grad["w"][c] = both[:-1], both[-1]
+                    dh[i:j] += of_run @ p["W"][c].T
+        out = np.empty(n)
+        out[order] = lp
         if grad is None:
-            out = _log_share(logits, rows, cls).astype(np.float64) + v.inside[target]
-        else:
-            lc = _log_softmax(logits)
-            out = lc[rows, cls].astype(np.float64) + v.inside[target]
-            d = np.exp(lc)
-            d[rows, cls] -= 1
-            d /= len(h)
-            grad["C"], grad["c"] = h.T @ d, d.sum(0)
-            grad["W"], grad["w"] = np.zeros_like(p["W"]), np.zeros_like(p["w"])
-            dh = d @ p["C"].T
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(v.classes + 1))
-        by_class = h[order[: bounds[-1]]]
-        for k in range(v.classes):
-            own = order[bounds[k] : bounds[k + 1]]
-            if not len(own):
-                continue
-            hk = by_class[bounds[k] : bounds[k + 1]]
-            logits = hk @ p["W"][k]
-            logits += p["w"][k]
-            place = target[own] % PER_CLASS
-            if grad is None:
-                out[own] += _log_share(logits, rows[: len(own)], place)
-            else:
-                lw = _log_softmax(logits)
-                out[own] += lw[rows[: len(own)], place]
-                d = np.exp(lw)
-                d[rows[: len(own)], place] -= 1
-                d /= len(h)
-                grad["W"][k], grad["w"][k] = hk.T @ d, d.sum(0)
-                dh[own] += d @ p["W"][k].T
-        return out, dh
-
-    def _log_p_of_columns(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """:meth:`log_p` of states that are columns: sums over a softmax then run along memory."""
-        p, v = self.p, self.v
-
-        def share(logits, at):
-            top = logits.max(0)
-            logits -= top
-            own = logits[at, np.arange(len(at))]
-            np.exp(logits, out=logits)
-            return own - np.log(logits.sum(0))
-
-        cls = v.cls[target]
-        logits = p["C"].T @ h
-        logits += p["c"][:, None]
-        out = share(logits, cls).astype(np.float64) + v.inside[target]
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(v.classes + 1))
-        order = order[: bounds[-1]]
-        by_class, place = h.take(order, axis=1), target[order] % PER_CLASS
-        for k in range(v.classes):
-            a, b = bounds[k], bounds[k + 1]
-            if a < b:
-                logits = p["W"][k].T @ by_class[:, a:b]
-                logits += p["w"][k][:, None]
-                out[order[a:b]] += share(logits, place[a:b])
-        return out
+            return out, None
+        ordered = np.empty_like(dh)
+        ordered[order] = dh
+        return out, ordered
 
     def train(self, texts: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.01, parallel: int = STREAMS, state: dict | None = None, before: list[np.ndarray] | None = None) -> list[float]:
         """Truncated backpropagation; returns the mean loss of each epoch. ``state`` carries the
@@ -283,129 +297,233 @@ class Network:
             streams[k].append(i)
             size[k] += len(before[i]) - 1 + len(texts[i])
         n = int(size.max())
-        # targets, -1 where a stream has ended and -2 at words that only set the state
-        y, x, fresh = np.full((rows, n), -1, np.int64), np.full((rows, n), v.end, np.int64), np.zeros((rows, n), bool)
+        # the longest first, so that those which go on are always the first ones
+        streams = [streams[k] for k in np.argsort(-size, kind="stable")]
+        size = -np.sort(-size)
+        # by time and stream: targets, -1 where a stream has ended and -2 at words that only set the state
+        y, x, fresh = np.full((n, rows), -1, np.int64), np.full((n, rows), v.end, np.int64), np.zeros((n, rows), bool)
         for k, own in enumerate(streams):
             at = 0
             for i in own:
                 lead, length = len(before[i]) - 1, len(before[i]) - 1 + len(texts[i])
-                fresh[k, at] = True
-                y[k, at : at + lead], y[k, at + lead : at + length] = -2, texts[i]
-                x[k, at : at + length] = np.concatenate((before[i], texts[i][:-1]))
+                fresh[at, k] = True
+                y[at : at + lead, k], y[at + lead : at + length, k] = -2, texts[i]
+                x[at : at + length, k] = np.concatenate((before[i], texts[i][:-1]))
                 at += length
+        x = v.inputs[x]
+        # weights, gradients and the optimiser's averages are one array each, so that a step is few calls
+        flat = np.concatenate([a.ravel() for a in p.values()])
+        g_flat = np.zeros_like(flat)
+        p.update(self._parts(flat))
+        g = self._parts(g_flat)
         state = {} if state is None else state
-        m = state.setdefault("m", {k: np.zeros_like(a) for k, a in p.items()})
-        s2 = state.setdefault("s2", {k: np.zeros_like(a) for k, a in p.items()})
+        for name in ("m", "s2"):
+            if name not in state:
+                state[name + " flat"] = np.zeros_like(flat)
+                state[name] = self._parts(state[name + " flat"])
+        m, s2 = state["m flat"], state["s2 flat"]
         t, losses = state.get("t", 0), []
         for epoch in range(epochs):
             h, total, count = np.zeros((rows, HIDDEN), np.float32), 0.0, 0
             for at in range(0, n, WINDOW):
-                live = y[:, at] != -1
-                xs, ys, news = (a[live, at : at + WINDOW] for a in (x, y, fresh))
-                hw, states, kept = h[live], [], []
-                for j in range(xs.shape[1]):
-                    hw = hw * ~news[:, j][:, None]
-                    hw, k = self.step(hw, v.inputs[xs[:, j]])
-                    states.append(hw)
-                    kept.append(k)
-                h[live] = hw
-                g: dict = {}
-                flat, ty = np.concatenate(states), ys.T.ravel()
-                use = ty >= 0
-                if not use.any():
+                live = int(np.searchsorted(-size, -at, "left"))
+                xs, ys, news = (a[at : at + WINDOW, :live] for a in (x, y, fresh))
+                kept = self._forward(h[:live], xs, news)
+                states = kept[-1]
+                h[:live] = states[-1]
+                ty = ys.ravel()
+                use = np.flatnonzero(ty >= 0)
+                if not len(use):
                     continue
-                lp, dh = self.log_p(flat[use], ty[use], g)
+                lp, dh = self.log_p(states.reshape(-1, HIDDEN).take(use, axis=0), ty[use], g)
                 total, count = total - lp.sum(), count + len(lp)
-                dflat = np.zeros_like(flat)
-                dflat[use] = dh
-                self._back(g, dflat.reshape(len(states), *states[0].shape), kept, news)
-                norm = math.sqrt(sum(float((a * a).sum()) for a in g.values()))
+                dstates = np.zeros_like(states)
+                dstates.reshape(-1, HIDDEN)[use] = dh
+                self._back(g, dstates, kept, xs, news)
+                norm = math.sqrt(float(g_flat @ g_flat))
                 t += 1
                 lr = rate * min(1.0, 1.0 / max(norm, 1e-9)) if norm > 1 else rate
                 lr *= 0.3 if epoch == epochs - 1 and at > n // 2 else 1.0
-                for k, a in p.items():
-                    m[k] += np.float32(0.1) * (g[k] - m[k])
-                    s2[k] += np.float32(0.01) * (g[k] * g[k] - s2[k])
-                    a -= np.float32(lr / (1 - 0.9**t)) * m[k] / (np.sqrt(s2[k] / np.float32(1 - 0.99**t)) + np.float32(1e-6))
+                # m and s2 are the averages of g and its square with weights 0.1 and 0.01; block by block, as caches like it
+                q = math.sqrt(1 - 0.99**t)
+                for k in range(0, len(flat), BLOCK):
+                    pk, gk, mk, sk = (a[k : k + BLOCK] for a in (flat, g_flat, m, s2))
+                    gk *= 0.1
+                    mk *= 0.9
+                    mk += gk
+                    gk *= gk
+                    sk *= 0.99
+                    sk += gk
+                    np.sqrt(sk, out=gk)
+                    gk += 1e-6 * q
+                    np.divide(mk, gk, out=gk)
+                    gk *= lr * q / (1 - 0.9**t)
+                    pk -= gk
             losses.append(total / max(count, 1))
         state["t"] = t
         return losses
 
-    def _back(self, g: dict, dstates: np.ndarray, kept: list, news: np.ndarray) -> None:
+    def _parts(self, flat: np.ndarray) -> dict:
+        """Views of an array that holds all weights one after another, by name."""
+        out, at = {}, 0
+        for k, a in self.p.items():
+            out[k] = flat[at : at + a.size].reshape(a.shape)
+            at += a.size
+        return out
+
+    def _forward(self, h: np.ndarray, x: np.ndarray, news: np.ndarray) -> tuple:
+        """A window of inputs ``x`` (by time and stream) from states ``h``, which are emptied where ``news`` has it.
+        Returns what :meth:`_back` needs: states before each step; gates r and z and the recurrent
+        part of n; n; states after each step, by time, stream and unit."""
         p = self.p
-        g["E"], g["R"], g["b"] = np.zeros_like(p["E"]), np.zeros_like(p["R"]), np.zeros_like(p["b"])
-        dh = np.zeros_like(dstates[0])
-        inputs, grads = [], []
-        for j in range(len(kept) - 1, -1, -1):
-            h, x, r, z, n, ghn = kept[j]
-            d = dstates[j] + dh
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h - n) * z * (1 - z)
-            dr = dn * ghn * r * (1 - r)
-            dgi = np.concatenate((dr, dz, dn), axis=1)
-            dgh = np.concatenate((dr, dz, dn * r), axis=1)
-            inputs.append(x)
-            grads.append(dgi)
-            g["b"] += dgi.sum(0)
-            g["R"] += h.T @ dgh
-            dh = (d * z + dgh @ p["R"].T) * ~news[:, j][:, None]
-        x = np.concatenate(inputs)
-        order = np.argsort(x, kind="stable")
-        rows, first = np.unique(x[order], return_index=True)
-        g["E"][rows] = np.add.reduceat(np.concatenate(grads)[order], first, axis=0)
+        steps, n = x.shape
+        shape = (steps, n, HIDDEN)
+        before, gates, new, after = np.empty(shape, np.float32), np.empty((3, *shape), np.float32), np.empty(shape, np.float32), np.empty(shape, np.float32)
+        gi = (p["E"] + p["b"]).reshape(-1, HIDDEN).take(3 * x + np.arange(3)[:, None, None], axis=0)
+        recurrent = _gates(p["R"])
+        recurrent[:2] *= -1
+        before[0] = h
+        with np.errstate(over="ignore"):  # a gate is 0 then
+            for j in range(steps):
+                own = np.flatnonzero(news[j])
+                if len(own):
+                    before[j, own] = 0
+                gh, a, c, s = gates[:, j], gates[:2, j], new[j], after[j]
+                np.matmul(before[j], recurrent, out=gh)
+                a -= gi[:2, j]
+                np.exp(a, out=a)
+                a += 1
+                np.reciprocal(a, out=a)
+                np.multiply(gh[2], a[0], out=c)
+                c += gi[2, j]
+                np.tanh(c, out=c)
+                np.subtract(before[j], c, out=s)
+                s *= a[1]
+                s += c
+                if j + 1 < steps:
+                    before[j + 1] = s
+        return before, gates, new, after
+
+    def _back(self, g: dict, dstates: np.ndarray, kept: tuple, x: np.ndarray, news: np.ndarray) -> None:
+        """Gradients of the unit's weights; ``dstates`` is used up."""
+        before, (r, z, ghn), n, _ = kept
+        steps, rows, _ = before.shape
+        # what a state's gradient is multiplied by on its way to each gate, for all steps at once
+        rest = 1 - z
+        to_z = before - n
+        to_z *= z
+        to_z *= rest
+        to_n = n * n
+        np.subtract(1, to_n, out=to_n)
+        to_n *= rest
+        to_r = 1 - r
+        to_r *= r
+        to_r *= ghn
+        # by input's n, r, z and by the recurrent part of n
+        d = np.empty((4, *before.shape), np.float32)
+        recurrent = _gates(self.p["R"]).transpose(0, 2, 1).copy()
+        dh, parts = np.zeros((rows, HIDDEN), np.float32), np.empty((3, rows, HIDDEN), np.float32)
+        for j in range(steps - 1, -1, -1):
+            ds, (dn, dr, dz, dgn) = dstates[j], d[:, j]
+            ds += dh
+            np.multiply(ds, to_n[j], out=dn)
+            np.multiply(ds, to_z[j], out=dz)
+            np.multiply(dn, to_r[j], out=dr)
+            np.multiply(dn, r[j], out=dgn)
+            np.matmul(d[1:, j], recurrent, out=parts)
+            np.multiply(ds, z[j], out=dh)
+            for part in parts:
+                dh += part
+            own = np.flatnonzero(news[j])
+            if len(own):
+                dh[own] = 0
+        d, before = d.reshape(4, -1, HIDDEN), before.reshape(-1, HIDDEN)
+        one = np.ones(len(before), np.float32)
+        by_input = np.empty((len(before), 3 * HIDDEN), np.float32)
+        for k, (of_input, of_state) in enumerate(((1, 1), (2, 2), (0, 3))):
+            part = slice(k * HIDDEN, (k + 1) * HIDDEN)
+            g["R"][:, part] = before.T @ d[of_state]
+            g["b"][part] = one @ d[of_input]
+            by_input[:, part] = d[of_input]
+        g["E"].fill(0)
+        _add_rows(g["E"], x.ravel(), by_input)
 
     def score(self, ids: list[np.ndarray]) -> np.ndarray:
         """Natural log-likelihood of whole texts, open words up to their class."""
-        v = self.v
         out = np.zeros(len(ids))
-        if not ids:
-            return out
-        order = np.array(sorted(range(len(ids)), key=lambda i: -len(ids[i])))
-        size = np.array([len(ids[i]) for i in order])
-        flat = np.concatenate([ids[i] for i in order])
+        order = sorted(range(len(ids)), key=lambda i: -len(ids[i]))
+        for k in range(0, len(order), SIDE_BY_SIDE):
+            own = order[k : k + SIDE_BY_SIDE]
+            out[own] = self._score([ids[i] for i in own])
+        return out
+
+    def _score(self, ids: list[np.ndarray]) -> np.ndarray:
+        """:meth:`score` of some texts, the longest first."""
+        v, p = self.v, self.p
+        size = np.array([len(i) for i in ids])
+        flat = np.concatenate(ids)
         start = np.cumsum(size) - size
-        x = np.full(len(order), v.inputs[v.end])
-        h = np.zeros((HIDDEN, len(order)), np.float32)
-        states, targets, owners, waiting = [], [], [], 0
+        out, n = np.zeros(len(ids)), len(ids)
+        x = np.full(n, v.inputs[v.end])
+        h = np.zeros((n, HIDDEN), np.float32)
+        states, targets, lengths, waiting = [], [], [], 0
 
         def drain():
-            lp = self._log_p_of_columns(np.concatenate(states, axis=1), np.concatenate(targets))
-            np.add.at(out, np.concatenate(owners), lp)
-
-        # the same as step() with states as columns, so that every gate is one stretch of memory; inputs
-        # and bias are added beforehand, gates' halves too
-        n, half = len(order), np.float32(0.5)
-        scale = np.where(np.arange(3 * HIDDEN) < 2 * HIDDEN, half, np.float32(1))
-        table, recurrent = np.ascontiguousarray(((self.p["E"] + self.p["b"]) * scale).T), np.ascontiguousarray((self.p["R"] * scale).T)
-        for t in range(int(size[0])):
-            n = int(np.searchsorted(-size, -t, "left")) if t else n
-            h = h[:, :n]
-            gi, gh = table.take(x[:n], axis=1), recurrent @ h
-            a, c = gi[: 2 * HIDDEN], gh[2 * HIDDEN :]
-            a += gh[: 2 * HIDDEN]
-            np.tanh(a, out=a)
-            a *= half
-            a += half
-            c *= a[:HIDDEN]
-            c += gi[2 * HIDDEN :]
-            np.tanh(c, out=c)
-            h = h - c
-            h *= a[HIDDEN:]
-            h += c
-            y = flat[start[:n] + t]
-            states.append(h)
-            targets.append(y)
-            owners.append(order[:n])
-            waiting += n
-            x = v.inputs[y]
-            if t % WINDOW == WINDOW - 1 and waiting > 16384 or waiting > 32768:
-                drain()
-                states, targets, owners, waiting = [], [], [], 0
+            lp, _ = self.log_p(np.concatenate(states), np.concatenate(targets))
+            owners = np.concatenate([np.arange(k) for k in lengths])
+            out[:] += np.bincount(owners, lp, len(out))
+
+        # the same as _forward(); inputs and bias are added beforehand
+        table, recurrent = _gates(p["E"] + p["b"]), _gates(p["R"])
+        for a in (table, recurrent):
+            a[:2] *= -1
+        with np.errstate(over="ignore"):
+            for t in range(int(size[0])):
+                n = int(np.searchsorted(-size, -t, "left")) if t else n
+                h = h[:n]
+                gi, gh = table.take(x[:n], axis=1), h @ recurrent
+                a, c = gh[:2], gh[2]
+                a += gi[:2]
+                np.exp(a, out=a)
+                a += 1
+                np.reciprocal(a, out=a)
+                c *= a[0]
+                c += gi[2]
+                np.tanh(c, out=c)
+                h = h - c
+                h *= a[1]
+                h += c
+                y = flat[start[:n] + t]
+                states.append(h)
+                targets.append(y)
+                lengths.append(n)
+                waiting += n
+                x = v.inputs[y]
+                if waiting > DRAIN:
+                    drain()
+                    states, targets, lengths, waiting = [], [], [], 0
         if states:
             drain()
         return out
 
 
+def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """Adds each of ``rows`` to the row of ``into`` at its place: frequent places by a sum each, the first
+    occurrences of all others together, then the second ones, and so on."""
+    order = np.argsort(at.astype(np.uint16) if len(into) <= 1 << 16 else at, kind="stable")
+    places, first, n = np.unique(at[order], return_index=True, return_counts=True)
+    one = np.ones(len(at), np.float32)
+    often = n > 8
+    for place, k, c in zip(places[often].tolist(), first[often].tolist(), n[often].tolist(), strict=True):
+        into[place] += one[:c] @ rows.take(order[k : k + c], axis=0)
+    places, first, n = places[~often], first[~often], n[~often]
+    for k in range(8):
+        some = n > k
+        if not some.any():
+            break
+        into[places[some]] += rows[order[first[some] + k]]
+
+
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     """The most frequent words, at most ``head``: all whose count reaches a threshold, which
     comes from a histogram of the counts' logarithms."""
@@ -425,11 +543,17 @@ def segments_of(text: bytes, share: int) -> list[tuple[list[bytes], list[bytes]]
     """The text's segments that are trained on: one in ``share``, by a hash of text and place. Each with
     the words before it, the last ``WARM`` + 1 of them; before a text stands an end."""
     words = tokens(text)
-    n = -(-len(words) // SEGMENT)
+    return [(words[k - WARM - 1 : k] if k else [END], words[k : k + SEGMENT]) for k in segment_places(text, len(words), share)]
+
+
+def segment_places(text: bytes, length: int, share: int) -> list[int]:
+    """Where the segments of :func:`segments_of` begin in the text's ``length`` tokens."""
+    if share == 1:
+        return list(range(0, length, SEGMENT))
+    n = -(-length // SEGMENT)
     place = np.arange(n, dtype=np.uint64) + np.uint64(zlib.crc32(text) * 0x9E3779B97F4A7C15 % (1 << 64))
     place = (place ^ place >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
-    picked = (np.flatnonzero((place >> np.uint64(32)) % np.uint64(share) == 0) * SEGMENT).tolist()
-    return [(words[k - WARM - 1 : k] if k else [END], words[k : k + SEGMENT]) for k in picked]
+    return (np.flatnonzero((place >> np.uint64(32)) % np.uint64(share) == 0) * SEGMENT).tolist()
 
 
 def train_on_all(net: Network, training: DataFrame, rounds: int = ROUNDS, share: int = SHARE) -> None:
@@ -445,16 +569,20 @@ def train_on_all(net: Network, training: DataFrame, rounds: int = ROUNDS, share:
             own = copy.copy(base)
             own.p = {n: base.p[n].copy() for n in names}
             state, seen, task, ids, before, waiting = {}, 0, TaskContext.get().partitionId(), [], [], 0
+            first = np.array([own.v.end], np.int32)
 
             def learn():
                 own.train(ids, 1, parallel=min(max(waiting // (WINDOW * STEPS), 8), TASK_STREAMS), state=state, before=before)
 
             for batch in batches:
-                for text in as_bytes(batch.column("text")):
-                    for lead, words in segments_of(text, share):
-                        before.append(own.v.encode(lead))
-                        ids.append(own.v.encode(words))
-                        waiting += len(words)
+                words, begin = all_tokens(batch.column("text"))
+                encoded = own.v.encode_all(words)
+                for text, a, b in zip(as_bytes(batch.column("text")), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                    for k in segment_places(text, b - a, share):
+                        # as segments_of() has them
+                        before.append(encoded[a + k - WARM - 1 : a + k] if k else first)
+                        ids.append(encoded[a + k : min(a + k + SEGMENT, b)])
+                        waiting += len(ids[-1])
                     if waiting >= TASK_TOKENS:
                         learn()
                         seen, ids, before, waiting = seen + waiting, [], [], 0
@@ -518,43 +646,42 @@ def scored(docs: DataFrame, counts: DataFrame, net: Network) -> DataFrame:
     def run(batches):
         net = sent.value
         v, other = net.v, len(net.v.words)
-        heads, ids, size, word, n = [], [], [], [], []
-        held = 0
+        heads, ids, columns, opens, held = [], [], {"n_tokens": [], "known": [], "base": []}, [], 0
 
         def scored_part():
-            offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
-            struct = pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
-            head = pa.Table.from_batches(heads).combine_chunks()
-            found = net.score(ids) / LN10
-            columns = {
+            head, places = pa.Table.from_batches(heads).combine_chunks(), pa.concat_tables(opens).sort_by("at")
+            offsets = np.searchsorted(places["at"].to_numpy(), np.arange(len(ids) + 1))
+            word, n = (pa.concat_arrays(places[c].chunks) if places.num_rows else pa.array([], places[c].type) for c in ("word", "count_all"))
+            out = {
                 **{c: head.column(c).chunk(0) for c in ("row", "doc_id")},
-                "n_tokens": pa.array(list(map(len, ids)), pa.int64()),
-                "known": pa.array([int((i != other).sum()) for i in ids], pa.int64()),
-                "base": pa.array([float(v.base[i].sum()) for i in ids], pa.float64()),
-                "model": pa.array(found),
-                "open": pa.ListArray.from_arrays(offsets, struct),
+                **{c: pa.array(np.concatenate(x)) for c, x in columns.items()},
+                "model": pa.array(net.score(ids) / LN10),
+                "open": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([word, n], ["word", "n"])),
             }
-            for of in (heads, ids, size, word, n):
+            for of in (heads, ids, opens, *columns.values()):
                 of.clear()
-            return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            return pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
         for batch in batches:
-            at = 0
-            for part in in_parts(as_bytes(batch.column("text"))):
-                for text in part:
-                    words = tokens(text)
-                    ids.append(v.encode(words))
-                    # only words that the model has no place for are kept as words
-                    c = Counter([words[k] for k in np.flatnonzero(ids[-1] == other).tolist()])
-                    size.append(len(c))
-                    word += c.keys()
-                    n += c.values()
-                    held += len(text)
-                heads.append(batch.select(["row", "doc_id"]).slice(at, len(part)))
-                at += len(part)
-                if held > PART_BYTES:
-                    yield scored_part()
-                    held = 0
+            if not batch.num_rows:
+                continue
+            words, begin = all_tokens(batch.column("text"))
+            encoded = v.encode_all(words)
+            # only words that the model has no place for are kept as words, once for each text
+            places = np.flatnonzero(encoded == other)
+            texts = np.searchsorted(begin, places, "right") - 1 + len(ids)
+            of_text = pa.table({"at": texts, "word": words.take(pa.array(places)).cast(pa.binary())})
+            opens.append(of_text.group_by(["at", "word"], use_threads=False).aggregate([([], "count_all")]))
+            # no text is without tokens
+            columns["n_tokens"].append(np.diff(begin))
+            columns["known"].append(np.add.reduceat((encoded != other).astype(np.int64), begin[:-1]))
+            columns["base"].append(np.add.reduceat(v.base[encoded], begin[:-1]))
+            ids += np.split(encoded, begin[1:-1])
+            heads.append(batch.select(["row", "doc_id"]))
+            held += batch.column("text").nbytes
+            if held > PART_BYTES:
+                yield scored_part()
+                held = 0
         if ids:
             yield scored_part()
 

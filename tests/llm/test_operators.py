@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -894,6 +895,63 @@ def test_a_segments_gradient_does_not_depend_on_its_neighbours():
     assert other[0] != pytest.approx(alone[0][0], rel=1e-4)
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_columns_of_texts_have_the_tokens_of_each_text(kind):
+    r = random.Random(31)
+    signs = ["a", "B", "\u00e9", "\u0130", " ", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "\0"]
+    texts = ["".join(r.choices(signs, k=r.randrange(9))) for _ in range(2000)] + [None, "", "  "]
+    net, _ = small_lm()
+    for column in (pa.array(texts, kind), pa.array(texts, kind).slice(7, 400), pa.array([], kind)):
+        words, begin = lm.all_tokens(column)
+        want = [lm.tokens((t or "").encode()) for t in column.to_pylist()]
+        assert [words[i:j].to_pylist() for i, j in zip(begin[:-1], begin[1:], strict=True)] == want
+        assert net.v.encode_all(words).tolist() == net.v.encode(sum(want, [])).tolist()
+
+
+def test_rows_are_added_at_their_places():
+    r = np.random.default_rng(3)
+    at, rows = r.zipf(1.4, 3000) % 200, r.standard_normal((3000, 6)).astype(np.float32)
+    got, want = np.zeros((200, 6), np.float32), np.zeros((200, 6))
+    lm._add_rows(got, at, rows)
+    np.add.at(want, at, rows)
+    assert np.allclose(got, want, atol=1e-4)
+
+
+@pytest.mark.parametrize("factor", [1, 400])
+def test_log_probabilities_against_plain_softmaxes(factor):
+    """Also with weights so large that a softmax needs each state's own highest logit."""
+    net, _ = small_lm(4)
+    v, p = net.v, {k: a.astype(float) for k, a in net.p.items()}
+    for k in ("C", "W"):
+        net.p[k] *= factor
+        p[k] *= factor
+    assert net._softmaxes()[2] == (factor == 1)
+    h = np.random.default_rng(0).uniform(-1, 1, (len(v.words) + 1, lm.HIDDEN)).astype(np.float32)
+    soft = lambda z: z - z.max() - math.log(np.exp(z - z.max()).sum())
+    for i, got in enumerate(net.log_p(h, np.arange(len(h)))[0]):
+        want = soft(h[i] @ p["C"] + p["c"])[v.cls[i]] + v.inside[i]
+        if i < v.neural:
+            want += soft(h[i] @ p["W"][i // lm.PER_CLASS] + p["w"][i // lm.PER_CLASS])[i % lm.PER_CLASS]
+        assert got == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
+def test_network_gradients_against_differences():
+    net, ids = small_lm(4)
+    pieces, before = [ids[0][3:9], ids[1][9:14]], [ids[0][:3], ids[1][8:9]]
+    _, g = first_gradient(net, pieces, before)
+    r = np.random.default_rng(5)
+    for k, a in net.p.items():
+        used = np.flatnonzero(np.abs(g[k]) > 0.02)
+        for i in r.choice(used, min(5, len(used)), replace=False):
+            loss = []
+            for move in (1e-3, -1e-3):
+                near = copy.copy(net)
+                near.p = {n: x.copy() for n, x in net.p.items()}
+                near.p[k].flat[i] += move
+                loss.append(first_gradient(near, pieces, before)[0])
+            assert (loss[0] - loss[1]) / 2e-3 == pytest.approx(g[k].flat[i], rel=0.05, abs=0.02), (k, a.shape, i)
+
+
 def test_training_lowers_the_loss_and_windows_do_not_matter():
     net, ids = small_lm(1)
     losses = net.train(ids, epochs=4)
