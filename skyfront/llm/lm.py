@@ -62,7 +62,7 @@ ROUNDS, SEGMENT, SHARE, TASK_STREAMS, TASK_TOKENS, PIECES = 2, 128, 1, 128, 1 <<
 WARM = 4
 #: Texts that are scored side by side, states that wait for their softmax, and states whose logits are held at
 #: a time; weights that the optimiser goes over at a time; how far down exp in single precision is used.
-SIDE_BY_SIDE, DRAIN, ROWS, BLOCK, LOW = 512, 8192, 4096, 1 << 16, 80
+SIDE_BY_SIDE, DRAIN, ROWS, BLOCK, LOW = 256, 8192, 4096, 1 << 16, 80
 #: Steps that a task takes over what it holds, or as many as eight streams give.
 STEPS = 32
 #: Bytes of texts whose words a counting task holds before it counts them; bytes of text scored at a time.
@@ -224,18 +224,27 @@ class Network:
         of_word[:, -1] -= (reach_w + p["w"].max(1))[:, None]
         return of_class, of_word, max(reach_c, reach_w.max(initial=0)) < LOW / 2
 
-    def log_p(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None):
-        """Natural log of each target's probability (an open word's: of its class), and with
-        ``grad``, which has an array for each weight, the gradient of the mean negative one by h."""
+    def log_p(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple:
+        """Natural log of each target's probability (an open word's: of its class), and what :meth:`_log_p` adds."""
+        order, out = self._by_class(target), np.empty(len(target))
+        out[order], by_class = self._log_p(h.take(order, axis=0), target[order], grad)
+        dh = np.empty_like(by_class)
+        dh[order] = by_class
+        return out, dh if grad is not None else None
+
+    def _by_class(self, target: np.ndarray) -> np.ndarray:
+        return np.argsort(self.v.cls[target].astype(np.uint16), kind="stable")
+
+    def _log_p(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple:
+        """:meth:`log_p` of targets that come by class. With ``grad``, which has an array for each weight, also a
+        tenth (what the optimiser's average takes of it) of the gradient of the mean negative log, by weight and by h."""
         p, v = self.p, self.v
-        order = np.argsort(v.cls[target].astype(np.uint16), kind="stable")
-        target = target[order]
         cls = v.cls[target]
-        n, bounds = len(order), np.searchsorted(cls, np.arange(v.classes + 1)).tolist()
+        n, bounds = len(cls), np.searchsorted(cls, np.arange(v.classes + 1)).tolist()
         states = np.ones((n, HIDDEN + 1), np.float32)
-        states[:, :HIDDEN] = h.take(order, axis=0)
+        states[:, :HIDDEN] = h
         of_class, of_word, bounded = self._softmaxes()
-        lp, dh, share = v.inside[target], np.empty((n, HIDDEN), np.float32), np.float32(1 / max(n, 1))
+        lp, dh, share = v.inside[target], np.empty((n, HIDDEN), np.float32), np.float32(0.1 / max(n, 1))
 
         def shares(logits, at, a, b):
             """Adds what a softmax gives to the rows' logs; the logits become gradients."""
@@ -273,13 +282,7 @@ class Network:
                     both = states[i:j].T @ of_run
                     grad["W"][c], grad["w"][c] = both[:-1], both[-1]
                     dh[i:j] += of_run @ p["W"][c].T
-        out = np.empty(n)
-        out[order] = lp
-        if grad is None:
-            return out, None
-        ordered = np.empty_like(dh)
-        ordered[order] = dh
-        return out, ordered
+        return lp, dh
 
     def train(self, texts: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.01, parallel: int = STREAMS, state: dict | None = None, before: list[np.ndarray] | None = None) -> list[float]:
         """Truncated backpropagation; returns the mean loss of each epoch. ``state`` carries the
@@ -327,7 +330,8 @@ class Network:
             h, total, count = np.zeros((rows, HIDDEN), np.float32), 0.0, 0
             for at in range(0, n, WINDOW):
                 live = int(np.searchsorted(-size, -at, "left"))
-                xs, ys, news = (a[at : at + WINDOW, :live] for a in (x, y, fresh))
+                xs, ys = (a[at : at + WINDOW, :live] for a in (x, y))
+                news = [np.flatnonzero(a) for a in fresh[at : at + WINDOW, :live]]
                 kept = self._forward(h[:live], xs, news)
                 states = kept[-1]
                 h[:live] = states[-1]
@@ -335,20 +339,21 @@ class Network:
                 use = np.flatnonzero(ty >= 0)
                 if not len(use):
                     continue
-                lp, dh = self.log_p(states.reshape(-1, HIDDEN).take(use, axis=0), ty[use], g)
+                use = use[self._by_class(ty[use])]
+                lp, dh = self._log_p(states.reshape(-1, HIDDEN).take(use, axis=0), ty[use], g)
                 total, count = total - lp.sum(), count + len(lp)
                 dstates = np.zeros_like(states)
                 dstates.reshape(-1, HIDDEN)[use] = dh
                 self._back(g, dstates, kept, xs, news)
-                norm = math.sqrt(float(g_flat @ g_flat))
+                norm = 10 * math.sqrt(float(g_flat @ g_flat))
                 t += 1
                 lr = rate * min(1.0, 1.0 / max(norm, 1e-9)) if norm > 1 else rate
                 lr *= 0.3 if epoch == epochs - 1 and at > n // 2 else 1.0
-                # m and s2 are the averages of g and its square with weights 0.1 and 0.01; block by block, as caches like it
+                # m and s2 are the averages of the gradient and its square with weights 0.1 and 0.01, g is a tenth of
+                # the gradient; block by block, as caches like it
                 q = math.sqrt(1 - 0.99**t)
                 for k in range(0, len(flat), BLOCK):
                     pk, gk, mk, sk = (a[k : k + BLOCK] for a in (flat, g_flat, m, s2))
-                    gk *= 0.1
                     mk *= 0.9
                     mk += gk
                     gk *= gk
@@ -371,8 +376,8 @@ class Network:
             at += a.size
         return out
 
-    def _forward(self, h: np.ndarray, x: np.ndarray, news: np.ndarray) -> tuple:
-        """A window of inputs ``x`` (by time and stream) from states ``h``, which are emptied where ``news`` has it.
+    def _forward(self, h: np.ndarray, x: np.ndarray, news: list[np.ndarray]) -> tuple:
+        """A window of inputs ``x`` (by time and stream) from states ``h``; at each time those in ``news`` are emptied.
         Returns what :meth:`_back` needs: states before each step; gates r and z and the recurrent
         part of n; n; states after each step, by time, stream and unit."""
         p = self.p
@@ -385,9 +390,8 @@ class Network:
         before[0] = h
         with np.errstate(over="ignore"):  # a gate is 0 then
             for j in range(steps):
-                own = np.flatnonzero(news[j])
-                if len(own):
-                    before[j, own] = 0
+                if len(news[j]):
+                    before[j, news[j]] = 0
                 gh, a, c, s = gates[:, j], gates[:2, j], new[j], after[j]
                 np.matmul(before[j], recurrent, out=gh)
                 a -= gi[:2, j]
@@ -404,7 +408,7 @@ class Network:
                     before[j + 1] = s
         return before, gates, new, after
 
-    def _back(self, g: dict, dstates: np.ndarray, kept: tuple, x: np.ndarray, news: np.ndarray) -> None:
+    def _back(self, g: dict, dstates: np.ndarray, kept: tuple, x: np.ndarray, news: list[np.ndarray]) -> None:
         """Gradients of the unit's weights; ``dstates`` is used up."""
         before, (r, z, ghn), n, _ = kept
         steps, rows, _ = before.shape
@@ -434,9 +438,8 @@ class Network:
             np.multiply(ds, z[j], out=dh)
             for part in parts:
                 dh += part
-            own = np.flatnonzero(news[j])
-            if len(own):
-                dh[own] = 0
+            if len(news[j]):
+                dh[news[j]] = 0
         d, before = d.reshape(4, -1, HIDDEN), before.reshape(-1, HIDDEN)
         one = np.ones(len(before), np.float32)
         by_input = np.empty((len(before), 3 * HIDDEN), np.float32)
@@ -464,44 +467,49 @@ class Network:
         flat = np.concatenate(ids)
         start = np.cumsum(size) - size
         out, n = np.zeros(len(ids)), len(ids)
-        x = np.full(n, v.inputs[v.end])
-        h = np.zeros((n, HIDDEN), np.float32)
-        states, targets, lengths, waiting = [], [], [], 0
+        live = np.searchsorted(-size, -np.arange(int(size[0])), "left").tolist()
+        h, last = np.zeros((n, HIDDEN), np.float32), np.full(n, v.end)
+        states, targets, owners, waiting = [], [], [], 0
 
         def drain():
             lp, _ = self.log_p(np.concatenate(states), np.concatenate(targets))
-            owners = np.concatenate([np.arange(k) for k in lengths])
-            out[:] += np.bincount(owners, lp, len(out))
+            out[:] += np.bincount(np.concatenate(owners), lp, len(out))
 
-        # the same as _forward(); inputs and bias are added beforehand
+        # the same as _forward(), with nothing kept but states; inputs and bias are added beforehand
         table, recurrent = _gates(p["E"] + p["b"]), _gates(p["R"])
         for a in (table, recurrent):
             a[:2] *= -1
         with np.errstate(over="ignore"):
-            for t in range(int(size[0])):
-                n = int(np.searchsorted(-size, -t, "left")) if t else n
-                h = h[:n]
-                gi, gh = table.take(x[:n], axis=1), h @ recurrent
-                a, c = gh[:2], gh[2]
-                a += gi[:2]
-                np.exp(a, out=a)
-                a += 1
-                np.reciprocal(a, out=a)
-                c *= a[0]
-                c += gi[2]
-                np.tanh(c, out=c)
-                h = h - c
-                h *= a[1]
-                h += c
-                y = flat[start[:n] + t]
-                states.append(h)
-                targets.append(y)
-                lengths.append(n)
-                waiting += n
-                x = v.inputs[y]
+            for t in range(0, len(live), WINDOW):
+                ns = live[t : t + WINDOW]
+                n, own = ns[0], np.arange(ns[0])
+                # a text's place in the window after its end is never read
+                y = flat.take(start[:n] + np.arange(t, t + len(ns))[:, None], mode="clip")
+                x = v.inputs[np.concatenate((last[None, :n], y[:-1]))]
+                last, h = y[-1], h[:n]
+                after, gh = np.empty((len(ns), n, HIDDEN), np.float32), np.empty((3, n, HIDDEN), np.float32)
+                for j, k in enumerate(ns):
+                    h, s, g, gi = h[:k], after[j, :k], gh[:, :k], table.take(x[j, :k], axis=1)
+                    np.matmul(h, recurrent, out=g)
+                    a, c = g[:2], g[2]
+                    a += gi[:2]
+                    np.exp(a, out=a)
+                    a += 1
+                    np.reciprocal(a, out=a)
+                    c *= a[0]
+                    c += gi[2]
+                    np.tanh(c, out=c)
+                    np.subtract(h, c, out=s)
+                    s *= a[1]
+                    s += c
+                    h = s
+                    states.append(s)
+                    targets.append(y[j, :k])
+                    owners.append(own[:k])
+                    waiting += k
                 if waiting > DRAIN:
                     drain()
-                    states, targets, lengths, waiting = [], [], [], 0
+                    states, targets, owners, waiting = [], [], [], 0
         if states:
             drain()
         return out
@@ -511,17 +519,19 @@ def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     """Adds each of ``rows`` to the row of ``into`` at its place: frequent places by a sum each, the first
     occurrences of all others together, then the second ones, and so on."""
     order = np.argsort(at.astype(np.uint16) if len(into) <= 1 << 16 else at, kind="stable")
-    places, first, n = np.unique(at[order], return_index=True, return_counts=True)
+    by_place = at[order]
+    first = np.flatnonzero(np.diff(by_place, prepend=-1))
+    places, n = by_place[first], np.diff(first, append=len(at))
     one = np.ones(len(at), np.float32)
     often = n > 8
     for place, k, c in zip(places[often].tolist(), first[often].tolist(), n[often].tolist(), strict=True):
         into[place] += one[:c] @ rows.take(order[k : k + c], axis=0)
-    places, first, n = places[~often], first[~often], n[~often]
-    for k in range(8):
-        some = n > k
-        if not some.any():
-            break
-        into[places[some]] += rows[order[first[some] + k]]
+    rest = np.flatnonzero(~often)
+    rest = rest[np.argsort(-n[rest], kind="stable")]
+    places, first, n = places[rest], first[rest], n[rest]
+    for k in range(int(n.max(initial=0))):
+        c = int(np.searchsorted(-n, -k, "left"))
+        into[places[:c]] += rows.take(order[first[:c] + k], axis=0)
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
